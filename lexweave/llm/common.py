@@ -75,3 +75,11 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     cold = left.filter(~is_hot).join(right, key, how)
     return left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), key, how).unionByName(cold)
+
+
+def join_small(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join to a narrow side with one row a key: broadcast if it was counted as small, else ``join_unique``."""
+    right = checkpoint(right)
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, how)
+    return join_unique(left, right, key, how)
