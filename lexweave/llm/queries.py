@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, winnow
-from .common import table
+from . import bpe, langid, mixing, quality, simhash, toxicity, winnow
+from .common import held_out, table
 
 
 def vocabulary(name: str) -> str:
@@ -15,6 +15,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict_language(docs, langid.fit_langid(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels of three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids and decoded texts of all documents, as digests."""
     return bpe.digests(bpe.bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
