@@ -65,6 +65,29 @@ def thresholds(sized: DataFrame, rest: DataFrame) -> DataFrame:
     return edge.select("key", F.when(nearer, F.col("high") + 1).otherwise(F.col("low")).alias("threshold"))
 
 
+def source_key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+
+
+def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """key, source, size, place of every row, checkpointed: texts are read once."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return checkpoint(df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), source_key(F.col(source_col)).alias("key"), size.alias("size"), place(F.col(id_col)).alias("place")))
+
+
+def mix_rules(sized: DataFrame, share: float, cap: float, weights: tuple[int, ...]) -> DataFrame:
+    """A row for each source: key, source_size, target, whole (copies of every row), threshold (one more below it)."""
+    targets = source_targets(sized.groupBy("key", "source").agg(F.sum("size").alias("size")), share, cap, weights)
+    whole = F.when(F.col("source_size") == 0, F.lit(1.0)).otherwise(F.floor(F.col("target") / F.col("source_size")))
+    plan = checkpoint(targets.withColumn("whole", whole.cast("long")).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))))
+    limits = thresholds(sized.filter("size > 0"), plan.select("key", "rest"))
+    return plan.join(limits, "key", "left").select("key", "source_size", "target", "whole", "threshold")
+
+
+def copies(place_: Column) -> Column:
+    return F.col("whole") + F.when(F.coalesce(place_ < F.col("threshold"), F.lit(False)), 1).otherwise(0)
+
+
 def mix(df: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often the mix takes every row.
 
@@ -74,14 +97,19 @@ def mix(df: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int,
     once. An empty table gives no rows. Other columns are not read. Texts are read once; after
     that only (id, source, size) is.
     """
-    key = F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("n"))
-    picked = df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = checkpoint(picked.select("_id", "_source", key.alias("key"), "size", place(F.col("_id")).alias("place")))
-    targets = checkpoint(source_targets(sized.groupBy("key", F.col("_source").alias("source")).agg(F.sum("size").alias("size")), share, cap, weights))
-    whole = F.when(F.col("source_size") == 0, F.lit(1.0)).otherwise(F.floor(F.col("target") / F.col("source_size")))
-    plan = checkpoint(targets.withColumn("whole", whole.cast("long")).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))))
-    limits = thresholds(sized.filter("size > 0"), plan.select("key", "rest"))
-    copies = F.col("whole") + F.when(F.coalesce(F.col("place") < F.col("threshold"), F.lit(False)), 1).otherwise(0)
-    rules = plan.join(limits, "key", "left").select("key", "source_size", "target", "whole", "threshold")
-    out = join_small(sized, rules, "key").withColumn("copies", copies)
+    sized = sizes(df, id_col, text_col, source_col)
+    out = join_small(sized, mix_rules(sized, share, cap, weights), "key").withColumn("copies", copies(F.col("place")))
     return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def repeat_rows(df: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every row as often as ``mix`` takes it, all columns as they were.
+
+    A row's copies follow from its source's numbers and its id's hash alone, so no row moves for
+    it: the rules, one row a source, go to the rows.
+    """
+    rules = mix_rules(sizes(df, id_col, text_col, source_col), share, cap, weights)
+    rules = rules.select(F.col("key").alias("_key"), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
+    more = F.coalesce(place(F.col(id_col)) < F.col("_threshold"), F.lit(False)).cast("int")
+    keyed = join_small(df.withColumn("_key", source_key(F.col(source_col))), rules, "_key").withColumn("_times", F.col("_whole").cast("int") + more)
+    return keyed.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(df.columns)
