@@ -142,10 +142,7 @@ def write_packed(rows: DataFrame, path: str) -> None:
 
 
 def unpack(rows: DataFrame) -> DataFrame:
-    """doc_id, ids of every document that has any, put together again from all rows.
-
-    A document that is repeated in the input comes back as often as its first piece.
-    """
+    """doc_id, ids of every document that has any, put together again from all rows. Ids must be distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, simhash, toxicity, winnow
+from . import bpe, langid, lmscore, mixing, packing, quality, simhash, toxicity, urlfilter, winnow
 from .common import held_out, table
 
 
@@ -34,6 +34,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, packed into rows of 2048."""
+    return packing.pack_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes, by source targets."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -44,6 +49,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, judged by the dated list that holds at their fetch time."""
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.filter_urls(urlfilter.dated_captures(pages), urlfilter.dated_entries(pages))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowing fingerprints of all documents and of their edited texts."""
     rows = winnow.winnow_edits(table(spark, sf_dir, "documents"))
@@ -58,11 +69,132 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return lmscore.score_lm(docs, lmscore.fit_lm(docs))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of all documents."""
     return quality.judge_quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+WORD_SQL = r"[^\x20\x09-\x0D]+"
+
+SQL_op5_mixing = rf"""
+WITH sized AS (
+  SELECT doc_id, source, COALESCE(LEN(REGEXP_EXTRACT_ALL(text, '{WORD_SQL}')), 0)::BIGINT AS size,
+    ('0x' || SUBSTR(MD5(COALESCE(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
+  FROM documents),
+sources AS (
+  SELECT source, SUM(size)::BIGINT AS source_size, 2.0 * SUM(size)::DOUBLE AS most,
+    [3.0, 1.0, 2.0][1 + (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT *, (SUM(source_size) OVER () * 1.5::DOUBLE
+      - COALESCE(SUM(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / SUM(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM sources),
+targets AS (
+  SELECT source, source_size, LEAST(most, weight * MAX(level) OVER ()) AS target FROM levels),
+plan AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 1 ELSE FLOOR(target / source_size) END::BIGINT AS whole FROM targets),
+places AS (
+  SELECT s.source, s.place, SUM(s.size) AS words, p.target - p.whole * p.source_size AS rest
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source WHERE s.size > 0
+  GROUP BY s.source, s.place, p.target, p.whole, p.source_size),
+running AS (
+  SELECT *, SUM(words) OVER (PARTITION BY source ORDER BY place) AS upto FROM places),
+edges AS (
+  SELECT source, MIN_BY(CASE WHEN upto - rest < rest - (upto - words) THEN place + 1 ELSE place END, place) AS threshold
+  FROM running WHERE upto > rest GROUP BY source)
+SELECT s.doc_id, s.size, p.source_size, p.target,
+  (s.size * (p.whole + CASE WHEN s.place < e.threshold THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
+LEFT JOIN edges e ON s.source IS NOT DISTINCT FROM e.source
+"""
+
+SQL_op7_urlfilter = r"""
+WITH captures AS (
+  SELECT page_id, url, MAKE_TIMESTAMP((1704067200 + ('0x' || SUBSTR(MD5(page_id::VARCHAR), 1, 7))::BIGINT % (366 * 86400)) * 1000000) AS fetched,
+    NULLIF(REGEXP_REPLACE(REGEXP_EXTRACT(LOWER(TRIM(url)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '\.$', ''), '') AS host
+  FROM pages),
+hosts AS (SELECT DISTINCT host FROM captures WHERE host IS NOT NULL),
+sites AS (
+  SELECT name, ('0x' || SUBSTR(MD5('d' || name), 1, 7))::BIGINT % 120 AS d
+  FROM (SELECT DISTINCT REGEXP_REPLACE(host, '^(www|blog|m)\.', '') AS name FROM hosts)
+  WHERE ('0x' || SUBSTR(MD5(name), 1, 7))::BIGINT % 4 = 0),
+spans AS (
+  SELECT name, FALSE AS allow, d AS a, LEAST(d + 60, 1000000) AS b FROM sites
+  UNION ALL SELECT name, FALSE, 250, 1000000 FROM sites
+  UNION ALL SELECT host, TRUE, 100, 1000000 FROM hosts
+  WHERE host LIKE 'blog.%' AND ('0x' || SUBSTR(MD5(host), 1, 7))::BIGINT % 2 = 0),
+timed AS (
+  SELECT name, allow, MAKE_TIMESTAMP((1704067200 + a * 86400) * 1000000) AS since,
+    CASE WHEN b = 1000000 THEN TIMESTAMP '2999-12-31' ELSE MAKE_TIMESTAMP((1704067200 + b * 86400) * 1000000) END AS until
+  FROM spans),
+best AS (
+  SELECT c.page_id, c.url, c.fetched,
+    MAX({'labels': LEN(STRING_SPLIT(t.name, '.')), 'allow': t.allow, 'since': t.since, 'until': t.until, 'name': t.name}) AS r
+  FROM captures c JOIN timed t ON (c.host = t.name OR c.host LIKE '%.' || t.name) AND t.since <= c.fetched AND c.fetched < t.until
+  GROUP BY ALL)
+SELECT c.page_id, c.url, c.fetched, c.host, b.r.name AS matched, b.r.since AS listed_since, COALESCE(NOT b.r.allow, FALSE) AS blocked
+FROM captures c LEFT JOIN best b ON c.page_id = b.page_id AND c.url = b.url AND c.fetched = b.fetched
+"""
+
+SQL_op10_quality = rf"""
+WITH texts AS (
+  SELECT doc_id, lang, source, COALESCE(text, '') AS text, REGEXP_EXTRACT_ALL(COALESCE(text, ''), '{WORD_SQL}') AS w FROM documents),
+base AS (
+  SELECT doc_id, lang, source, w, LEN(w)::BIGINT AS n_words, LENGTH(ARRAY_TO_STRING(w, ''))::BIGINT AS word_chars,
+    LEN(REGEXP_EXTRACT_ALL(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    LIST_FILTER(STRING_SPLIT(text, CHR(10)), lambda x: REGEXP_MATCHES(x, '{WORD_SQL}')) AS lines,
+    CASE WHEN LEN(w) < 3 THEN [] ELSE LIST_TRANSFORM(RANGE(1, LEN(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END AS grams
+  FROM texts),
+places AS (SELECT ROW_NUMBER() OVER () AS r, * FROM base),
+gram AS (SELECT r, UNNEST(grams) AS g, GENERATE_SUBSCRIPTS(grams, 1) AS i FROM places),
+again AS (SELECT r, i, LEAD(i) OVER (PARTITION BY r ORDER BY i) AS next FROM (SELECT r, i, COUNT(*) OVER (PARTITION BY r, g) AS n FROM gram) WHERE n > 1),
+repeats AS (SELECT r, SUM(LEAST(3, COALESCE(next - i, 3)))::BIGINT AS n_repeat_words FROM again GROUP BY r),
+rows AS (
+  SELECT doc_id, lang, source, n_words, word_chars, n_symbols, (LEN(lines) - LEN(LIST_DISTINCT(lines)))::BIGINT AS n_dup_lines,
+    COALESCE(n_repeat_words, 0)::BIGINT AS n_repeat_words, LEN(lines) AS n_lines
+  FROM places LEFT JOIN repeats USING (r)),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS sym, CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup,
+    CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS rep, CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS len
+  FROM rows),
+measures AS (
+  SELECT lang, source, m, (v >> GREATEST(LENGTH(BIN(v)) - 7, 0)) << GREATEST(LENGTH(BIN(v)) - 7, 0) AS b
+  FROM (SELECT lang, source, UNNEST(['sym', 'dup', 'rep', 'len']) AS m, UNNEST([sym, dup, rep, len]) AS v FROM judged WHERE NOT base_failed)),
+sketch AS (
+  SELECT lang, source, GROUPING(lang, source) AS level, m, b, COUNT(*) AS n FROM measures
+  GROUP BY GROUPING SETS ((lang, source, m, b), (lang, m, b), (m, b))),
+upto AS (
+  SELECT *, SUM(n) OVER w AS total, SUM(n) OVER (PARTITION BY lang, source, level, m ORDER BY b) AS upto FROM sketch
+  WINDOW w AS (PARTITION BY lang, source, level, m)),
+quartiles AS (
+  SELECT lang, source, level, m, MIN(b) FILTER (WHERE upto * 4 >= total * 2) AS q2, MIN(b) FILTER (WHERE upto * 4 >= total * 3) AS q3, MAX(total) AS total
+  FROM upto GROUP BY ALL),
+limits AS (
+  SELECT lang, source, level, MAX(total) AS docs,
+    MAX(q2 + GREATEST(100, 4 * (q3 - q2))) FILTER (WHERE m = 'sym') AS max_sym, MAX(q2 + GREATEST(400, 4 * (q3 - q2))) FILTER (WHERE m = 'dup') AS max_dup,
+    MAX(q2 + GREATEST(400, 4 * (q3 - q2))) FILTER (WHERE m = 'rep') AS max_rep, MAX(q2 + GREATEST(400, 4 * (q3 - q2))) FILTER (WHERE m = 'len') AS max_len
+  FROM quartiles GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed
+    AND sym <= CASE WHEN o.docs >= 200 THEN o.max_sym WHEN l.docs >= 200 THEN l.max_sym ELSE a.max_sym END
+    AND dup <= CASE WHEN o.docs >= 200 THEN o.max_dup WHEN l.docs >= 200 THEN l.max_dup ELSE a.max_dup END
+    AND rep <= CASE WHEN o.docs >= 200 THEN o.max_rep WHEN l.docs >= 200 THEN l.max_rep ELSE a.max_rep END
+    AND len <= CASE WHEN o.docs >= 200 THEN o.max_len WHEN l.docs >= 200 THEN l.max_len ELSE a.max_len END AS kept
+FROM judged j
+LEFT JOIN limits o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM j.lang AND o.source IS NOT DISTINCT FROM j.source
+LEFT JOIN limits l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM j.lang
+LEFT JOIN limits a ON a.level = 3
+"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
