@@ -123,11 +123,10 @@ def with_next(df: DataFrame, id_col: str, carried: list[str], most: int = 10_000
     rows = rows.join(F.broadcast(heads), "_r")
     first = F.col("_i").eqNullSafe(F.col("_head"))
     both = F.when(first, F.array(F.struct(F.col("_r").alias("r"), F.lit(False).alias("copy")), F.struct(F.col("_to").alias("r"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("_r").alias("r"), F.lit(False).alias("copy"))))
-    spread = rows.withColumn("_at", F.explode(both)).withColumn("_tie", tie)
-    w = Window.partitionBy("_at.r").orderBy(F.col("_at.copy"), F.col("_i").desc_nulls_last(), F.col("_tie"))
-    for c in carried:
-        spread = spread.withColumn(f"next_{c}", F.lead(c).over(w))
-    return spread.filter(~F.col("_at.copy")).drop("_i", "_r", "_head", "_to", "_at", "_tie")
+    spread = rows.withColumn("_at", F.explode(both)).withColumn("_range", F.col("_at.r")).withColumn("_copy", F.col("_at.copy")).withColumn("_tie", tie)
+    w = Window.partitionBy("_range").orderBy(F.col("_copy"), F.col("_i").desc_nulls_last(), F.col("_tie"))
+    led = spread.select(*df.columns, "_copy", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried])
+    return led.filter(~F.col("_copy")).drop("_copy")
 
 
 def below(x: Column, cuts: list) -> Column:
