@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import relational  # noqa: F401
+from .registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "rel_tracker_cases"
 
-FLAGSHIP = ""
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
