@@ -31,7 +31,7 @@ def blob_contains(columns: list[str], needle: str) -> Column:
 def rank(column: Column | str, ordered: list[str], unknown: int) -> Column:
     """Place of a value in a list (from 0), ``unknown`` for others and null: how enumerated values sort."""
     values = F.create_map(*[F.lit(x) for k, v in enumerate(ordered) for x in (v, k)])
-    return F.coalesce(F.element_at(values, column), F.lit(unknown))
+    return F.coalesce(F.element_at(values, F.col(column) if isinstance(column, str) else column), F.lit(unknown))
 
 
 def due_within(column: Column | str, as_of: Column, days: int) -> Column:
