@@ -109,7 +109,7 @@ def repeat_rows(df: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tu
     it: the rules, one row a source, go to the rows.
     """
     rules = mix_rules(sizes(df, id_col, text_col, source_col), share, cap, weights)
-    rules = rules.select(F.col("key").alias("_key"), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
-    more = F.coalesce(place(F.col(id_col)) < F.col("_threshold"), F.lit(False)).cast("int")
-    keyed = join_small(df.withColumn("_key", source_key(F.col(source_col))), rules, "_key").withColumn("_times", F.col("_whole").cast("int") + more)
-    return keyed.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(df.columns)
+    more = F.coalesce(place(F.col("_row")[id_col]) < F.col("threshold"), F.lit(False)).cast("int")
+    # The row goes along as one value, so that none of its names can clash.
+    keyed = join_small(df.select(F.struct("*").alias("_row"), source_key(F.col(source_col)).alias("key")), rules, "key").withColumn("_times", F.col("whole").cast("int") + more)
+    return keyed.filter("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_row.*")

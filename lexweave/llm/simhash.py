@@ -245,7 +245,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     one a text stays.
     """
     found = simhash_components(df, id_col, text_col)
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    named = df.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    kept = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    named = df.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(df.columns)
     lone = df.filter(F.col(id_col).isNull())
     return named if lone.isEmpty() else named.unionByName(lone.dropDuplicates([text_col]))

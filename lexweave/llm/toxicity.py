@@ -29,6 +29,8 @@ QUOTES = frozenset("\"'“”„«»‘’‹›")
 REPORT = frozenset("said says called calls wrote writes quote quoted quotes quoting word words term phrase insult slur reported alleged sagte schrieb nannte zitierte wort zitat beleidigung écrit appelé déclaré insulte citation dijo escribió llamó palabra insulto cita".split())
 CONTEXT = 6
 QUOTED, REPORTED = 0.2, 0.5
+#: Odd multipliers of the hash functions whose minima tell near copies.
+SIGNS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)
 #: Words whose lookup a worker remembers.
 KEPT = 500_000
 FEATURES = ("exact", "stem", "fuzzy", "densest", "held_back", "rate")
@@ -187,7 +189,7 @@ class Model:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, float]:
-    """Weights and bias by Newton's method, weights held small by ``penalty`` and, as hits never speak for a text, not below zero.
+    """Weights and bias by Newton's method with shortened steps, weights held small by ``penalty`` and, as hits never speak for a text, not below zero.
 
     The weight of what context held back may be negative.
     """
@@ -195,33 +197,72 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 5
     w = np.zeros(a.shape[1])
     hold = np.full(a.shape[1], penalty)
     hold[-1] = 1e-3
+    bounded = np.array([*(name != "held_back" for name in FEATURES), False])
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(y > 0, -1, 1) * (a @ w)).sum() + (hold * w * w).sum() / 2)
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(hold), a.T @ (p - y) + hold * w)
-        w = w - step
-        free = [k for k, name in enumerate(FEATURES) if name == "held_back"]
-        w[:-1] = np.where(np.isin(np.arange(len(w) - 1), free), w[:-1], np.maximum(w[:-1], 0))
-        if np.abs(step).max() < 1e-8:
+        slope = a.T @ (p - y) + hold * w
+        # Weights at zero that the slope would push below stay there for this step.
+        free = ~(bounded & (w <= 0) & (slope > 0))
+        part = a[:, free]
+        step = np.zeros_like(w)
+        step[free] = np.linalg.solve((part * (p * (1 - p))[:, None]).T @ part + np.diag(hold[free]), slope[free])
+        size = 1.0
+        while size > 1e-6:
+            trial = np.where(bounded, np.maximum(w - size * step, 0), w - size * step)
+            if (then := loss(trial)) < now:
+                break
+            size /= 2
+        else:
+            break
+        done, w, now = now - then < 1e-9 * (1 + now), trial, then
+        if done:
             break
     return w[:-1], float(w[-1])
 
 
+def signature(text: str) -> list[int]:
+    """Minima of SIGNS hash functions over a text's runs of five words; near copies share some of them."""
+    import xxhash
+
+    words = text.lower().split()
+    runs = [" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass") for i in range(max(1, len(words) - 4))]
+    h = np.array([xxhash.xxh64_intdigest(x) for x in runs], np.uint64)
+    return [int(((h ^ (h >> np.uint64(29))) * np.uint64(k)).min() >> np.uint64(1)) for k in SIGNS]
+
+
 def labelled(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """_toxic, _calibrates, _text of the sample: ids with the smallest hashes, at most one id a text.
+    """_toxic, _calibrates, _text of the sample: ids with the smallest hashes, one text of each group of near copies.
 
     The ids (``toxic_docs`` + ``clean_docs`` at most) are broadcast; a label given twice counts as
-    the larger.
+    the larger. Near copies share a minimum of ``signature``; were they all counted, any rare word
+    of a text with many copies would look like a term.
     """
     own = labels.filter(learns(F.col(id_col)) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_toxic"))
     place = F.xxhash64("_id")
     parts = [own.filter(F.col("_toxic") == k).orderBy(place, "_id").limit(most) for k, most in ((1, s.toxic_docs), (0, s.clean_docs))]
     ids = F.broadcast(parts[0].unionByName(parts[1]))
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    seen = texts.join(ids, "_id").groupBy(F.xxhash64("_text").alias("_h")).agg(F.min("_id").alias("_id"), F.max("_toxic").alias("_toxic"))
-    rows = seen.collect()
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    chosen = spark.createDataFrame([(r["_id"], r["_toxic"], r["_h"] % 4 == 0) for r in rows], f"_id {kind}, _toxic int, _calibrates boolean")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([signature(x) for x in b.column(3).to_pylist()], pa.list_(pa.int64()))], ["_id", "_toxic", "_h", "_s"])
+
+    signed = texts.join(ids, "_id").select("_id", "_toxic", F.xxhash64("_text").alias("_h"), "_text").mapInArrow(sign, f"_id {kind}, _toxic int, _h long, _s array<long>")
+    found = signed.groupBy("_h").agg(F.min("_id").alias("_id"), F.max("_toxic").alias("_toxic"), F.min("_s").alias("_s")).collect()
+    seen: set[tuple[int, int]] = set()
+    rows = []
+    for r in sorted(found, key=lambda r: (-r["_toxic"], r["_h"])):
+        signs = set(enumerate(r["_s"]))
+        if seen.isdisjoint(signs):
+            rows.append(r)
+        seen |= signs
+    chosen = docs.sparkSession.createDataFrame([(r["_id"], r["_toxic"], r["_h"] % 4 == 0) for r in rows], f"_id {kind}, _toxic int, _calibrates boolean")
     return texts.join(F.broadcast(chosen), "_id").select("_toxic", "_calibrates", "_text")
 
 
