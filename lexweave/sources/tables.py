@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ def write_csv(df: DataFrame, path: str) -> None:
         import pyarrow as pa
 
         yield pa.RecordBatch.from_arrays([pa.array([header + "\r"])], ["value"])
-        yield from batches
+        for b in batches:  # without the input's mark that no value is null
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["value"])
 
     lines = csv_lines(df).select(F.concat("value", F.lit("\r")).alias("value"))
     lines.mapInArrow(framed, "value string").write.text(path)
@@ -67,8 +69,6 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     The format follows the file name's ending. Each file is read in the task that lists it.
     """
-    import pandas as pd
-
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.when(ending.isin("txt", "md", "csv", "json"), "text").when(ending.isin("htm", "html"), "html").when(ending == "docx", "docx").when(ending == "pdf", "pdf").otherwise("unknown")

@@ -19,7 +19,7 @@ def test_text_functions(spark):
     t = F.col("t")
     assert one(spark, text.slugify(t), t="In re: Smith & Co. v. Jones") == "in-re-smith-co-v-jones"
     assert one(spark, text.slugify(t), t="!!!") == "case" == one(spark, text.slugify(t), t=None)
-    assert one(spark, text.slugify(t), t="word " * 30) == "-".join(["word"] * 11)
+    assert one(spark, text.slugify(t), t="word " * 30) == "-".join(["word"] * 12)  # 60 characters end in a hyphen, which goes
     assert one(spark, text.humanize(t), t="master_services_agreement") == "Master Services Agreement"
     assert one(spark, text.humanize(t), t="nda_with_exhibits") == "NDA with Exhibits"
     assert one(spark, text.humanize(t), t="macOS-guide") == "macOS Guide" and one(spark, text.humanize(t), t=None) == ""
