@@ -23,7 +23,7 @@ def test_text_functions(spark):
     assert one(spark, text.humanize(t), t="master_services_agreement") == "Master Services Agreement"
     assert one(spark, text.humanize(t), t="nda_with_exhibits") == "NDA with Exhibits"
     assert one(spark, text.humanize(t), t="macOS-guide") == "macOS Guide" and one(spark, text.humanize(t), t=None) == ""
-    assert one(spark, text.html_to_text(t), t="<p>a&amp;b</p><script>x</p></script>c&#233;&#x41;<br>d") == "a&b\n céA\nd"
+    assert one(spark, text.html_to_text(t), t="<p>a&amp;b</p><script>x</p></script>c&#233;&#x41;<br>d") == "a&b\ncéA\nd"
     assert one(spark, text.strip_controls(t), t="a\x00b\x1fc\td\x7f") == "abc\td"
     assert one(spark, text.names_match(F.lit("Smith Jones Brown"), t), t="Jones v. Smith Inc.") is True
     assert one(spark, text.names_match(t, F.lit("Jones v. Smith Inc.")), t="Smith Brown Green") is False
