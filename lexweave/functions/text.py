@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Named entities that page texts use.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&sect;": "§", "&mdash;": "—", "&ndash;": "–", "&amp;": "&"}
@@ -127,3 +132,89 @@ def parse_date(text: Column) -> Column:
 def tolerant_json(text: Column) -> Column:
     """What stands from the first to the last brace of a text, code fences left out; null without braces."""
     return F.nullif(F.regexp_extract(F.regexp_replace(text, "```[a-z]*", ""), r"(?s)(\{.*\})", 1), F.lit(""))
+
+
+JSON_PARTS = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\Z)|[][{},]', re.S)
+CLOSES = {"[": "]", "{": "}"}
+
+
+def close_json(cut: str) -> str:
+    """JSON that was cut off, up to its last whole element, with what is open closed."""
+    closing, end, then = "", len(cut), ""
+    whole = False
+    for m in JSON_PARTS.finditer(cut):
+        c = m[0]
+        if c in CLOSES:
+            closing = CLOSES[c] + closing
+        elif c in ("]", "}"):
+            closing = closing[1:]
+            end, then, whole = m.end(), closing, True
+        elif c == ",":
+            end, then, whole = m.start(), closing, True
+    return cut[:end].rstrip() + (then if whole else closing)
+
+
+def json_in(text: str | None) -> str | None:
+    """The first JSON array or object of a text, in a fence or bare, cut off or whole; null if there is none to be read."""
+    fence = re.search(r"```(?:json)?\s*(.*?)\s*```", text or "", re.S)
+    start = re.search(r"[\[{]", text or "")
+    tries = [fence[1]] if fence else []
+    if start:
+        end = text.rfind(CLOSES[start[0]])
+        tries.append(text[start.start() : end + 1] if end > start.start() else text[start.start() :])
+        tries.append(close_json(tries[-1]))
+    for t in tries:
+        try:
+            json.loads(t)
+            return t
+        except ValueError:
+            continue
+    return None
+
+
+@F.pandas_udf(StringType())
+def repaired_json(text: pd.Series) -> pd.Series:
+    """``json_in`` of each text: brackets have to be counted, which no SQL function does."""
+    return text.map(json_in)
+
+
+#: Entities that Markdown decodes.
+MARKDOWN_ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&rsquo;": "’", "&lsquo;": "‘", "&rdquo;": "”", "&ldquo;": "“"}
+
+
+def html_to_markdown(html: Column) -> Column:
+    """Headings, emphasis, lists, tables and paragraphs as Markdown; images as [image]; no other tags.
+
+    Ordered lists are numbered and a table's first row is ruled off. Headings, items and cells keep
+    no tags within. Elements without an end lose their tag. Null gives an empty text.
+    """
+    inner = lambda tag: rf"(?is)<(?:{tag})\b[^>]*>(.*?)</(?:{tag})>"
+    plain = lambda t: F.regexp_replace(t, "<[^>]+>", "")
+    of = lambda part, tag: F.regexp_extract_all(part, F.lit(inner(tag)), F.lit(1))
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+    def each(t: Column, tags: list[str], render: Callable[[Column], Column]) -> Column:
+        """Replace every element of the tags: the text is split around them and joined again."""
+        parts = F.split(t, rf"(?i)(?=<(?:{'|'.join(tags)})\b)|(?<={'|'.join(f'</{x}>' for x in tags)})")
+        whole = rf"(?is)\A<(?:{'|'.join(tags)})\b.*</(?:{'|'.join(tags)})>\z"
+        return F.array_join(F.transform(parts, lambda part: F.when(part.rlike(whole), render(part)).otherwise(part)), "")
+
+    def numbered(part: Column) -> Column:
+        items = F.transform(of(part, "li"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.trim(plain(x)), F.lit("\n")))
+        return F.concat(F.lit("\n"), F.array_join(items, ""))
+
+    def table(part: Column) -> Column:
+        rows = F.filter(F.transform(of(part, "tr"), lambda row: F.transform(of(row, "th|td"), lambda c: F.trim(plain(c)))), lambda c: F.size(c) > 0)
+        lines = F.flatten(F.transform(rows, lambda c, i: F.when(i == 0, F.array(line(c), line(F.transform(c, lambda _: F.lit("---"))))).otherwise(F.array(line(c)))))
+        return F.when(F.size(lines) > 0, F.concat(F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?i)<img\b[^>]*>", "[image]")
+    t = each(t, [f"h{n}" for n in range(1, 7)], lambda part: F.concat(F.lit("\n"), F.repeat(F.lit("#"), F.regexp_extract(part, "(?i)<h([1-6])", 1).cast("int")), F.lit(" "), plain(part), F.lit("\n")))
+    for tags, mark in ((["strong", "b"], "**"), (["em", "i"], "*"), (["u"], "_")):
+        t = each(t, tags, lambda part, m=mark: F.concat(F.lit(m), plain(part), F.lit(m)))
+    t = each(t, ["ol"], numbered)
+    t = F.regexp_replace(F.regexp_replace(t, r"(?i)<ul\b[^>]*>|</ul>", "\n"), r"(?is)<li\b[^>]*>\s*(.*?)\s*</li>", "- $1\n")
+    t = each(t, ["table"], table)
+    t = plain(F.regexp_replace(F.regexp_replace(t, inner("p"), "\n$1\n"), r"(?i)<br\s*/?>", "\n"))
+    t = reduce(lambda a, kv: F.replace(a, F.lit(kv[0]), F.lit(kv[1])), MARKDOWN_ENTITIES.items(), t)
+    return F.btrim(F.regexp_replace(t, r"\n{3,}", "\n\n"), F.lit(" \t\r\n"))

@@ -42,3 +42,29 @@ CASE_STATES = ["pending", "fetched", "annotated", "published"]
 def case_state(has_opinion: Column, has_annotation: Column, has_published: Column) -> Column:
     """The furthest state whose predecessors were all reached: each step only follows the one before it."""
     return F.when(~has_opinion, CASE_STATES[0]).when(~has_annotation, CASE_STATES[1]).when(~has_published, CASE_STATES[2]).otherwise(CASE_STATES[3])
+
+
+def decisions(diffs: DataFrame) -> DataFrame:
+    """Add action, source_text, suggested_text and skipped to compared passages.
+
+    diffs have user_choice, change_type, proposed_text, base_text and user_custom_text; null is a
+    pending choice, a modification, an empty text. An action replaces, deletes or inserts; without
+    one nothing is to be done: the choice is pending or accepts the proposal, or a text is missing.
+    skipped tells additions without a proposal and deletions without a base from the others.
+    """
+    text = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\A\s+|\s+\z", "")
+    proposed, base, custom = text("proposed_text"), text("base_text"), text("user_custom_text")
+    choice = F.coalesce(F.nullif("user_choice", F.lit("")), F.lit("pending"))
+    change = F.coalesce(F.nullif("change_type", F.lit("")), F.lit("modification"))
+    own = F.when((choice == "custom") & (custom != ""), custom).otherwise(base)
+    told = lambda action, source, suggested: F.struct(F.lit(action).alias("action"), source.alias("source_text"), suggested.alias("suggested_text"), F.lit(None).cast("string").alias("skipped"))
+    skip = lambda why: F.struct(*[F.lit(None).cast("string").alias(c) for c in ("action", "source_text", "suggested_text")], F.lit(why).alias("skipped"))
+    none = F.lit("")
+    what = (
+        F.when(choice.isin("pending", "accept_proposed"), None)
+        .when(change == "modification", F.when((proposed != "") & (own != ""), told("replace", proposed, own)))
+        .when(change == "addition", F.when(proposed == "", skip("addition_without_source")).when(choice == "keep_base", told("delete", proposed, none)).when(custom != "", told("replace", proposed, custom)))
+        .when(change == "deletion", F.when((base == "") & (choice != "custom"), skip("deletion_without_base")).when(own != "", told("insert", none, own)))
+    )
+    kept = [c for c in diffs.columns if c not in ("action", "source_text", "suggested_text", "skipped")]
+    return diffs.withColumn("_what", what).select(*kept, "_what.*")

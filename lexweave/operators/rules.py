@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """``broken`` is a pattern of the citation's text; ``unless`` one that clears it."""
+    """``broken`` is a pattern of the citation's text; ``unless`` one that clears it. No kinds mean all. ``fix`` gives the text as it should be."""
 
     id: str
     kinds: tuple[str, ...]
@@ -20,12 +22,54 @@ class Rule:
     cite: str
     message: str
     unless: str | None = None
+    fix: Callable[[Column], Column] | None = None
 
     def hit(self, kind: Column, text: Column) -> Column:
-        bad = kind.isin(*self.kinds) & text.rlike(self.broken)
+        bad = text.rlike(self.broken)
+        bad = kind.isin(*self.kinds) & bad if self.kinds else bad
         return bad & ~text.rlike(self.unless) if self.unless else bad
 
 
+def first(pattern: str, to: str) -> Callable[[Column], Column]:
+    """Replace a pattern's first match; its groups count from $2."""
+    return lambda text: F.regexp_replace(text, rf"(?s)\A(.*?){pattern}", f"$1{to}")
+
+
+def numeral(n: int) -> str:
+    """A number up to 50 in Roman digits."""
+    tens, ones = divmod(n, 10)
+    return ["", "X", "XX", "XXX", "XL", "L"][tens] + ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"][ones]
+
+
+def amendment(text: Column) -> Column:
+    """Amendments up to the 50th in Roman numerals."""
+    number = F.regexp_extract(text, r"\bamend\.?\s+(\d+)", 1)
+    roman = F.coalesce(F.get(F.array(*[F.lit(numeral(n) or "0") for n in range(51)]), number.try_cast("int")), number)
+    before, after = (F.regexp_extract(text, r"(?s)\A(.*?\bamend\.?)\s+\d+(.*)\z", g) for g in (1, 2))
+    return F.concat(before, F.lit(" "), roman, after)
+
+
+def thousands(lead: str) -> Callable[[Column], Column]:
+    """Commas in the first number after a lead."""
+
+    def fix(text: Column) -> Column:
+        before, page, after = (F.regexp_extract(text, rf"(?s)\A(.*?{lead}\s+)(\d+)(.*)\z", g) for g in (1, 2, 3))
+        return F.concat(before, F.regexp_replace(page, r"\B(?=(\d{3})+$)", ","), after)
+
+    return fix
+
+
+#: Journals and news outlets whose form is checked.
+JOURNALS = ["Harv. L. Rev.", "Yale L.J.", "Stan. L. Rev.", "Colum. L. Rev.", "U. Pa. L. Rev.", "U. Chi. L. Rev.", "Mich. L. Rev.", "Va. L. Rev.", "Cornell L. Rev.", "Tex. L. Rev.", "Geo. L.J.", "Cal. L. Rev.", "Duke L.J.", "N.Y.U. L. Rev.", "UCLA L. Rev.", "Vand. L. Rev.", "Wash. L. Rev.", "Tul. L. Rev.", "Notre Dame L. Rev."]
+OUTLETS = [
+    "N.Y. Times", "New York Times", "Wall St. J.", "Wall Street Journal", "Wash. Post", "Washington Post", "L.A. Times", "Los Angeles Times", "USA Today", "Bloomberg", "Reuters", "Associated Press", "Hollywood Reporter", "Variety", "TechCrunch", "Politico", "Axios", "The Atlantic", "New Yorker", "Vox", "Slate", "BuzzFeed",
+    "Time", "Newsweek", "Forbes", "Fortune", "CNN", "NBC", "CBS", "ABC", "Fox News", "NPR", "BBC", "Boston Globe", "Chicago Tribune", "San Francisco Chronicle", "Miami Herald", "Atlanta Journal",
+]
+#: Pieces of the patterns below.
+NO_VOLUME = r"(?<!\d\s{0,7})(?:" + "|".join(re.escape(j) for j in JOURNALS) + ")"
+DATABASE = r"\b\d{4}\s+(?:WL|LEXIS)\s+\d+"
+DATED = r"\([^)]*(?:Jan\.|Feb\.|Mar\.|Apr\.|May|June|July|Aug\.|Sept\.|Oct\.|Nov\.|Dec\.)\s+\d+,?\s+\d{4}\)"
+UK_TAG = r"\((?:[^)]*\b(?:Eng\.|UK|Scot\.|N\.\s*Ir\.|Wales|England|Scotland|Northern Ireland)[^)]*)\)"
 #: Form rules of citations.
 RULES = [
     Rule("versus", ("reporter", "case"), r"\bvs\.? ", "non_conforming", "abbreviations", "10.2.1", "Parties are joined by v."),
@@ -39,14 +83,39 @@ RULES = [
     Rule("dash-range", ("reporter", "id", "supra"), r"\d-\d", "non_conforming", "form_components", "3.2(a)", "A range takes an en dash."),
     Rule("em-dash-range", ("reporter", "id", "supra"), r"\d—\d", "non_conforming", "form_components", "3.2(a)", "A range takes an en dash."),
     Rule("constitution-part", ("constitutional",), r"^", "non_conforming", "form_components", "11", "Name the article or amendment.", unless=r"art\.|amend\."),
-    Rule("constitution-roman", ("constitutional",), r"amend\. +\d", "non_conforming", "form_components", "11", "Amendments have Roman numerals."),
+    Rule("constitution-roman", ("constitutional",), r"\bamend\.?\s+\d+\b", "non_conforming", "form_components", "11", "Amendments have Roman numerals.", fix=amendment),
     Rule("double-space", ("reporter", "usc", "cfr", "id", "supra"), r"  ", "non_conforming", "form_components", "6.1", "Single spaces."),
+    Rule("constitution-article", ("constitutional",), r"\bart(?!\.)\s+[IVXLCDM]+\b", "non_conforming", "form_components", "11", "art. takes a period.", fix=first(r"\bart\s+([IVXLCDM]+)", "art. $2")),
+    Rule("constitution-capital", ("constitutional",), r"\b[A-Z][a-z]+\.\s+const\.", "non_conforming", "capitalization", "11", "Const. takes a capital.", fix=first(r"\b([A-Z][a-z]+)\.\s+const\.", "$2. Const.")),
+    Rule("bill-congress", ("bill",), "^", "non_conforming", "form_components", "13.2", "A bill names its Congress.", unless=r"\b\d+(?:st|nd|rd|th)\s+Cong\."),
+    Rule("report-congress", ("legislative_report",), r"\b(?:H\.\s*R\.|S\.)\s*Rep\.\s*No\.\s*\d++(?!-\d)", "non_conforming", "form_components", "13.4", "A report's number begins with its Congress."),
+    Rule("record-comma", ("cong_rec",), r"Cong\.\s*Rec\.\s+\d{4,}\b", "non_conforming", "form_components", "6.2", "Page numbers of four digits take a comma.", fix=thousands(r"Cong\.\s*Rec\.")),
+    Rule("register-volume", ("fed_reg",), r"Fed\.\s*Reg\.\s+[\d,]+", "non_conforming", "form_components", "14.2", "The register's volume is missing.", unless=r"\d\s*Fed\.\s*Reg\."),
+    Rule("register-comma", ("fed_reg",), r"Fed\.\s*Reg\.\s+\d{4,}+(?!,)", "non_conforming", "form_components", "6.2", "Page numbers of four digits take a comma.", fix=thousands(r"Fed\.\s*Reg\.")),
+    Rule("uk-court", ("foreign_case_uk",), "^", "non_conforming", "form_components", "20", "The court is missing.", unless=r"\((?:HL|CA|UKSC|PC|UKHL|Ch|QB|Crim)[^)]{0,30}\)"),
+    Rule("uk-jurisdiction", ("foreign_case_uk",), "^", "non_conforming", "form_components", "20", "The jurisdiction is missing.", unless=UK_TAG),
+    Rule("french-jurisdiction", ("foreign_case_french",), "^", "non_conforming", "form_components", "20", "The jurisdiction is missing.", unless=r"\(Fr\.\)"),
+    Rule("australian-jurisdiction", ("foreign_case_aus",), "^", "non_conforming", "form_components", "20", "The jurisdiction is missing.", unless=r"\(Austl\.\)"),
+    Rule("german-jurisdiction", ("foreign_case_german",), "^", "non_conforming", "form_components", "20", "The jurisdiction is missing.", unless=r"\(Ger\.\)"),
+    Rule("treaty-date", ("multilateral_treaty",), "^", "non_conforming", "form_components", "21.4", "The date of signing is missing.", unless=r"\b[A-Z][a-z]+\.?\s+(?:\d{1,2},\s+)?\d{4}\b"),
+    Rule("treaty-series", ("bilateral_treaty",), "^", "non_conforming", "form_components", "21.4", "The treaty series is missing.", unless=r"\b\d+\s+(?:Stat\.|T\.I\.A\.S\.|U\.S\.T\.)\s+[\d,]+"),
+    Rule("icj-date", ("icj_case",), "^", "non_conforming", "form_components", "21", "The day of the decision is missing.", unless=r"\(\s*[A-Z][a-z]+\.?\s+\d{1,2}\s*\)"),
+    Rule("echr-application", ("echr_case",), "^", "non_conforming", "form_components", "21", "The application's number is missing.", unless=r"\bApp\.\s+No\.\s+[\d/]+"),
+    Rule("tcm-publisher", ("tcm_case",), "^", "non_conforming", "form_components", "10", "The publisher is missing.", unless=r"\((?:CCH|RIA)\)"),
+    Rule("unreported-pin", ("unreported", "case"), DATABASE, "non_conforming", "form_components", "10.8.1", "A page is given by at *.", unless=r"at\s+\*\d"),
+    Rule("unreported-date", ("unreported", "case"), DATABASE, "non_conforming", "form_components", "10.8.1", "The parenthesis has the day of the decision.", unless=DATED),
+    Rule("manuscript-tag", ("manuscript",), "^", "non_conforming", "form_components", "17.1", "A manuscript is marked as unpublished.", unless=r"(?i)\(unpublished\s+manuscript\)"),
+    Rule("article-volume", ("article",), NO_VOLUME, "non_conforming", "form_components", "16.4", "The journal's volume is missing."),
+    Rule("forthcoming-volume", ("forthcoming",), NO_VOLUME, "non_conforming", "form_components", "17.2", "The journal's volume is missing."),
+    Rule("internet-https", ("internet",), r"\bhttp://[^\s)]+", "review", "form_components", "18.2.1", "Prefer https.", fix=first("http://", "https://")),
+    Rule("internet-visited", ("internet",), r"https?://[^/\s)]+(?:/+[^/\s)]*)?/*(?:[\s)]|$)", "non_conforming", "form_components", "18.2.3", "A page that changes needs the day of the visit.", unless=r"(?i)\(last\s+visited[^)]*\)|https?://[^/\s)]+/(?:[^\s)]*/)?\d{4}\b|https?://[^/\s)]+/[^\s)]*\.(?:html?|pdf|aspx?|jsp)\b"),
+    Rule("news-link", (), r"(?s)(?=.*(?:" + "|".join(re.escape(o) for o in OUTLETS) + r"))(?=.*\([A-Z][a-z]{2,5}\.?\s+(?:\d{1,2},\s+)?\d{4}\))", "non_conforming", "form_components", "18.2", "A news article needs its address.", unless="https?://"),
 ]
 
 
 def flags(cites: DataFrame, rules: list[Rule] = RULES, kind: str = "kind", text: str = "text") -> DataFrame:
     """A row for each rule that a citation breaks, with all of the citation's columns."""
-    found = [F.when(r.hit(F.col(kind), F.col(text)), F.struct(*[F.lit(v).alias(n) for n, v in (("rule_id", r.id), ("severity", r.severity), ("category", r.category), ("rule_cite", r.cite), ("message", r.message))])) for r in rules]
+    found = [F.when(r.hit(F.col(kind), F.col(text)), F.struct(*[F.lit(v).alias(n) for n, v in (("rule_id", r.id), ("severity", r.severity), ("category", r.category), ("rule_cite", r.cite), ("message", r.message))], (r.fix(F.col(text)) if r.fix else F.lit(None).cast("string")).alias("suggested_fix"))) for r in rules]
     return cites.withColumn("_f", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull()))).select(*cites.columns, "_f.*")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,11 +11,18 @@ from pyspark.sql import functions as F
 
 #: Reporters and patterns of citations.
 REPORTERS = ["U.S.", "S. Ct.", "L. Ed. 2d", "F.", "F.2d", "F.3d", "F.4th", "F. Supp.", "F. Supp. 2d", "F. Supp. 3d"]
+NAMES = "(?:" + "|".join(re.escape(r) for r in sorted(REPORTERS, key=len, reverse=True)) + ")"
+STATES = r"(?:Cal\.|N\.Y\.|Tex\.|Fla\.|Mass\.|Ill\.|Ohio|Pa\.|Va\.|Mich\.|Ga\.|N\.C\.|N\.J\.|Conn\.|Md\.|Wash\.|Or\.|Colo\.|Ariz\.|Ind\.|Tenn\.|Mo\.|Wis\.|Minn\.)"
 PATTERNS = {
-    "reporter": r"\b\d{1,4}\s+(?:" + "|".join(re.escape(r) for r in sorted(REPORTERS, key=len, reverse=True)) + r")\s+\d{1,5}(?:[-–—,]\s*\d{1,5})*",
+    "reporter": rf"\b\d{{1,4}}\s+{NAMES}\s+\d{{1,5}}(?:[-–—,]\s*\d{{1,5}})*",
+    "unreported": r"\b\d{4}\s+(?:WL|U\.S\. App\. LEXIS|LEXIS)\s+\d+(?:,\s+at\s+\*\d+)?(?:\s*\([^)]{0,100}\))?",
+    "short_case": rf"\b[A-Z][A-Za-z\-']{{1,80}}(?:,?\s+[A-Z][A-Za-z\-']{{1,80}}){{0,3}},\s+\d{{1,4}}\s+{NAMES}\s+at\s+\d{{1,5}}(?:[\-,]\s*\d{{1,5}})?",
     "usc": r"\b\d{1,3}\s+(?:U\.S\.C\.|USC)\s+(?:§{1,2}\s?)?[\d\-().a-zA-Z]+",
+    "state_statute": STATES + r" +[A-Z][a-zA-Z.]+(?: +[A-Z][a-zA-Z.]+)? +(?:Code|Stat\.|Laws|Law|Ann\.)(?: +Ann\.)? +§{1,2} ?[\d\-().a-zA-Z]+",
     "cfr": r"\b\d{1,3}\s+(?:C\.F\.R\.|CFR)\s+(?:§{1,2}\s?)?[\d\-().a-zA-Z]+",
     "constitutional": r"\b(?:U\.S\.|[A-Z][a-z]+\.) +Const\.(?: +(?:art\.|amend\.) +[IVXLCDM\d]+)?(?:,? +§ ?\d+)?(?:,? +cl\. ?\d+)?",
+    "rules": r"\b(?:Fed\.?\s*R\.?\s*(?:Civ|Crim|App|Evid)\.?\s*P\.?|F\.R\.(?:Civ|Crim|App|Evid)\.P\.|FRCP|FRCrP|FRAP|FRE)\s*\d+(?:\([a-z0-9]+\))*",
+    "restatement": r"\bRestatement\s+(?:\((?:First|Second|Third|Fourth)\)|(?:2d|3d|4th)\b|(?=of\s))(?:\s*(?:of\s+)?[A-Z][\w&\-]{0,80}(?:[:,]?\s+[\w&.\-]+){0,12}?)?(?:\s*§{1,2}\s?\d+(?:[a-z]|\.\d+)?)(?:\s+(?:cmt\.?|illus\.?|n\.|note)\s+[a-z\d]+)?(?:\s+\([^)]{0,80}\))?",
     "id": r"\bId\.(?: +at +\d{1,5}(?:[-–—,]\s*\d{1,5})?)?",
     "supra": r"\bsupra(?:\s+note\s+\d{1,4})?(?:[,\s]+at\s+\d{1,5}(?:[-–,]\s*\d{1,5})*)?",
     "url": r"https?://[^\s)>\]]+",
@@ -23,24 +30,19 @@ PATTERNS = {
 SCHEMA = "start int, end int, kind string, text string"
 
 
-def extract(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] = PATTERNS) -> DataFrame:
-    """``id_col``, ordinal, start, end (characters), kind and text of every match, in order of start, longest first.
+def extract_by(df: DataFrame, id_col: str, text_col: str, find: Callable[[str], list[tuple]]) -> DataFrame:
+    """``id_col``, ordinal, start, end (characters), kind and text of the spans that ``find`` gives for each text.
 
     Spark's functions give a match's text but not its place, so this runs over Arrow batches. Null
     texts have no spans.
     """
-    compiled = [(k, re.compile(p)) for k, p in patterns.items()]
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 b = batch.slice(a, 512)
-                out: list[tuple] = []
-                for i, text in enumerate(b.column(1).to_pylist()):
-                    found = [(m.start(), m.end(), k, m[0]) for k, p in compiled for m in p.finditer(text or "")]
-                    found.sort(key=lambda x: (x[0], -x[1]))
-                    out += [(i, n, *x) for n, x in enumerate(found)]
+                out = [(i, n, *x) for i, text in enumerate(b.column(1).to_pylist()) for n, x in enumerate(find(text or ""))]
                 if out:
                     at, ordinal, start, end, name, text = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(ordinal, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(name), pa.array(text)], [id_col, "ordinal", "start", "end", "kind", "text"])
@@ -48,6 +50,16 @@ def extract(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str]
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ordinal int, {SCHEMA}")
 
 
+def extract(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] = PATTERNS) -> DataFrame:
+    """Every match of the patterns, in order of start, longest first."""
+    compiled = [(k, re.compile(p)) for k, p in patterns.items()]
+
+    def find(text: str) -> list[tuple]:
+        return sorted(((m.start(), m.end(), k, m[0]) for k, p in compiled for m in p.finditer(text)), key=lambda x: (x[0], -x[1]))
+
+    return extract_by(df, id_col, text_col, find)
+
+
 def drop_contained(spans: DataFrame, doc: str) -> DataFrame:
     """Spans that lie within no other, larger one of their document; identical spans stay together."""
     places = spans.select(doc, "start", "end").distinct()

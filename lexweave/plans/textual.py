@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import legal, text
-from ..operators import grading, rules, spans
+from ..operators import citations, grading, merge, rules, spans
 from ..sources.tables import table
 from .registry import query
 
@@ -313,3 +313,113 @@ def agg_grade(spark: SparkSession, d: str) -> DataFrame:
     comments = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("anchor "), F.lpad(F.col("c_nationkey").cast("string"), 3, "0")).alias("anchor"), F.col("c_mktsegment").alias("body"))
     key = table(spark, d, "nation").select(F.col("n_nationkey").alias("error_id"), F.array(F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("anchors"), F.lit("10.9").alias("rule"), F.array(F.when(F.col("n_nationkey") % 2 == 0, "Building").otherwise("Machinery")).alias("keywords"))
     return grading.grade(comments, "c_custkey", key)
+
+
+def filings(spark: SparkSession, d: str) -> DataFrame:
+    """A line of official sources for each order."""
+    k = lambda n: (F.col("o_orderkey") % n + 1).cast("string")
+    parts = ["See H.R. Rep. No. ", k(110), "-", k(900), ", at ", k(30), " (1999). S. ", k(5000), ", 110th Cong. (2008). ", k(150), " Cong. Rec. ", k(7000), ". ", k(90), " Fed. Reg. ", k(90000), " (2001)."]
+    return table(spark, d, "orders").select("o_orderkey", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("text"))
+
+
+FILINGS_SQL = """
+WITH k AS (SELECT o_orderkey AS o, 'H.R. Rep. No. ' || (o % 110 + 1) || '-' || (o % 900 + 1) || ', at ' || (o % 30 + 1) || ' (1999)' AS a, 'S. ' || (o % 5000 + 1) || ', 110th Cong. (2008)' AS b,
+  (o % 150 + 1) || ' Cong. Rec. ' || (o % 7000 + 1) AS c, (o % 90 + 1) || ' Fed. Reg. ' || (o % 90000 + 1) || ' (2001)' AS e FROM orders),
+s AS (SELECT o, UNNEST([{'n': 0, 'kind': 'legislative_report', 'text': a, 'at': 4}, {'n': 1, 'kind': 'bill', 'text': b, 'at': 6 + LENGTH(a)}, {'n': 2, 'kind': 'cong_rec', 'text': c, 'at': 8 + LENGTH(a) + LENGTH(b)},
+  {'n': 3, 'kind': 'fed_reg', 'text': e, 'at': 10 + LENGTH(a) + LENGTH(b) + LENGTH(c)}]) AS x FROM k)
+"""
+
+
+@query(FILINGS_SQL + 'SELECT o AS o_orderkey, x.n AS ordinal, x.at AS "start", x.at + LENGTH(x.text) AS "end", x.kind, x.text FROM s')
+def cite_official(spark: SparkSession, d: str) -> DataFrame:
+    """Official sources of each filing."""
+    return citations.extract(filings(spark, d), "o_orderkey", "text", "official")
+
+
+@query(r"""
+WITH k AS (SELECT o_orderkey, o_orderkey % 7000 + 1 AS c, o_orderkey % 90000 + 1 AS e, (o_orderkey % 150 + 1) || ' Cong. Rec. ' AS cl, (o_orderkey % 90 + 1) || ' Fed. Reg. ' AS el FROM orders)
+SELECT o_orderkey, 2 AS ordinal, 'record-comma' AS rule_id, cl || FORMAT('{:,}', c) AS suggested_fix FROM k WHERE c >= 1000
+UNION ALL SELECT o_orderkey, 3, 'register-comma', el || FORMAT('{:,}', e) || ' (2001)' FROM k WHERE e >= 1000
+""")
+def rule_official_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Flags of official sources with the text as it should be."""
+    return rules.flags(citations.extract(filings(spark, d), "o_orderkey", "text", "official")).select("o_orderkey", "ordinal", "rule_id", "suggested_fix")
+
+
+def reports_from_abroad(spark: SparkSession, d: str) -> DataFrame:
+    """A line of foreign sources for each order; every other one tells the jurisdiction."""
+    k = lambda n: (F.col("o_orderkey") % n + 1).cast("string")
+    tag = F.when(F.col("o_orderkey") % 2 == 0, " (Eng.)").otherwise("")
+    parts = ["Smith v. Jones [1990] 2 AC ", k(900), " (HL)", tag, ". Corfu Channel (U.K. v. Alb.), 1949 I.C.J. ", k(300), " (Apr. 9). Soering v. Italy, App. No. ", k(40), "/88, 161 Eur. Ct. H.R. ", k(500), "."]
+    return table(spark, d, "orders").select("o_orderkey", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("text"))
+
+
+@query("""
+WITH k AS (SELECT o_orderkey, 'Smith v. Jones [1990] 2 AC ' || (o_orderkey % 900 + 1) || ' (HL)' || CASE WHEN o_orderkey % 2 = 0 THEN ' (Eng.)' ELSE '' END AS a, 'Corfu Channel (U.K. v. Alb.), 1949 I.C.J. ' || (o_orderkey % 300 + 1) || ' (Apr. 9)' AS b,
+  'Soering v. Italy, App. No. ' || (o_orderkey % 40 + 1) || '/88, 161 Eur. Ct. H.R. ' || (o_orderkey % 500 + 1) AS c FROM orders)
+SELECT o_orderkey, x.kind, x.text, x.at AS "start", x.flag AS rule_id FROM (SELECT o_orderkey, UNNEST([{'kind': 'foreign_case_uk', 'text': a, 'at': 0, 'flag': CASE WHEN o_orderkey % 2 = 1 THEN 'uk-jurisdiction' END},
+  {'kind': 'icj_case', 'text': b, 'at': LENGTH(a) + 2, 'flag': NULL}, {'kind': 'echr_case', 'text': c, 'at': LENGTH(a) + LENGTH(b) + 4, 'flag': NULL}]) AS x FROM k)
+""")
+def cite_foreign(spark: SparkSession, d: str) -> DataFrame:
+    """Foreign sources with the rule that each breaks."""
+    found = citations.extract(reports_from_abroad(spark, d), "o_orderkey", "text", "foreign")
+    broken = rules.flags(found).select("o_orderkey", "ordinal", "rule_id")
+    return found.join(broken, ["o_orderkey", "ordinal"], "left").select("o_orderkey", "kind", "text", "start", "rule_id")
+
+
+def notes(spark: SparkSession, d: str) -> DataFrame:
+    """A line of secondary sources for each order; every other article lacks its volume."""
+    k = lambda n: (F.col("o_orderkey") % n + 1).cast("string")
+    volume = F.when(F.col("o_orderkey") % 2 == 0, F.concat(k(130), F.lit(" "))).otherwise("")
+    parts = ["Jane Roe, Fair Use, ", volume, "Harv. L. Rev. ", k(900), " (1999). Acme Terms, http://acme.com (last visited May ", k(28), ", 2020). John Doe, Draft ", k(50), " (unpublished manuscript) (on file with author)."]
+    return table(spark, d, "orders").select("o_orderkey", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("text"))
+
+
+@query("""
+WITH k AS (SELECT o_orderkey, 'Jane Roe, Fair Use, ' || CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 130 + 1) || ' ' ELSE '' END || 'Harv. L. Rev. ' || (o_orderkey % 900 + 1) || ' (1999)' AS a,
+  'Acme Terms, http://acme.com (last visited May ' || (o_orderkey % 28 + 1) || ', 2020)' AS b, 'John Doe, Draft ' || (o_orderkey % 50 + 1) || ' (unpublished manuscript) (on file with author)' AS c FROM orders)
+SELECT o_orderkey, x.kind, x.text, x.at AS "start", x.flag AS rule_id FROM (SELECT o_orderkey, UNNEST([{'kind': 'article', 'text': a, 'at': 0, 'flag': CASE WHEN o_orderkey % 2 = 1 THEN 'article-volume' END},
+  {'kind': 'internet', 'text': b, 'at': LENGTH(a) + 2, 'flag': 'internet-https'}, {'kind': 'manuscript', 'text': c, 'at': LENGTH(a) + LENGTH(b) + 4, 'flag': NULL}]) AS x FROM k)
+""")
+def cite_secondary(spark: SparkSession, d: str) -> DataFrame:
+    """Secondary sources with the rule that each breaks."""
+    found = citations.extract(notes(spark, d), "o_orderkey", "text", "secondary")
+    broken = rules.flags(found).select("o_orderkey", "ordinal", "rule_id")
+    return found.join(broken, ["o_orderkey", "ordinal"], "left").select("o_orderkey", "kind", "text", "start", "rule_id")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 AS c, l_partkey % 3 AS t, l_suppkey % 2 = 0 AS p, l_suppkey % 3 = 0 AS b, l_suppkey % 5 = 0 AS u FROM lineitem),
+o AS (SELECT *, CASE WHEN c = 3 AND u THEN 'custom' WHEN b THEN 'base' END AS own FROM c)
+SELECT l_orderkey, l_linenumber, CASE WHEN c < 2 THEN NULL WHEN t = 0 THEN CASE WHEN p AND own IS NOT NULL THEN 'replace' END WHEN t = 1 THEN CASE WHEN NOT p THEN NULL WHEN c = 2 THEN 'delete' WHEN u THEN 'replace' END WHEN own IS NOT NULL THEN 'insert' END AS action,
+  CASE WHEN c < 2 THEN NULL WHEN t = 0 THEN CASE WHEN p THEN own END WHEN t = 1 THEN CASE WHEN NOT p THEN NULL WHEN c = 2 THEN '' WHEN u THEN 'custom' END ELSE own END AS suggested_text,
+  CASE WHEN c < 2 THEN NULL WHEN t = 1 AND NOT p THEN 'addition_without_source' WHEN t = 2 AND NOT b AND c = 2 THEN 'deletion_without_base' END AS skipped FROM o
+""")
+def rel_compare_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """What a reviewer's choices about compared passages come to."""
+    pick = lambda n, values: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+    has = lambda k, word: F.when(F.col("l_suppkey") % k == 0, f"  {word}\n").otherwise(" ")
+    diffs = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", pick(F.col("l_linenumber") % 4, [None, "accept_proposed", "keep_base", "custom"]).alias("user_choice"), pick(F.col("l_partkey") % 3, ["modification", "addition", "deletion"]).alias("change_type"),
+        has(2, "proposed").alias("proposed_text"), has(3, "base").alias("base_text"), has(5, "custom").alias("user_custom_text"),
+    )
+    return merge.decisions(diffs).select("l_orderkey", "l_linenumber", "action", "suggested_text", "skipped")
+
+
+@query("SELECT event_id, 3 AS n, 2 * (props->>'k')::BIGINT + 7 AS total FROM events")
+def json_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """JSON that was cut off within its third element, of which the whole fields stay."""
+    cut = F.concat(F.lit("Here it is:\n```json\n["), F.col("props"), F.lit(", "), F.col("props"), F.lit(', {"k": 7, "note": "a ] b'))
+    found = F.from_json(text.repaired_json(cut), "array<struct<k: long>>")
+    return table(spark, d, "events").select("event_id", F.size(found).alias("n"), F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x["k"]).alias("total"))
+
+
+@query("""
+SELECT o_orderkey, '# Order ' || o_orderkey || CHR(10) || CHR(10) || 'By **' || o_custkey || '** & co' || CHR(10) || CHR(10) || '1. first' || CHR(10) || '2. ' || o_orderstatus || CHR(10) || CHR(10) || '| a | b |' || CHR(10) || '| --- | --- |' || CHR(10) || '| ' || o_orderpriority || ' | ' || o_orderstatus || ' |' || CHR(10) || CHR(10) || '- [image]' AS text FROM orders
+""")
+def txt_html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Markdown of a page composed of headings, emphasis, lists and a table."""
+    c = lambda name: F.col(name).cast("string")
+    parts = ["<h1 id='x'>Order <i></i>", c("o_orderkey"), "</h1><p>By <b>", c("o_custkey"), "</b> &amp; co</p><ol><li> first</li><LI>", c("o_orderstatus"), "</LI></ol><table><tr><th>a</th><th>b</th></tr><tr><td>", c("o_orderpriority"), "</td><td>", c("o_orderstatus"), "</td></tr></table><ul><li><img src='y'></li></ul>"]
+    html = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return table(spark, d, "orders").select("o_orderkey", text.html_to_markdown(html).alias("text"))

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lexweave.functions import legal, text
-from lexweave.operators import chunking, grading, listing, retrieval, rules, spans
+from lexweave.operators import chunking, citations, grading, listing, merge, retrieval, rules, spans
 from lexweave.sources import tables
 from lexweave.streaming import findings
 
@@ -64,6 +64,64 @@ def test_spans_of_odd_texts(spark):
     assert {(r["rule_id"]) for r in rules.flags(spans.extract(df, "d", "t")).collect()} == {"cfr-periods", "section-mark"}
 
 
+def test_sources_of_odd_texts(spark):
+    cite = lambda t, group: [(r["kind"], r["text"]) for r in citations.extract(spark.createDataFrame([(1, t)], "d long, t string"), "d", "t", group).orderBy("ordinal").collect()]
+    for group in citations.GROUPS:
+        assert cite(None, group) == cite("", group) == cite("No. Inc. v. 5 (x)", group) == []
+        assert cite("A. " * 50_000, group) == cite("A" * 200_000, group) == cite("( § 5 " * 50_000, group) == []
+    assert cite("Fine. See also Tex. const. art IV, § 3. Exec. Order No. 13,769, 82 Fed. Reg. 8977 (Jan. 27, 2017).", "official") == [("constitutional", "Tex. const. art IV, § 3"), ("exec_order", "Exec. Order No. 13,769, 82 Fed. Reg. 8977 (Jan. 27, 2017)")]
+    assert cite("Treaty of Amity, U.S.-Iran, Aug. 15, 1955, 8 U.S.T. 899. Vienna Convention, May 23, 1969, 1155 U.N.T.S. 331.", "foreign") == [("bilateral_treaty", "Treaty of Amity, U.S.-Iran, Aug. 15, 1955, 8 U.S.T. 899"), ("multilateral_treaty", "Vienna Convention, May 23, 1969, 1155 U.N.T.S. 331")]
+    assert cite("Ann Lee, Fair Use 12 (3d ed. 2001). Acme, Inc. v. Roe, 5 (2001).", "secondary") == [("book", "Ann Lee, Fair Use 12 (3d ed. 2001)")]
+    assert cite("Bob Ray, Big Story, N.Y. Times (Jan. 5, 2020), https://a.com/2020/x.", "secondary") == [("internet", "Bob Ray, Big Story, N.Y. Times (Jan. 5, 2020), https://a.com/2020/x.")]
+
+
+def test_spans_that_touch_what_was_found():
+    many = citations.Cover()
+    for a in range(0, 2000, 4):
+        many.add(a, a + 2)
+    assert many.meets(1, 3) and many.meets(3, 5) and not many.meets(2, 4) and not many.meets(2000, 2001)
+    many.add(1, 1999)
+    assert (many.starts, many.ends) == ([0], [1999])
+
+
+def test_rules_and_their_fixes(spark):
+    rows = [("constitutional", "Tex. const. art IV"), ("constitutional", "U.S. Const. amend. 14, § 1"), ("constitutional", "U.S. Const. amend. 99"), ("fed_reg", "Fed. Reg. 12345"), ("fed_reg", "88 Fed. Reg. 12,345"), ("bill", "S. 5 (2008)"), ("legislative_report", "H.R. Rep. No. 1234"), ("legislative_report", "H.R. Rep. No. 105-12")]
+    rows += [("internet", "http://a.com/2020/x"), ("internet", "https://a.com/x."), ("internet", "https://a.com/x/y"), ("internet", "https://a.com/x.pdf"), ("internet", "https://a.com (last visited May 1, 2020)"), ("unreported", "2019 WL 12, at *4 (S.D.N.Y. Sept. 18, 2019)"), ("unreported", "2019 WL 12"), ("news_article", "Story, N.Y. Times (Jan. 5, 2020)"), (None, None), ("bill", None)]
+    got: dict = {}
+    for r in rules.flags(spark.createDataFrame(rows, "kind string, text string")).collect():
+        got.setdefault(r["text"], {})[r["rule_id"]] = r["suggested_fix"]
+    assert got == {
+        "Tex. const. art IV": {"constitution-article": "Tex. const. art. IV", "constitution-capital": "Tex. Const. art IV", "constitution-part": None},
+        "U.S. Const. amend. 14, § 1": {"constitution-roman": "U.S. Const. amend. XIV, § 1"},
+        "U.S. Const. amend. 99": {"constitution-roman": "U.S. Const. amend. 99"},
+        "Fed. Reg. 12345": {"register-volume": None, "register-comma": "Fed. Reg. 12,345"},
+        "S. 5 (2008)": {"bill-congress": None},
+        "H.R. Rep. No. 1234": {"report-congress": None},
+        "http://a.com/2020/x": {"internet-https": "https://a.com/2020/x"},
+        "https://a.com/x.": {"internet-visited": None},
+        "2019 WL 12": {"unreported-pin": None, "unreported-date": None},
+        "Story, N.Y. Times (Jan. 5, 2020)": {"news-link": None},
+    }
+
+
+def test_decisions_of_odd_rows(spark):
+    names = "i long, user_choice string, change_type string, proposed_text string, base_text string, user_custom_text string, action string"
+    rows = [(1, None, None, "p", "b", None, "old"), (2, "keep_base", None, " p\n", " b ", None, None), (3, "custom", "addition", "p", None, " ", None), (4, "keep_base", "addition", None, None, None, None), (5, "custom", "deletion", None, "", "c", None), (6, "keep_base", "moved", "p", "b", "c", None), (7, "keep_base", "deletion", None, None, None, None)]
+    got = {r["i"]: (r["action"], r["source_text"], r["suggested_text"], r["skipped"]) for r in merge.decisions(spark.createDataFrame(rows, names)).collect()}
+    nothing = (None, None, None, None)
+    assert got == {1: nothing, 2: ("replace", "p", "b", None), 3: nothing, 4: (*nothing[:3], "addition_without_source"), 5: ("insert", "", "c", None), 6: nothing, 7: (*nothing[:3], "deletion_without_base")}
+
+
+def test_cut_json_and_markdown(spark):
+    for cut, whole in [('x {"a": [1, 2, {"b": "}', '{"a": [1, 2]}'), ('[{"a": 1}, {"b"', '[{"a": 1}]'), ('```json\n{"a": 1}\n``` {', '{"a": 1}'), ('{"a": "\\"', None), ("none", None), (None, None), ("", None), ("[1, 2] and ]", None)]:
+        assert text.json_in(cut) == whole
+    t = F.col("t")
+    md = lambda s: one(spark, text.html_to_markdown(t), t=s)
+    assert md(None) == md("") == md("<table></table>") == ""
+    assert md("<ol><li>a</li></ol>x<ol><li>b</li><li>c $1</li></ol>") == "1. a\nx\n1. b\n2. c $1"
+    assert md("a<br>b <em>c</em><u>d</u>&lt;") == "a\nb *c*_d_<" and md("<body><b>x <i>y</i></b></body>") == "**x y**" and md("<b>a<h2>b</h2>") == "a\n## b"
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [0.0, 1.0]), (5, [1.0, 0.0]), (6, [1.0])], "vec_id long, embedding array<float>")
     assert [(r["vec_id"], r["distance"]) for r in retrieval.nearest(df, [1.0, 0.0], 5).collect()] == [(1, 0.0), (5, 0.0), (4, 1.0)]
