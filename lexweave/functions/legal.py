@@ -46,6 +46,15 @@ DIRECTIONS = [
 ]
 
 
+#: Hosts whose texts count as authority.
+AUTHORITIES = r"(?i)(?:\.gov|(?:^|\.)(?:courtlistener\.com|law\.justia\.com|law\.cornell\.edu|supremecourt\.gov|congress\.gov|legiscan\.com|oyez\.org))$"
+
+
+def authoritative(url: Column) -> Column:
+    """Whether an address is on a host of authority; false where it has no host."""
+    return F.coalesce(F.try_parse_url(url, F.lit("HOST")).rlike(AUTHORITIES), F.lit(False))
+
+
 def docket_score(description: Column, snippet: Column) -> Column:
     """Sum of the weights of all patterns that occur."""
     blob = F.concat_ws(" ", F.coalesce(description, F.lit("")), F.coalesce(snippet, F.lit("")))

@@ -134,6 +134,12 @@ def tolerant_json(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.regexp_replace(text, "```[a-z]*", ""), r"(?s)(\{.*\})", 1), F.lit(""))
 
 
+def numbered_values(entries: Column) -> Column:
+    """Values of a map's keys that are numbers, in order of the numbers; other keys and null values go."""
+    own = F.filter(F.map_entries(entries), lambda e: e["key"].rlike(r"\A\d+\z") & e["value"].isNotNull())
+    return F.transform(F.array_sort(F.transform(own, lambda e: F.struct(e["key"].cast("decimal(38,0)").alias("n"), e["value"].alias("v")))), lambda e: e["v"])
+
+
 JSON_PARTS = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\Z)|[][{},]', re.S)
 CLOSES = {"[": "]", "{": "}"}
 

@@ -85,3 +85,14 @@ def compact_money(x: Column) -> Column:
         .when(x >= 1_000, F.concat(F.lit("$"), F.round(x / 1_000).cast("long").cast("string"), F.lit("K")))
         .otherwise(F.concat(F.lit("$"), F.round(x).cast("long").cast("string")))
     )
+
+
+#: Groups of a list by day, in the order in which they are shown.
+DAYS = ["Today", "Yesterday", "Last week", "Older"]
+
+
+def day_group(ts: Column, now: Column) -> Column:
+    """Calendar days come first, then seven times 24 hours; null is old."""
+    days = F.datediff(now, ts)
+    week = F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp")) < 7 * 86_400_000_000
+    return F.when(days == 0, DAYS[0]).when(days == 1, DAYS[1]).when(week, DAYS[2]).otherwise(DAYS[3])

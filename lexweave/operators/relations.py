@@ -68,3 +68,30 @@ def union_first_wins(lists: list[DataFrame], key: str, order: str) -> DataFrame:
     """Ordered lists one behind the other, each key only where it first occurs; ``position`` from 1 within the result's lists."""
     ranked = reduce(DataFrame.unionByName, [x.withColumn("list_rank", F.lit(i)) for i, x in enumerate(lists)])
     return latest(ranked, key, [F.col("list_rank"), F.col(order)])
+
+
+def review_table(cells: DataFrame, doc: str, index: str, columns: list[int], content: str = "content", citations: str = "citations") -> DataFrame:
+    """A row a document with content and first citation of each column: c0, c0_source, …; empty where there is no cell.
+
+    The columns are given, so that no job has to look for them.
+    """
+    cite = F.get(citations, F.lit(0))
+    source = F.when(cite.isNull(), "").otherwise(F.concat(F.lit('"'), F.coalesce(cite["quote"], F.lit("")), F.lit('"'), F.when(F.coalesce(cite["page"], F.lit(0)) != 0, F.concat(F.lit(" (p. "), cite["page"].cast("string"), F.lit(")"))).otherwise("")))
+    shown = cells.select(doc, index, F.coalesce(F.col(content), F.lit("")).alias("_content"), source.alias("_source"))
+    wide = shown.groupBy(doc).pivot(index, columns).agg(F.max("_content").alias("content"), F.max("_source").alias("source"))
+    return wide.select(doc, *[F.coalesce(f"{c}_content", F.lit("")).alias(f"c{c}") for c in columns], *[F.coalesce(f"{c}_source", F.lit("")).alias(f"c{c}_source") for c in columns])
+
+
+def amendment_status(statutes: DataFrame, key: str, fetched: str, bills: DataFrame, order: list[str], bill: str, acted: str, state: str) -> DataFrame:
+    """classification, bills and top bill of every statute: enacted since it was fetched, else pending, else clean.
+
+    bills have ``key``; of those that count, the first in ``order`` is the top one. Bills enacted
+    before count as none, and so do failed ones. A statute that was never fetched has been changed by any enacted bill.
+    """
+    both = bills.join(statutes.select(key, fetched), key)
+    newer = (F.col(state) == "enacted") & (F.col(fetched).isNull() | (F.coalesce(F.col(acted) > F.col(fetched), F.lit(False))))
+    first = lambda hit: F.min_by(F.when(hit, F.col(bill)), F.when(hit, F.struct(*order)))
+    counts = both.groupBy(key).agg(F.count_if(newer).alias("_e"), F.count_if(F.col(state) == "pending").alias("_p"), first(newer).alias("_et"), first(F.col(state) == "pending").alias("_pt"))
+    pick = lambda e, p, none: F.when(F.col("_e") > 0, e).when(F.col("_p") > 0, p).otherwise(none)
+    out = statutes.join(counts, key, "left")
+    return out.select(*statutes.columns, pick("enacted", "pending", "clean").alias("classification"), pick(F.col("_e"), F.col("_p"), 0).alias("bills"), pick(F.col("_et"), F.col("_pt"), None).alias("top_bill"))

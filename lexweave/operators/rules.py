@@ -70,6 +70,8 @@ NO_VOLUME = r"(?<!\d\s{0,7})(?:" + "|".join(re.escape(j) for j in JOURNALS) + ")
 DATABASE = r"\b\d{4}\s+(?:WL|LEXIS)\s+\d+"
 DATED = r"\([^)]*(?:Jan\.|Feb\.|Mar\.|Apr\.|May|June|July|Aug\.|Sept\.|Oct\.|Nov\.|Dec\.)\s+\d+,?\s+\d{4}\)"
 UK_TAG = r"\((?:[^)]*\b(?:Eng\.|UK|Scot\.|N\.\s*Ir\.|Wales|England|Scotland|Northern Ireland)[^)]*)\)"
+CORPORATE = r"\b[A-Z][A-Za-z]+(?:-[A-Z][A-Za-z]+|\s+[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)?)\s+(?:Inc\.|Ltd\.|LLC|L\.L\.C\.|LLP|L\.L\.P\.|P\.C\.)(?=\s|,|\.|$)"
+SIGNALS = r"(?i)(?:^|([.!?;,]))\s+(see also|see, e\.g\.|but see|but cf\.|but cf|see|cf\.|cf|contra|compare|accord|e\.g\.|with|and)\s*$"
 #: Form rules of citations.
 RULES = [
     Rule("versus", ("reporter", "case"), r"\bvs\.? ", "non_conforming", "abbreviations", "10.2.1", "Parties are joined by v."),
@@ -104,6 +106,7 @@ RULES = [
     Rule("tcm-publisher", ("tcm_case",), "^", "non_conforming", "form_components", "10", "The publisher is missing.", unless=r"\((?:CCH|RIA)\)"),
     Rule("unreported-pin", ("unreported", "case"), DATABASE, "non_conforming", "form_components", "10.8.1", "A page is given by at *.", unless=r"at\s+\*\d"),
     Rule("unreported-date", ("unreported", "case"), DATABASE, "non_conforming", "form_components", "10.8.1", "The parenthesis has the day of the decision.", unless=DATED),
+    Rule("corporate-comma", ("case",), CORPORATE, "review", "form_components", "10.2.1(c)", "See whether the registered name has a comma."),
     Rule("manuscript-tag", ("manuscript",), "^", "non_conforming", "form_components", "17.1", "A manuscript is marked as unpublished.", unless=r"(?i)\(unpublished\s+manuscript\)"),
     Rule("article-volume", ("article",), NO_VOLUME, "non_conforming", "form_components", "16.4", "The journal's volume is missing."),
     Rule("forthcoming-volume", ("forthcoming",), NO_VOLUME, "non_conforming", "form_components", "17.2", "The journal's volume is missing."),
@@ -129,3 +132,16 @@ def post_filter(flags_: DataFrame, existing: DataFrame, blocked: list[str], key:
     """Judged flags without those of blocked rules, without target, or of a rule that the citation already broke."""
     own = flags_.filter(~F.col("rule_cite").isin(blocked)).dropna(subset=key)
     return own.join(existing.select(*key, "rule_cite").distinct(), [*key, "rule_cite"], "left_anti")
+
+
+def signal_flags(cites: DataFrame, before: str) -> DataFrame:
+    """Cites whose signal, the end of the text ``before`` them, has the wrong case: signal, expected.
+
+    A signal is capitalised after a sentence's end or at the text's beginning, small after a comma
+    or semicolon; with and and are always small. Other places tell nothing.
+    """
+    text = F.regexp_replace(F.col(before), r"\s+$", "")
+    out = cites.withColumn("signal", F.regexp_extract(text, SIGNALS, 2)).withColumn("_mark", F.regexp_extract(text, SIGNALS, 1))
+    small = F.lower("signal")
+    expected = F.when(small.isin("with", "and") | F.col("_mark").isin(";", ","), small).otherwise(F.concat(F.upper(F.left("signal", F.lit(1))), F.substring(small, 2, 20)))
+    return out.withColumn("expected", expected).filter((F.col("signal") != "") & (F.col("signal") != F.col("expected"))).drop("_mark")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import legal, text
-from ..operators import citations, grading, merge, rules, spans
+from ..operators import citations, grading, layout, listing, merge, relations, rules, spans
 from ..sources.tables import table
 from .registry import query
 
@@ -423,3 +423,101 @@ def txt_html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     parts = ["<h1 id='x'>Order <i></i>", c("o_orderkey"), "</h1><p>By <b>", c("o_custkey"), "</b> &amp; co</p><ol><li> first</li><LI>", c("o_orderstatus"), "</LI></ol><table><tr><th>a</th><th>b</th></tr><tr><td>", c("o_orderpriority"), "</td><td>", c("o_orderstatus"), "</td></tr></table><ul><li><img src='y'></li></ul>"]
     html = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     return table(spark, d, "orders").select("o_orderkey", text.html_to_markdown(html).alias("text"))
+
+
+#: Line numbers repeat in an order; with these columns they do not.
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+@query("""
+WITH o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem),
+g AS (SELECT l_orderkey, n, l_returnflag || l_linenumber AS t, LAG(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY n) - l_quantity AS gap FROM o),
+m AS (SELECT l_orderkey, LIST_SORT(LIST(gap))[COUNT(*) // 2 + 1] AS m FROM g WHERE gap > 0 GROUP BY 1),
+b AS (SELECT g.*, gap > GREATEST(COALESCE(m, 14.0::DOUBLE) * 1.3::DOUBLE, COALESCE(m, 14.0::DOUBLE) + 4) OR gap < -COALESCE(m, 14.0::DOUBLE) * 0.5::DOUBLE AS brk FROM g LEFT JOIN m USING (l_orderkey)),
+p AS (SELECT *, SUM(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY n)::BIGINT AS paragraph FROM b)
+SELECT l_orderkey, paragraph, STRING_AGG(t, ' ' ORDER BY n) AS content FROM p GROUP BY 1, 2
+""")
+def win_gap_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of pages by the gaps between their lines."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("t"))
+    return layout.paragraphs(lines, "l_orderkey", LINE_ORDER, "l_quantity", "t")
+
+
+@query("""
+WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS n, COALESCE(SUM(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS y, l_orderkey % 20 AS x FROM lineitem)
+SELECT l_orderkey, l_linenumber, GREATEST(x, y) - y AS "from", LEAST(x + 40, y + n) - y AS "to" FROM a WHERE LEAST(x + 40, y + n) > GREATEST(x, y)
+""")
+def win_node_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """A range of each document's text over the nodes that hold it."""
+    x = F.col("l_orderkey") % 20
+    return layout.node_ranges(table(spark, d, "lineitem"), "l_orderkey", LINE_ORDER, F.col("l_quantity").cast("long"), x, x + 40).select("l_orderkey", "l_linenumber", "from", "to")
+
+
+@query("""
+SELECT day_group, COUNT(*) AS n FROM (SELECT CASE WHEN ts::DATE = DATE '2024-01-31' THEN 'Today' WHEN ts::DATE = DATE '2024-01-30' THEN 'Yesterday' WHEN ts > TIMESTAMP '2024-01-31 12:00:00' - INTERVAL 7 DAY THEN 'Last week' ELSE 'Older' END AS day_group FROM events) GROUP BY 1
+""")
+def agg_day_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Entries by day, as a list shows them."""
+    now = F.lit("2024-01-31 12:00:00").cast("timestamp")
+    return table(spark, d, "events").groupBy(listing.day_group(F.col("ts"), now).alias("day_group")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT l_orderkey, COUNT(*) FILTER (k IN (0, 1)) AS added, COUNT(*) FILTER (k IN (0, 2)) AS removed FROM (SELECT l_orderkey, l_partkey % 3 AS k FROM lineitem) GROUP BY 1
+""")
+def agg_diff_stats(spark: SparkSession, d: str) -> DataFrame:
+    """What a comparison added and removed: a modification counts as both."""
+    change = F.element_at(F.array(*map(F.lit, ["modification", "addition", "deletion"])), (F.col("l_partkey") % 3 + 1).cast("int"))
+    both = table(spark, d, "lineitem").select("l_orderkey", change.alias("change_type"))
+    return both.groupBy("l_orderkey").agg(F.count_if(F.col("change_type").isin("addition", "modification")).alias("added"), F.count_if(F.col("change_type").isin("deletion", "modification")).alias("removed"))
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, l_linenumber - 1 AS i, l_returnflag AS content, CASE WHEN l_partkey % 2 = 0 THEN '' ELSE '"' || l_linestatus || '"' || CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE ' (p. ' || (l_suppkey % 3) || ')' END END AS s FROM lineitem)
+SELECT l_orderkey, COALESCE(MAX(content) FILTER (i = 0), '') AS c0, COALESCE(MAX(content) FILTER (i = 1), '') AS c1, COALESCE(MAX(s) FILTER (i = 0), '') AS c0_source, COALESCE(MAX(s) FILTER (i = 1), '') AS c1_source FROM c GROUP BY 1
+""")
+def agg_review_table(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a review, a row a document and two columns a question."""
+    cite = F.struct(F.col("l_linestatus").alias("quote"), (F.col("l_suppkey") % 3).alias("page"))
+    cells = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("i"), F.col("l_returnflag").alias("content"), F.when(F.col("l_partkey") % 2 == 1, F.array(cite)).otherwise(F.array().cast("array<struct<quote:string,page:bigint>>")).alias("citations"))
+    return relations.review_table(cells, "l_orderkey", "i", [0, 1])
+
+
+@query("""
+WITH b AS (SELECT o_custkey AS k, o_orderkey, o_orderdate, (o_orderkey % 3)::INT AS s FROM orders),
+j AS (SELECT k, b.o_orderkey, s, s = 0 AND (c_nationkey = 0 OR o_orderdate > TIMESTAMP '1996-01-01') AS e, s = 2 AS p FROM b JOIN customer ON c_custkey = k),
+a AS (SELECT k, COUNT(*) FILTER (e) AS e, COUNT(*) FILTER (p) AS p, MIN(o_orderkey) FILTER (e) AS et, MIN(o_orderkey) FILTER (p) AS pt FROM j GROUP BY 1)
+SELECT c_custkey, CASE WHEN e > 0 THEN 'enacted' WHEN p > 0 THEN 'pending' ELSE 'clean' END AS classification, CASE WHEN e > 0 THEN e WHEN p > 0 THEN p ELSE 0 END AS bills, CASE WHEN e > 0 THEN et WHEN p > 0 THEN pt END AS top_bill
+FROM customer LEFT JOIN a ON k = c_custkey
+""")
+def agg_amendment_status(spark: SparkSession, d: str) -> DataFrame:
+    """Whether bills have changed a text since it was fetched."""
+    action = F.element_at(F.array(*map(F.lit, ["Signed by Governor", "Died in committee", "Referred to committee"])), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    bills = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate", legal.bill_status(action).alias("state"))
+    statutes = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") != 0, F.lit("1996-01-01").cast("timestamp")).alias("fetched_at"))
+    return relations.amendment_status(statutes, "c_custkey", "fetched_at", bills, ["o_orderkey"], "o_orderkey", "o_orderdate", "state").drop("fetched_at")
+
+
+@query("SELECT o_orderkey, [true, false, true, false, false][(o_orderkey % 5)::INT + 1] AS authority FROM orders")
+def txt_authorities(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses on hosts of authority."""
+    urls = ["https://www.Law.Cornell.edu/x?y=1", "https://notoyez.org/a", "http://leg.ca.gov", "nothing", "https://a.gov.example.com/"]
+    url = F.element_at(F.array(*map(F.lit, urls)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", legal.authoritative(url).alias("authority"))
+
+
+@query("SELECT o_orderkey, [o_orderkey, o_custkey] AS ids FROM orders")
+def json_numbered_values(spark: SparkSession, d: str) -> DataFrame:
+    """An object with numbers for keys as an array in their order."""
+    found = F.concat(F.lit('{"10": {"id": '), F.col("o_custkey").cast("string"), F.lit('}, "summary": {"id": 0}, "9": {"id": '), F.col("o_orderkey").cast("string"), F.lit('}, "11": null}'))
+    values = text.numbered_values(F.from_json(found, "map<string, struct<id: bigint>>"))
+    return table(spark, d, "orders").select("o_orderkey", F.transform(values, lambda x: x["id"]).alias("ids"))
+
+
+@query("""
+SELECT o_orderkey, [NULL, 'see', 'Accord', 'With', NULL, 'but see'][k] AS signal, [NULL, 'See', 'accord', 'with', NULL, 'But see'][k] AS expected FROM (SELECT o_orderkey, (o_orderkey % 6)::INT + 1 AS k FROM orders) WHERE k IN (2, 3, 4, 6)
+""")
+def rule_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Signals in the wrong case."""
+    before = F.element_at(F.array(*map(F.lit, ["It held so. See also ", "It held so. see ", "Roe; Accord ", "Compare Roe, With ", "as they see ", " but see  "])), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return rules.signal_flags(table(spark, d, "orders").select("o_orderkey", before.alias("pre")), "pre").drop("pre")

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lexweave.functions import legal, text
-from lexweave.operators import chunking, citations, grading, listing, merge, retrieval, rules, spans
+from lexweave.operators import chunking, citations, grading, layout, listing, merge, relations, retrieval, rules, spans
 from lexweave.sources import tables
 from lexweave.streaming import findings
 
@@ -122,6 +122,27 @@ def test_cut_json_and_markdown(spark):
     assert md("a<br>b <em>c</em><u>d</u>&lt;") == "a\nb *c*_d_<" and md("<body><b>x <i>y</i></b></body>") == "**x y**" and md("<b>a<h2>b</h2>") == "a\n## b"
 
 
+def test_pages_of_odd_lines(spark):
+    rows = [(1, 1, 100.0, "a"), (1, 2, 90.0, " b  c "), (1, 3, 80.0, None), (1, 4, 50.0, "d"), (1, 5, 40.0, "e"), (1, 6, 99.0, "f"), (2, 1, None, "x"), (2, 2, None, "y"), (3, 1, 5.0, " "), (None, 1, 1.0, "z")]
+    got = layout.paragraphs(spark.createDataFrame(rows, "page long, n int, y double, t string"), "page", ["n"], "y", "t").collect()
+    assert {(r["page"], r["paragraph"], r["content"]) for r in got} == {(1, 0, "a b c"), (1, 1, "d e"), (1, 2, "f"), (2, 0, "x y"), (None, 0, "z")}
+    nodes = spark.createDataFrame([(1, 1, 3), (1, 2, 0), (1, 3, 4), (2, 1, 1)], "d long, n int, size int")
+    got = layout.node_ranges(nodes, "d", ["n"], F.col("size"), F.lit(2), F.lit(5)).collect()
+    assert [(r["d"], r["n"], r["from"], r["to"]) for r in got] == [(1, 1, 2, 3), (1, 3, 0, 2)]
+
+
+def test_status_and_review_of_odd_rows(spark):
+    statutes = spark.createDataFrame([(1, "2020"), (2, None), (3, "2020"), (4, "2020")], "k long, f string")
+    bills = spark.createDataFrame([(1, 1, "2021", "enacted"), (1, 2, "2022", "enacted"), (2, 3, None, "enacted"), (3, 4, None, "enacted"), (3, 5, "2021", "pending"), (4, 6, "2021", "failed")], "k long, b long, at string, s string")
+    got = relations.amendment_status(statutes, "k", "f", bills, ["b"], "b", "at", "s").orderBy("k").collect()
+    assert [(r["classification"], r["bills"], r["top_bill"]) for r in got] == [("enacted", 2, 1), ("enacted", 1, 3), ("pending", 1, 5), ("clean", 0, None)]
+    cells = spark.createDataFrame([(1, 0, None, None), (1, 1, "x", [("q", 2), ("r", 3)]), (2, 5, "y", [])], "d long, i int, content string, citations array<struct<quote:string,page:int>>")
+    assert [tuple(r) for r in relations.review_table(cells, "d", "i", [0, 1]).orderBy("d").collect()] == [(1, "", "x", "", '"q" (p. 2)'), (2, "", "", "", "")]
+    now = F.lit("2024-01-31 01:00:00").cast("timestamp")
+    of = lambda t: one(spark, listing.day_group(F.col("t").cast("timestamp"), now), t=t)
+    assert [of(t) for t in ("2024-01-31 00:30:00", "2024-01-30 00:00:00", "2024-01-24 02:00:00", "2024-01-24 00:30:00", None)] == ["Today", "Yesterday", "Last week", "Older", "Older"]
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [0.0, 1.0]), (5, [1.0, 0.0]), (6, [1.0])], "vec_id long, embedding array<float>")
     assert [(r["vec_id"], r["distance"]) for r in retrieval.nearest(df, [1.0, 0.0], 5).collect()] == [(1, 0.0), (5, 0.0), (4, 1.0)]
