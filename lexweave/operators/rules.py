@@ -112,7 +112,7 @@ RULES = [
     Rule("forthcoming-volume", ("forthcoming",), NO_VOLUME, "non_conforming", "form_components", "17.2", "The journal's volume is missing."),
     Rule("internet-https", ("internet",), r"\bhttp://[^\s)]+", "review", "form_components", "18.2.1", "Prefer https.", fix=first("http://", "https://")),
     Rule("internet-visited", ("internet",), r"https?://[^/\s)]+(?:/+[^/\s)]*)?/*(?:[\s)]|$)", "non_conforming", "form_components", "18.2.3", "A page that changes needs the day of the visit.", unless=r"(?i)\(last\s+visited[^)]*\)|https?://[^/\s)]+/(?:[^\s)]*/)?\d{4}\b|https?://[^/\s)]+/[^\s)]*\.(?:html?|pdf|aspx?|jsp)\b"),
-    Rule("news-link", (), r"(?s)(?=.*(?:" + "|".join(re.escape(o) for o in OUTLETS) + r"))(?=.*\([A-Z][a-z]{2,5}\.?\s+(?:\d{1,2},\s+)?\d{4}\))", "non_conforming", "form_components", "18.2", "A news article needs its address.", unless="https?://"),
+    Rule("news-link", (), r"(?s)\A(?=.*(?:" + "|".join(re.escape(o) for o in OUTLETS) + r"))(?=.*\([A-Z][a-z]{2,5}\.?\s+(?:\d{1,2},\s+)?\d{4}\))", "non_conforming", "form_components", "18.2", "A news article needs its address.", unless="https?://"),
 ]
 
 
