@@ -7,7 +7,9 @@ all its words' conditional log-probabilities.
 
 Counts cover all documents. The most frequent words are the vocabulary, in classes of about equal
 mass; all others fall into classes by their last letters, in which every distinct word is equally
-likely. The network is trained in numpy, by Adagrad, on a bounded sample of documents.
+likely. The network is trained in numpy, by Adagrad: it starts on a bounded sample of documents, then
+every task goes on from there over all the documents it reads, and the tasks' networks are averaged,
+each word's embedding by how often a task saw the word.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +37,20 @@ WORDS = re.compile(WORD)
 SORT_PARTS = 16
 #: Words scored in one step.
 STEP = 1 << 15
+#: Words that a task holds at once in training, and numbers whose averages are made in one group.
+HELD, SLICE = 1 << 19, 256
 
 
 @dataclass(frozen=True)
 class Settings:
-    """vocabulary bounds the words with counts of their own, sample_docs (of ``longest_sample`` characters at most) and sample_words the training."""
+    """Words with counts of their own: ``vocabulary``, or ``vocabulary_share`` of the distinct words if that is more.
+
+    sample_docs (of ``longest_sample`` characters at most) and sample_words bound the start of the
+    training; ``pass_batch`` is the batch of the pass over all documents that follows.
+    """
 
     vocabulary: int = 8192
+    vocabulary_share: float = 1 / 256
     own_classes: int = 64
     rare_classes: int = 32
     dims: int = 24
@@ -49,6 +60,7 @@ class Settings:
     longest_sample: int = 50_000
     epochs: int = 2
     batch: int = 256
+    pass_batch: int = 1024
     rate: float = 0.1
     seed: int = 11
 
@@ -71,6 +83,7 @@ class Model:
     lift: np.ndarray = field(default=None)
     out: np.ndarray = field(default=None)
     bias: np.ndarray = field(default=None)
+    squares: list[np.ndarray] = field(default=None)  # of the gradients, by parameter
 
     def number(self, word: str) -> int:
         n = self.numbers.get(word)
@@ -139,11 +152,12 @@ def fit_counts(df: DataFrame, s: Settings, text_col: str = "text") -> Model:
     # A histogram of the counts tells from which count on words can be frequent, so that only those are sorted.
     sizes = sorted(((r["b"], r["count"]) for r in counts.groupBy(bucket(F.col("n")).alias("b")).count().collect()), reverse=True)
     upto = np.cumsum([c for _, c in sizes])
-    least = next((b for (b, _), total in zip(sizes, upto.tolist(), strict=True) if total >= s.vocabulary), 0)
+    most = max(s.vocabulary, int(s.vocabulary_share * sum(c for _, c in sizes)))
+    least = next((b for (b, _), total in zip(sizes, upto.tolist(), strict=True) if total >= most), 0)
     frequent = counts.filter(F.col("n") >= least).repartition(SORT_PARTS, "word")
-    top = [(r["word"], r["n"]) for r in frequent.orderBy(F.desc("n"), "word").limit(s.vocabulary).collect()]
+    top = [(r["word"], r["n"]) for r in frequent.orderBy(F.desc("n"), "word").limit(most).collect()]
     numbers = {w: k + 1 for k, (w, _) in enumerate(top)}
-    if len(top) == s.vocabulary:
+    if len(top) == most:
         # Words that may be rare, by their last letters: as many types and as much mass as a class has.
         last = counts.filter((F.col("n") < top[-1][1]) | ((F.col("n") == top[-1][1]) & (F.col("word") > top[-1][0])))
         tails = last.groupBy(F.expr("right(word, 2)").alias("tail")).agg(F.count(F.lit(1)).alias("types"))
@@ -162,6 +176,40 @@ def fit_counts(df: DataFrame, s: Settings, text_col: str = "text") -> Model:
     return Model(numbers, class_of, share, s.rare_classes, s.own_classes)
 
 
+def descend(params: list[np.ndarray], squares: list[np.ndarray], class_of: np.ndarray, flat: np.ndarray, places: np.ndarray, batch: int, rate: float) -> None:
+    """Adagrad over the places in their order, in place."""
+    embed, project, lift, out, bias = params
+    sides, dims, hidden = project.shape
+    for a in range(0, len(places), batch):
+        at = places[a : a + batch]
+        around = flat[at[:, None] + np.array(SIDES)]
+        gold = class_of[flat[at]]
+        x = embed[around].reshape(len(at), sides * dims)
+        w = project.reshape(sides * dims, hidden)
+        h = np.tanh(x @ w + lift)
+        g = h @ out + bias
+        g -= g.max(1, keepdims=True)
+        np.exp(g, out=g)
+        g /= g.sum(1, keepdims=True)
+        g[np.arange(len(at)), gold] -= 1
+        g /= np.float32(len(at))
+        back = (g @ out.T) * (1 - h * h)
+        dx = (back @ w.T).reshape(-1, dims)
+        grads = [(x.T @ back).reshape(project.shape), back.sum(0), h.T @ g, g.sum(0)]
+        for p, q, d in zip(params[1:], squares[1:], grads, strict=True):
+            q += d * d
+            p -= rate * d / np.sqrt(q)
+        ids = around.ravel()
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        ids, d = ids[starts], np.add.reduceat(dx[order], starts, axis=0)
+        d[ids == 0] = 0
+        q = squares[0][ids] + d * d
+        squares[0][ids] = q
+        embed[ids] -= rate * d / np.sqrt(q)
+
+
 def train(model: Model, texts: list[str], s: Settings) -> Model:
     """Fit the network to the masked words of the texts."""
     rng = np.random.default_rng(s.seed)
@@ -182,37 +230,89 @@ def train(model: Model, texts: list[str], s: Settings) -> Model:
     seen = np.bincount(model.class_of[flat_[places]], minlength=classes) + 1.0
     model.bias = np.log(seen / seen.sum()).astype(np.float32)
     params = [model.embed, model.project, model.lift, model.out, model.bias]
-    squares = [np.full(p.shape, 1e-2, np.float32) for p in params]
+    model.squares = [np.full(p.shape, 1e-2, np.float32) for p in params]
     for _ in range(s.epochs):
         rng.shuffle(places)
-        for a in range(0, len(places), s.batch):
-            at = places[a : a + s.batch]
-            around = np.stack([flat_[at + d] for d in SIDES], 1)
-            gold = model.class_of[flat_[at]]
-            x = model.embed[around]
-            h = np.tanh(model.lift + np.einsum("bkd,kdh->bh", x, model.project, optimize=True))
-            z = h @ model.out + model.bias
-            g = np.exp(z - z.max(1, keepdims=True))
-            g /= g.sum(1, keepdims=True)
-            g[np.arange(len(at)), gold] -= 1
-            back = (g @ model.out.T) * (1 - h * h)
-            dx = np.einsum("bh,kdh->bkd", back, model.project, optimize=True)
-            grads = [None, np.einsum("bkd,bh->kdh", x, back, optimize=True) / len(at), back.mean(0), h.T @ g / len(at), g.mean(0)]
-            for p, q, d in zip(params[1:], squares[1:], grads[1:], strict=True):
-                q += d * d
-                p -= s.rate * d / np.sqrt(q)
-            ids, where = np.unique(around.ravel(), return_inverse=True)
-            d = np.zeros((len(ids), s.dims), np.float32)
-            np.add.at(d, where, dx.reshape(-1, s.dims) / len(at))
-            d[ids == 0] = 0
-            squares[0][ids] += d * d
-            model.embed[ids] -= s.rate * d / np.sqrt(squares[0][ids])
+        descend(params, model.squares, model.class_of, flat_, places, s.batch, s.rate)
+    model.ready()
+    return model
+
+
+def train_on_all(model: Model, df: DataFrame, s: Settings, text_col: str = "text") -> Model:
+    """Go on from a started network over all words of all documents, one pass.
+
+    Each task trains its own copy on its rows and gives it out in slices of the vocabulary with the
+    number of times it saw each word (a last slice has all that is no embedding); a shuffle by
+    slice averages them by these numbers, so the driver gets one network. Words that no task saw
+    beside another keep their embedding.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    seed, size = s.seed, len(model.class_of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        if not hasattr(m, "kept"):
+            m.kept, m.older = {}, {}
+        params = [p.copy() for p in (m.embed, m.project, m.lift, m.out, m.bias)]
+        squares = [q.copy() for q in m.squares]
+        part = TaskContext.get().partitionId()
+        rng = np.random.default_rng([seed, part])
+        seen, total = np.zeros(size), 0
+
+        def learn(held: list[int]) -> int:
+            flat = np.array([0, 0, *held, 0, 0])
+            places = np.flatnonzero(flat)
+            for d in SIDES:
+                seen[:] += np.bincount(flat[places + d], minlength=size)
+            rng.shuffle(places)
+            descend(params, squares, m.class_of, flat, places, s.pass_batch, s.rate)
+            return len(places)
+
+        held: list[int] = []
+        for b in slices(batches, 256):
+            for text in b.column(0).to_pylist():
+                held += m.read(text)
+                held += (0, 0)
+                if len(held) >= HELD:
+                    total += learn(held)
+                    held = []
+        total += learn(held)
+        if not total:
+            return
+        rest = np.concatenate([p.ravel() for p in params[1:]])
+        rows = [(-1, np.array([total], float), rest)]
+        rows += [(k, seen[k : k + SLICE], params[0][k : k + SLICE]) for k in range(0, size, SLICE) if seen[k : k + SLICE].any()]
+        numbers, weights, values = zip(*[(k, n.astype(np.float64).tobytes(), v.astype(np.float32).tobytes()) for k, n, v in rows], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array(weights, pa.binary()), pa.array(values, pa.binary())], ["slice", "part", "seen", "own"])
+
+    def average(rows: pd.DataFrame) -> pd.DataFrame:
+        total = mean = 0.0
+        for _, r in rows.sort_values("part").iterrows():
+            n = np.frombuffer(r["seen"], np.float64)
+            total = total + n
+            mean = mean + n[:, None] * np.frombuffer(r["own"], np.float32).reshape(len(n), -1)
+        mean = mean / np.maximum(total, 1)[:, None]
+        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "seen": [total.tobytes()], "own": [mean.astype(np.float32).tobytes()]})
+
+    own = df.select(F.col(text_col).alias("_text")).mapInArrow(run, "slice long, part long, seen binary, own binary")
+    for r in own.groupBy("slice").applyInPandas(average, "slice long, seen binary, own binary").collect():
+        n, v = np.frombuffer(r["seen"], np.float64), np.frombuffer(r["own"], np.float32)
+        if r["slice"] < 0:
+            upto = 0
+            for p in (model.project, model.lift, model.out, model.bias):
+                p[:] = v[upto : upto + p.size].reshape(p.shape)
+                upto += p.size
+        else:
+            at = r["slice"] + np.flatnonzero(n)
+            model.embed[at] = v.reshape(len(n), -1)[n > 0]
+    model.embed[0] = 0
+    model.squares = None
     model.ready()
     return model
 
 
 def fit_lm(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Counts over all documents; the network on the ``sample_docs`` with the smallest id hashes."""
+    """Counts over all documents; the network first on the ``sample_docs`` with the smallest id hashes, then on all documents."""
     model = fit_counts(df, s, text_col)
     # Hashes up to twice the sample's share are enough to sort.
     share = min(1.0, 2 * s.sample_docs / max(df.count(), 1))
@@ -220,7 +320,10 @@ def fit_lm(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text
     ids = near.orderBy(F.shiftrightunsigned(F.xxhash64("_id"), 11), "_id").limit(s.sample_docs)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids.distinct()), "_id").filter(F.length("_text") <= s.longest_sample).select(F.xxhash64("_id").alias("h"), "_text")
     texts = [r["_text"] for r in rows.orderBy("h", "_text").limit(2 * s.sample_docs).collect()]
-    return train(model, texts, s)
+    model = train(model, texts, s)
+    for name in ("sides", "kept", "older"):
+        model.__dict__.pop(name, None)
+    return train_on_all(model, df, s, text_col)
 
 
 def score_lm(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

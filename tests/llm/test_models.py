@@ -169,3 +169,20 @@ def test_lm_prefers_text_to_shuffled_text(spark, docs):
     assert np.mean(m.log_likelihoods(ids) > m.log_likelihoods(mixed)) > 0.8
     assert {(r["n_words"], r["log_likelihood"], r["perplexity"]) for r in lmscore.score_lm(odd(spark), m).filter("doc_id in (2, 3, 4)").collect()} == {(0, 0.0, 1.0)}
     assert lmscore.score_lm(empty(spark), lmscore.fit_lm(empty(spark))).count() == 0
+
+
+def test_lm_learns_from_all_documents(spark):
+    word = lambda i: f"w{i:03d}"
+    texts = [" ".join(word(10 * i + j % 10) for j in range(60)) for i in range(30)] + [" ".join(word(900 + j % 10) for j in range(20_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    s = lmscore.Settings(sample_docs=1)
+    m = lmscore.fit_lm(docs, s)
+    start = np.random.default_rng(s.seed).normal(0, 0.1, m.embed.shape).astype(np.float32)
+    assert len(m.numbers) == 310
+    assert all(np.abs(m.embed[n] - start[n]).max() > 0 for n in m.numbers.values())
+
+
+def test_vocabulary_follows_the_distinct_words(spark):
+    docs = spark.createDataFrame([(i, f"a{i} a{i} b{i}") for i in range(100)], "doc_id long, text string")
+    assert len(lmscore.fit_counts(docs, lmscore.Settings(vocabulary=10, vocabulary_share=0.5)).numbers) == 100
+    assert len(lmscore.fit_counts(docs, lmscore.Settings(vocabulary=10)).numbers) == 10
