@@ -20,9 +20,9 @@ def shared(spark: SparkSession, name: str) -> str:
 
 @query("SELECT DATE_TRUNC('day', ts) AS since, event_type, COUNT(*) AS n, SUM(ROUND(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL")
 def inc_usage_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Daily windows over the event stream."""
+    """Daily windows over the whole event table as a stream, whatever the order of its files."""
     path = shared(spark, "usage")
-    findings.latest_into(findings.usage_windows(findings.read_table(spark, d, "events")), f"{path}/rows", f"{path}/log")
+    findings.latest_into(findings.usage_windows(findings.read_table(spark, d, "events"), late=None), f"{path}/rows", f"{path}/log")
     return findings.read_latest(spark, f"{path}/rows", ["since", "event_type"])
 
 

@@ -20,11 +20,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, files_a_batch: int =
     return stream.load(f"{path}*")
 
 
-def usage_windows(events: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
-    """Events and their values by type and tumbling window; rows later than the watermark are not counted."""
+def usage_windows(events: DataFrame, late: str | None = "1 day", width: str = "1 day") -> DataFrame:
+    """Events and their values by type and tumbling window; rows later than the watermark are not counted.
+
+    Without one (``late`` None) all rows count, in whatever order they come; the state is a row a window and type.
+    """
     w = F.window("ts", width)
     cents = F.sum(F.round(F.col("value") * 100).cast("long"))
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), cents.alias("cents")).select(F.col("window.start").alias("since"), "event_type", "n", "cents")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return (timed if late is None else timed.withWatermark("ts", late)).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), cents.alias("cents")).select(F.col("window.start").alias("since"), "event_type", "n", "cents")
 
 
 def running_tally(findings: DataFrame, key: str, severity: str) -> DataFrame:

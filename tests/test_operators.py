@@ -1,11 +1,13 @@
 """Operators on odd input, and those that SQL cannot express."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
 from lexweave.functions import legal, text
 from lexweave.operators import chunking, citations, grading, layout, listing, merge, relations, retrieval, rules, spans
+from lexweave.plans import incremental
 from lexweave.sources import tables
 from lexweave.streaming import findings
 
@@ -184,3 +186,13 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
     rows(1, [(1, "annotation"), (2, "opinion")])
     run()
     assert states() == {1: "annotated", 2: "annotated", 3: "pending"}
+
+
+def test_windows_of_unordered_files(spark, tmp_path, monkeypatch):
+    for day in ("2024-01-20", "2024-01-02", "2024-01-10"):  # files come in the order of their times
+        spark.createDataFrame([(f"{day} 01:00:00", "view", 1.5)], "ts string, event_type string, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        time.sleep(1.1)
+    read = findings.read_table
+    monkeypatch.setattr(findings, "read_table", lambda *a: read(*a, files_a_batch=1))
+    rows = incremental.inc_usage_windows(spark, str(tmp_path)).collect()
+    assert sorted((r["since"].day, r["n"], r["cents"]) for r in rows) == [(2, 1, 150), (10, 1, 150), (20, 1, 150)]
