@@ -449,6 +449,17 @@ def rel_timeline(spark: SparkSession, d: str) -> DataFrame:
     return orders.unionByName(events)
 
 
+@query("""
+SELECT o_custkey AS who, o_orderdate AS ts, 'order' AS kind FROM orders
+UNION ALL SELECT user_id, ts, event_type FROM events
+""")
+def rel_timeline_all(spark: SparkSession, d: str) -> DataFrame:
+    """Events of several kinds as one timeline, of all customers and users."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("who"), F.col("o_orderdate").alias("ts"), F.lit("order").alias("kind"))
+    events = table(spark, d, "events").select(F.col("user_id").alias("who"), "ts", F.col("event_type").alias("kind"))
+    return orders.unionByName(events)
+
+
 @query("""
 SELECT p_partkey, p_name, CASE WHEN LOWER(p_name) LIKE 'red%' THEN 100 WHEN CONTAINS(LOWER(p_name), 'red') THEN 60 WHEN CONTAINS(LOWER(p_type), 'red') THEN 30 ELSE 0 END - p_size AS score
 FROM part WHERE CONTAINS(LOWER(p_name), 'red') OR CONTAINS(LOWER(p_type), 'red') ORDER BY score DESC, p_partkey LIMIT 10

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import legal, text
 from lexweave.operators import chunking, citations, grading, layout, listing, merge, relations, retrieval, rules, spans
-from lexweave.plans import incremental
+from lexweave.plans import incremental, relational
 from lexweave.sources import tables
 from lexweave.streaming import findings
 
@@ -196,3 +196,10 @@ def test_windows_of_unordered_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(findings, "read_table", lambda *a: read(*a, files_a_batch=1))
     rows = incremental.inc_usage_windows(spark, str(tmp_path)).collect()
     assert sorted((r["since"].day, r["n"], r["cents"]) for r in rows) == [(2, 1, 150), (10, 1, 150), (20, 1, 150)]
+
+
+def test_timeline_of_all(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, at), (900, at)], "o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(2, at, "view"), (700, at, "view")], "user_id long, ts timestamp, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r["who"] for r in relational.rel_timeline_all(spark, str(tmp_path)).collect()) == [1, 2, 700, 900]
