@@ -1,7 +1,7 @@
 """Operator 8: winnowing fingerprints. DataFrame functions only.
 
 Tokens are the text's words (one ideograph or kana each; longer words in pieces of 16 code points);
-short texts are also, and very short ones only, cut into characters.
+short texts are also, and those of few words only, cut into characters.
 Every run of k tokens is hashed. Of the hashes in each window of w positions the least is chosen,
 the rightmost on ties, so two texts that share k + w - 1 tokens in a row share a fingerprint.
 
@@ -21,18 +21,19 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[^\x20\x09-\x0D\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{1,16}"
-#: Texts from SHORT code points on are fingerprinted by words, those under LONG by characters: where
-#: an edit leaves two thirds or more of a text, both texts have a level in common.
+#: Texts of k words or SHORT code points are fingerprinted by words, those under LONG by characters:
+#: texts that share enough words, or of which an edit leaves two thirds or more, have a level in common.
 SHORT, LONG = 200, 300
 POS_BITS = 24
 POS_MASK = (1 << POS_BITS) - 1
 
 
-def tokens(text: Column, level: int) -> Column:
-    """Words (level 1, for texts of SHORT code points or more) or single characters (level 0, for texts under LONG)."""
+def tokens(text: Column, level: int, k: int = 5) -> Column:
+    """Words (level 1, for texts of k words or SHORT code points) or single characters (level 0, for texts under LONG)."""
     n = F.length(text)
-    fits, pattern = (n >= SHORT, TOKEN) if level else (n < LONG, "(?s).")
-    return F.when(fits, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.regexp_extract_all(text, F.lit(TOKEN if level else "(?s)."), F.lit(0))
+    fits = (n >= SHORT) | (F.size(found) >= k) if level else n < LONG
+    return F.when(fits, found).otherwise(F.array().cast("array<string>"))
 
 
 def lesser(a: Column, step: int) -> Column:
@@ -62,7 +63,7 @@ def with_marks(df: DataFrame, text: str, out: str, k: int = 5, w: int = 8) -> Da
 
         whole = F.array(hashed(F.xxhash64(t)).bitwiseOR(F.lit(POS_MASK)))
         grams = F.slice(gram_hashes(t, k, hashed), F.lit(1), n - (k - 1))
-        df = df.withColumn(f"{name}_t", tokens(F.col(text), level))
+        df = df.withColumn(f"{name}_t", tokens(F.col(text), level, k))
         df = df.withColumn(f"{name}_0", F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, whole).otherwise(grams))
         used += [f"{name}_t", f"{name}_0"]
         step = 1
@@ -88,7 +89,7 @@ def hashes(marks: Column, level: int) -> Column:
 
 
 def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Add ``out``: Jaccard likeness of two arrays of marks, at the level that both have (the higher, if both); two empty ones are alike (1)."""
+    """Add ``out``: Jaccard likeness of two arrays of marks, at the level that both have (the higher likeness, if both); two empty ones are alike (1)."""
     both = []
     for level in (0, 1):
         x, y = f"_{a}_{level}h", f"_{b}_{level}h"

@@ -253,6 +253,16 @@ def test_next_document_and_edits(spark):
     assert alone["near_next"] == 1.0
 
 
+def test_short_text_within_a_long_one_is_near(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    short = " ".join(word() for _ in range(30))
+    rest = " ".join(word() for _ in range(35))
+    assert len(short) < 200 and len(f"{short} {rest}") >= 300
+    df = spark.createDataFrame([(2, short), (1, f"{rest} {short}")], "doc_id long, text string")
+    assert all(r["near_next"] > 0.2 for r in winnow.winnow_edits(df).collect())
+
+
 def test_edited_texts_are_nearer_than_next_ones(spark, sf):
     rows = winnow.winnow_edits(documents(spark, sf)).collect()
     assert np.mean([r["near_edited"] > r["near_next"] or r["near_next"] > 0.3 for r in rows if len(r["text"]) > 30]) > 0.97
