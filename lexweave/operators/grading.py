@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,18 +11,77 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def matches(comments: DataFrame, comment_id: str, key: DataFrame) -> DataFrame:
+    """``catches`` with their score: 2 if the rule is named, else 1."""
+    anchor, body = plain(F.col("anchor")), plain(F.col("body"))
+    near = F.exists("anchors", lambda a: F.contains(anchor, plain(a)))
+    rule = F.replace(F.lower("rule"), F.lit(" "), F.lit(""))
+    by_rule = (rule != "") & F.contains(F.replace(body, F.lit(" "), F.lit("")), rule)
+    by_word = F.exists("keywords", lambda w: F.contains(body, F.lower(w)))
+    score = F.when(by_rule, 2).otherwise(1).alias("score")
+    return comments.join(key, near & (by_rule | by_word)).select(comment_id, "error_id", score)
+
+
 def catches(comments: DataFrame, comment_id: str, key: DataFrame) -> DataFrame:
     """(``comment_id``, error_id) where an anchor of the error stands in the comment's anchor, and its rule or a word of it in the body.
 
     comments: anchor, body; key: error_id, anchors, rule, keywords. An answer key is a page written
     by hand, and is broadcast where Spark finds it small.
     """
-    anchor, body = plain(F.col("anchor")), plain(F.col("body"))
-    near = F.exists("anchors", lambda a: F.contains(anchor, plain(a)))
-    rule = F.replace(F.lower("rule"), F.lit(" "), F.lit(""))
-    by_rule = (rule != "") & F.contains(F.replace(body, F.lit(" "), F.lit("")), rule)
-    by_word = F.exists("keywords", lambda w: F.contains(body, F.lower(w)))
-    return comments.join(key, near & (by_rule | by_word)).select(comment_id, "error_id")
+    return matches(comments, comment_id, key).select(comment_id, "error_id")
+
+
+def one_to_one(pairs: DataFrame, comment_id: str, errors: int) -> DataFrame:
+    """(``comment_id``, error_id): each error in order of its id takes its best comment that is still free, ties by comment id.
+
+    Errors take one comment each, so of each error's matches the best ``errors`` are enough; one
+    task gets these, the square of a page written by hand.
+    """
+    best = Window.partitionBy("error_id").orderBy(F.desc("score"), comment_id)
+    few = pairs.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= errors)
+
+    def take(rows: pd.DataFrame) -> pd.DataFrame:
+        taken: dict = {}
+        for error, own in rows.sort_values(["error_id", "_n"]).groupby("error_id", sort=True):
+            free = next((c for c in own[comment_id] if c not in taken), None)
+            if free is not None:
+                taken[free] = error
+        return pd.DataFrame({comment_id: list(taken), "error_id": list(taken.values())})
+
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in (comment_id, "error_id")}
+    return few.groupBy().applyInPandas(take, ", ".join(f"`{c}` {t}" for c, t in kinds.items()))
+
+
+def verdicts(comments: DataFrame, comment_id: str, key: DataFrame, controls: list[str] | None = None) -> DataFrame:
+    """Each comment's ``comment_id``, verdict (catch, duplicate, false positive), error_id and on_control.
+
+    A duplicate matches an error, but none was left for it. ``controls`` are anchors without an
+    error; on_control tells false positives on one of them.
+    """
+    pairs = matches(comments, comment_id, key)
+    first = pairs.groupBy(comment_id).agg(F.min("error_id").alias("_first"))
+    caught = one_to_one(pairs, comment_id, key.count()).withColumnRenamed("error_id", "_caught")
+    rows = comments.join(first, comment_id, "left").join(F.broadcast(caught), comment_id, "left")
+    verdict = F.when(F.col("_caught").isNotNull(), "catch").when(F.col("_first").isNotNull(), "duplicate").otherwise("false positive")
+    near = F.lit(False)
+    for c in controls or []:
+        near |= F.coalesce(F.contains(plain(F.col("anchor")), plain(F.lit(c))), F.lit(False))
+    return rows.select(comment_id, verdict.alias("verdict"), F.coalesce("_caught", "_first").alias("error_id"), (near & (verdict == "false positive")).alias("on_control"))
+
+
+def misses(judged: DataFrame, key: DataFrame) -> DataFrame:
+    """Errors of the key that no comment caught."""
+    return key.join(F.broadcast(judged.filter("verdict = 'catch'").select("error_id")), "error_id", "left_anti")
+
+
+def grade_one_to_one(comments: DataFrame, comment_id: str, key: DataFrame, controls: list[str] | None = None) -> DataFrame:
+    """One row: comments, real_catches (distinct errors), duplicates, false_positives, on_control, misses, planted, precision, recall."""
+    n = lambda v: F.count(F.when(F.col("verdict") == v, 1))
+    sums = verdicts(comments, comment_id, key, controls).agg(F.count(F.lit(1)).alias("comments"), n("catch").alias("real_catches"), n("duplicate").alias("duplicates"), n("false positive").alias("false_positives"), F.count(F.when(F.col("on_control"), 1)).alias("on_control"))
+    planted = key.agg(F.count(F.lit(1)).alias("planted"))
+    one = sums.join(F.broadcast(planted), F.lit(True))  # one row each
+    caught = F.col("real_catches")
+    return one.select(*sums.columns, (F.col("planted") - caught).alias("misses"), "planted", ratio(caught, F.col("comments")).alias("precision"), ratio(caught, F.col("planted")).alias("recall"))
 
 
 def ratio(part: Column, whole: Column) -> Column:

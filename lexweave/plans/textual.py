@@ -301,6 +301,13 @@ def rule_flags(spark: SparkSession, d: str) -> DataFrame:
     return rules.flags(spans.extract(briefs(spark, d), "o_orderkey", "text")).select("o_orderkey", "ordinal", "rule_id", "severity", "category")
 
 
+def reviews(spark: SparkSession, d: str):
+    """Comments and an answer key."""
+    comments = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("anchor "), F.lpad(F.col("c_nationkey").cast("string"), 3, "0")).alias("anchor"), F.col("c_mktsegment").alias("body"))
+    key = table(spark, d, "nation").select(F.col("n_nationkey").alias("error_id"), F.array(F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("anchors"), F.lit("10.9").alias("rule"), F.array(F.when(F.col("n_nationkey") % 2 == 0, "Building").otherwise("Machinery")).alias("keywords"))
+    return comments, key
+
+
 @query("""
 WITH c AS (SELECT c_custkey, c_nationkey AS k, c_mktsegment AS body FROM customer),
 e AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'building' ELSE 'machinery' END AS word FROM nation),
@@ -310,11 +317,24 @@ SELECT (SELECT COUNT(*) FROM c) AS comments, (SELECT COUNT(DISTINCT c_custkey) F
 """)
 def agg_grade(spark: SparkSession, d: str) -> DataFrame:
     """Comments graded against an answer key: a catch has the error's anchor and one of its words."""
-    comments = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("anchor "), F.lpad(F.col("c_nationkey").cast("string"), 3, "0")).alias("anchor"), F.col("c_mktsegment").alias("body"))
-    key = table(spark, d, "nation").select(F.col("n_nationkey").alias("error_id"), F.array(F.lpad(F.col("n_nationkey").cast("string"), 3, "0")).alias("anchors"), F.lit("10.9").alias("rule"), F.array(F.when(F.col("n_nationkey") % 2 == 0, "Building").otherwise("Machinery")).alias("keywords"))
+    comments, key = reviews(spark, d)
     return grading.grade(comments, "c_custkey", key)
 
 
+@query("""
+WITH c AS (SELECT c_custkey, c_nationkey AS k, c_mktsegment AS body FROM customer),
+e AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'building' ELSE 'machinery' END AS word FROM nation),
+h AS (SELECT c.c_custkey, e.k FROM c JOIN e USING (k) WHERE CONTAINS(LOWER(body), word))
+SELECT (SELECT COUNT(*) FROM c) AS comments, COUNT(DISTINCT k) AS real_catches, COUNT(*) - COUNT(DISTINCT k) AS duplicates, (SELECT COUNT(*) FROM c) - COUNT(*) AS false_positives, 0 AS on_control,
+  (SELECT COUNT(*) FROM e) - COUNT(DISTINCT k) AS misses, (SELECT COUNT(*) FROM e) AS planted, ROUND(COUNT(DISTINCT k) / (SELECT COUNT(*) FROM c), 3) AS "precision", ROUND(COUNT(DISTINCT k) / (SELECT COUNT(*) FROM e), 3) AS recall
+FROM h
+""")
+def agg_grade_one_to_one(spark: SparkSession, d: str) -> DataFrame:
+    """As the reference's grader: each error takes one comment, others that match are duplicates."""
+    comments, key = reviews(spark, d)
+    return grading.grade_one_to_one(comments, "c_custkey", key)
+
+
 def filings(spark: SparkSession, d: str) -> DataFrame:
     """A line of official sources for each order."""
     k = lambda n: (F.col("o_orderkey") % n + 1).cast("string")

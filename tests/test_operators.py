@@ -1,6 +1,7 @@
 """Operators on odd input, and those that SQL cannot express."""
 
 import datetime as dt
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -203,3 +204,27 @@ def test_timeline_of_all(spark, tmp_path):
     spark.createDataFrame([(1, at), (900, at)], "o_custkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(2, at, "view"), (700, at, "view")], "user_id long, ts timestamp, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     assert sorted(r["who"] for r in relational.rel_timeline_all(spark, str(tmp_path)).collect()) == [1, 2, 700, 900]
+
+
+def test_each_error_takes_one_comment(spark):
+    rng = random.Random(3)
+    errors = [(e, [f"a{e % 4}"], f"r{e}" if e % 2 else "", [f"w{e % 3}"]) for e in range(6)]
+    notes = [(c, " ".join(f"a{rng.randrange(6)}" for _ in range(2)), " ".join(f"{rng.choice('rwx')}{rng.randrange(6)}" for _ in range(2))) for c in range(40)]
+    free, caught = dict.fromkeys(c for c, *_ in notes), {}
+    score = lambda c, e: 0 if not any(x in c[1] for x in e[1]) else 2 if e[2] and e[2] in c[2].replace(" ", "") else int(any(w in c[2] for w in e[3]))
+    for e in errors:
+        best = max(((score(c, e), -c[0]) for c in notes if c[0] in free), default=(0, 0))
+        if best[0]:
+            caught[-best[1]] = e[0]
+            del free[-best[1]]
+    want = {c[0]: "catch" if c[0] in caught else "duplicate" if any(score(c, e) for e in errors) else "false positive" for c in notes}
+    comments = spark.createDataFrame(notes, "i long, anchor string, body string")
+    key = spark.createDataFrame(errors, "error_id long, anchors array<string>, rule string, keywords array<string>")
+    judged = grading.verdicts(comments, "i", key, ["A5"])
+    assert {r["i"]: r["verdict"] for r in judged.collect()} == want
+    assert {r["i"]: r["error_id"] for r in judged.filter("verdict = 'catch'").collect()} == caught
+    assert {r["error_id"] for r in grading.misses(judged, key).collect()} == {e[0] for e in errors} - set(caught.values())
+    r = grading.grade_one_to_one(comments, "i", key, ["A5"]).first()
+    assert (r["real_catches"], r["duplicates"], r["precision"]) == (len(caught), list(want.values()).count("duplicate"), round(len(caught) / 40, 3))
+    assert r["on_control"] == sum("a5" in c[1] and want[c[0]] == "false positive" for c in notes) > 0
+    assert grading.grade_one_to_one(comments.limit(0), "i", key.limit(0)).first()["precision"] == 1.0
