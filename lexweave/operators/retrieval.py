@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +31,59 @@ def nearest(items: DataFrame, vector: list[float], k: int, id_col: str = "vec_id
     return scored.orderBy("distance", id_col).limit(k)
 
 
+def cut_to_k(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query's candidates the k nearest, ties by id."""
+    order = np.lexsort((ids, d, q))
+    q, d, ids = q[order], d[order], ids[order]
+    first = np.searchsorted(q, q)  # where each query's candidates start
+    near = np.arange(len(q)) - first < k
+    return q[near], d[near], ids[near]
+
+
+def nearest_of_each(items: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", embedding: str = "embedding", block: int = 4096) -> DataFrame:
+    """query_id, ``id_col``, distance: the k rows of ``items`` nearest to each row of ``queries``.
+
+    Both have a whole-number ``id_col``, unique among the queries, and ``embedding``. The distance has
+    nine digits, and ties go by id; null and zero vectors have none, nor have those of unlike length.
+    Queries are broadcast in blocks of ``block``, each task keeps k rows a query, and only these move.
+    """
+    fits = lambda df: df.select(F.col(id_col).cast("long").alias("_id"), F.col(embedding).cast("array<double>").alias("_v")).filter(cosine_distance(F.col("_v"), F.col("_v")).isNotNull())
+    rows, found = fits(items), None
+    asked = fits(queries).toLocalIterator()
+    while own := list(islice(asked, block)):
+        by_size: dict[int, list] = {}
+        for r in own:
+            by_size.setdefault(len(r["_v"]), []).append(r)
+        unit = lambda x: x / np.sqrt((x * x).sum(1, keepdims=True))
+        shared = items.sparkSession.sparkContext.broadcast({n: (np.array([r["_id"] for r in x], np.int64), unit(np.array([r["_v"] for r in x]))) for n, x in by_size.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best = {n: (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)) for n in shared.value}
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    b = whole.slice(at, 512)
+                    ids, flat = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False)
+                    sizes = b.column(1).value_lengths().to_numpy()
+                    starts = np.cumsum(sizes) - sizes
+                    for n, (_, vectors) in shared.value.items():
+                        if not (here := sizes == n).any():
+                            continue
+                        x = flat[starts[here][:, None] + np.arange(n)]
+                        d = np.round(1 - vectors @ (x / np.sqrt((x * x).sum(1, keepdims=True))).T, 9)
+                        last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                        q, c = np.nonzero(d <= last[:, None])
+                        best[n] = cut_to_k(*(np.concatenate(z) for z in zip(best[n], (q, d[q, c], ids[here][c]), strict=True)), k)
+            for n, (q, d, i) in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value[n][0][q]), pa.array(i), pa.array(d)], ["query_id", id_col, "distance"])
+
+        part = rows.mapInArrow(run, f"query_id long, `{id_col}` long, distance double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return rows.limit(0).select(F.col("_id").alias("query_id"), F.col("_id").alias(id_col), F.lit(0.0).alias("distance"))
+    w = Window.partitionBy("query_id").orderBy("distance", id_col)
+    return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
+
+
 def score(distance: Column, image: bool = False) -> Column:
     return (1 - distance / 2) * (IMAGE_FACTOR if image else 1.0)
 

@@ -21,6 +21,17 @@ def vec_nearest(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.nearest(table(spark, d, "embeddings"), VECTOR, 10).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query("""
+WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, ROUND(1 - LIST_COSINE_SIMILARITY(embedding::DOUBLE[], v::DOUBLE[]), 9) AS d FROM embeddings, q)
+SELECT query_id, vec_id, ROUND(d, 6) AS distance FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= 10
+""")
+def vec_nearest_of_each(spark: SparkSession, d: str) -> DataFrame:
+    """Exact k nearest vectors, among all rows, of every row whose id is divisible by 50."""
+    rows = table(spark, d, "embeddings")
+    return retrieval.nearest_of_each(rows, rows.filter("vec_id % 50 = 0"), 10).withColumn("distance", F.round("distance", 6))
+
+
 @query(f"""
 SELECT vec_id, doc_id, source, ROUND({DISTANCE_SQL}, 6) AS distance FROM embeddings JOIN documents ON doc_id = vec_id
 WHERE label IN (1, 2, 3) AND lang = 'en' ORDER BY {DISTANCE_SQL}, vec_id LIMIT 30

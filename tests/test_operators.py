@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lexweave.functions import legal, text
@@ -228,3 +229,19 @@ def test_each_error_takes_one_comment(spark):
     assert (r["real_catches"], r["duplicates"], r["precision"]) == (len(caught), list(want.values()).count("duplicate"), round(len(caught) / 40, 3))
     assert r["on_control"] == sum("a5" in c[1] and want[c[0]] == "false positive" for c in notes) > 0
     assert grading.grade_one_to_one(comments.limit(0), "i", key.limit(0)).first()["precision"] == 1.0
+
+
+def test_nearest_of_many_queries(spark):
+    rng = np.random.default_rng(4)
+    vectors = {i: rng.integers(-2, 3, 3).astype(float).tolist() for i in range(300)} | {300: [0.0, 0.0, 0.0], 301: None, 302: [1.0, 2.0], 350: [2.0, 1.0]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in retrieval.nearest_of_each(df, df.filter("vec_id % 50 = 0"), 7, block=2).collect():
+        got.setdefault(r["query_id"], []).append((r["distance"], r["vec_id"]))
+    norm = lambda v: np.sqrt(np.dot(v, v))
+    want = {}
+    for q in (i for i, v in vectors.items() if i % 50 == 0 and v and any(v)):
+        all_ = sorted((round(1 - np.dot(vectors[q], v) / (norm(vectors[q]) * norm(v)), 9), i) for i, v in vectors.items() if v and any(v) and len(v) == len(vectors[q]))
+        want[q] = all_[:7]
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
+    assert len(got) >= 6 and retrieval.nearest_of_each(df, df.limit(0), 7).count() == 0
