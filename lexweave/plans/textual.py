@@ -297,7 +297,7 @@ UNION ALL SELECT o_orderkey, 3, 'cfr-periods', 'non_conforming', 'abbreviations'
 UNION ALL SELECT o_orderkey, 3, 'section-mark', 'non_conforming', 'form_components' FROM c WHERE k.ordinal = 3
 """)
 def rule_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Flags of all citation rules on all citations."""
+    """Flags of the rules in ``rules.RULES`` on all citations; the README names those not built."""
     return rules.flags(spans.extract(briefs(spark, d), "o_orderkey", "text")).select("o_orderkey", "ordinal", "rule_id", "severity", "category")
 
 
