@@ -2,10 +2,13 @@
 
 Every measure of a document is a whole number (a rate in thousandths, a length in hundredths). Its
 quantile sketch is a count by bucket: values below 128 are buckets of their own, larger ones keep
-their 7 leading bits, so a quantile is within 1/64 of the true value. Sketches merge by adding counts: those
-of (language, source) give those of a language and of all documents, which stand in where a group
-has few documents. A measure's threshold is its median plus the larger of a fixed slack and a
-multiple of the distance from median to upper quartile.
+their 7 leading bits, so a quantile is within 1/64 of the true value. Sketches merge by adding counts:
+those of (language, source) give those of a language and of all documents.
+
+A measure's threshold is a quantile of the group's own sketch: the level (``LEVELS``) says which share
+of a group a rule may cost, and the sketch where that lies. No cutoff is fixed. Thresholds of small
+groups lean on those of their language, and these on those of all documents, by weight: n documents
+of the group count against ``PRIOR`` documents of the one above, at every size.
 """
 
 from __future__ import annotations
@@ -15,11 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checkpoint, join_small, words
 
-#: Measure: slack above the median.
-SLACK = {"sym": 100, "dup": 400, "rep": 400, "len": 400}
-SPREAD = 4
-#: Documents that a group's own thresholds need.
-LEAST_DOCS = 200
+#: Measure: the quantile, in thousandths, that is its threshold. Symbols tell junk, of which a source may be full; the others cost a group one document in 200.
+LEVELS = {"sym": 900, "dup": 995, "rep": 995, "len": 995}
+#: Documents of the level above that a group's own ones are weighed against.
+PRIOR = 100
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "[#*$%&|<>]"
@@ -69,9 +71,14 @@ def bucket(v: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", v, bits), bits)
 
 
+def upper_end(b: Column) -> Column:
+    """Largest value of the bucket that begins at b."""
+    return b + F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(b)) - 7, F.lit(0))) - 1
+
+
 def sketches(rows: DataFrame, groups: list[str]) -> DataFrame:
     """Counts by group, measure and bucket, merged upwards: lang and source, lang only (level 1), all (level 3)."""
-    long = rows.select(*groups, F.explode(F.array(*[F.struct(F.lit(m).alias("m"), bucket(F.col(m)).alias("b")) for m in SLACK])).alias("x")).select(*groups, "x.m", "x.b")
+    long = rows.select(*groups, F.explode(F.array(*[F.struct(F.lit(m).alias("m"), bucket(F.col(m)).alias("b")) for m in LEVELS])).alias("x")).select(*groups, "x.m", "x.b")
     own = long.groupBy(*groups, "m", "b").agg(F.count(F.lit(1)).alias("n"))
     a, b = groups
     merged = own.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))).alias("level"))
@@ -80,13 +87,31 @@ def sketches(rows: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def limits(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """A row for each group and level: its documents and a limit for each measure."""
+    """A row for each group and level: its documents and a limit for each measure, the upper end of the quantile's bucket."""
     w = Window.partitionBy(*groups, "level", "m")
     run = sketch.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("b")))
-    at = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("b")))
-    q = run.groupBy(*groups, "level", "m").agg(at(2).alias("q2"), at(3).alias("q3"), F.max("total").alias("total"))
-    q = q.withColumn("limit", F.col("q2") + F.greatest(F.element_at(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv]), F.col("m")), SPREAD * (F.col("q3") - F.col("q2"))))
-    return q.groupBy(*groups, "level").agg(F.max("total").alias("docs"), *[F.max(F.when(F.col("m") == m, F.col("limit"))).alias(f"max_{m}") for m in SLACK])
+    share = F.element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), F.col("m"))
+    q = run.filter(F.col("upto") * 1000 >= F.col("total") * share).groupBy(*groups, "level", "m").agg(F.min("b").alias("b"), F.max("total").alias("total"))
+    return q.groupBy(*groups, "level").agg(F.max("total").alias("docs"), *[F.max(F.when(F.col("m") == m, upper_end(F.col("b")))).alias(f"max_{m}") for m in LEVELS])
+
+
+def weighed(own: Column, n: Column, above: Column) -> Column:
+    """A group's limit against that of the level above it, in whole numbers."""
+    return F.floor((own * n + above * PRIOR) / (n + PRIOR)).cast("long")
+
+
+def group_limits(found: DataFrame, groups: list[str]) -> DataFrame:
+    """A row for each (language, source): docs, own_<measure> (its own sketch's limit) and max_<measure> (weighed with the levels above)."""
+    a, b = groups
+    own = found.filter("level = 0").drop("level")
+    for level, on in ((1, [a]), (3, [])):
+        up = found.filter(F.col("level") == level).select(*on, F.struct("docs", *[f"max_{m}" for m in LEVELS]).alias(f"up{level}"))
+        own = own.join(up, on) if on else own.join(F.broadcast(up), F.lit(True))  # one row
+    cols = []
+    for m in LEVELS:
+        lang = weighed(F.col(f"up1.max_{m}"), F.col("up1.docs"), F.col(f"up3.max_{m}"))
+        cols += [F.col(f"max_{m}").alias(f"own_{m}"), weighed(F.col(f"max_{m}"), F.col("docs"), lang).alias(f"max_{m}")]
+    return own.select(a, b, "docs", *cols)
 
 
 def judge_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -106,19 +131,11 @@ def judge_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = checkpoint(rows.withColumn("base_failed", failed).withColumns({"sym": per(1000, "n_symbols", "n_words"), "dup": per(1000, "n_dup_lines", "n_lines"), "rep": per(1000, "n_repeat_words", "n_words"), "len": per(100, "word_chars", "n_words")}))
     found = checkpoint(limits(sketches(rows.filter("not base_failed"), [a, b]), [a, b]))
-    names = ["docs", *[f"max_{m}" for m in SLACK]]
-    wide = found.filter("level = 0").withColumn("own", F.struct(*names)).drop(*names)
-    for level, on in ((1, [a]), (3, [])):
-        up = found.filter(F.col("level") == level).select(*on, F.struct(*names).alias(f"up{level}"))
-        wide = wide.join(up, on) if on else wide.crossJoin(F.broadcast(up))  # one row
-    enough = lambda c: F.col(f"{c}.docs") >= LEAST_DOCS
-    chosen = F.when(enough("own"), F.col("own")).when(enough("up1"), F.col("up1")).otherwise(F.col("up3"))
-    rules = wide.select(F.struct(a, b).alias("key"), chosen.alias("limit")).select("key", "limit.*")
-    rules = rules.withColumn("key", F.to_json("key"))
+    rules = group_limits(found, [a, b]).select(F.to_json(F.struct(a, b)).alias("key"), *[f"max_{m}" for m in LEVELS])
     keyed = rows.withColumn("key", F.to_json(F.struct(a, b)))
     out = join_small(keyed, rules, "key", "left")
-    over = [F.coalesce(F.col(m) > F.col(f"max_{m}"), F.lit(False)) for m in SLACK]
+    over = [F.coalesce(F.col(m) > F.col(f"max_{m}"), F.lit(False)) for m in LEVELS]
     kept = ~F.col("base_failed")
     for x in over:
         kept = kept & ~x
-    return out.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *[f"max_{m}" for m in SLACK])
+    return out.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *[f"max_{m}" for m in LEVELS])

@@ -174,24 +174,19 @@ sketch AS (
 upto AS (
   SELECT *, SUM(n) OVER w AS total, SUM(n) OVER (PARTITION BY lang, source, level, m ORDER BY b) AS upto FROM sketch
   WINDOW w AS (PARTITION BY lang, source, level, m)),
-quartiles AS (
-  SELECT lang, source, level, m, MIN(b) FILTER (WHERE upto * 4 >= total * 2) AS q2, MIN(b) FILTER (WHERE upto * 4 >= total * 3) AS q3, MAX(total) AS total
-  FROM upto GROUP BY ALL),
+levels(m, share) AS (VALUES ('sym', 900), ('dup', 995), ('rep', 995), ('len', 995)),
+quantiles AS (
+  SELECT lang, source, level, m, MIN(b) + (1 << GREATEST(LENGTH(BIN(MIN(b))) - 7, 0)) - 1 AS q, MAX(total) AS docs
+  FROM upto JOIN levels USING (m) WHERE upto * 1000 >= total * share GROUP BY ALL),
+found AS (
+  SELECT j.lang, j.source, j.m, j.q AS own, j.docs, l.q AS above, l.docs AS above_docs, a.q AS top
+  FROM quantiles j JOIN quantiles l ON l.level = 1 AND l.m = j.m AND l.lang IS NOT DISTINCT FROM j.lang JOIN quantiles a ON a.level = 3 AND a.m = j.m WHERE j.level = 0),
 limits AS (
-  SELECT lang, source, level, MAX(total) AS docs,
-    MAX(q2 + GREATEST(100, 4 * (q3 - q2))) FILTER (WHERE m = 'sym') AS max_sym, MAX(q2 + GREATEST(400, 4 * (q3 - q2))) FILTER (WHERE m = 'dup') AS max_dup,
-    MAX(q2 + GREATEST(400, 4 * (q3 - q2))) FILTER (WHERE m = 'rep') AS max_rep, MAX(q2 + GREATEST(400, 4 * (q3 - q2))) FILTER (WHERE m = 'len') AS max_len
-  FROM quartiles GROUP BY ALL)
+  SELECT lang, source, MAX(most) FILTER (WHERE m = 'sym') AS max_sym, MAX(most) FILTER (WHERE m = 'dup') AS max_dup, MAX(most) FILTER (WHERE m = 'rep') AS max_rep, MAX(most) FILTER (WHERE m = 'len') AS max_len
+  FROM (SELECT *, (own * docs + 100 * ((above * above_docs + 100 * top) // (above_docs + 100))) // (docs + 100) AS most FROM found) GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed
-    AND sym <= CASE WHEN o.docs >= 200 THEN o.max_sym WHEN l.docs >= 200 THEN l.max_sym ELSE a.max_sym END
-    AND dup <= CASE WHEN o.docs >= 200 THEN o.max_dup WHEN l.docs >= 200 THEN l.max_dup ELSE a.max_dup END
-    AND rep <= CASE WHEN o.docs >= 200 THEN o.max_rep WHEN l.docs >= 200 THEN l.max_rep ELSE a.max_rep END
-    AND len <= CASE WHEN o.docs >= 200 THEN o.max_len WHEN l.docs >= 200 THEN l.max_len ELSE a.max_len END AS kept
-FROM judged j
-LEFT JOIN limits o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM j.lang AND o.source IS NOT DISTINCT FROM j.source
-LEFT JOIN limits l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM j.lang
-LEFT JOIN limits a ON a.level = 3
+  NOT base_failed AND COALESCE(sym <= max_sym AND dup <= max_dup AND rep <= max_rep AND len <= max_len, TRUE) AS kept
+FROM judged j LEFT JOIN limits o ON o.lang IS NOT DISTINCT FROM j.lang AND o.source IS NOT DISTINCT FROM j.source
 """
 
 

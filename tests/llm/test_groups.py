@@ -172,10 +172,43 @@ def test_repeat_words_as_by_counting(spark):
 
 
 def test_thresholds_follow_their_group(spark):
-    rows = [(i, "word " + " ".join(f"w{i}x{j}" for j in range(60)) + (" ##" if i % 2 else ""), "en", "a") for i in range(300)]
-    rows.append((999, " ".join(f"z{j}" for j in range(60)) + " #" * 30, "en", "a"))
-    got = {r["doc_id"]: r["kept"] for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert not got[999] and all(v for k, v in got.items() if k != 999)
+    plain = lambda k, i, marks: " ".join(f"{k}{i}x{j}" for j in range(60)) + " #" * marks
+    rows = [(i, plain("w", i, 1 if i % 2 else 0), "en", "news") for i in range(400)]
+    rows += [(1000 + i, plain("c", i, 12 + i % 8), "en", "code") for i in range(300)]  # symbols are usual there
+    rows += [(2000, plain("z", 0, 30), "en", "news"), (2001, plain("z", 1, 15), "en", "news"), (2002, plain("z", 2, 40), "en", "code"), (2003, plain("z", 3, 15), "en", "code")]
+    got = {r["doc_id"]: r for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[2000]["kept"] and not got[2001]["kept"] and not got[2002]["kept"] and got[2003]["kept"]  # 15 symbols: only news rejects them
+    assert np.mean([r["kept"] for i, r in got.items() if i < 400]) > 0.97 and np.mean([r["kept"] for i, r in got.items() if 1000 <= i < 2000]) > 0.85
+    assert got[0]["max_sym"] < got[1000]["max_sym"]
+
+
+def test_own_sketches_decide_at_both_levels(spark):
+    """Limits of (language, source), language and all against quantiles by counting; and groups in which the own one differs."""
+    docs = documents(spark, "/root/testdata/sf0.01")
+    rows = quality.measures(docs.selectExpr("doc_id _id", "coalesce('s' || lang, 'n') _a", "coalesce('s' || source, 'n') _b", "text"), "_id", "text").filter("n_words > 0")
+    rows = rows.selectExpr("_a", "_b", "1000 * n_symbols div n_words sym", "if(n_lines > 0, 1000 * n_dup_lines div n_lines, 0) dup", "1000 * n_repeat_words div n_words rep", "100 * word_chars div n_words len")
+    found = quality.limits(quality.sketches(rows, ["_a", "_b"]), ["_a", "_b"])
+    limits = quality.group_limits(found, ["_a", "_b"]).collect()
+    groups, langs = defaultdict(list), defaultdict(list)
+    for r in rows.collect():
+        groups[r["_a"], r["_b"]].append(r)
+        langs[r["_a"]].append(r)
+
+    def at(own, m):
+        v = sorted(r[m] for r in own)[-(-len(own) * quality.LEVELS[m] // 1000) - 1]
+        bits = max(v.bit_length() - 7, 0)
+        return (v >> bits << bits) + (1 << bits) - 1
+
+    everything = [r for own in groups.values() for r in own]
+    differ = 0
+    for r in limits:
+        own, lang = groups[r["_a"], r["_b"]], langs[r["_a"]]
+        for m in quality.LEVELS:
+            up = (at(lang, m) * len(lang) + at(everything, m) * quality.PRIOR) // (len(lang) + quality.PRIOR)
+            assert r[f"own_{m}"] == at(own, m)
+            assert r[f"max_{m}"] == (at(own, m) * len(own) + up * quality.PRIOR) // (len(own) + quality.PRIOR)
+            differ += r[f"max_{m}"] != up
+    assert len(limits) == len(groups) and differ > len(groups)
 
 
 def test_url_filters_as_by_brute_force(spark):
