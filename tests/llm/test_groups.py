@@ -243,21 +243,75 @@ def spark_hash(tokens):
     return h
 
 
-def naive_marks(words, k=5, w=8):
-    """(hash, position) of the rightmost least hash of each window."""
-    hashes = [spark_hash(words[i : i + k]) >> 25 << 1 for i in range(len(words) - k + 1)]
+def naive_tokens(text):
+    """Words; letters of scripts without spaces; letters of a run of over 16 up to its last 16."""
+    alone = lambda c: any(a <= ord(c) <= b for a, b in ((0xE00, 0x109F), (0x1780, 0x17FF), (0x19E0, 0x19FF), (0x3040, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)))
+    out, run = [], ""
+    for c in text + " ":
+        if c not in " \t\n\x0b\f\r" and not alone(c):
+            run += c
+            continue
+        cut = max(0, len(run) - 16)
+        out += [*run[:cut], *([run[cut:]] if run else [])]
+        run = ""
+        if alone(c):
+            out.append(c)
+    return out
+
+
+def naive_marks(tokens, level, k=5, w=8):
+    """(level, hash, position) of the rightmost least hash of each window."""
+    grams = [tokens[i : i + k] for i in range(len(tokens) - k + 1)] if len(tokens) >= k else [tokens][: len(tokens)]
+    hashes = [spark_hash(g) >> 25 << 1 | level for g in grams]
     signed = [h - (1 << 40) if h >= 1 << 39 else h for h in hashes]
-    windows = [range(a, min(a + w, len(signed))) for a in range(max(1, len(signed) - w + 1))]
-    return {(min((signed[i], -i) for i in win)[1] * -1) for win in windows}
+    windows = [range(a, min(a + w, len(signed))) for a in range(max(1, len(signed) - w + 1))] if signed else []
+    best = [min((signed[i], -i) for i in win) for win in windows]
+    return {(level, h, -i) for h, i in best}
+
+
+def all_marks(text):
+    t = naive_tokens(text)
+    return naive_marks(t, 1) | (naive_marks(list(text), 0) if len(t) < 24 else set())
+
+
+def marks_of(row):
+    return {(m >> winnow.POS_BITS & 1, m >> winnow.POS_BITS, winnow.POS_MASK ^ (m & winnow.POS_MASK)) for m in row}
+
+
+_letters = lambda seed, alphabet: "".join(np.random.default_rng(seed).choice(list(alphabet), 900))
+THAI, KHMER, BASE64 = _letters(1, map(chr, range(0xE01, 0xE2F))), _letters(2, map(chr, range(0x1780, 0x17B3))), _letters(3, "ABCDEFGHIJKLabcdefghijkl0123456789+/")
 
 
 def test_winnowing_as_by_brute_force(spark, sf):
-    docs = documents(spark, sf).filter("n_chars >= 300").limit(40).cache()
-    rows = winnow.with_marks(docs.select("doc_id", "text"), "text", "marks").collect()
+    texts = [r["text"] for r in documents(spark, sf).select("text").limit(60).collect()]
+    texts += [texts[0][:n] for n in range(1, 401, 7)] + ["", "a", "ab cd", "漢字かな kana", "x" * 16, "x" * 17, "y" * 50 + " z", THAI[:40], "one two three four five"]
+    rows = winnow.with_marks(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "marks").collect()
     for r in rows:
-        words = [w[i : i + 16] for w in r["text"].split() for i in range(0, len(w), 16)]
-        got = sorted({winnow.POS_MASK ^ (m & winnow.POS_MASK) for m in r["marks"]})
-        assert got == sorted(naive_marks(words)), r["doc_id"]
+        assert marks_of(r["marks"]) == all_marks(r["text"]), r["text"][:80]
+
+
+def test_a_deletion_keeps_most_of_texts_without_spaces(spark):
+    pairs = [(t, t[1:]) for t in (THAI, KHMER, BASE64)] + [(t, t[:400] + t[401:]) for t in (THAI, KHMER, BASE64)] + [(BASE64, BASE64[:-1])]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    df = winnow.with_likeness(winnow.with_marks(winnow.with_marks(df, "a", "x"), "b", "y"), "x", "y", "near")
+    assert all(r["near"] > 0.9 for r in df.collect())
+
+
+def test_next_document_of_other_ids(spark):
+    """Texts and times as ids; many rows with one id or none, which are more ranges."""
+    rows = [(f"doc-{i:05d}", i) for i in range(300)]
+    for kind, make in (("string", lambda i: f"doc-{i:05d}"), ("date", lambda i: dt.date(2020, 1, 1) + dt.timedelta(days=i)), ("double", lambda i: i / 7), ("long", lambda i: i)):
+        df = spark.createDataFrame([(make(i), f"text {i}") for _, i in rows], f"doc_id {kind}, text string")
+        got = winnow.with_next(df, "doc_id", "text", carried=("text",)).collect()
+        assert {int(r["text"][5:]): int(r["next_text"][5:]) for r in got} == {i: (i - 1) % 300 for _, i in rows}, kind
+    hot = [(7 if i % 3 else i, f"text {i}") for i in range(900)] + [(None, f"null {i}") for i in range(300)]
+    df = spark.createDataFrame(hot, "doc_id long, text string")
+    got = winnow.with_next(df.repartition(5), "doc_id", "text", lambda x: x.withColumn("task", F.spark_partition_id()), ("doc_id", "text")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["next_doc_id"], r["next_text"]) for r in got) == Counter(hot)
+    tie = lambda r: np.uint64(spark_hash([r[1]])).astype(np.int64)
+    want = sorted(hot, key=lambda r: (r[0] is None, -(r[0] or 0), tie(r)))
+    assert {r["text"]: r["next_text"] for r in got} == {a[1]: b[1] for a, b in zip(want, want[1:] + want[:1])}
+    assert len({r["task"] for r in got if r["doc_id"] == 7}) > 2 and len({r["task"] for r in got if r["doc_id"] is None}) > 1
 
 
 def test_shared_passages_share_a_mark(spark):
@@ -291,7 +345,6 @@ def test_short_text_within_a_long_one_is_near(spark):
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
     short = " ".join(word() for _ in range(30))
     rest = " ".join(word() for _ in range(35))
-    assert len(short) < 200 and len(f"{short} {rest}") >= 300
     df = spark.createDataFrame([(2, short), (1, f"{rest} {short}")], "doc_id long, text string")
     assert all(r["near_next"] > 0.2 for r in winnow.winnow_edits(df).collect())
 
