@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +23,15 @@ BROADCAST_ROWS = 50_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Only where the session names none (as in tests) a folder of this machine is used.
+    Where the session names none, a folder of this machine is used if the master is local (as in
+    tests); on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp())
     return sc.getCheckpointDir()
 
 
@@ -54,11 +60,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches cut to few rows, so that a worker holds little beside one of them."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to few rows and to about ``size`` bytes (one row at least), so that a worker holds little beside one of them."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type)]
+        lengths = sum(np.asarray(pc.fill_null(pc.binary_length(c), 0)).astype(np.int64) for c in texts) if texts else np.zeros(batch.num_rows, np.int64)
+        upto = np.cumsum(lengths)
+        start = 0
+        while start < batch.num_rows:
+            before = int(upto[start - 1]) if start else 0
+            end = min(start + rows, max(start + 1, int(np.searchsorted(upto, before + size, "right"))), batch.num_rows)
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def hot_keys(df: DataFrame, key: str, per: int = 2000) -> DataFrame:

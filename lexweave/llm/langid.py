@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import learns, slices
@@ -30,11 +30,11 @@ PIECE = 1 << 19
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_docs bounds the training documents, langs the languages; reject: share of right answers that rejection may cost."""
+    """sample_docs bounds the training documents (8 a language at least); spans: how many spans of ``span`` characters are taken of each; reject: share of right answers that rejection may cost."""
 
     sample_docs: int = 4000
-    longest_sample: int = 100_000
-    langs: int = 128
+    spans: int = 2
+    span: int = 500
     rows: int = 1 << 16
     dims: int = 16
     epochs: int = 6
@@ -109,13 +109,13 @@ class Model:
     limit: float = 0.0
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, calibrated probability, and whether it is too low; no letters: und, 0, rejected."""
+        """Language, calibrated probability, and whether it is too low; no letters (marks alone are none): und, 0, rejected."""
         total, count = sums([x or "" for x in texts], self.table)
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         p = self.chances(total, count)
         best = p.argmax(1)
-        known = count > 0
+        known = (count > 0) & np.array([any(map(str.isalpha, x or "")) for x in texts], bool)
         score = np.where(known, p.max(1), 0.0)
         return [self.langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], score, ~known | (score < self.limit)
 
@@ -126,7 +126,7 @@ class Model:
 
 
 def train(rows: list[tuple[str, str]], s: Settings) -> Model:
-    """Train on (language, text) rows; every tenth row only serves calibration."""
+    """Train on (language, span of a text) rows; every tenth row only serves calibration."""
     rows = [r for r in sorted(set(rows), key=lambda r: hash_text(r[1])) if any(c.isalpha() for c in r[1])]
     langs = sorted({lang for lang, _ in rows})
     if not langs:
@@ -136,14 +136,11 @@ def train(rows: list[tuple[str, str]], s: Settings) -> Model:
     fit, check = [r for i, r in enumerate(rows) if i % 10], [r for i, r in enumerate(rows) if i % 10 == 0]
     bags, gold = [], []
     for lang, text in fit or rows:
-        for _ in range(2):
-            n = int(rng.integers(20, 500))
-            at = int(rng.integers(0, max(1, len(text) - n)))
-            points, _ = codes([text[at : at + n]])
-            got = [row[inside] for row, inside in grams(points, 0, len(points), s.rows)]
-            if sum(map(len, got)):
-                bags.append(np.unique(np.concatenate(got), return_counts=True))
-                gold.append(y[lang])
+        points, _ = codes([text])
+        got = [row[inside] for row, inside in grams(points, 0, len(points), s.rows)]
+        if sum(map(len, got)):
+            bags.append(np.unique(np.concatenate(got), return_counts=True))
+            gold.append(y[lang])
     share = np.bincount(gold, minlength=len(langs)) / max(len(gold), 1)
     table = rng.normal(0, 0.1, (s.rows, s.dims))
     w, bias = np.zeros((len(langs), s.dims)), np.zeros(len(langs))
@@ -194,18 +191,27 @@ def calibrate(model: Model, rows: list[tuple[str, str]], y: dict[str, int], s: S
 def fit_langid(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from rows with a language and ``learns(id)``: ``sample_docs`` of them at most, evenly by language.
 
-    The rows with the smallest hashes are the sample, whatever the order of the input.
+    The rows with the smallest hashes are the sample, whatever the order of the input, and of each
+    ``spans`` spans of 20 to ``span`` characters from places that its id's hash gives; these, not
+    the texts, come to the driver. Long texts teach as others do.
     """
     own = df.filter(learns(F.col(id_col)) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
-    counts = own.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(s.langs).collect()
+    counts = own.groupBy("_lang").count().orderBy("_lang").collect()
     if not counts:
         return train([], s)
     quota = max(8, s.sample_docs // len(counts))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, quota / r[1]))])
-    place = F.shiftrightunsigned(F.xxhash64("_id"), 11) / F.lit(float(1 << 53))
-    picked = own.filter(F.coalesce(place < F.element_at(share, F.col("_lang")), F.lit(False)) & (F.length("_text") <= s.longest_sample))
-    rows = picked.select("_lang", "_text", place.alias("_p")).orderBy("_p", "_lang").limit(2 * s.sample_docs + 8 * len(counts)).select("_lang", "_text").collect()
-    return train([(r[0], r[1]) for r in rows], s)
+    place = lambda k: F.shiftrightunsigned(F.xxhash64("_id", F.lit(k)), 11) / F.lit(float(1 << 53))
+    picked = own.filter(F.coalesce(place(0) < F.element_at(share, F.col("_lang")), F.lit(False)))
+
+    def span(k: int) -> Column:
+        n = 20 + F.floor(place(3 * k + 1) * (s.span - 20)).cast("int")
+        at = F.floor(place(3 * k + 2) * F.greatest(F.length("_text") - n + 1, F.lit(1))).cast("int")
+        return F.substring(F.col("_text"), at + 1, n)
+
+    rows = picked.select("_lang", F.explode(F.array(*[span(k) for k in range(s.spans)])).alias("_span"), place(0).alias("_p")).dropna()
+    found = rows.orderBy("_p", "_lang").limit(s.spans * (2 * s.sample_docs + 8 * len(counts))).select("_lang", "_span").collect()
+    return train([(r[0], r[1]) for r in found], s)
 
 
 def predict_language(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .bpe import codec
 from .common import slices
 
-SCHEMA = "pack_id string, row int, n_tokens int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<bigint>, doc_offsets array<bigint>"
+SCHEMA = "pack_id string, row int, n_tokens int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<{id}>, doc_offsets array<bigint>"
 
 
 class Capacities:
@@ -100,14 +100,16 @@ def pack_tokens(df: DataFrame, vocabulary: str, length: int = 2048, window_token
     Returns a row for each packed row: pack_id (input partition and window), row (number in the
     window), n_tokens, ids and position_ids (little-endian uint32, ``length`` of each, zeros behind
     n_tokens), cu_seqlens (0 first), doc_ids and doc_offsets of its segments. Null and empty texts
-    have no ids and so no segment; null ids stay null in doc_ids; repeated rows are packed each. An
-    empty table gives no rows. Other columns are not read. A window is closed at ``window_tokens``,
+    have no ids and so no segment; ids are numbers or texts, and null ids stay null in doc_ids;
+    repeated rows are packed each. An empty table gives no rows. Other columns are not read. A window is closed at ``window_tokens``,
     so only its last rows are part empty.
     """
     with open(vocabulary, encoding="utf-8") as f:
         source = df.sparkSession.sparkContext.broadcast(f.read())
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    whole = df.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    kind, arrow = ("bigint", pa.int64()) if whole else ("string", pa.string())
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(arrow), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -133,7 +135,7 @@ def pack_tokens(df: DataFrame, vocabulary: str, length: int = 2048, window_token
         if items:
             yield from close()
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).alias("_text")).mapInArrow(run, SCHEMA)
+    return df.select(F.col(id_col).cast(kind), F.col(text_col).alias("_text")).mapInArrow(run, SCHEMA.format(id=kind))
 
 
 def write_packed(rows: DataFrame, path: str) -> None:
@@ -143,13 +145,15 @@ def write_packed(rows: DataFrame, path: str) -> None:
 
 def unpack(rows: DataFrame) -> DataFrame:
     """doc_id, ids of every document that has any, put together again from all rows. Ids must be distinct."""
+    kind = rows.schema["doc_ids"].dataType.elementType.simpleString()
+    arrow = pa.int64() if kind == "bigint" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
             out = []
             for ids, cu, docs, offsets in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 out += [(d, o, ids[4 * x : 4 * y]) for d, o, x, y in zip(docs, offsets, cu[:-1], cu[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "at", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (arrow, pa.int64(), pa.binary()), strict=True)], ["doc_id", "at", "ids"])
 
-    parts = rows.select("ids", "cu_seqlens", "doc_ids", "doc_offsets").mapInArrow(run, "doc_id long, at long, ids binary")
+    parts = rows.select("ids", "cu_seqlens", "doc_ids", "doc_offsets").mapInArrow(run, f"doc_id {kind}, at long, ids binary")
     return parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("p")).select("doc_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))

@@ -4,9 +4,9 @@ A list is a log of dated entries: a host or domain is added to or removed from a
 Entries become validity intervals, and a capture is judged by those that hold at its fetch time.
 Among them the most specific name decides, and allow before block for one name.
 
-Names and times meet per month: an interval is a row in each month that it touches, the distinct
-(host, month) pairs of the captures collect their names' intervals of that month, and captures look
-theirs up. So a host with a third of all captures is one small row on the looked-up side.
+Names and times meet per month: an interval is a row in each month that it touches and in which its
+name was asked, the distinct (host, month) pairs of the captures collect their names' intervals of
+that month, and captures look theirs up. So a host with a third of all captures is one small row on the looked-up side.
 """
 
 from __future__ import annotations
@@ -14,22 +14,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_small
+from .common import checkpoint, join_small, join_unique
 
 FOREVER = "2999-12-31 00:00:00"
-HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\[\]]+)"
+#: Hosts that are addresses: four numbers, or one in brackets.
+ADDRESS = r"^(?:\d{1,3}(?:\.\d{1,3}){3}|\[.*\])$"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of an absolute URL, without user, port and final dot; null if there is none."""
+    """Lower-case host of an absolute URL, without user, port and final dot; null if there is none. IPv6 addresses keep their brackets."""
     host = F.regexp_replace(F.regexp_extract(F.lower(F.trim(url)), HOST, 1), r"\.$", "")
     return F.when(host != "", host)
 
 
 def names_of(host: Column) -> Column:
-    """The host and the domains above it, down to two labels; a host of one label only itself."""
+    """The host and the domains above it, down to two labels; a host of one label, and an address, only itself."""
     parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.when(host.rlike(ADDRESS), F.array(host)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -61,15 +63,15 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     rows = checkpoint(rows.withColumn("_key", F.when(F.col("host").isNotNull() & F.col("_m").isNotNull(), F.col("_key"))))
     asked = rows.filter(F.col("_key").isNotNull()).select("_key", "host", "_m").distinct()
     seen = checkpoint(asked)
-    range_ = seen.agg(F.min("_m"), F.max("_m")).first()
-    spans = intervals(entries)
-    # Only months that captures have: an open end is cut there.
-    low, high = (range_[0], range_[1]) if range_[0] is not None else (0, -1)
-    spans = spans.withColumn("_a", F.greatest(month(F.col("since")), F.lit(low))).withColumn("_b", F.least(month(F.col("until")), F.lit(high))).filter("_a <= _b")
-    spans = spans.withColumn("_m", F.explode(F.sequence("_a", "_b"))).drop("_a", "_b")
-    named = seen.withColumn("name", F.explode(names_of(F.col("host"))))
+    pair = F.concat_ws("|", "name", F.col("_m").cast("string")).alias("_pair")
+    named = checkpoint(seen.withColumn("name", F.explode(names_of(F.col("host")))).select("_key", "name", "_m", pair))
+    # A name's intervals go only to the months in which it was asked, so that an open end costs nothing.
+    wanted = named.select("name", "_m", "_pair").distinct()
+    spans = intervals(entries).join(wanted, "name").filter((month(F.col("since")) <= F.col("_m")) & (F.col("_m") <= month(F.col("until"))))
     rule = F.struct(F.size(F.split("name", r"\.")).alias("labels"), (F.col("list") == "allow").alias("allow"), "since", "until", "name")
-    rules = named.join(spans, ["name", "_m"]).groupBy("_key").agg(F.collect_list(rule).alias("_rules"))
+    told = checkpoint(spans.groupBy("_pair").agg(F.collect_list(rule).alias("_told")))
+    # A name may stand above a third of all hosts: one row a pair on the right, hot pairs apart.
+    rules = join_unique(named, told, "_pair").groupBy("_key").agg(F.flatten(F.collect_list("_told")).alias("_rules"))
     out = join_small(rows, rules, "_key", "left")
     held = F.filter("_rules", lambda r: (r["since"] <= F.col("fetched")) & (F.col("fetched") < r["until"]))
     out = out.withColumn("_best", F.array_max(held))

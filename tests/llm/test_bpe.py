@@ -89,3 +89,10 @@ def test_packing_of_odd_rows(spark, tmp_path):
     assert packing.pack_tokens(empty(spark), VOCABULARY).count() == 0
     packing.write_packed(rows, f"{tmp_path}/packed")
     assert spark.read.parquet(f"{tmp_path}/packed").count() == rows.count()
+
+
+def test_packing_of_text_ids(spark, sf):
+    docs = documents(spark, sf).limit(50).selectExpr("'d' || doc_id doc_id", "text")
+    rows = packing.pack_tokens(docs, VOCABULARY, length=256)
+    got = {r["doc_id"]: bytes(r["ids"]) for r in packing.unpack(rows).collect()}
+    assert got == {r["doc_id"]: bytes(r["ids"]) for r in bpe.encode_texts(docs, VOCABULARY).collect() if r["n_tokens"]}

@@ -236,6 +236,37 @@ def test_url_filters_as_by_brute_force(spark):
         assert (r["matched"], r["blocked"]) == ((best[2], not best[1]) if best else (None, False)), r
 
 
+def test_addresses_have_no_parents(spark):
+    day = dt.datetime(2024, 1, 1)
+    entries = spark.createDataFrame([("block", n, "add", day) for n in ("3.4", "2001", "[2001:db8::1]", "4.org")], "list string, name string, action string, at timestamp")
+    urls = {"http://1.2.3.4/x": ("1.2.3.4", None), "http://[2001:db8::1]:8080/": ("[2001:db8::1]", "[2001:db8::1]"), "http://u@[2001:db8::2]/": ("[2001:db8::2]", None), "http://3.4.org/": ("3.4.org", "4.org"), "http://[broken/": (None, None)}
+    captures = spark.createDataFrame([(i, u, day + dt.timedelta(days=900)) for i, u in enumerate(urls)], "page_id long, url string, fetched timestamp")
+    assert {r["url"]: (r["host"], r["matched"]) for r in urlfilter.filter_urls(captures, entries).collect()} == urls
+
+
+def test_slices_keep_rows_and_bound_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (10, 5, 700, 0, 3, 900, 20, 1)] + [None, "b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], ["i", "t"])
+    got = list(common.slices([batch], rows=4, size=100))
+    assert [x for b in got for x in b.column(1).to_pylist()] == texts
+    assert all(b.num_rows <= 4 and (b.num_rows == 1 or sum(len(x or "") for x in b.column(1).to_pylist()) <= 100) for b in got)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    class Session:
+        sparkContext = Context  # noqa: N815
+        conf = {}
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Session)
+
+
 def spark_hash(tokens):
     h = 42
     for t in tokens:

@@ -46,6 +46,16 @@ def test_language_learns_only_from_three_quarters(docs, languages):
     assert again.langs == languages.langs and np.array_equal(again.table, languages.table) and again.limit == languages.limit
 
 
+def test_long_texts_and_many_languages_teach(spark):
+    words = {f"l{k:03d}": [chr(97 + k % 26) * 2 + chr(97 + (k * 7 + j) % 26) + chr(97 + k // 26) * 3 for j in range(6)] for k in range(140)}
+    rows = [(100 * k + i, " ".join(w[(i + j) % 6] for j in range(40 if i else 30_000)), lang) for k, (lang, w) in enumerate(words.items()) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.fit_langid(df)
+    assert len(m.langs) == 140  # none is left out
+    long = langid.fit_langid(df.filter("length(text) > 100000"), langid.Settings(epochs=1))
+    assert len(long.langs) > 80
+
+
 def test_language_sums_as_by_brute_force(languages):
     rows = len(languages.table) - 1
     table = np.random.default_rng(0).normal(size=(rows + 1, 3))
@@ -76,6 +86,8 @@ def test_language_of_odd_rows(spark, languages):
             assert r["lang_pred"] in languages.langs
     assert langid.predict_language(empty(spark), languages).count() == 0
     assert set(langid.keep_known(odd(spark), languages).columns) == set(odd(spark).columns)
+    marks = spark.createDataFrame([(1, "\u0301"), (2, "\u0e31 \u0301\u0301"), (3, "e\u0301t\u0301")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in langid.predict_language(marks, languages).orderBy("doc_id").collect()] == [True, True, False]
     nothing = langid.fit_langid(empty(spark))
     assert {r["lang_pred"] for r in langid.predict_language(odd(spark), nothing).collect()} == {"und"}
 
