@@ -4,8 +4,9 @@ Fingerprints within ``radius`` bits of each other agree on one of radius + 1 blo
 cell is a block with its value, every distinct fingerprint goes to radius + 1 cells, and a shard is
 the cells that a shuffle deals to one task. There each cell becomes a BK-tree (children keyed by
 their integer Hamming distance to the parent) and each fingerprint searches its own cells' trees,
-following only edges within the radius. A cell that holds too large a part of all rows is dealt
-once more by blocks of its other bits, which loses no link for the same reason.
+following only edges within the radius. A cell of more than ``crowd`` fingerprints is dealt on by
+blocks of its other bits, which loses no link for the same reason; after the last level so few bits
+are open that no cell can be large.
 
 Shard trees are not broadcast: together they hold the fingerprints of all documents, which must not
 pass the driver. The shuffle takes each tree to the queries that can have links in it.
@@ -17,14 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_unique, slices
+from .common import checkpoint, join_small, join_unique, slices
 
 BITS = 64
 #: Pairs of a query and a tree node looked at in one step.
 STEP = 1 << 20
+#: Members of cells that a task searches at once.
+HELD = 1 << 17
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -47,16 +50,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``id_col`` and fp long (the 64 bits, signed) of every row; texts are read whole."""
-    kind = df.schema[id_col].dataType.simpleString()
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, the columns ``also``, and fp long (the 64 bits, signed) of every row; texts are read whole."""
+    names = [id_col, *also]
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fps = np.array([fingerprint(x, shingle) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], [id_col, "fp"])
+            fps = np.array([fingerprint(x, shingle) for x in b.column(len(names)).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(fps)], [*names, "fp"])
 
-    return df.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return df.select(*names, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, fp long")
 
 
 class BKForest:
@@ -148,50 +152,59 @@ def shard_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarr
     return names[linked], names[parent[linked]]
 
 
-def links(fps: DataFrame, radius: int = 2, per: int = 2000, levels: int = 3, small: int = 256) -> DataFrame:
+def block_masks(level: int, parts: int) -> list[int]:
+    """The bits of each block: by a digit to base ``parts`` of a number spread evenly over all five digits, so that the open bits of any cell are dealt about evenly."""
+    block = lambda i: i * parts**5 // BITS // parts**level % parts
+    return [sum(1 << i for i in range(BITS) if block(i) == k) for k in range(parts)]
+
+
+def links(fps: DataFrame, radius: int = 2, crowd: int = 4096, levels: int = 5) -> DataFrame:
     """fp, to: links of distinct fingerprints that join all within ``radius`` bits, spanning each shard's part.
 
-    ``fps`` has a column fp without repeats. A cell with over 1/per of the rows (and over ``small``) goes on to the next
-    level; at most ``per`` cells can, so their list is small whatever the input. After the last
-    level no more than 24 of the 64 bits are open.
+    ``fps`` has a column fp without repeats. A cell of more than ``crowd`` fingerprints goes on to
+    the next level; cells are counted and looked up by their hashes (``join_small``), whatever
+    their number. After five levels at most 11 of the 64 bits are open, so a cell has at most 2048.
     """
-    spark = fps.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-        if got:
-            cell, fp = (np.concatenate(x) for x in zip(*got, strict=True))
+        def found(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             a, b = shard_links(cell, fp.view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["fp", "to"])
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["fp", "to"])
+
+        cells, fps_, held = [], [], 0
+        for b in batches:
+            cells.append(b.column(0).to_numpy(zero_copy_only=False))
+            fps_.append(b.column(1).to_numpy(zero_copy_only=False))
+            held += b.num_rows
+            if held >= HELD:  # rows come in order of their cells: the last one may go on
+                cell, fp = np.concatenate(cells), np.concatenate(fps_)
+                end = int(np.searchsorted(cell, cell[-1]))
+                if end:
+                    yield found(cell[:end], fp[:end])
+                cells, fps_, held = [cell[end:]], [fp[end:]], len(cell) - end
+        if held:
+            yield found(np.concatenate(cells), np.concatenate(fps_))
 
     parts = radius + 1
+    signed = lambda m: F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("long")
     out = None
     # cell: hash of all (block, value) so far; free: the bits that they leave open.
-    level_rows = fps.select("fp", F.lit(0).cast("long").alias("cell"), F.lit(-1).cast("long").alias("free"))
+    open_ = fps.select("fp", F.lit(0).cast("long").alias("cell"), F.lit(-1).cast("long").alias("free"))
     for level in range(levels):
-        masks = []
-        free = F.col("free")
-        if level == 0:
-            for k in range(parts):
-                m = sum(1 << i for i in range(k * BITS // parts, (k + 1) * BITS // parts))
-                masks.append(F.lit(m - (1 << BITS) if m >> 63 else m).cast("long"))
-        else:
-            # Block k of the open bits: an even share of each 64 / parts run, by stride.
-            for k in range(parts):
-                m = sum(1 << i for i in range(BITS) if i // parts**level % parts == k)
-                masks.append(free.bitwiseAND(F.lit(m - (1 << BITS) if m >> 63 else m).cast("long")))
-        cells = F.array(*[F.struct(F.xxhash64(F.col("cell"), F.lit(level), F.lit(k), F.col("fp").bitwiseAND(m)).alias("cell"), free.bitwiseAND(F.bitwise_not(m)).alias("free")) for k, m in enumerate(masks)])
-        rows = level_rows.select("fp", F.explode(cells).alias("c")).select("fp", "c.cell", "c.free")
-        hot: list[int] = []
+        masks = [F.col("free").bitwiseAND(signed(m)) for m in block_masks(level, parts)]
+        dealt = F.array(*[F.struct(F.xxhash64(F.col("cell"), F.lit(level), F.lit(k), F.col("fp").bitwiseAND(m)).alias("cell"), F.col("free").bitwiseAND(F.bitwise_not(m)).alias("free")) for k, m in enumerate(masks)])
+        rows = open_.select("fp", F.explode(dealt).alias("c")).select("fp", "c.cell", "c.free")
+        crowded = None
         if level < levels - 1:
-            total = level_rows.count() * parts
-            hot = [r[0] for r in rows.groupBy("cell").count().filter(F.col("count") > max(small, total // per)).select("cell").collect()]
-        keep = rows.filter(~F.col("cell").isin(hot)) if hot else rows
-        found = keep.select("cell", "fp").repartition("cell").mapInArrow(run, "fp long, to long")
-        out = found if out is None else out.unionByName(found)
-        if not hot:
+            full = checkpoint(rows.groupBy("cell").count().filter(F.col("count") > crowd).select("cell", F.lit(True).alias("_full")))
+            if not full.isEmpty():
+                told = checkpoint(join_small(checkpoint(rows), full, "cell", "left"))
+                rows, crowded = told.filter("_full is null"), told.filter("_full").select("fp", "cell", "free")
+        links_ = rows.select("cell", "fp").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "fp long, to long")
+        out = links_ if out is None else out.unionByName(links_)
+        if crowded is None:
             break
-        level_rows = checkpoint(rows.filter(F.col("cell").isin(hot)))
+        open_ = crowded
     return out.distinct()
 
 
@@ -218,6 +231,11 @@ def components(edges: DataFrame) -> DataFrame:
             return node.select("fp", F.col("up").alias("root"))
 
 
+def fingerprint_roots(own: DataFrame, radius: int) -> DataFrame:
+    """fp, _own, root of fingerprints that have links: ``own`` has fp, without repeats, and _own."""
+    return components(links(own.select("fp"), radius)).join(own, "fp")
+
+
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """Fingerprint every text and join texts whose fingerprints differ in ``radius`` bits or fewer, over chains.
 
@@ -228,24 +246,30 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Other columns are not read.
     """
     docs = checkpoint(fingerprints(df, id_col, text_col, shingle))
-    own = checkpoint(docs.groupBy("fp").agg(F.min(id_col).alias("_own")))
-    edges = links(own.select("fp"), radius)
-    roots = components(edges)
-    members = checkpoint(roots.join(own, "fp"))
-    least = checkpoint(members.groupBy("root").agg(F.min("_own").alias("_least")))
-    linked = join_unique(members, least, "root").select("fp", "_least")
-    named = own.join(linked, "fp", "left").select("fp", F.coalesce("_least", "_own").alias("component_id"))
-    return join_unique(docs, checkpoint(named), "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = least_of_components(docs, F.min(id_col), radius).withColumnRenamed("least", "component_id")
+    return join_unique(docs, named, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def least_of_components(docs: DataFrame, least: Column, radius: int) -> DataFrame:
+    """fp, least: for each distinct fingerprint the least value, by the aggregate ``least`` of a row, in its component."""
+    own = checkpoint(docs.groupBy("fp").agg(least.alias("_own")))
+    members = checkpoint(fingerprint_roots(own, radius))
+    best = checkpoint(members.groupBy("root").agg(F.min("_own").alias("_least")))
+    linked = join_unique(members, best, "root").select("fp", "_least")
+    return checkpoint(own.join(linked, "fp", "left").select("fp", F.coalesce("_least", "_own").alias("least")))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of each component, all columns as they were.
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each component, all columns as they were: the one with the smallest id, null ids last.
 
-    Of rows that repeat that id one stays. Rows with a null id have no name to be kept by; of those
-    one a text stays.
+    Rows that share that id (or have none) are told apart by a hash of all their columns, the
+    smallest stays, and of rows that are equal in all columns one. No other row of the component
+    stays, and no row of another component goes. An empty table gives no rows.
     """
-    found = simhash_components(df, id_col, text_col)
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = df.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(df.columns)
-    lone = df.filter(F.col(id_col).isNull())
-    return named if lone.isEmpty() else named.unionByName(lone.dropDuplicates([text_col]))
+    # The row goes along as one value, so that none of its names can clash.
+    hashed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_whole"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    docs = checkpoint(fingerprints(hashed, "_id", "_text", shingle, ("_row",)))
+    first = F.min(F.struct(F.col("_id").isNull().alias("lone"), F.col("_id").alias("id"), F.col("_row").alias("row")))
+    kept = least_of_components(docs, first, radius).select(F.col("least.id").alias("_kept"), F.col("least.row").alias("_kept_row")).distinct()
+    own = hashed.join(kept, (F.col("_row") == F.col("_kept_row")) & F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return own.dropDuplicates(["_id", "_row"]).select("_whole.*")

@@ -71,12 +71,13 @@ def planted(seed, n=400):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("small", [3, 256])
-def test_links_join_what_all_pairs_join(spark, small):
-    fps = planted(small)
+@pytest.mark.parametrize(("crowd", "held"), [(3, 16), (40, 1 << 17), (4096, 64)])
+def test_links_join_what_all_pairs_join(spark, crowd, held, monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", held)
+    fps = planted(crowd)
     signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    edges = simhash.links(df, per=50, small=small)  # a small limit deals crowded cells on
+    edges = simhash.links(df, crowd=crowd)  # a small limit deals crowded cells on
     roots = {r["fp"]: r["root"] for r in simhash.components(edges).collect()}
     want = naive_components(list(zip(signed, fps)))
     assert {x: roots.get(x, x) for x in signed} == want
@@ -89,6 +90,23 @@ def test_long_chain_is_one_component(spark):
     assert {r["root"] for r in simhash.components(edges).collect()} == {0}
 
 
+def test_blocks_leave_few_bits_open():
+    left = {(1 << 64) - 1}
+    for level in range(5):
+        masks = simhash.block_masks(level, 3)
+        assert sum(masks) == (1 << 64) - 1
+        left = {x & ~m for x in left for m in masks}
+    assert max(x.bit_count() for x in left) <= 11
+
+
+def test_one_row_of_each_component_stays(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    other = " ".join(f"v{i}" for i in range(400))
+    rows = [(5, base, "a"), (3, base, "b"), (3, other, "c"), (3, other, "c"), (None, base, "d"), (None, "lone text of no other", "e"), (None, "lone text of no other", "f"), (9, "unlike all of them here", "g")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _kept string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(3, base), (3, other), (None, "lone text of no other"), (9, "unlike all of them here")])
+
+
 def test_simhash_of_odd_rows(spark):
     got = simhash.simhash_components(odd(spark)).collect()
     assert len(got) == odd(spark).count()
