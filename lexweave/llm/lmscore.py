@@ -1,15 +1,15 @@
 """Operator 9: documents scored by masked pseudo-likelihood.
 
-A network sees the two words on either side of a masked place and predicts the word there: position
-by position embeddings are projected and summed, pass a tanh layer, and a softmax gives the word's
-class; within a class a word has its share of the corpus counts. The document's score is the sum of
-all its words' conditional log-probabilities.
+A network sees the two words on either side of a masked place and predicts the word there: the sides'
+embeddings (a table for each side) are summed and pass a tanh layer; a softmax gives the word's class
+and a second one, over the class's words, the word. The document's score is the sum of all its words'
+conditional log-probabilities.
 
 Counts cover all documents. The most frequent words are the vocabulary, in classes of about equal
 mass; all others fall into classes by their last letters, in which every distinct word is equally
-likely. The network is trained in numpy, by Adagrad: it starts on a bounded sample of documents, then
-every task goes on from there over all the documents it reads, and the tasks' networks are averaged,
-each word's embedding by how often a task saw the word.
+likely. Texts become word numbers once. The network is trained in numpy, by Adagrad: it starts on a
+bounded sample, then every task goes on from there over all the documents it reads, and the tasks'
+networks are averaged, each word's embeddings by how often a task saw the word.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, checkpoint, slices, words
@@ -37,31 +37,33 @@ WORDS = re.compile(WORD)
 SORT_PARTS = 16
 #: Words scored in one step.
 STEP = 1 << 15
-#: Words that a task holds at once in training, and numbers whose averages are made in one group.
+#: Words that a task holds at once in training, and words whose averages are made in one group.
 HELD, SLICE = 1 << 19, 256
+#: Tasks whose networks are averaged in one group; groups of groups follow.
+FAN = 64
 
 
 @dataclass(frozen=True)
 class Settings:
     """Words with counts of their own: ``vocabulary``, or ``vocabulary_share`` of the distinct words if that is more.
 
-    sample_docs (of ``longest_sample`` characters at most) and sample_words bound the start of the
-    training; ``pass_batch`` is the batch of the pass over all documents that follows.
+    sample_docs spans of ``sample_span`` words at most are the start of the training (``epochs``
+    with ``batch`` and ``rate``); the pass over all words of all documents that follows has
+    ``pass_batch`` and ``pass_rate``.
     """
 
     vocabulary: int = 8192
     vocabulary_share: float = 1 / 256
     own_classes: int = 64
     rare_classes: int = 32
-    dims: int = 24
     hidden: int = 32
     sample_docs: int = 2000
-    sample_words: int = 400_000
-    longest_sample: int = 50_000
+    sample_span: int = 200
     epochs: int = 2
     batch: int = 256
-    pass_batch: int = 1024
+    pass_batch: int = 8192
     rate: float = 0.1
+    pass_rate: float = 0.6
     seed: int = 11
 
 
@@ -71,34 +73,36 @@ def rare_class(word: str, classes: int) -> int:
 
 @dataclass
 class Model:
-    """Number 0 pads; 1 to V are the vocabulary; then one number a class of rare words."""
+    """Number 0 pads; 1 to V are the vocabulary, class by class; then one number a class of rare words.
+
+    ``params``: tables (side, number, hidden), lift, out, bias (of the classes), inner (number,
+    hidden and a last column for the bias); ``squares``: of the gradients, by parameter.
+    """
 
     numbers: dict[str, int]
     class_of: np.ndarray
-    share: np.ndarray  # log-probability of a number's word within its class
+    share: np.ndarray  # log-probability of a number's word within its class, by the counts
     rare_classes: int
     own_classes: int
-    embed: np.ndarray = field(default=None)
-    project: np.ndarray = field(default=None)  # side, dims, hidden
-    lift: np.ndarray = field(default=None)
-    out: np.ndarray = field(default=None)
-    bias: np.ndarray = field(default=None)
-    squares: list[np.ndarray] = field(default=None)  # of the gradients, by parameter
+    params: list[np.ndarray] = field(default_factory=list)
+    squares: list[np.ndarray] | None = None
 
     def number(self, word: str) -> int:
         n = self.numbers.get(word)
         return n if n is not None else len(self.numbers) + 1 + rare_class(word, self.rare_classes)
 
-    def ready(self) -> None:
-        """Each side's projection of each embedding, made once in a worker."""
-        self.sides = [(self.embed @ p).astype(np.float32) for p in self.project]
-        self.kept: dict[str, int] = {}
-        self.older: dict[str, int] = {}
+    def kind(self) -> np.dtype:
+        return np.dtype("<u2" if len(self.class_of) < 1 << 16 else "<u4")
 
-    def read(self, text: str | None) -> list[int]:
+    def ranges(self) -> np.ndarray:
+        """First number of each own class, and the end of the last."""
+        return np.searchsorted(self.class_of[1 : len(self.numbers) + 1], np.arange(self.own_classes + 1)) + 1
+
+    def read(self, text: str | None) -> np.ndarray:
         """Numbers of a text's words (ASCII white space parts them; lower case)."""
         if not hasattr(self, "kept"):
-            self.ready()
+            self.kept: dict[str, int] = {}
+            self.older: dict[str, int] = {}
         own = WORDS.findall((text or "").lower())
         kept = self.kept
         out = [kept.get(w, -1) for w in own]
@@ -111,36 +115,61 @@ class Model:
                     if len(self.kept) >= KEPT:
                         self.older, self.kept = self.kept, {}
                     self.kept[w] = n
-        return out
-
-    def class_chances(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden layer and logits from the numbers on the sides, one row a place."""
-        h = self.lift + sum(t[around[:, k]] for k, t in enumerate(self.sides))
-        h = np.tanh(h, out=h)
-        return h, h @ self.out + self.bias
+        return np.array(out, self.kind())
 
-    def log_likelihoods(self, many: list[list[int]]) -> np.ndarray:
+    def log_likelihoods(self, many: list[np.ndarray]) -> np.ndarray:
         """Sum of conditional log-probabilities of each number sequence."""
-        pad = max(SIDES)
-        lengths = np.array([len(x) for x in many])
-        flat = np.zeros(int(lengths.sum()) + pad * (len(many) + 1), np.int64)
-        starts = pad + np.concatenate([[0], np.cumsum(lengths + pad)[:-1]]) if len(many) else np.zeros(0, np.int64)
-        for s, x in zip(starts.tolist(), many, strict=True):
-            flat[s : s + len(x)] = x
+        tables, lift, out, bias, inner = self.params
+        lengths = np.array([len(x) for x in many], np.int64)
+        flat = padded(many)
         places = np.flatnonzero(flat)
         logs = np.empty(len(places))
+        first = self.ranges()
         for a in range(0, len(places), STEP):
             at = places[a : a + STEP]
-            _, z = self.class_chances(np.stack([flat[at + d] for d in SIDES], 1))
+            order = np.argsort(self.class_of[flat[at]].astype(np.uint16), kind="stable")
+            at = at[order]
             own = flat[at]
-            top = z.max(1)
-            total = np.log(np.exp(z - top[:, None]).sum(1)) + top
-            logs[a : a + STEP] = z[np.arange(len(at)), self.class_of[own]] - total + self.share[own]
+            cls = self.class_of[own]
+            h = hidden(tables, lift, flat, at)
+            got = picked(h @ out + bias, cls)
+            for c, lo, hi in by_class(cls, self.own_classes):
+                x = inner[first[c] : first[c + 1]]
+                got[lo:hi] += picked(h[lo:hi] @ x[:, :-1].T + x[:, -1], own[lo:hi] - first[c])
+            rare = np.searchsorted(cls, self.own_classes)
+            got[rare:] += self.share[own[rare:]]
+            logs[a + order] = got
         ends = np.cumsum(lengths)
         run = np.concatenate([[0.0], np.cumsum(logs)])
         return run[ends] - run[ends - lengths]
 
 
+def padded(many: list[np.ndarray]) -> np.ndarray:
+    """Sequences one behind the other, two pads between and around."""
+    gap = np.zeros(max(SIDES), np.int64)
+    return np.concatenate([gap, *(x for own in many for x in (own, gap))]).astype(np.int64)
+
+
+def hidden(tables: np.ndarray, lift: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    h = lift + tables[0][flat[at + SIDES[0]]]
+    for k in range(1, len(SIDES)):
+        h += tables[k][flat[at + SIDES[k]]]
+    return np.tanh(h, out=h)
+
+
+def picked(z: np.ndarray, gold: np.ndarray) -> np.ndarray:
+    """Log-probability of one column a row."""
+    top = z.max(1)
+    return z[np.arange(len(z)), gold] - top - np.log(np.exp(z - top[:, None]).sum(1))
+
+
+def by_class(cls: np.ndarray, classes: int) -> Iterator[tuple[int, int, int]]:
+    """Each class below ``classes`` that occurs, and where its rows begin and end; rows are in order of their class."""
+    edges = np.searchsorted(cls, np.arange(classes + 1))
+    for c in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        yield c, edges[c], edges[c + 1]
+
+
 def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
     """word, n over all documents; partial counts come before the shuffle."""
     return df.select(F.explode(words(F.lower(F.col(text_col)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -176,154 +205,224 @@ def fit_counts(df: DataFrame, s: Settings, text_col: str = "text") -> Model:
     return Model(numbers, class_of, share, s.rare_classes, s.own_classes)
 
 
-def descend(params: list[np.ndarray], squares: list[np.ndarray], class_of: np.ndarray, flat: np.ndarray, places: np.ndarray, batch: int, rate: float) -> None:
+def softmax_slope(z: np.ndarray, gold: np.ndarray, n: int) -> np.ndarray:
+    """Slope of the loss (of ``n`` places) at the logits, in their place."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    z[np.arange(len(z)), gold] -= 1
+    z /= np.float32(n)
+    return z
+
+
+def descend(m: Model, params: list[np.ndarray], squares: list[np.ndarray], flat: np.ndarray, places: np.ndarray, batch: int, rate: float) -> None:
     """Adagrad over the places in their order, in place."""
-    embed, project, lift, out, bias = params
-    sides, dims, hidden = project.shape
+    tables, lift, out, bias, inner = params
+    first = m.ranges()
+    rate = np.float32(rate)
+
+    def step(k: int, d: np.ndarray, rows=slice(None)) -> None:
+        q = squares[k][rows]
+        q += d * d
+        d /= np.sqrt(q)
+        d *= rate
+        params[k][rows] -= d
+
     for a in range(0, len(places), batch):
         at = places[a : a + batch]
-        around = flat[at[:, None] + np.array(SIDES)]
-        gold = class_of[flat[at]]
-        x = embed[around].reshape(len(at), sides * dims)
-        w = project.reshape(sides * dims, hidden)
-        h = np.tanh(x @ w + lift)
-        g = h @ out + bias
-        g -= g.max(1, keepdims=True)
-        np.exp(g, out=g)
-        g /= g.sum(1, keepdims=True)
-        g[np.arange(len(at)), gold] -= 1
-        g /= np.float32(len(at))
-        back = (g @ out.T) * (1 - h * h)
-        dx = (back @ w.T).reshape(-1, dims)
-        grads = [(x.T @ back).reshape(project.shape), back.sum(0), h.T @ g, g.sum(0)]
-        for p, q, d in zip(params[1:], squares[1:], grads, strict=True):
-            q += d * d
-            p -= rate * d / np.sqrt(q)
-        ids = around.ravel()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        ids, d = ids[starts], np.add.reduceat(dx[order], starts, axis=0)
-        d[ids == 0] = 0
-        q = squares[0][ids] + d * d
-        squares[0][ids] = q
-        embed[ids] -= rate * d / np.sqrt(q)
-
-
-def train(model: Model, texts: list[str], s: Settings) -> Model:
-    """Fit the network to the masked words of the texts."""
+        at = at[np.argsort(m.class_of[flat[at]].astype(np.uint16), kind="stable")]
+        own = flat[at]
+        cls = m.class_of[own]
+        h = hidden(tables, lift, flat, at)
+        g = softmax_slope(h @ out + bias, cls, len(at))
+        back = g @ out.T
+        x = np.hstack([h, np.ones((len(at), 1), np.float32)])
+        for c, lo, hi in by_class(cls, m.own_classes):
+            rows = slice(first[c], first[c + 1])
+            if rows.stop - rows.start < 2:
+                continue
+            z = softmax_slope(x[lo:hi] @ inner[rows].T, own[lo:hi] - rows.start, len(at))
+            back[lo:hi] += z @ inner[rows, :-1]
+            step(4, z.T @ x[lo:hi], rows)
+        back *= 1 - h * h
+        step(1, back.sum(0))
+        step(2, h.T @ g)
+        step(3, g.sum(0))
+        for k, side in enumerate(SIDES):
+            ids = flat[at + side]
+            order = np.argsort(ids.astype(np.uint16), kind="stable") if len(m.class_of) < 1 << 16 else np.argsort(ids, kind="stable")
+            ids = ids[order]
+            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            ids, d = ids[starts], np.add.reduceat(back[order], starts, axis=0)
+            if len(ids) and ids[0] == 0:
+                d[0] = 0  # pads stay zero
+            q = squares[0][k][ids] + d * d
+            squares[0][k][ids] = q
+            tables[k][ids] -= rate * d / np.sqrt(q)
+
+
+def train(model: Model, many: list[np.ndarray], s: Settings) -> Model:
+    """Fit a new network to the masked words of number sequences."""
     rng = np.random.default_rng(s.seed)
     size, classes = len(model.class_of), s.own_classes + s.rare_classes
-    model.embed = rng.normal(0, 0.1, (size, s.dims)).astype(np.float32)
-    model.embed[0] = 0
-    model.project = rng.normal(0, s.dims**-0.5, (len(SIDES), s.dims, s.hidden)).astype(np.float32)
-    model.lift = np.zeros(s.hidden, np.float32)
-    model.out = np.zeros((s.hidden, classes), np.float32)
-    model.ready()
-    flat: list[int] = [0, 0]
-    for t in texts:
-        flat += [*model.read(t), 0, 0]
-        if len(flat) > s.sample_words:
-            break
-    flat_ = np.array([*flat, 0, 0])
-    places = np.flatnonzero(flat_)
-    seen = np.bincount(model.class_of[flat_[places]], minlength=classes) + 1.0
-    model.bias = np.log(seen / seen.sum()).astype(np.float32)
-    params = [model.embed, model.project, model.lift, model.out, model.bias]
-    model.squares = [np.full(p.shape, 1e-2, np.float32) for p in params]
+    tables = rng.normal(0, 0.05, (len(SIDES), size, s.hidden)).astype(np.float32)
+    tables[:, 0] = 0
+    flat = padded(many)
+    places = np.flatnonzero(flat)
+    seen = np.bincount(model.class_of[flat[places]], minlength=classes) + 1.0
+    bias = np.log(seen / seen.sum()).astype(np.float32)
+    model.params = [tables, np.zeros(s.hidden, np.float32), np.zeros((s.hidden, classes), np.float32), bias, np.hstack([np.zeros((size, s.hidden)), model.share[:, None]]).astype(np.float32)]
+    model.squares = [np.full(p.shape, 1e-2, np.float32) for p in model.params]
     for _ in range(s.epochs):
         rng.shuffle(places)
-        descend(params, model.squares, model.class_of, flat_, places, s.batch, s.rate)
-    model.ready()
+        descend(model, model.params, model.squares, flat, places, s.batch, s.rate)
     return model
 
 
-def train_on_all(model: Model, df: DataFrame, s: Settings, text_col: str = "text") -> Model:
+def bare(model: Model) -> Model:
+    """Without what a worker has remembered."""
+    for name in ("kept", "older"):
+        model.__dict__.pop(name, None)
+    return model
+
+
+def encode(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and numbers (little-endian, 2 or 4 bytes a word) of every row's words; null texts have none. No shuffle."""
+    kind = df.schema[id_col].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(bare(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 256):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.read(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())], [id_col, "numbers"])
+
+    return df.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, numbers binary")
+
+
+def sampled(encoded: DataFrame, model: Model, s: Settings, id_col: str) -> list[np.ndarray]:
+    """Spans of the ``sample_docs`` documents with the smallest id hashes, each from a place that the hash gives."""
+    width = model.kind().itemsize
+    n = F.floor(F.octet_length("numbers") / width)
+    h = F.xxhash64(F.col(id_col), F.lit(s.seed))
+    at = F.floor(F.pmod(h, F.greatest(n - s.sample_span + 1, F.lit(1)))).cast("int") * width
+
+    def cut(at: Column) -> Column:
+        return F.substring(F.col("numbers"), at + 1, F.lit(s.sample_span * width))
+
+    rows = encoded.filter(F.octet_length("numbers") > 0).select(h.alias("h"), cut(at).alias("span")).orderBy("h", "span").limit(s.sample_docs).collect()
+    return [np.frombuffer(r["span"], model.kind()) for r in rows]
+
+
+def train_on_all(model: Model, encoded: DataFrame, s: Settings) -> Model:
     """Go on from a started network over all words of all documents, one pass.
 
-    Each task trains its own copy on its rows and gives it out in slices of the vocabulary with the
-    number of times it saw each word (a last slice has all that is no embedding); a shuffle by
-    slice averages them by these numbers, so the driver gets one network. Words that no task saw
-    beside another keep their embedding.
+    Each task trains its own copy on its rows and gives it out in slices of the vocabulary: a word's
+    embeddings with the number of times it saw the word, all else with its number of words. A
+    shuffle by slice averages them by these numbers, ``FAN`` tasks at a time, so no group grows with
+    the input and the driver gets one network. Words that no task saw beside another keep their
+    embeddings.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    seed, size = s.seed, len(model.class_of)
+    parts = encoded.rdd.getNumPartitions()
+    shared = encoded.sparkSession.sparkContext.broadcast(bare(model))
+    size = len(model.class_of)
+    schema = "slice long, part long, seen binary, own binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if not hasattr(m, "kept"):
-            m.kept, m.older = {}, {}
-        params = [p.copy() for p in (m.embed, m.project, m.lift, m.out, m.bias)]
-        squares = [q.copy() for q in m.squares]
+        params, squares = [p.copy() for p in m.params], [q.copy() for q in m.squares]
         part = TaskContext.get().partitionId()
-        rng = np.random.default_rng([seed, part])
+        rng = np.random.default_rng([s.seed, part])
         seen, total = np.zeros(size), 0
 
-        def learn(held: list[int]) -> int:
-            flat = np.array([0, 0, *held, 0, 0])
+        def learn(held: list[np.ndarray]) -> int:
+            flat = padded(held)
             places = np.flatnonzero(flat)
             for d in SIDES:
                 seen[:] += np.bincount(flat[places + d], minlength=size)
             rng.shuffle(places)
-            descend(params, squares, m.class_of, flat, places, s.pass_batch, s.rate)
+            descend(m, params, squares, flat, places, s.pass_batch, s.pass_rate)
             return len(places)
 
-        held: list[int] = []
+        held, n = [], 0
         for b in slices(batches, 256):
-            for text in b.column(0).to_pylist():
-                held += m.read(text)
-                held += (0, 0)
-                if len(held) >= HELD:
-                    total += learn(held)
-                    held = []
+            for own in b.column(0).to_pylist():
+                got = np.frombuffer(own, m.kind())
+                for a in range(0, len(got), HELD):  # a very long text in pieces
+                    held.append(got[a : a + HELD])
+                    n += len(held[-1])
+                    if n >= HELD:
+                        total += learn(held)
+                        held, n = [], 0
         total += learn(held)
         if not total:
             return
-        rest = np.concatenate([p.ravel() for p in params[1:]])
+        rest = np.concatenate([p.ravel() for p in params[1:4]])[None]
         rows = [(-1, np.array([total], float), rest)]
-        rows += [(k, seen[k : k + SLICE], params[0][k : k + SLICE]) for k in range(0, size, SLICE) if seen[k : k + SLICE].any()]
-        numbers, weights, values = zip(*[(k, n.astype(np.float64).tobytes(), v.astype(np.float32).tobytes()) for k, n, v in rows], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array(weights, pa.binary()), pa.array(values, pa.binary())], ["slice", "part", "seen", "own"])
+        for k in range(0, size, SLICE):
+            if seen[k : k + SLICE].any():
+                rows.append((k, seen[k : k + SLICE], params[0][:, k : k + SLICE].transpose(1, 0, 2).reshape(-1, params[0].shape[0] * params[0].shape[2])))
+            rows.append((-2 - k, np.full(len(params[4][k : k + SLICE]), total, float), params[4][k : k + SLICE]))
+        for k, w, v in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(v, np.float32).tobytes()], pa.binary())], ["slice", "part", "seen", "own"])
 
     def average(rows: pd.DataFrame) -> pd.DataFrame:
         total = mean = 0.0
-        for _, r in rows.sort_values("part").iterrows():
-            n = np.frombuffer(r["seen"], np.float64)
+        for r in rows.sort_values("part").itertuples():
+            n = np.frombuffer(r.seen, np.float64)
             total = total + n
-            mean = mean + n[:, None] * np.frombuffer(r["own"], np.float32).reshape(len(n), -1)
+            mean = mean + n[:, None] * np.frombuffer(r.own, np.float32).reshape(len(n), -1)
         mean = mean / np.maximum(total, 1)[:, None]
-        return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "seen": [total.tobytes()], "own": [mean.astype(np.float32).tobytes()]})
+        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "part": rows["part"].iloc[:1] // FAN, "seen": [total.tobytes()], "own": [mean.astype(np.float32).tobytes()]})
 
-    own = df.select(F.col(text_col).alias("_text")).mapInArrow(run, "slice long, part long, seen binary, own binary")
-    for r in own.groupBy("slice").applyInPandas(average, "slice long, seen binary, own binary").collect():
+    rows = encoded.select("numbers").mapInArrow(run, schema)
+    while parts > 1:
+        rows = rows.groupBy("slice", F.floor(F.col("part") / FAN).alias("_g")).applyInPandas(lambda own: average(own), schema)
+        parts = -(-parts // FAN)
+    for r in rows.toLocalIterator():
         n, v = np.frombuffer(r["seen"], np.float64), np.frombuffer(r["own"], np.float32)
-        if r["slice"] < 0:
+        k = r["slice"]
+        if k >= 0:
+            at = k + np.flatnonzero(n)
+            model.params[0][:, at] = v.reshape(len(n), len(SIDES), -1)[n > 0].transpose(1, 0, 2)
+        elif k == -1:
             upto = 0
-            for p in (model.project, model.lift, model.out, model.bias):
+            for p in model.params[1:4]:
                 p[:] = v[upto : upto + p.size].reshape(p.shape)
                 upto += p.size
         else:
-            at = r["slice"] + np.flatnonzero(n)
-            model.embed[at] = v.reshape(len(n), -1)[n > 0]
-    model.embed[0] = 0
+            model.params[4][-2 - k : -2 - k + len(n)] = v.reshape(len(n), -1)
+    model.params[0][:, 0] = 0
     model.squares = None
-    model.ready()
     return model
 
 
+def fit_numbers(model: Model, encoded: DataFrame, s: Settings, id_col: str) -> Model:
+    return train_on_all(train(model, sampled(encoded, model, s, id_col), s), encoded, s)
+
+
 def fit_lm(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Counts over all documents; the network first on the ``sample_docs`` with the smallest id hashes, then on all documents."""
+    """Counts over all documents; the network first on a sample of spans, then on all words of all documents.
+
+    The averages depend on the input's partitions. Null texts and ids are fine; an empty table gives
+    a model of no words.
+    """
     model = fit_counts(df, s, text_col)
-    # Hashes up to twice the sample's share are enough to sort.
-    share = min(1.0, 2 * s.sample_docs / max(df.count(), 1))
-    near = df.select(F.col(id_col).alias("_id")).filter(F.shiftrightunsigned(F.xxhash64("_id"), 11) <= F.lit(int(share * (1 << 53))))
-    ids = near.orderBy(F.shiftrightunsigned(F.xxhash64("_id"), 11), "_id").limit(s.sample_docs)
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids.distinct()), "_id").filter(F.length("_text") <= s.longest_sample).select(F.xxhash64("_id").alias("h"), "_text")
-    texts = [r["_text"] for r in rows.orderBy("h", "_text").limit(2 * s.sample_docs).collect()]
-    model = train(model, texts, s)
-    for name in ("sides", "kept", "older"):
-        model.__dict__.pop(name, None)
-    return train_on_all(model, df, s, text_col)
+    return fit_numbers(model, checkpoint(encode(df, model, id_col, text_col)), s, id_col)
+
+
+def score_numbers(encoded: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """``id_col``, n_words, log_likelihood, perplexity from ``encode``'s rows."""
+    kind = encoded.schema[id_col].dataType.simpleString()
+    shared = encoded.sparkSession.sparkContext.broadcast(bare(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in slices(batches, 256, 1 << 20):
+            many = [np.frombuffer(x, m.kind()) for x in b.column(1).to_pylist()]
+            n = np.array([len(x) for x in many], np.int64)
+            logs = m.log_likelihoods(many)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(logs), pa.array(np.exp(-logs / np.maximum(n, 1)))], [id_col, "n_words", "log_likelihood", "perplexity"])
+
+    return encoded.select(id_col, "numbers").mapInArrow(run, f"`{id_col}` {kind}, n_words long, log_likelihood double, perplexity double")
 
 
 def score_lm(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,17 +432,11 @@ def score_lm(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     are neither joined nor dropped; other columns are not read; no shuffle. The model (bounded by
     its settings) is broadcast.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    for name in ("sides", "kept", "older"):
-        model.__dict__.pop(name, None)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    return score_numbers(encode(df, model, id_col, text_col), model, id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in slices(batches, 256):
-            many = [m.read(x) for x in b.column(1).to_pylist()]
-            n = np.array([len(x) for x in many], np.int64)
-            logs = m.log_likelihoods(many)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(logs), pa.array(np.exp(-logs / np.maximum(n, 1)))], [id_col, "n_words", "log_likelihood", "perplexity"])
 
-    return df.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, n_words long, log_likelihood double, perplexity double")
+def lm_scores(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score_lm`` of every row by a model of these same rows (``fit_lm``); texts are read twice, once for the counts."""
+    model = fit_counts(df, s, text_col)
+    encoded = checkpoint(encode(df, model, id_col, text_col))
+    return score_numbers(encoded, fit_numbers(model, encoded, s, id_col), id_col)

@@ -71,8 +71,7 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked pseudo-likelihood of all documents."""
-    docs = table(spark, sf_dir, "documents")
-    return lmscore.score_lm(docs, lmscore.fit_lm(docs))
+    return lmscore.lm_scores(table(spark, sf_dir, "documents"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,41 +157,90 @@ def test_toxicity_of_odd_rows(spark, docs, labels, toxic):
 
 def test_lm_scores_as_by_brute_force(spark, sf):
     docs = documents(spark, sf)
-    s = lmscore.Settings(vocabulary=500, own_classes=8, rare_classes=4, sample_words=5000, sample_docs=50)
+    s = lmscore.Settings(vocabulary=500, own_classes=8, rare_classes=4, sample_docs=50)
     m = lmscore.fit_lm(docs, s)
     got = {r["doc_id"]: r for r in lmscore.score_lm(docs, m).collect()}
-    m.ready()
+    tables, lift, out, bias, inner = m.params
+    words = {n: w for w, n in m.numbers.items()}
     for r in docs.filter("n_chars < 3000").limit(15).collect():
-        ids = m.read(r["text"])
+        ids = m.read(r["text"]).tolist()
         total = 0.0
         for i, own in enumerate(ids):
             around = [ids[i + d] if 0 <= i + d < len(ids) else 0 for d in lmscore.SIDES]
-            z = np.tanh(m.lift + sum(m.embed[w] @ m.project[k] for k, w in enumerate(around))) @ m.out + m.bias
-            total += z[m.class_of[own]] - np.log(np.exp(z).sum()) + m.share[own]
+            h = np.tanh(lift + sum(tables[k][w] for k, w in enumerate(around)))
+            z = h @ out + bias
+            total += z[m.class_of[own]] - np.log(np.exp(z).sum())
+            if own in words:
+                mates = [n for n in words if m.class_of[n] == m.class_of[own]]
+                y = {n: h @ inner[n, :-1] + inner[n, -1] for n in mates}
+                total += y[own] - np.log(sum(np.exp(v) for v in y.values()))
+            else:
+                total += m.share[own]
         assert got[r["doc_id"]]["n_words"] == len(ids)
         assert got[r["doc_id"]]["log_likelihood"] == pytest.approx(total, rel=1e-3)
+    both = {r["doc_id"]: r["log_likelihood"] for r in lmscore.lm_scores(docs, s).collect()}
+    assert both == pytest.approx({i: r["log_likelihood"] for i, r in got.items()}, rel=1e-6)
+
+
+def test_lm_slopes_as_by_differences():
+    """The training's gradients against differences of the loss."""
+    rng = np.random.default_rng(4)
+    m = lmscore.Model({f"w{i}": i + 1 for i in range(6)}, np.array([0, 0, 0, 0, 1, 1, 1, 2]), np.zeros(8), 1, 2)
+    params = [rng.normal(0, 0.5, shape) for shape in ((4, 8, 3), (3,), (3, 3), (3,), (8, 4))]
+    params[0][:, 0] = 0
+    flat = lmscore.padded([np.array([1, 2, 3, 7, 4, 5, 6, 1, 1])])
+    places = np.flatnonzero(flat)
+    m.share = np.zeros(8)
+
+    def loss() -> float:
+        m.params = params
+        return -float(m.log_likelihoods([flat[2:-2]])[0]) / len(places)
+
+    before, old = loss(), [p.copy() for p in params]
+    squares = [np.ones(p.shape) * 1e12 for p in params]
+    lmscore.descend(m, params, squares, flat, places, 100, 1e6)  # a step is now the slope itself
+    slopes = [o - p for o, p in zip(old, params, strict=True)]
+    for p, o, slope in zip(params, old, slopes, strict=True):
+        for at in np.ndindex(p.shape):
+            if p is params[0] and at[1] == 0:
+                continue
+            for q, v in zip(params, old, strict=True):
+                q[...] = v
+            p[at] = o[at] + 1e-5
+            assert (loss() - before) / 1e-5 == pytest.approx(slope[at], abs=1e-4)
 
 
 def test_lm_prefers_text_to_shuffled_text(spark, docs):
     m = lmscore.fit_lm(docs, lmscore.Settings(vocabulary=2000, epochs=3))
-    m.ready()
     rng = np.random.default_rng(5)
     ids = [m.read(r["text"]) for r in docs.filter("n_chars between 500 and 5000").limit(60).collect()]
-    mixed = [rng.permutation(x).tolist() for x in ids]
+    mixed = [rng.permutation(x) for x in ids]
     assert np.mean(m.log_likelihoods(ids) > m.log_likelihoods(mixed)) > 0.8
     assert {(r["n_words"], r["log_likelihood"], r["perplexity"]) for r in lmscore.score_lm(odd(spark), m).filter("doc_id in (2, 3, 4)").collect()} == {(0, 0.0, 1.0)}
     assert lmscore.score_lm(empty(spark), lmscore.fit_lm(empty(spark))).count() == 0
+    assert lmscore.lm_scores(odd(spark)).count() == odd(spark).count()
 
 
-def test_lm_learns_from_all_documents(spark):
+def test_words_within_a_class_depend_on_their_context(spark):
+    """Two words of one class, each only beside its own neighbours: the second softmax tells them apart."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join("red apple falls" if rng.random() < 0.5 else "blue whale swims" for _ in range(200)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    m = lmscore.fit_lm(docs, lmscore.Settings(own_classes=1, rare_classes=1, pass_batch=256))
+    right, wrong = m.log_likelihoods([m.read("red apple falls"), m.read("red whale falls")])
+    assert right > wrong + 2
+
+
+def test_lm_learns_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "FAN", 2)  # averages of averages
     word = lambda i: f"w{i:03d}"
     texts = [" ".join(word(10 * i + j % 10) for j in range(60)) for i in range(30)] + [" ".join(word(900 + j % 10) for j in range(20_000))]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     s = lmscore.Settings(sample_docs=1)
     m = lmscore.fit_lm(docs, s)
-    start = np.random.default_rng(s.seed).normal(0, 0.1, m.embed.shape).astype(np.float32)
+    start = np.random.default_rng(s.seed).normal(0, 0.05, m.params[0].shape).astype(np.float32)
     assert len(m.numbers) == 310
-    assert all(np.abs(m.embed[n] - start[n]).max() > 0 for n in m.numbers.values())
+    assert all(np.abs(m.params[0][:, n] - start[:, n]).max() > 0 for n in m.numbers.values())
 
 
 def test_vocabulary_follows_the_distinct_words(spark):
