@@ -45,7 +45,11 @@ FAN = 64
 
 @dataclass(frozen=True)
 class Settings:
-    """Words with counts of their own: ``vocabulary``, or ``vocabulary_share`` of the distinct words if that is more.
+    """Words with counts of their own: ``vocabulary``, or ``vocabulary_root`` times the root of the number of distinct words if that is more.
+
+    ``own_classes`` is for 8,192 words and grows with the root of the vocabulary, so that a class
+    has about as many words as there are classes. The network, which the driver holds, so follows
+    the root of the distinct words (some 60 MB for 10^9 of them).
 
     sample_docs spans of ``sample_span`` words at most are the start of the training (``epochs``
     with ``batch`` and ``rate``); the pass over all words of all documents that follows has
@@ -53,7 +57,7 @@ class Settings:
     """
 
     vocabulary: int = 8192
-    vocabulary_share: float = 1 / 256
+    vocabulary_root: float = 4.0
     own_classes: int = 64
     rare_classes: int = 32
     hidden: int = 32
@@ -181,7 +185,7 @@ def fit_counts(df: DataFrame, s: Settings, text_col: str = "text") -> Model:
     # A histogram of the counts tells from which count on words can be frequent, so that only those are sorted.
     sizes = sorted(((r["b"], r["count"]) for r in counts.groupBy(bucket(F.col("n")).alias("b")).count().collect()), reverse=True)
     upto = np.cumsum([c for _, c in sizes])
-    most = max(s.vocabulary, int(s.vocabulary_share * sum(c for _, c in sizes)))
+    most = max(s.vocabulary, int(s.vocabulary_root * sum(c for _, c in sizes) ** 0.5))
     least = next((b for (b, _), total in zip(sizes, upto.tolist(), strict=True) if total >= most), 0)
     frequent = counts.filter(F.col("n") >= least).repartition(SORT_PARTS, "word")
     top = [(r["word"], r["n"]) for r in frequent.orderBy(F.desc("n"), "word").limit(most).collect()]
@@ -198,11 +202,12 @@ def fit_counts(df: DataFrame, s: Settings, text_col: str = "text") -> Model:
         types[r["c"]] += r["types"]
     n = np.array([x for _, x in top], float)
     mass = np.cumsum(np.sqrt(n)) / max(np.sqrt(n).sum(), 1e-9)
-    own = np.minimum((mass * s.own_classes).astype(np.int64), s.own_classes - 1) if len(n) else np.zeros(0, np.int64)
-    class_of = np.concatenate([[0], own, s.own_classes + np.arange(s.rare_classes)])
-    in_class = np.bincount(own, n, s.own_classes)
+    classes = max(s.own_classes, int(s.own_classes * (len(n) / 8192) ** 0.5))
+    own = np.minimum((mass * classes).astype(np.int64), classes - 1) if len(n) else np.zeros(0, np.int64)
+    class_of = np.concatenate([[0], own, classes + np.arange(s.rare_classes)])
+    in_class = np.bincount(own, n, classes)
     share = np.concatenate([[0.0], np.log(n / in_class[own]) if len(n) else [], -np.log(types)])
-    return Model(numbers, class_of, share, s.rare_classes, s.own_classes)
+    return Model(numbers, class_of, share, s.rare_classes, classes)
 
 
 def softmax_slope(z: np.ndarray, gold: np.ndarray, n: int) -> np.ndarray:
@@ -264,7 +269,7 @@ def descend(m: Model, params: list[np.ndarray], squares: list[np.ndarray], flat:
 def train(model: Model, many: list[np.ndarray], s: Settings) -> Model:
     """Fit a new network to the masked words of number sequences."""
     rng = np.random.default_rng(s.seed)
-    size, classes = len(model.class_of), s.own_classes + s.rare_classes
+    size, classes = len(model.class_of), model.own_classes + model.rare_classes
     tables = rng.normal(0, 0.05, (len(SIDES), size, s.hidden)).astype(np.float32)
     tables[:, 0] = 0
     flat = padded(many)
