@@ -246,4 +246,4 @@ def test_lm_learns_from_all_documents(spark, monkeypatch):
 def test_vocabulary_follows_the_distinct_words(spark):
     docs = spark.createDataFrame([(i, f"a{i} a{i} b{i}") for i in range(100)], "doc_id long, text string")
     assert len(lmscore.fit_counts(docs, lmscore.Settings(vocabulary=10, vocabulary_root=7.1)).numbers) == 100
-    assert len(lmscore.fit_counts(docs, lmscore.Settings(vocabulary=10)).numbers) == 10
+    assert len(lmscore.fit_counts(docs, lmscore.Settings(vocabulary=10, vocabulary_root=0.5)).numbers) == 10
