@@ -73,22 +73,38 @@ def side(role: Column) -> Column:
     return F.when(F.lower(role).rlike(PROVIDER), "provider_side").when(F.lower(role).rlike(CUSTOMER), "customer_side").otherwise("unknown")
 
 
+#: How clauses write quantities, in falling priority of their kinds. White space includes the no-break space.
+GAP = r"[\s\x{A0}\x{202F}]"
+COUNT = rf"(?:\d+|\w+{GAP}*\(\d+\))"
+QUANTITIES = [
+    ("dollars", rf"\${GAP}*\d[\d,]*(?:\.\d+)?{GAP}*(?:million|m|billion|b)?"),
+    ("net", rf"\bnet(?:{GAP}|-)+\d+\b"),
+    ("days", rf"\b{COUNT}{GAP}+(?:(?:calendar|business){GAP}+)?days?\b"),
+    ("months", rf"\b{COUNT}{GAP}+months?\b"),
+    ("years", rf"\b{COUNT}{GAP}+(?:calendar{GAP}+)?years?\b"),
+    ("percent", rf"\d+(?:\.\d+)?{GAP}*%"),
+]
+SCALES = {"million": 1e6, "m": 1e6, "billion": 1e9, "b": 1e9}
+
+
 def quantity(text: Column) -> Column:
-    """struct(value, kind) of the first kind found: dollars, days, months, years, percent; null if there is none."""
-    s = F.lower(text)
-    part = lambda p, g: F.nullif(F.regexp_extract(s, p, g), F.lit(""))
-    dollars = r"\$\s*([\d,]+(?:\.\d+)?)\s*(million|m|billion|b)?"
-    scale = F.when(F.regexp_extract(s, dollars, 2).isin("million", "m"), 1e6).when(F.regexp_extract(s, dollars, 2).isin("billion", "b"), 1e9).otherwise(1.0)
-    counted = lambda unit: F.coalesce(part(rf"\b(?:(\d+)|\w+\s*\((\d+)\))\s+(?:calendar\s+|business\s+)?{unit}s?\b", 1), part(rf"\b(?:(\d+)|\w+\s*\((\d+)\))\s+(?:calendar\s+|business\s+)?{unit}s?\b", 2))
-    found = [
-        (F.replace(part(dollars, 1), F.lit(","), F.lit("")).cast("double") * scale, "dollars"),
-        (part(r"\bnet[\s-]+(\d+)\b", 1), "days"),
-        (counted("day"), "days"),
-        (counted("month"), "months"),
-        (counted("year"), "years"),
-        (part(r"(\d+(?:\.\d+)?)\s*%", 1), "percent"),
-    ]
-    return F.coalesce(*[F.when(v.isNotNull(), F.struct(v.cast("double").alias("value"), F.lit(k).alias("kind"))) for v, k in found])
+    """struct(value, kind) of the first kind found: dollars, days, months, years, percent; null if there is none.
+
+    A text with a digit is searched once, for all kinds; what follows reads the short matches only.
+    """
+    found = F.regexp_extract_all(F.lower(text), F.lit("|".join(f"({p})" for _, p in QUANTITIES)), F.lit(0))
+
+    def told(m: Column) -> Column:
+        number = F.regexp_extract(m, r"\d[\d,]*(?:\.\d+)?", 0)
+        unit = F.regexp_extract(m, r"[a-z]*$", 0)
+        scale = F.when(m.startswith("$"), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv]), unit), F.lit(1.0))).otherwise(1.0)
+        rank = F.when(m.startswith("$"), 0).when(m.startswith("net"), 1).when(m.endswith("%"), 5).when(unit.startswith("day"), 2).when(unit.startswith("month"), 3).otherwise(4)
+        return F.struct(rank.alias("rank"), F.replace(number, F.lit(","), F.lit("")).try_cast("double").alias("n"), scale.alias("scale"))
+
+    kinds = F.array(*map(F.lit, ["dollars", "days", "days", "months", "years", "percent"]))
+    # The first match of the best rank: a lambda over one element names it once.
+    best = F.transform(F.slice(F.array_sort(F.transform(found, lambda m, i: F.struct(told(m)["rank"].alias("rank"), i.alias("i"), m.alias("m")))), 1, 1), lambda x: F.struct((told(x["m"])["n"] * told(x["m"])["scale"]).alias("value"), F.get(kinds, x["rank"]).alias("kind")))
+    return F.when(text.rlike("[0-9]"), F.get(best, F.lit(0)))
 
 
 def with_direction(edits: DataFrame, category: str = "category", role: str = "role", source: str = "source_text", proposed: str = "proposed_text") -> DataFrame:

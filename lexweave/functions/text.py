@@ -34,18 +34,30 @@ def looks_garbled(text: Column) -> Column:
     return (F.length(text) >= 80) & (total >= 60) & (letters * 100 < total * 45)
 
 
+def code_point(n: Column) -> Column:
+    """The character of a code point; U+FFFD for surrogates, zero and what is out of range."""
+    valid = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(F.coalesce(valid, F.lit(False)), n).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+
 def decode_entities(text: Column) -> Column:
-    """Decimal and hexadecimal character references (16 bits) and the named ones of ENTITIES."""
-    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 4, "0")), "UTF-16BE")
-    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,5});"), F.lit(1)))
-    out = F.aggregate(numbers, text, lambda a, d: F.replace(a, F.concat(F.lit("&#"), d, F.lit(";")), letter(d)))
-    codes = F.array_distinct(F.regexp_extract_all(out, F.lit("&#x([0-9a-fA-F]{1,4});"), F.lit(1)))
-    out = F.aggregate(codes, out, lambda a, d: F.replace(a, F.concat(F.lit("&#x"), d, F.lit(";")), letter(F.conv(d, 16, 10))))
-    return reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), ENTITIES.items(), out)
+    """Decimal and hexadecimal character references and the named ones of ENTITIES. Surrogate pairs written as two references are one character."""
+    number = lambda x: F.coalesce(F.when(x.startswith("x") | x.startswith("X"), F.conv(F.substring(x, 2, 20), 16, 10)).otherwise(x).try_cast("long"), F.lit(0))
+    reference = r"&#([0-9]{1,9}|[xX][0-9a-fA-F]{1,8});"
+    high, low = r"(?:5529[6-9]|55[3-9]\d\d|56[0-2]\d\d|563[01]\d|[xX][dD][89abAB][0-9a-fA-F]{2})", r"(?:5632\d|563[3-9]\d|56[4-9]\d\d|57[0-2]\d\d|573[0-3]\d|5734[0-3]|[xX][dD][c-fC-F][0-9a-fA-F]{2})"
+    pairs = F.array_distinct(F.regexp_extract_all(text, F.lit(f"&#{high};&#{low};"), F.lit(0)))
+    both = lambda p: F.transform(F.regexp_extract_all(p, F.lit(reference), F.lit(1)), number)
+    joined = lambda p: F.aggregate(both(p), F.lit(0).cast("long"), lambda a, x: a * 1024 + F.when(x < 0xDC00, x - 0xD800).otherwise(x - 0xDC00)) + 0x10000
+    out = F.aggregate(pairs, text, lambda a, p: F.replace(a, p, code_point(joined(p))))
+    single = F.array_distinct(F.regexp_extract_all(out, F.lit(reference), F.lit(1)))
+    out = F.aggregate(single, out, lambda a, x: F.replace(a, F.concat(F.lit("&#"), x, F.lit(";")), code_point(number(x))))
+    out = F.when(text.contains("&#"), out).otherwise(text)
+    return F.when(text.contains("&"), reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), ENTITIES.items(), out)).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:
     """Scripts, styles and tags go, block ends become line ends, entities are decoded, white space is evened out."""
+    # The steps.
     steps = [
         (r"(?is)<script\b[^>]*>.*?</script\s*>", " "),
         (r"(?is)<style\b[^>]*>.*?</style\s*>", " "),
@@ -135,9 +147,10 @@ def tolerant_json(text: Column) -> Column:
 
 
 def numbered_values(entries: Column) -> Column:
-    """Values of a map's keys that are numbers, in order of the numbers; other keys and null values go."""
+    """Values of a map's keys that are numbers, in order of the numbers, however long; other keys and null values go."""
     own = F.filter(F.map_entries(entries), lambda e: e["key"].rlike(r"\A\d+\z") & e["value"].isNotNull())
-    return F.transform(F.array_sort(F.transform(own, lambda e: F.struct(e["key"].cast("decimal(38,0)").alias("n"), e["value"].alias("v")))), lambda e: e["v"])
+    plain = lambda k: F.regexp_replace(k, r"\A0+(?=\d)", "")
+    return F.transform(F.array_sort(F.transform(own, lambda e: F.struct(F.length(plain(e["key"])).alias("l"), plain(e["key"]).alias("k"), e["value"].alias("v")))), lambda e: e["v"])
 
 
 JSON_PARTS = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\Z)|[][{},]', re.S)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def zero_filled_counts(parents: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Parents with a count column for each kind of child; children are counted before they are joined."""
@@ -59,6 +61,24 @@ def resolve_links(links: DataFrame, kinds: dict[str, tuple[DataFrame, str, str]]
     return reduce(DataFrame.unionByName, parts)
 
 
+def fuzzy_names(names: DataFrame, name: str) -> DataFrame:
+    """(name, other): names whose words are matched by another in two, or in their only one; not symmetric.
+
+    Words are ranked by how many names have them. Two names with two words in common share one that
+    is not the most frequent of either, so only the others of each are met; a name of one word meets
+    all that have it. Candidates are then counted in full.
+    """
+    words = names.select(name, text.name_tokens(F.col(name)).alias("_t")).filter(F.size("_t") > 0)
+    each = words.select(name, "_t", F.explode("_t").alias("_word"))
+    counts = each.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = each.join(counts, "_word").withColumn("_from_last", F.row_number().over(Window.partitionBy(name).orderBy(F.desc("_n"), F.desc("_word"))))
+    other = ranked.select(F.col(name).alias("other"), F.col("_t").alias("_u"), "_word", F.col("_from_last").alias("_their"))
+    several = ranked.filter((F.size("_t") > 1) & (F.col("_from_last") > 1)).join(other.filter("_their > 1"), "_word")
+    single = ranked.filter(F.size("_t") == 1).join(other, "_word")
+    met = several.select(name, "_t", "other", "_u").union(single.select(name, "_t", "other", "_u")).filter(F.col(name) != F.col("other"))
+    return met.filter(F.size(F.array_intersect("_t", "_u")) >= F.least(F.lit(2), F.size("_t"))).select(name, "other").distinct()
+
+
 def grid(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Each row once for every review column (a short list), with the column's index."""
     return rows.select("*", F.posexplode(F.array(*map(F.lit, columns))).alias("column_index", "column_name"))

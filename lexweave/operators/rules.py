@@ -116,10 +116,29 @@ RULES = [
 ]
 
 
+TOLD = ("rule_id", "severity", "category", "rule_cite", "message")
+
+
 def flags(cites: DataFrame, rules: list[Rule] = RULES, kind: str = "kind", text: str = "text") -> DataFrame:
-    """A row for each rule that a citation breaks, with all of the citation's columns."""
-    found = [F.when(r.hit(F.col(kind), F.col(text)), F.struct(*[F.lit(v).alias(n) for n, v in (("rule_id", r.id), ("severity", r.severity), ("category", r.category), ("rule_cite", r.cite), ("message", r.message))], (r.fix(F.col(text)) if r.fix else F.lit(None).cast("string")).alias("suggested_fix"))) for r in rules]
-    return cites.withColumn("_f", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull()))).select(*cites.columns, "_f.*")
+    """A row for each rule that a citation breaks, with all of the citation's columns.
+
+    A citation is tried only against the rules of its kind and gives their numbers; what a rule says
+    is joined from a table of the rules, and its fix is made for what it broke.
+    """
+    k, t = F.col(kind), F.col(text)
+    numbered = list(enumerate(rules))
+    hits = lambda own: F.array_compact(F.array(*[F.when(r.hit(k, t), F.lit(n)) for n, r in own])) if own else F.array().cast("array<int>")
+    general = [(n, r) for n, r in numbered if not r.kinds]
+    by_kind = F.lit(None).cast("array<int>")
+    for name in sorted({x for r in rules for x in r.kinds}):
+        by_kind = F.when(k == name, hits([(n, r) for n, r in numbered if name in r.kinds])).otherwise(by_kind)
+    broken = cites.withColumn("_n", F.explode(F.concat(F.coalesce(by_kind, F.array().cast("array<int>")), hits(general))))
+    fix = F.lit(None).cast("string")
+    for n, r in numbered:
+        if r.fix:
+            fix = F.when(F.col("_n") == n, r.fix(t)).otherwise(fix)
+    told = cites.sparkSession.createDataFrame([(n, r.id, r.severity, r.category, r.cite, r.message) for n, r in numbered], "_n int, " + ", ".join(f"{c} string" for c in TOLD))
+    return broken.withColumn("suggested_fix", fix).join(F.broadcast(told), "_n").select(*cites.columns, *TOLD, "suggested_fix")  # a row a rule
 
 
 def reporter_currency(cites: DataFrame, reporters: DataFrame) -> DataFrame:

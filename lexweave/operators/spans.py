@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Reporters and patterns of citations.
-REPORTERS = ["U.S.", "S. Ct.", "L. Ed. 2d", "F.", "F.2d", "F.3d", "F.4th", "F. Supp.", "F. Supp. 2d", "F. Supp. 3d"]
-NAMES = "(?:" + "|".join(re.escape(r) for r in sorted(REPORTERS, key=len, reverse=True)) + ")"
+#: Reporters as patterns, with the forms that lack periods or spaces, and patterns of citations.
+REPORTERS = [
+    r"U\.S\.", r"S\. ?Ct\.", r"L\. ?Ed\. ?2d", r"L\. ?Ed\.", r"F\.4th", r"F\.3d", r"F\.2d", r"F\.", r"Fed\. ?App'?x\.", r"F\. ?Supp\. ?3d", r"F\. ?Supp\. ?2d", r"F\. ?Supp\.", r"F\.R\.D\.", r"B\.R\.", r"Bankr\.", r"T\.C\.",
+    r"A\.3d", r"A\.2d", r"A\.", r"P\.3d", r"P\.2d", r"P\.", r"N\.E\.3d", r"N\.E\.2d", r"N\.E\.", r"N\.W\.3d", r"N\.W\.2d", r"N\.W\.", r"S\.E\.2d", r"S\.E\.", r"S\.W\.3d", r"S\.W\.2d", r"S\.W\.", r"So\. ?3d", r"So\. ?2d", r"So\.",
+    r"Cal\. ?Rptr\. ?3d", r"Cal\. ?Rptr\. ?2d", r"Cal\. ?Rptr\.", r"Cal\. ?App\. ?5th", r"Cal\. ?App\. ?4th", r"Cal\. ?App\. ?3d", r"Cal\. ?App\. ?2d", r"Cal\. ?App\.", r"Cal\. ?5th", r"Cal\. ?4th", r"Cal\. ?3d", r"Cal\. ?2d", r"Cal\.",
+    r"N\.Y\.3d", r"N\.Y\.2d", r"N\.Y\.", r"A\.D\.3d", r"A\.D\.2d", r"A\.D\.", r"N\.Y\.S\.3d", r"N\.Y\.S\.2d", r"N\.Y\.S\.", r"Misc\. ?3d", r"Misc\. ?2d", r"Misc\.", r"Tex\.", r"Ill\. ?2d", r"Ill\. ?App\. ?3d", r"Ill\.", r"Mass\. ?App\. ?Ct\.", r"Mass\.",
+    r"Eng\. ?Rep\.", r"Ex\.", r"U\.S(?!\.)", "US", r"F\.?\s?2d", r"F\.?\s?3d", r"F\.?\s?4th",
+]
+NAMES = "(?:" + "|".join(sorted(REPORTERS, key=len, reverse=True)) + ")"
 STATES = r"(?:Cal\.|N\.Y\.|Tex\.|Fla\.|Mass\.|Ill\.|Ohio|Pa\.|Va\.|Mich\.|Ga\.|N\.C\.|N\.J\.|Conn\.|Md\.|Wash\.|Or\.|Colo\.|Ariz\.|Ind\.|Tenn\.|Mo\.|Wis\.|Minn\.)"
 PATTERNS = {
-    "reporter": rf"\b\d{{1,4}}\s+{NAMES}\s+\d{{1,5}}(?:[-–—,]\s*\d{{1,5}})*",
+    "reporter": rf"\b\d{{1,4}}\s+{NAMES}\s+\d{{1,5}}(?!d\b|th\b)(?:[-–—,]\s*\d{{1,5}})*",
     "unreported": r"\b\d{4}\s+(?:WL|U\.S\. App\. LEXIS|LEXIS)\s+\d+(?:,\s+at\s+\*\d+)?(?:\s*\([^)]{0,100}\))?",
     "short_case": rf"\b[A-Z][A-Za-z\-']{{1,80}}(?:,?\s+[A-Z][A-Za-z\-']{{1,80}}){{0,3}},\s+\d{{1,4}}\s+{NAMES}\s+at\s+\d{{1,5}}(?:[\-,]\s*\d{{1,5}})?",
     "usc": r"\b\d{1,3}\s+(?:U\.S\.C\.|USC)\s+(?:§{1,2}\s?)?[\d\-().a-zA-Z]+",
@@ -75,21 +82,36 @@ def one_of_each(spans: DataFrame, doc: str, order: list[Column]) -> DataFrame:
 
 
 def by_priority(groups: list[DataFrame], doc: str) -> DataFrame:
-    """Spans of groups in falling priority; one within a kept span of a higher group is dropped."""
-    kept = groups[0].withColumn("priority", F.lit(0))
-    for n, low in enumerate(groups[1:], 1):
-        high = kept.select(F.col(doc).alias("_doc"), F.col("start").alias("_a"), F.col("end").alias("_b"))
-        inside = (F.col(doc) == F.col("_doc")) & (F.col("_a") <= F.col("start")) & (F.col("_b") >= F.col("end"))
-        kept = kept.unionByName(low.join(high, inside, "left_anti").withColumn("priority", F.lit(n)))
-    return kept
-
-
-def partial_overlaps(high: DataFrame, low: DataFrame, doc: str, key: str) -> DataFrame:
-    """Pairs of spans that overlap without the lower one lying within the higher."""
-    h = high.select(F.col(doc).alias("_doc"), F.col(key).alias(f"high_{key}"), F.col("start").alias("_a"), F.col("end").alias("_b"))
-    meets = (F.col(doc) == F.col("_doc")) & (F.col("_a") < F.col("end")) & (F.col("start") < F.col("_b"))
+    """Spans of groups in falling priority; one within a kept span of a higher group is dropped.
+
+    What lies within a dropped span lies within the kept one above it, so all higher spans may be
+    asked: a span is within one if the farthest end of those that begin no later reaches its own.
+    One sort of each document, no join of spans with spans.
+    """
+    both = reduce(DataFrame.unionByName, [g.withColumn("priority", F.lit(n)) for n, g in enumerate(groups)])
+    before = Window.partitionBy(doc).orderBy("start", "priority").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for n in range(len(groups) - 1):
+        both = both.withColumn(f"_reach{n}", F.max(F.when(F.col("priority") == n, F.col("end"))).over(before))
+    within = reduce(lambda a, n: a | ((F.col("priority") > n) & F.coalesce(F.col(f"_reach{n}") >= F.col("end"), F.lit(False))), range(len(groups) - 1), F.lit(False))
+    return both.filter(~within).drop(*[f"_reach{n}" for n in range(len(groups) - 1)])
+
+
+def partial_overlaps(high: DataFrame, low: DataFrame, doc: str, key: str, width: int = 64) -> DataFrame:
+    """Pairs of spans that overlap without the lower one lying within the higher.
+
+    Spans meet in the bins of ``width`` places that both touch, and count in the first of these, so
+    only near spans of a document are compared.
+    """
+
+    def binned(df: DataFrame) -> DataFrame:
+        last = F.greatest(F.col("end") - 1, F.col("start"))
+        return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(last / width))))
+
+    h = binned(high).select(F.col(doc).alias("_doc"), F.col("_bin").alias("_their"), F.col(key).alias(f"high_{key}"), F.col("start").alias("_a"), F.col("end").alias("_b"))
+    meets = (F.col("_a") < F.col("end")) & (F.col("start") < F.col("_b"))
     within = (F.col("_a") <= F.col("start")) & (F.col("_b") >= F.col("end"))
-    return low.join(h, meets & ~within).select(doc, f"high_{key}", F.col(key).alias(f"low_{key}"))
+    once = F.col("_bin") == F.floor(F.greatest("start", "_a") / width)
+    return binned(low).join(h, (F.col(doc) == F.col("_doc")) & (F.col("_bin") == F.col("_their")) & once & meets & ~within).select(doc, f"high_{key}", F.col(key).alias(f"low_{key}"))
 
 
 def with_state(spans: DataFrame, doc: str, order: list[Column], name: str, is_full: Column) -> DataFrame:

@@ -85,12 +85,20 @@ TOKENS_SQL = "SELECT p_name, LIST_DISTINCT(LIST_FILTER(STRING_SPLIT(REGEXP_REPLA
 
 @query(f"WITH n AS ({TOKENS_SQL}) SELECT a.p_name AS name, b.p_name AS other FROM n a JOIN n b ON LEN(LIST_INTERSECT(a.t, b.t)) >= LEAST(2, LEN(a.t)) WHERE a.p_name <> b.p_name")
 def txt_fuzzy_join(spark: SparkSession, d: str) -> DataFrame:
-    """Names that match in two words or their only one: words meet in an equi-join, then are counted."""
-    names = table(spark, d, "part").select("p_name").distinct().withColumn("t", text.name_tokens(F.col("p_name")))
-    words = names.select("p_name", F.size("t").alias("n"), F.explode("t").alias("word"))
-    other = words.select(F.col("p_name").alias("other"), "word")
-    met = words.join(other, "word").filter(F.col("p_name") != F.col("other")).groupBy("p_name", "other", "n").agg(F.count(F.lit(1)).alias("common"))
-    return met.filter(F.col("common") >= F.least(F.lit(2), F.col("n"))).select(F.col("p_name").alias("name"), "other")
+    """Names that match in two words or their only one: they meet by their rarest words, then are counted."""
+    return relations.fuzzy_names(table(spark, d, "part").select("p_name").distinct(), "p_name").select(F.col("p_name").alias("name"), "other")
+
+
+@query(r"""
+WITH n AS (SELECT name, LIST_DISTINCT(LIST_FILTER(STRING_SPLIT(REGEXP_REPLACE(LOWER(name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: LENGTH(w) >= 3)) AS t
+  FROM (SELECT DISTINCT p_name || ' v. ' || p_type AS name FROM part UNION SELECT DISTINCT 'In re ' || p_type FROM part))
+SELECT a.name, b.name AS other FROM n a JOIN n b ON LEN(LIST_INTERSECT(a.t, b.t)) >= LEAST(2, LEN(a.t)) AND LEN(a.t) > 0 WHERE a.name <> b.name
+""")
+def txt_fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
+    """The same over names of cases that do match."""
+    parts = table(spark, d, "part")
+    names = parts.select(F.concat("p_name", F.lit(" v. "), "p_type").alias("name")).union(parts.select(F.concat(F.lit("In re "), "p_type"))).distinct()
+    return relations.fuzzy_names(names, "name")
 
 
 @query(f"""

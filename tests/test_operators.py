@@ -245,3 +245,47 @@ def test_nearest_of_many_queries(spark):
         want[q] = all_[:7]
     assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
     assert len(got) >= 6 and retrieval.nearest_of_each(df, df.limit(0), 7).count() == 0
+
+
+def test_quantities_of_odd_texts(spark):
+    rows = ["pay $, then", "pay $, then $5", "$1,250.50 million", "$3 billion", "Net 30", "net-45 days", "6 calendar months", "6 calendar years", "thirty (30) business days", "99.9 %", "none", None, "$" + ",".join(["999"] * 200), "5" * 400 + " days", "2 years or 10 days"]
+    got = [r["q"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, t string").select("i", legal.quantity(F.col("t")).alias("q")).orderBy("i").collect()]
+    plain = [(q["value"], q["kind"]) if q else None for q in got]
+    assert plain[:12] == [None, (5.0, "dollars"), (1250.5e6, "dollars"), (3e9, "dollars"), (30.0, "days"), (45.0, "days"), None, (6.0, "years"), (30.0, "days"), (99.9, "percent"), None, None]
+    assert plain[14] == (10.0, "days")
+
+
+def test_character_references(spark):
+    cases = {"&#55357;&#56832;": "😀", "&#xD83D;&#xDE00;": "😀", "&#128512;": "😀", "&#x1F600;": "😀", "&#55357;": "�", "&#99999;": chr(99999), "&#1114112;": "�", "&#0;": "�", "&#999999999;": "�", "a &#65;&amp;&lt;": "a A&<", "&#38;lt;": "<", "no": "no", None: None}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.decode_entities(F.col("t")).alias("d")).collect()
+    assert {r["t"]: r["d"] for r in got} == cases
+
+
+def test_long_numbers_as_keys(spark):
+    keys = ["9" * 45, "10", "009", "1" + "0" * 44]
+    got = spark.createDataFrame([({k: k for k in keys} | {"x": "x"},)], "m map<string, string>").select(text.numbered_values(F.col("m")).alias("v")).first()["v"]
+    assert got == ["009", "10", "1" + "0" * 44, "9" * 45]
+
+
+def test_span_joins_as_by_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(d, i, a, a + rng.choice([0, 1, 5, 30, 300]), rng.randrange(3)) for d in range(4) for i, a in enumerate(rng.choices(range(200), k=40))]
+    df = spark.createDataFrame(rows, "doc int, i int, start int, end int, p int")
+    kept = []
+    for d, i, a, b, p in sorted(rows, key=lambda r: r[4]):
+        if not any(k[0] == d and k[4] < p and k[2] <= a and k[3] >= b for k in kept):
+            kept.append((d, i, a, b, p))
+    got = spans.by_priority([df.filter(F.col("p") == p) for p in range(3)], "doc")
+    assert sorted((r["doc"], r["i"], r["p"]) for r in got.collect()) == sorted((d, i, p) for d, i, _, _, p in kept)
+    pairs = sorted((x[0], y[1], x[1]) for x in rows for y in rows if x[4] == 1 and y[4] == 0 and x[0] == y[0] and y[2] < x[3] and x[2] < y[3] and not (y[2] <= x[2] and y[3] >= x[3]))
+    got = spans.partial_overlaps(df.filter("p = 0"), df.filter("p = 1"), "doc", "i", width=16)
+    assert sorted((r["doc"], r["high_i"], r["low_i"]) for r in got.collect()) == pairs
+
+
+def test_reporters_and_their_forms(spark):
+    cites = ["12 N.E.2d 34", "10 P.3d 20", "45 So. 3d 67", "100 Cal. App. 4th 12", "1 S.Ct. 2", "556 US 662", "466 U.S 408", "123 F. 3d 456", "9 Ex. 341", "5 Ill. App. 3d 77", "3 Mass. App. Ct. 8", "123 F.3d 456, 460-61"]
+    df = spark.createDataFrame([(i, f"see {c} (1999).") for i, c in enumerate(cites)], "i int, t string")
+    got = {r["i"]: r["text"] for r in spans.extract(df, "i", "t", {"reporter": spans.PATTERNS["reporter"]}).collect()}
+    assert [got.get(i) for i in range(len(cites))] == cites
