@@ -117,3 +117,11 @@ def fill(lists: list[DataFrame], key: str, k: int) -> DataFrame:
 def boost(hits: DataFrame, member: Column, k: int, key: str) -> DataFrame:
     """Scores of members times 1.3, then sorted again."""
     return hits.withColumn("score", F.when(member, F.col("score") * MATTER_FACTOR).otherwise(F.col("score"))).orderBy(F.desc("score"), key).limit(k)
+
+
+def keyword_limited(chunks: DataFrame, item: str, index: str, id_col: str, hit: Column, k: int) -> DataFrame:
+    """Chunks that a keyword is in, with ``score`` 1: the first min(500, 4 k) by index, of these the first of each item, of these k."""
+    order = [F.col(index), F.col(id_col)]
+    few = chunks.filter(hit).orderBy(*order).limit(min(500, 4 * k))
+    firsts = few.withColumn("_n", F.row_number().over(Window.partitionBy(item).orderBy(*order))).filter("_n = 1").drop("_n")
+    return firsts.orderBy(*order).limit(k).withColumn("score", F.lit(1.0))

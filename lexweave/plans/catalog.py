@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import incremental, relational, retrieval, textual  # noqa: F401
+from . import desk, incremental, relational, retrieval, textual  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "rel_tracker_cases"
