@@ -14,7 +14,6 @@ networks are averaged, each word's embeddings by how often a task saw the word.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,13 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, slices, words
+from .common import checkpoint, slices, words
 from .quality import bucket
 
 SIDES = (-2, -1, 1, 2)
 #: Words whose numbers a worker remembers in each of two generations.
 KEPT = 300_000
-WORDS = re.compile(WORD)
 #: Tasks that each send at most a vocabulary of words to the driver.
 SORT_PARTS = 16
 #: Words scored in one step.
@@ -105,9 +103,9 @@ class Model:
     def read(self, text: str | None) -> np.ndarray:
         """Numbers of a text's words (ASCII white space parts them; lower case)."""
         if not hasattr(self, "kept"):
-            self.kept: dict[str, int] = {}
-            self.older: dict[str, int] = {}
-        own = WORDS.findall((text or "").lower())
+            self.kept: dict[bytes, int] = {}
+            self.older: dict[bytes, int] = {}
+        own = (text or "").lower().encode("utf-8", "surrogatepass").split()  # bytes part at ASCII white space only
         kept = self.kept
         out = [kept.get(w, -1) for w in own]
         if -1 in out:
@@ -115,7 +113,7 @@ class Model:
                 if n < 0:
                     w = own[i]
                     n = self.older.get(w, -1)
-                    out[i] = n = self.number(w) if n < 0 else n
+                    out[i] = n = self.number(w.decode("utf-8", "surrogatepass")) if n < 0 else n
                     if len(self.kept) >= KEPT:
                         self.older, self.kept = self.kept, {}
                     self.kept[w] = n
@@ -155,9 +153,9 @@ def padded(many: list[np.ndarray]) -> np.ndarray:
 
 
 def hidden(tables: np.ndarray, lift: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    h = lift + tables[0][flat[at + SIDES[0]]]
+    h = lift + np.take(tables[0], flat[at + SIDES[0]], axis=0)
     for k in range(1, len(SIDES)):
-        h += tables[k][flat[at + SIDES[k]]]
+        h += np.take(tables[k], flat[at + SIDES[k]], axis=0)
     return np.tanh(h, out=h)
 
 
@@ -214,9 +212,8 @@ def softmax_slope(z: np.ndarray, gold: np.ndarray, n: int) -> np.ndarray:
     """Slope of the loss (of ``n`` places) at the logits, in their place."""
     z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    z[np.arange(len(z)), gold] -= 1
-    z /= np.float32(n)
+    z /= n * z.sum(1, keepdims=True)
+    z[np.arange(len(z)), gold] -= 1 / n
     return z
 
 
@@ -258,7 +255,7 @@ def descend(m: Model, params: list[np.ndarray], squares: list[np.ndarray], flat:
             order = np.argsort(ids.astype(np.uint16), kind="stable") if len(m.class_of) < 1 << 16 else np.argsort(ids, kind="stable")
             ids = ids[order]
             starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            ids, d = ids[starts], np.add.reduceat(back[order], starts, axis=0)
+            ids, d = ids[starts], np.add.reduceat(np.take(back, order, axis=0), starts, axis=0)
             if len(ids) and ids[0] == 0:
                 d[0] = 0  # pads stay zero
             q = squares[0][k][ids] + d * d
