@@ -143,7 +143,7 @@ def flags(cites: DataFrame, rules: list[Rule] = RULES, kind: str = "kind", text:
 
 def reporter_currency(cites: DataFrame, reporters: DataFrame) -> DataFrame:
     """Cites whose year is outside their reporter's years: cites have (reporter, year), reporters (reporter, since, until or null)."""
-    known = cites.join(F.broadcast(reporters), "reporter")  # a table of reporters is some hundred rows
+    known = cites.join(reporters, "reporter")
     return known.filter((F.col("year") < F.col("since")) | (F.col("year") > F.coalesce("until", F.lit(9999)))).select(cites.columns)
 
 

@@ -71,7 +71,7 @@ def rel_page_with_total(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT n_name AS facet_value, COUNT(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name IS NOT NULL AND n_name <> '' GROUP BY 1")
 def agg_court_facet(spark: SparkSession, d: str) -> DataFrame:
     """Facet counts of courts."""
-    return listing.facet(table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")), "n_name")
+    return listing.facet(table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")), "n_name")
 
 
 @query("""
@@ -322,7 +322,7 @@ def agg_fixed_categories(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part")
     counts = parts.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
     total = parts.agg(F.count(F.lit(1)).alias("total"))
-    rows = kinds.join(F.broadcast(counts), F.col("kind") == F.col("p_type"), "left").join(F.broadcast(total), F.lit(True))
+    rows = kinds.join(counts, F.col("kind") == F.col("p_type"), "left").join(F.broadcast(total), F.lit(True))
     n = F.coalesce("n", F.lit(0))
     return rows.select("kind", "pos", n.alias("n"), F.when(F.col("total") == 0, "0%").otherwise(F.concat(F.floor(n * 100 / F.col("total") + 0.5).cast("string"), F.lit("%"))).alias("share"))
 
