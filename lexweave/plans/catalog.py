@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import abbreviations, desk, incremental, relational, retrieval, textual  # noqa: F401
+from . import abbreviations, desk, incremental, relational, retrieval, scanners, textual  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "rel_tracker_cases"
