@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import name_tokens
 from .spans import NAMES
 
 #: How far a name is looked for, what ends a sentence before it, leads into it, joins its words, and names a matter without parties.
@@ -135,3 +136,29 @@ def name_flags(cites: DataFrame) -> DataFrame:
     ]
     hits = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules]))
     return cites.withColumn("rule_id", F.explode(hits))
+
+
+def duplicate_names(new: DataFrame, known: DataFrame, key: str, name: str, order: str) -> DataFrame:
+    """``key`` and existing: for each new case the first known one, by ``order``, with three words of the name in common or 80 % of the smaller set.
+
+    So as many words as the smaller set has are shared, three at most. Both sides meet by their
+    rarest words for each such number, known names with the same words once, so that no frequent
+    word brings all its names together. Names without words match nothing; nulls neither.
+    """
+    first = known.select(F.array_sort(name_tokens(F.col(name))).alias("_words"), F.struct(F.col(order).alias("_at"), F.col(name).alias("_name")).alias("_known")).filter(F.size("_words") > 0).groupBy("_words").agg(F.min("_known").alias("_known"))
+    mine = new.select(F.col(key), F.array_sort(name_tokens(F.col(name))).alias("_words")).filter(F.size("_words") > 0)
+    often = first.select(F.explode("_words").alias("_word")).groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+
+    def keyed(df: DataFrame, own: list[str]) -> DataFrame:
+        ranked = df.withColumn("_word", F.explode("_words")).join(often, "_word")  # a word that no known name has brings none together
+        rarest = ranked.groupBy(*own, "_words").agg(F.array_sort(F.collect_list(F.struct("_n", "_word"))).alias("_rare"))
+        sizes = rarest.withColumn("_need", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.size("_words")))))
+        # Of |words| - need + 1 rarest ones, those that no known name has (and so are rarest) are already gone.
+        left = F.size("_words") - F.col("_need") + 1 - (F.size("_words") - F.size("_rare"))
+        return sizes.filter(left > 0).withColumn("_word", F.explode(F.slice("_rare", F.lit(1), left)["_word"]))
+
+    theirs = keyed(first, ["_known"]).select("_need", "_word", "_known", F.col("_words").alias("_their"))
+    met = keyed(mine, [key]).join(theirs, ["_need", "_word"])
+    enough = F.col("_need") == F.least(F.lit(3), F.size("_words"), F.size("_their"))
+    same = met.filter(enough & (F.size(F.array_intersect("_words", "_their")) >= F.col("_need")))
+    return same.groupBy(key).agg(F.min("_known")["_name"].alias("existing"))

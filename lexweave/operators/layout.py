@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,3 +34,35 @@ def node_ranges(nodes: DataFrame, doc: str, order: list[str], length: Column, st
     at = nodes.withColumn("_len", length).withColumn("_at", F.coalesce(F.sum("_len").over(before), F.lit(0)))
     cut = at.withColumn("from", F.greatest(start, F.col("_at")) - F.col("_at")).withColumn("to", F.least(stop, F.col("_at") + F.col("_len")) - F.col("_at"))
     return cut.filter(F.col("to") > F.col("from")).drop("_len", "_at")
+
+
+def stacked(items: DataFrame, page: str, order: list[str], y: str, height: str, text: str, eol: str) -> DataFrame:
+    """``page``, line (from 0), y and content of the lines that items in order make, for ``paragraphs``.
+
+    An item stays on the line whose first item is at most 40 % of the line's height (at least 2)
+    above or below it; so each line follows from the one before, and a page's items go to one task
+    in order: a group is a page. Items without text that end no line are left out. A null height or
+    0 is the line's before, at first 12; a null place is 0.
+    """
+    keep = items.filter((F.coalesce(F.col(text), F.lit("")) != "") | F.coalesce(F.col(eol), F.lit(False)))
+    plain = keep.select(F.col(page), F.struct(*order).alias("_order"), F.coalesce(F.col(y).cast("double"), F.lit(0.0)).alias("_y"), F.coalesce(F.col(height).cast("double"), F.lit(0.0)).alias("_h"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    of_page = plain.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("_order", "_y", "_h", "_t"))).alias("_items"))
+    kind = items.schema[page].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            ids, numbers, places, contents = [], [], [], []
+            for key, own in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                lines = []
+                for item in own:
+                    at, high = item["_y"], item["_h"]
+                    line = lines[-1] if lines else None
+                    if line and abs(line[0] - at) <= max(2.0, (line[1] or high or 12) * 0.4):
+                        line[2].append(item["_t"])
+                    else:
+                        lines.append((at, high or (line[1] if line else 12), [item["_t"]]))
+                for n, (at, _, parts) in enumerate(lines):
+                    ids.append(key), numbers.append(n), places.append(at), contents.append(" ".join(parts))
+            yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in ids], batch.column(0).type), pa.array(numbers, pa.int32()), pa.array(places, pa.float64()), pa.array(contents, pa.string())], [page, "line", "y", "content"])
+
+    return of_page.select(page, F.transform("_items", lambda x: F.struct(x["_y"].alias("_y"), x["_h"].alias("_h"), x["_t"].alias("_t"))).alias("_items")).mapInArrow(run, f"`{page}` {kind}, line int, y double, content string")

@@ -610,3 +610,12 @@ SELECT p_partkey, 1.0::DOUBLE AS score FROM m WHERE rn = 1 ORDER BY p_size, p_pa
 def vec_keyword_limited(spark: SparkSession, d: str) -> DataFrame:
     """Keyword search as a vault does it: at most min(500, 4 k) chunks by index, the first of each item, k of these."""
     return retrieval.keyword_limited(table(spark, d, "part"), "p_name", "p_size", "p_partkey", F.lower("p_name").contains("red"), 10).select("p_partkey", "score")
+
+
+@query("SELECT c_custkey, 'Party' || s_suppkey || ' Holding' || (s_suppkey % 10) AS existing FROM customer JOIN supplier ON s_suppkey = c_custkey % 30 WHERE c_custkey % 30 % 10 = c_custkey % 7")
+def rel_duplicate_names(spark: SparkSession, d: str) -> DataFrame:
+    """New cases that a known one's name tells already: both words of the shorter name in common."""
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    new = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("Party"), (k % 30).cast("string"), F.lit(" v. Extra, Holding"), (k % 7).cast("string")).alias("name"))
+    known = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("Party"), s.cast("string"), F.lit(" Holding"), (s % 10).cast("string")).alias("name"))
+    return cases.duplicate_names(new, known, "c_custkey", "name", "s_suppkey")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import legal, text
@@ -471,6 +471,17 @@ def win_gap_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return layout.paragraphs(lines, "l_orderkey", LINE_ORDER, "l_quantity", "t")
 
 
+@query("""
+WITH o AS (SELECT l_orderkey, l_returnflag || l_linenumber AS t, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS n FROM lineitem)
+SELECT l_orderkey, (n // 2)::INT AS line, (700 - 20 * (n // 2))::DOUBLE AS y, STRING_AGG(t, ' ' ORDER BY n) AS content FROM o GROUP BY l_orderkey, n // 2
+""")
+def win_stacked_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Items of pages stacked into lines by their heights: two a line, the second a little lower."""
+    items = table(spark, d, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)) - 1)
+    items = items.select("l_orderkey", "n", (700 - 20 * F.floor(F.col("n") / 2) - 3 * (F.col("n") % 2)).alias("y"), F.lit(12.0).alias("height"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("t"), F.lit(False).alias("eol"))
+    return layout.stacked(items, "l_orderkey", ["n"], "y", "height", "t", "eol")
+
+
 @query("""
 WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS n, COALESCE(SUM(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS y, l_orderkey % 20 AS x FROM lineitem)
 SELECT l_orderkey, l_linenumber, GREATEST(x, y) - y AS "from", LEAST(x + 40, y + n) - y AS "to" FROM a WHERE LEAST(x + 40, y + n) > GREATEST(x, y)
