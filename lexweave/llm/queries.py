@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lmscore, mixing, packing, quality, simhash, toxicity, urlfilter, winnow
+from . import bpe, dialogue, langid, lloyd, lmscore, mixing, neighbours, packing, quality, simhash, toxicity, urlfilter, winnow
 from .common import held_out, table
 
 
@@ -79,6 +79,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every hundredth embedding, among all rows."""
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all embeddings after three rounds."""
+    found = lloyd.cluster(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of all conversations after damage."""
+    return dialogue.repaired_digests(dialogue.damaged(table(spark, sf_dir, "conversations")))
+
+
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 SQL_op5_mixing = rf"""
@@ -188,6 +205,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged j LEFT JOIN limits o ON o.lang IS NOT DISTINCT FROM j.lang AND o.source IS NOT DISTINCT FROM j.source
 """
 
+SQL_op11_neighbours = """
+WITH used AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND LEN(LIST_FILTER(embedding, lambda c: c IS NULL OR NOT ISFINITE(c))) = 0
+    AND LEN(LIST_FILTER(embedding, lambda c: c <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, SQRT(LIST_REDUCE(LIST_TRANSFORM(RANGE(1, LEN(q.x) + 1), lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i])), lambda a, b: a + b)) AS score
+  FROM used q JOIN used c ON q.vec_id % 100 = 0 AND LEN(q.x) = LEN(c.x) AND (q.vec_id <> c.vec_id OR q.x <> c.x))
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs) WHERE rank <= 10
+"""
+
+
+def _lloyd_sql(rounds: int = 3) -> str:
+    """Rounds as common table expressions: all are alike."""
+    squared = "LIST_SUM(LIST_TRANSFORM(RANGE(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))::BIGINT"
+    steps = ""
+    for n in range(rounds + 1):
+        steps += f""",
+near{n} AS (
+  SELECT n, ANY_VALUE(vec_id) AS vec_id, ANY_VALUE(k.v) AS v, MIN({{'d': {squared}, 'c': cluster}}) AS best
+  FROM kept k CROSS JOIN c{n} c GROUP BY n)"""
+        if n < rounds:
+            steps += f""",
+sums{n} AS (
+  SELECT cluster, LIST((total - (total % many + many) % many) // many ORDER BY i)::BIGINT[] AS v
+  FROM (SELECT best.c AS cluster, i, SUM(v[i])::BIGINT AS total, COUNT(*) AS many FROM near{n}, RANGE(1, 65) r(i) GROUP BY ALL) GROUP BY cluster),
+c{n + 1} AS (SELECT cluster, COALESCE(s.v, c.v) AS v FROM c{n} c LEFT JOIN sums{n} s USING (cluster))"""
+    return f"""
+WITH kept AS (
+  SELECT ROW_NUMBER() OVER () AS n, vec_id, LIST_TRANSFORM(embedding, lambda x: FLOOR(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE LEN(embedding) = 64 AND LEN(LIST_FILTER(embedding, lambda c: c IS NULL OR NOT ISFINITE(c))) = 0),
+c0 AS (
+  SELECT ROW_NUMBER() OVER (ORDER BY SHA256('1:' || vec_id), v) - 1 AS cluster, v FROM kept QUALIFY cluster < 16){steps}
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, (SUM(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+  (SUM(best.d) OVER ())::BIGINT AS inertia, SHA256(ARRAY_TO_STRING(c.v, ',')) AS centroid_sha256
+FROM near{rounds} JOIN c{rounds} c ON c.cluster = best.c
+"""
+
+
+SQL_op12_lloyd = _lloyd_sql()
+
 
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
