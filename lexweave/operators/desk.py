@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bands
+
 #: Severities and choices that comparisons know, and their defaults.
 CHANGES = (["addition", "deletion", "modification", "equivalent"], "modification")
 SEVERITIES = (["high", "medium", "low", "info"], "medium")
@@ -67,10 +69,16 @@ def to_one(rows: DataFrame, key: str, others: DataFrame, other_key: str, fields:
 
 
 def page_at(offsets: DataFrame, doc: str, offset: str, pages: DataFrame, start: str) -> DataFrame:
-    """Offsets with the number (from 1) of the page they lie on; starts of a document's pages are one short array."""
-    starts = pages.groupBy(doc).agg(F.array_sort(F.collect_list(start)).alias("_starts"))
-    found = offsets.join(starts, doc, "left")
-    return found.withColumn("page", F.size(F.filter("_starts", lambda s: s <= F.col(offset)))).drop("_starts")
+    """Offsets with the number (from 1) of the page they lie on: the last start that is not behind them; 0 before the first.
+
+    Offsets and starts of a document stand in one order, so no offset meets all starts. Pages that
+    start at one place count each. Null without pages, for a null offset 0.
+    """
+    nth = F.row_number().over(Window.partitionBy(doc).orderBy(start))
+    known = pages.filter(F.col(start).isNotNull()).select(F.col(doc), F.col(start), nth.alias("page"))
+    paged = pages.select(F.col(doc)).distinct().withColumn("_paged", F.lit(True))
+    found = bands.last_at(offsets, doc, offset, known, start, ["page"]).join(paged, doc, "left")
+    return found.withColumn("page", F.when(F.col("_paged"), F.coalesce("page", F.lit(0)))).drop("_paged")
 
 
 def status_label(broken: Column, review: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import abbreviations, desk, incremental, relational, retrieval, scanners, short_forms, textual  # noqa: F401
+from . import abbreviations, desk, entities, incremental, relational, retrieval, scanners, search, short_forms, textual  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "rel_tracker_cases"
