@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,77 +12,91 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import name_tokens
+from . import sentences
+from .abbreviations import CASE_WORDS
 from .spans import NAMES
 
 #: How far a name is looked for, what ends a sentence before it, leads into it, joins its words, and names a matter without parties.
 LOOK_BACK, LOOK_AHEAD = 250, 100
 REPORTER = re.compile(rf"\b(\d{{1,4}})\s+({NAMES})\s+(\d{{1,5}})(?!d\b|th\b)(?:[-–—,]\s*\d{{1,5}})*")
-SENTENCE_END = re.compile(r"[.;]\s+|\n+")
-LAST_WORD = re.compile(r"([A-Za-z][A-Za-z']*)$")
+BREAKS = re.compile(r"[.;]\s+|\n+")
+DOTTED = re.compile(r"[A-Za-z]\.[A-Za-z]\.[A-Za-z]\Z")
+CLOSED = re.compile(r"[.!?][\")”’»]")
 LEAD = re.compile(r"(?:see also|see, e\.g\.|see|but see|but cf|cf|contra|compare|accord|e\.g\.|with|and)\.?,?\s+", re.I)
-VERSUS = re.compile(r"\s+(?:v\.|v\b|vs\.|vs\b)\s+")
+#: The last party's words as ``kind_of`` tells them: capitals, a joining word behind one, and marks of other names.
+PARTY = re.compile(r"(?:cj?|w)*\Z")
 MATTER = re.compile(r"\b(?:In re|Ex parte|In the Matter of|Matter of|Petition of|Application of|Estate of)\b\s+[A-Z]")
 CONNECTORS = {"of", "the", "and", "&", "in", "for", "to", "on", "by", "de", "la", "el", "du", "des"}
 WITHIN_PARTY = {"d/b/a", "d.b.a.", "d.b.a", "dba", "f/k/a", "f.k.a.", "f.k.a", "fka", "n/k/a", "n.k.a.", "n.k.a", "nka", "a/k/a", "a.k.a.", "a.k.a", "aka", "ex", "rel.", "rel", "parte"}
 LEAD_WORDS = {"see", "cf.", "cf", "contra", "compare", "accord", "e.g.", "with", "and", "but"}
 PARENTHESIS = re.compile(r"(?:\s+n\.\s*\d+[a-z]?)?\s*\(([^)]{0,80}?)(\d{4})[^)]{0,40}\)")
-#: Words whose period ends no sentence before a case, beside single letters.
-ABBREVIATED = {
-    *string.ascii_uppercase, *"""
-v vs rel ex Co Inc Corp Ltd Bros Cir Mfg Mfr Univ Bd Educ Hosp St Jr Sr Mr Mrs Ms Dr Ass'n Comm'n Dep't Indus Indem Mach Servs Tech Sec Ins Inv Med Pharm Loc Cnty Mun Cal Fla Tex Mass Ill Wash Va Pa Md Conn Mich Wisc Wis Minn Mo Ky Tenn Ga Ala Miss
-La Ark Okla Kan Neb Mont Wyo Colo Ariz Nev Or Vt Me Del Haw Conf Cong Const Const'l Crim Civ App Evid Stat Ann Rev Reg No Nos Supp Ct Ed Wheat Cranch Pet Dall How Wall Cl Cls Acad Admin Agric Am Assoc Atl Auth Auto Ave Bankr Bhd Bus Cas Cent Chem
-Cmty Coll Comm Comp Consol Constr Coop Cos Ctr Def Dev Dir Dist Distrib Div Econ Elec Emp Enter Envtl Equip Exch Exec Fed Fid Fin Found Gen Grp Guar Hous Imp Info Inst Liab Litig Maint Metro Mgmt Mkt Mktg Mortg Mut Nat Org Pac Prod Prop Prot Pub Rd
-Ry Sav Sch Sci Soc Sur Sys Tel Telecomm Transp Twp Util Vill Broad
-""".split()
-}
+#: Words whose period ends no sentence before a case, beside single letters and the short forms of case words.
+OTHERS = [
+    "v", "vs", "rel", "ex", "Cir", "Jr", "Sr", "Mr", "Mrs", "Ms", "Dr", "Servs", "Cal", "Fla", "Tex", "Mass", "Ill", "Wash", "Va", "Pa", "Md", "Conn",
+    "Mich", "Wisc", "Wis", "Minn", "Mo", "Ky", "Tenn", "Ga", "Ala", "Miss", "La", "Ark", "Okla", "Kan", "Neb", "Iowa", "Idaho", "Mont", "Wyo", "Colo",
+    "Ariz", "Nev", "Or", "Vt", "Me", "Del", "Haw", "Const", "Const'l", "Crim", "Civ", "App", "Evid", "Stat", "Ann", "Rev", "Reg", "Nos", "Supp", "Ct",
+    "Ed", "Wheat", "Cranch", "Pet", "Dall", "How", "Black", "Wall", "Cl", "Cls",
+]
+ABBREVIATED = {*string.ascii_uppercase, *OTHERS, *(short.rstrip(".") for short in CASE_WORDS.values())}
 #: Years of reporters, from and to (none: still appearing).
-YEARS = """
-U.S.|1790|; S. Ct.|1882|; L. Ed.|1790|1956; L. Ed. 2d|1956|; F.|1880|1924; F.2d|1924|1993; F.3d|1993|2021; F.4th|2021|; F. Supp.|1932|1998; F. Supp. 2d|1998|2014; F. Supp. 3d|2014|; F.R.D.|1938|; B.R.|1979|; T.C.|1942|; Fed. Cl.|1992|;
-A.|1885|1938; A.2d|1938|2010; A.3d|2010|; P.|1883|1931; P.2d|1931|2000; P.3d|2000|; N.E.|1885|1936; N.E.2d|1936|2014; N.E.3d|2014|; N.W.|1879|1942; N.W.2d|1942|2024; N.W.3d|2024|; S.E.|1887|1939; S.E.2d|1939|; S.W.|1886|1928; S.W.2d|1928|2000; S.W.3d|2000|; So.|1887|1941; So. 2d|1941|2008; So. 3d|2008|;
-Cal.|1850|1934; Cal. 2d|1934|1969; Cal. 3d|1969|1991; Cal. 4th|1991|2016; Cal. 5th|2016|; Cal. App.|1905|1934; Cal. App. 2d|1934|1969; Cal. App. 3d|1969|1991; Cal. App. 4th|1991|2016; Cal. App. 5th|2016|; N.Y.|1847|1956; N.Y.2d|1956|2004; N.Y.3d|2004|; A.D.|1896|1956; A.D.2d|1956|2004; A.D.3d|2004|
-"""
+YEARS = [
+    ("U.S.", 1790, None), ("S. Ct.", 1882, None), ("L. Ed.", 1790, 1956), ("L. Ed. 2d", 1956, None), ("F.", 1880, 1924), ("F.2d", 1924, 1993),
+    ("F.3d", 1993, 2021), ("F.4th", 2021, None), ("F. Supp.", 1932, 1998), ("F. Supp. 2d", 1998, 2014), ("F. Supp. 3d", 2014, None),
+    ("F.R.D.", 1938, None), ("B.R.", 1979, None), ("T.C.", 1942, None), ("Fed. Cl.", 1992, None), ("A.", 1885, 1938), ("A.2d", 1938, 2010),
+    ("A.3d", 2010, None), ("P.", 1883, 1931), ("P.2d", 1931, 2000), ("P.3d", 2000, None), ("N.E.", 1885, 1936), ("N.E.2d", 1936, 2014),
+    ("N.E.3d", 2014, None), ("N.W.", 1879, 1942), ("N.W.2d", 1942, 2024), ("N.W.3d", 2024, None), ("S.E.", 1887, 1939), ("S.E.2d", 1939, None),
+    ("S.W.", 1886, 1928), ("S.W.2d", 1928, 2000), ("S.W.3d", 2000, None), ("So.", 1887, 1941), ("So. 2d", 1941, 2008), ("So. 3d", 2008, None),
+    ("Cal.", 1850, 1934), ("Cal. 2d", 1934, 1969), ("Cal. 3d", 1969, 1991), ("Cal. 4th", 1991, 2016), ("Cal. 5th", 2016, None),
+    ("Cal. App.", 1905, 1934), ("Cal. App. 2d", 1934, 1969), ("Cal. App. 3d", 1969, 1991), ("Cal. App. 4th", 1991, 2016),
+    ("Cal. App. 5th", 2016, None), ("N.Y.", 1847, 1956), ("N.Y.2d", 1956, 2004), ("N.Y.3d", 2004, None), ("A.D.", 1896, 1956), ("A.D.2d", 1956, 2004),
+    ("A.D.3d", 2004, None),
+]
 SCHEMA = "ordinal int, start int, end int, name string, volume int, reporter string, page int, court string, year int, text string"
 
 
-def name_start(text: str, at: int) -> int:
-    """Where the case name before a reporter's place begins; ``at`` itself if there is none."""
-    low = max(0, at - LOOK_BACK)
-    for m in SENTENCE_END.finditer(text, low, at):
-        before = text[max(low, m.start() - 12) : m.start()]
-        word = LAST_WORD.search(before)
-        if text[m.start()] == "\n" or not (word and (word[1] in ABBREVIATED or re.search(r"[A-Za-z]\.[A-Za-z]\.[A-Za-z]$", before))):
-            low = m.end()
-    if lead := LEAD.match(text, low, at):
-        low = lead.end()
-    if v := VERSUS.search(text, low, at):
-        return party_start(text, low, v.start(), at)
-    matters = list(MATTER.finditer(text, low, at))
-    return matters[-1].start() if matters else at
-
-
-def party_start(text: str, low: int, end: int, none: int) -> int:
-    """The first word of the party that ends at ``end``: capital words, words that join them, and marks of other names, from right to left."""
-    words = [(m.start(), m[0], m[0].rstrip(",;:")) for m in re.finditer(r"\S+", text[low:end])]
-    first = none
-    for k in range(len(words) - 1, -1, -1):
-        at, raw, word = words[k]
-        small = word.lower()
-        if re.search(r"[.!?][\")”’»]", raw) or small in LEAD_WORDS:
-            break
-        if "A" <= word[:1] <= "Z":
-            first = low + at
-        elif small in CONNECTORS:
-            if not (k and "A" <= words[k - 1][2][:1] <= "Z"):
-                break
-            first = low + at
-        elif small not in WITHIN_PARTY:
-            break
-    return first
+def kind_of(raw: str) -> str:
+    """A word's part in a case name: c begins with a capital, j joins, w stands within a party's name, v is versus, e ends what is before, x is none of these."""
+    word = raw.rstrip(",;:")
+    small = word.lower()
+    if raw in ("v.", "v", "vs.", "vs"):
+        return "v"
+    if small in LEAD_WORDS or CLOSED.search(raw):
+        return "e"
+    if "A" <= word[:1] <= "Z":
+        return "c"
+    return "j" if small in CONNECTORS else "w" if small in WITHIN_PARTY else "x"
+
+
+class Draft:
+    """A text read once: where its words begin and a letter for each (``kind_of``), and where its sentences begin."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        words = [(m.start(), kind_of(m[0])) for m in re.finditer(r"\S+", text)]
+        self.words = [at for at, _ in words]
+        self.kinds = "".join(kind for _, kind in words)
+        self.sentences = sentences.starts(text, BREAKS, ABBREVIATED, DOTTED)
+
+    def name_before(self, at: int) -> int:
+        """Where the case name before a reporter's place begins; ``at`` itself if there is none."""
+        n = bisect_right(self.sentences, at)
+        low = max(0, at - LOOK_BACK, self.sentences[n - 1] if n else 0)
+        if lead := LEAD.match(self.text, low, at):
+            low = lead.end()
+        first, end = bisect_left(self.words, low), bisect_left(self.words, at)
+        versus = self.kinds.find("v", first + 1, end)
+        if versus < 0:
+            matters = list(MATTER.finditer(self.text, low, at))
+            return matters[-1].start() if matters else at
+        party = self.kinds.find("c", PARTY.search(self.kinds, first, versus).start(), versus)
+        return at if party < 0 else self.words[party]
 
 
 def find_cases(text: str) -> Iterator[tuple]:
+    draft = None
     for n, m in enumerate(REPORTER.finditer(text)):
-        a = name_start(text, m.start())
+        draft = draft or Draft(text)
+        a = draft.name_before(m.start())
         b, court, year = m.end(), None, None
         if p := PARENTHESIS.match(text, b, b + LOOK_AHEAD):
             b, court, year = p.end(), p[1].strip().rstrip(",") or None, int(p[2])
@@ -107,8 +122,7 @@ def extract_cases(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def reporter_years(spark: SparkSession) -> DataFrame:
-    rows = [x.strip().split("|") for x in YEARS.replace("\n", " ").split(";") if x.strip()]
-    return spark.createDataFrame([(r, int(a), int(b) if b else None) for r, a, b in rows], "reporter string, since int, until int")
+    return spark.createDataFrame(YEARS, "reporter string, since int, until int")
 
 
 def even_reporter() -> F.Column:

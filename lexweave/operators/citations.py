@@ -10,21 +10,21 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from . import spans
+from . import sentences, spans
 
 #: Words whose period ends no sentence, beside single letters.
 SHORTENED = [
     "v", "vs", "Co", "Inc", "Corp", "Ltd", "Bros", "Cir", "Mfg", "Univ", "Ed", "Rev", "Bull", "Mag", "Mr", "Mrs", "Ms", "Dr", "Hon", "Prof", "Pa", "Va", "Tex", "Cal", "Fla", "Mass", "Mich", "Wash", "St", "Jr", "Sr", "No", "Nos",
     "Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sept", "Sep", "Oct", "Nov", "Dec", "ed", "rev", "eds",
 ]
-#: Further ones in foreign and official sources.
-SHORTENED_ABROAD = ["art", "amend", "cl", "pt", "Cass", "civ", "crim", "com", "soc", "Fr", "Ger", "Eng", "Austl", "Scot", "BGH", "BGHZ", "BVerfG", "BVerfGE", "HL", "CA", "UKSC", "PC", "UKHL", "AC", "WLR", "QB", "Ch", "CLR", "II", "III", "IV", "VI", "VII", "VIII", "IX"]
+#: Further ones in official sources, and those in foreign ones.
+SHORTENED_OFFICIAL = ["art", "amend", "cl", "pt"]
+SHORTENED_ABROAD = ["Cass", "civ", "crim", "com", "soc", "Fr", "Ger", "Eng", "Austl", "Scot", "BGH", "BGHZ", "BVerfG", "BVerfGE", "HL", "CA", "UKSC", "PC", "UKHL", "AC", "WLR", "QB", "Ch", "CLR", "II", "III", "IV", "VI", "VII", "VIII", "IX"]
 #: Signals before a citation, how far back its sentence may begin, and how long a trailing parenthesis is.
 SIGNAL = re.compile(r"(?:see also|see, e\.g\.|see|but see|but cf|cf|contra|compare|accord|e\.g\.)\.?,?\s+", re.I)
-LOOK_BACK = 600
+LOOK_BACK = {"official": 400, "foreign": 600, "secondary": 600}
 TRAILERS = re.compile(r"(?:[,\s]*\([^)]{0,300}\))*")
 BREAK = re.compile(r"[.;!?]\s+|\n\s*\n")
-LAST_WORD = re.compile(r"[A-Za-z][A-Za-z']*$")
 LINK = re.compile(r",?\s*https?://[^\s)]+")
 
 #: Pieces of the patterns below. A name's word is bounded, so that no text takes quadratic time.
@@ -87,16 +87,6 @@ INTRO = re.compile(rf"[A-Z][^,]{{0,150}}?\s[a-z]+\s[^,]{{0,80}},\s+(?={NAME_2}(?
 GROUPS: dict[str, list[Source]] = {"foreign": FOREIGN, "official": OFFICIAL, "secondary": SECONDARY}
 
 
-def sentence_starts(text: str, shortened: set[str]) -> list[int]:
-    """Where sentences begin, the text's own beginning left out."""
-    out = []
-    for m in BREAK.finditer(text):
-        word = LAST_WORD.search(text[max(0, m.start() - 12) : m.start()])
-        if text[m.start()] == "\n" or not (word and word[0] in shortened):
-            out.append(m.end())
-    return out
-
-
 class Cover:
     """Union of intervals as disjoint ones in order."""
 
@@ -113,7 +103,7 @@ class Cover:
         self.starts[i:j], self.ends[i:j] = [min(a, *self.starts[i:j][:1])] if i < j else [a], [max(b, *self.ends[i:j][-1:])] if i < j else [b]
 
 
-def find(text: str, sources: list[Source], shortened: set[str], intro: bool) -> list[tuple]:
+def find(text: str, sources: list[Source], shortened: set[str], intro: bool, look_back: int) -> list[tuple]:
     """(start, end, kind, text) of the sources cited, none within another."""
     found: list[tuple] = []
     cover = Cover()
@@ -122,9 +112,9 @@ def find(text: str, sources: list[Source], shortened: set[str], intro: bool) ->
         pattern, needs, bars = s.compiled
         for m in pattern.finditer(text):
             if starts is None:
-                starts = sentence_starts(text, shortened)
+                starts = sentences.starts(text, BREAK, shortened)
             n = bisect_right(starts, m.start())
-            a = max(starts[n - 1] if n else 0, m.start() - LOOK_BACK)
+            a = max(starts[n - 1] if n else 0, m.start() - look_back)
             if lead := SIGNAL.match(text, a, m.start()):
                 a = lead.end()
             if intro and (lead := INTRO.match(text, a, m.start())):
@@ -148,5 +138,5 @@ def find(text: str, sources: list[Source], shortened: set[str], intro: bool) ->
 def extract(df: DataFrame, id_col: str, text_col: str, group: str) -> DataFrame:
     """``id_col``, ordinal, start, end, kind, text of every source of a group (official, foreign, secondary). Null texts have none."""
     sources = GROUPS[group]
-    shortened = {*string.ascii_uppercase, *SHORTENED, *([] if group == "secondary" else SHORTENED_ABROAD)}
-    return spans.extract_by(df, id_col, text_col, lambda text: find(text, sources, shortened, group == "secondary"))
+    shortened = {*string.ascii_uppercase, *SHORTENED, *([] if group == "secondary" else SHORTENED_OFFICIAL), *(SHORTENED_ABROAD if group == "foreign" else [])}
+    return spans.extract_by(df, id_col, text_col, lambda text: find(text, sources, shortened, group == "secondary", LOOK_BACK[group]))

@@ -34,21 +34,20 @@ LETTERED = re.compile(r"[A-Za-z]\.\s")
 CITED = re.compile(r"[A-Z][A-Za-z'.\-]+,?\s+\d+\s+[A-Z][A-Za-z.\d\s]+?\s(?:at\s+)?\d")
 
 
+def quoted(own: str) -> bool:
+    """An indented paragraph of 5 to 49 words that is no heading, list, signature or quotation in marks."""
+    bare, words = own.strip(), len(own.split(None, 50))
+    other = NO_QUOTE.match(bare) or (words < 8 and LETTERED.match(bare))
+    return bool(re.match(r"[\t ]{4,}\S", own)) and 5 <= words < 50 and not other
+
+
 def find_block_quotes(text: str) -> list[tuple]:
-    """Indented paragraphs of 5 to 49 words behind a colon or before a citation: start, end, kind, text."""
-    paragraphs = [(m.start(), m[0]) for m in PARAGRAPH.finditer(text) if m[0].strip()]
-    out = []
-    for k, (at, own) in enumerate(paragraphs):
-        if not re.match(r"[\t ]{4,}\S", own):
-            continue
-        bare = own.strip()
-        n = len(bare.split(None, 50))
-        if n < 5 or n >= 50 or NO_QUOTE.match(bare) or (n < 8 and LETTERED.match(bare)):
-            continue
-        led = k > 0 and paragraphs[k - 1][1].rstrip().endswith(":")
-        if led or (k + 1 < len(paragraphs) and CITED.match(paragraphs[k + 1][1].strip())):
-            out.append((at + own.index(bare), at + len(own), "block-quote", bare))
-    return out
+    """Quotations set off behind a colon or before a citation: start, end, kind, text."""
+    whole = [m for m in PARAGRAPH.finditer(text) if m[0].strip()]
+    colon = [False, *(m[0].rstrip().endswith(":") for m in whole)]
+    cite = [*(bool(CITED.match(m[0].strip())) for m in whole[1:]), False]
+    set_off = [m for m, led, cited in zip(whole, colon, cite) if (led or cited) and quoted(m[0])]
+    return [(m.end() - len(m[0].lstrip()), m.end(), "block-quote", m[0].strip()) for m in set_off]
 
 
 def block_quotes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
