@@ -170,10 +170,16 @@ def needs_ocr(chars: Column, pages: Column, least: int = 50) -> Column:
 
 
 def vector_text(v: Column) -> Column:
-    """[0.1234567,…]: seven decimals each, exactly rounded (a float times 10^7 is exact as a double)."""
+    """[0.1234567,…]: seven decimals each, rounded half up; null for vectors that are null or hold null, NaN or infinity.
+
+    Up to 10^8 a float times 10^7 is exact as a double; larger numbers have all their digits before the point.
+    """
 
     def written(x: Column) -> Column:
-        n = F.floor(F.abs(x.cast("double")) * 1e7 + 0.5).cast("long")
-        return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / 10_000_000).cast("string"), F.lit("."), F.lpad((n % 10_000_000).cast("string"), 7, "0"))
+        wide = F.abs(x.cast("double"))
+        n = F.floor(F.least(wide, F.lit(1e8)) * 1e7 + 0.5).cast("long")
+        small = F.concat(F.floor(n / 10_000_000).cast("string"), F.lit("."), F.lpad((n % 10_000_000).cast("string"), 7, "0"))
+        return F.concat(F.when(x < 0, "-").otherwise(""), F.when(wide < 1e8, small).otherwise(F.format_string("%.7f", wide)))
 
-    return F.concat(F.lit("["), F.array_join(F.transform(v, written), ","), F.lit("]"))
+    finite = F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    return F.when(finite, F.concat(F.lit("["), F.array_join(F.transform(v, written), ","), F.lit("]")))

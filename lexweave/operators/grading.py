@@ -2,31 +2,96 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+#: Errors of a key whose patterns one pass looks for; a longer key takes several passes.
+KEY_BLOCK = 5_000
+
+
+def finder(patterns: dict[str, list[int]]):
+    """A function from a text to the numbers whose patterns it holds, by one automaton over all of them; an empty pattern is in every text."""
+    automaton = ahocorasick.Automaton()
+    for pattern, numbers in patterns.items():
+        if pattern:
+            automaton.add_word(pattern, numbers)
+    automaton.make_automaton()
+    always = set(patterns.get("", []))
+
+    def find(text: str | None) -> set[int]:
+        if text is None:
+            return set()
+        return always.union(*(numbers for _, numbers in automaton.iter(text))) if len(automaton) else set(always)
+
+    return find
+
+
+def by_pattern(rows: list, field: str) -> dict[str, list[int]]:
+    """{pattern: numbers of the errors that have it}"""
+    out: dict[str, list[int]] = {}
+    for n, r in enumerate(rows):
+        for pattern in set(r[field] or []):
+            if pattern is not None:
+                out.setdefault(pattern, []).append(n)
+    return out
+
+
+def scorer(shared: Broadcast):
+    """A column function of (anchor, body): the errors that they catch, with scores."""
+
+    @F.pandas_udf("array<struct<n:int,score:int>>")
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        anchors, rules, words = (finder(patterns) for patterns in shared.value)  # once a task
+
+        def hits(anchor: str | None, body: str | None) -> list[dict]:
+            near = anchors(anchor)
+            if not near or body is None:
+                return []
+            named = near & rules(body.replace(" ", ""))
+            return [{"n": n, "score": 2 if n in named else 1} for n in sorted(named | (near & words(body)))]
+
+        for anchor, body in batches:
+            yield pd.Series([hits(a, b) for a, b in zip(anchor, body)], dtype=object)
+
+    return scored
+
+
 def matches(comments: DataFrame, comment_id: str, key: DataFrame) -> DataFrame:
-    """``catches`` with their score: 2 if the rule is named, else 1."""
-    anchor, body = plain(F.col("anchor")), plain(F.col("body"))
-    near = F.exists("anchors", lambda a: F.contains(anchor, plain(a)))
-    rule = F.replace(F.lower("rule"), F.lit(" "), F.lit(""))
-    by_rule = (rule != "") & F.contains(F.replace(body, F.lit(" "), F.lit("")), rule)
-    by_word = F.exists("keywords", lambda w: F.contains(body, F.lower(w)))
-    score = F.when(by_rule, 2).otherwise(1).alias("score")
-    return comments.join(key, near & (by_rule | by_word)).select(comment_id, "error_id", score)
+    """``catches`` with their score: 2 if the rule is named, else 1.
+
+    All anchors, rules and words of the key are looked for at once, in one pass over each comment:
+    three automata, of KEY_BLOCK errors at most, go to the tasks; no comment is joined with all errors.
+    """
+    spark, kind = comments.sparkSession, key.schema["error_id"].dataType.simpleString()
+    rule = F.coalesce(F.replace(F.lower("rule"), F.lit(" "), F.lit("")), F.lit(""))
+    rules = F.when(rule == "", F.array().cast("array<string>")).otherwise(F.array(rule))
+    known = key.select("error_id", F.transform("anchors", plain).alias("anchors"), rules.alias("rules"), F.transform("keywords", lambda w: F.lower(w)).alias("words"))
+    texts = comments.select(comment_id, plain(F.col("anchor")).alias("anchor"), plain(F.col("body")).alias("body"))
+    rows, found = known.toLocalIterator(), spark.createDataFrame([], comments.select(comment_id).schema.add("error_id", key.schema["error_id"].dataType).add("score", IntegerType()))
+    while block := list(islice(rows, KEY_BLOCK)):
+        shared = spark.sparkContext.broadcast([by_pattern(block, field) for field in ("anchors", "rules", "words")])
+        own = F.broadcast(spark.createDataFrame([(n, r["error_id"]) for n, r in enumerate(block)], f"n int, error_id {kind}"))  # KEY_BLOCK rows at most
+        hit = texts.select(comment_id, F.explode(scorer(shared)("anchor", "body")).alias("hit"))
+        found = found.unionByName(hit.select(comment_id, "hit.n", "hit.score").join(own, "n").select(comment_id, "error_id", "score"))
+    return found
 
 
 def catches(comments: DataFrame, comment_id: str, key: DataFrame) -> DataFrame:
     """(``comment_id``, error_id) where an anchor of the error stands in the comment's anchor, and its rule or a word of it in the body.
 
-    comments: anchor, body; key: error_id, anchors, rule, keywords. An answer key is a page written
-    by hand, and is broadcast where Spark finds it small.
+    comments: anchor, body; key: error_id, anchors, rule, keywords.
     """
     return matches(comments, comment_id, key).select(comment_id, "error_id")
 
@@ -59,6 +124,7 @@ def verdicts(comments: DataFrame, comment_id: str, key: DataFrame, controls: lis
     error; on_control tells false positives on one of them.
     """
     pairs = matches(comments, comment_id, key)
+    # ``caught`` has a row an error of the key at most
     first = pairs.groupBy(comment_id).agg(F.min("error_id").alias("_first"))
     caught = one_to_one(pairs, comment_id, key.count()).withColumnRenamed("error_id", "_caught")
     rows = comments.join(first, comment_id, "left").join(F.broadcast(caught), comment_id, "left")
@@ -87,12 +153,3 @@ def grade_one_to_one(comments: DataFrame, comment_id: str, key: DataFrame, contr
 def ratio(part: Column, whole: Column) -> Column:
     """Three digits; 1 if there was nothing to find."""
     return F.when(whole == 0, 1.0).otherwise(F.round(part / whole, 3))
-
-
-def grade(comments: DataFrame, comment_id: str, key: DataFrame) -> DataFrame:
-    """One row: comments, real_catches, found, planted, precision, recall."""
-    hits = catches(comments, comment_id, key).agg(F.countDistinct(comment_id).alias("real_catches"), F.countDistinct("error_id").alias("found"))
-    total = comments.agg(F.count(F.lit(1)).alias("comments"))
-    planted = key.agg(F.count(F.lit(1)).alias("planted"))
-    one = total.join(F.broadcast(hits), F.lit(True)).join(F.broadcast(planted), F.lit(True))  # one row each
-    return one.select("comments", "real_catches", "found", "planted", ratio(F.col("real_catches"), F.col("comments")).alias("precision"), ratio(F.col("found"), F.col("planted")).alias("recall"))

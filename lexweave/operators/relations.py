@@ -79,17 +79,33 @@ def fuzzy_names(names: DataFrame, name: str) -> DataFrame:
     return met.filter(F.size(F.array_intersect("_t", "_u")) >= F.least(F.lit(2), F.size("_t"))).select(name, "other").distinct()
 
 
+def fuzzy_groups(names: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """All links of ``fuzzy_names`` as groups instead of pairs: (members, groups).
+
+    members: (``name``, member): each name with the smallest name of the same words, which stands
+    for it. groups: (words, part, member, representative): two words with all that have both, which
+    match each other (part ``both``); or one word, with the member that has no other (``from``),
+    which matches all others that have it (``to``). Groups of one member are left out. A name of n
+    words has n (n - 1) / 2 pairs, so the output follows the names and not their square, however
+    frequent a word is. Names without words match nothing.
+    """
+    words = names.select(F.col(name), F.array_sort(text.name_tokens(F.col(name))).alias("_words")).filter(F.size("_words") > 0)
+    sets = words.groupBy("_words").agg(F.min(name).alias("member"))
+    members = words.join(sets, "_words").select(name, "member")
+    pairs = F.flatten(F.transform("_words", lambda a, i: F.transform(F.slice(F.col("_words"), i + 2, F.size("_words")), lambda b: F.concat(a, F.lit(" "), b))))
+    both = sets.select(F.explode(pairs).alias("words"), F.lit("both").alias("part"), "member")
+    single = sets.filter(F.size("_words") == 1).select(F.col("_words")[0].alias("words"))
+    ones = sets.select(F.explode("_words").alias("words"), F.when(F.size("_words") == 1, "from").otherwise("to").alias("part"), "member").join(single, "words")
+    parts = both.unionByName(ones)
+    known = parts.groupBy("words").agg(F.count(F.lit(1)).alias("_n"), F.min("member").alias("representative")).filter("_n > 1")
+    return members, parts.join(known, "words").select("words", "part", "member", "representative")
+
+
 def grid(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Each row once for every review column (a short list), with the column's index."""
     return rows.select("*", F.posexplode(F.array(*map(F.lit, columns))).alias("column_index", "column_name"))
 
 
-def union_first_wins(lists: list[DataFrame], key: str, order: str) -> DataFrame:
-    """Ordered lists one behind the other, each key only where it first occurs; ``position`` from 1 within the result's lists."""
-    ranked = reduce(DataFrame.unionByName, [x.withColumn("list_rank", F.lit(i)) for i, x in enumerate(lists)])
-    return latest(ranked, key, [F.col("list_rank"), F.col(order)])
-
-
 def review_table(cells: DataFrame, doc: str, index: str, columns: list[int], content: str = "content", citations: str = "citations") -> DataFrame:
     """A row a document with content and first citation of each column: c0, c0_source, …; empty where there is no cell.
 

@@ -271,13 +271,13 @@ def agg_project_strip(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT COUNT(*) AS total, COUNT(*) FILTER (p_type = 'PROMO') AS pdfs, COUNT(*) FILTER (p_type IN ('ECONOMY', 'STANDARD')) AS docs, COUNT(*) FILTER (p_size < 5) AS processing, COUNT(*) FILTER (p_size >= 40) AS verified, SUM(p_size)::BIGINT AS bytes, COUNT(*) FILTER (p_size % 2 = 0) AS pinned, MAX(p_partkey) AS newest FROM part
+SELECT COUNT(*) AS total, COUNT(*) FILTER (p_type = 'PROMO') AS pdfs, COUNT(*) FILTER (p_type IN ('ECONOMY', 'STANDARD')) AS docs, COUNT(*) FILTER (p_size < 5) AS processing, COUNT(*) FILTER (p_size >= 40) AS verified, SUM(p_size)::BIGINT AS bytes, SUM(LENGTH(p_name))::BIGINT AS chars, COUNT(*) FILTER (p_size % 2 = 0) AS pinned, MAX(p_partkey) AS newest FROM part
 """)
 def agg_library_strip(spark: SparkSession, d: str) -> DataFrame:
-    """A library's documents by format and state, their bytes, the pinned ones and the newest."""
+    """A library's documents by format and state, their bytes and characters, the pinned ones and the newest."""
     c = F.col
     counts = {"pdfs": c("p_type") == "PROMO", "docs": c("p_type").isin("ECONOMY", "STANDARD"), "processing": c("p_size") < 5, "verified": c("p_size") >= 40, "pinned": c("p_size") % 2 == 0}
-    return table(spark, d, "part").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(x).alias(n) for n, x in counts.items()], F.sum(F.coalesce("p_size", F.lit(0)).cast("long")).alias("bytes"), F.max("p_partkey").alias("newest"))
+    return table(spark, d, "part").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(x).alias(n) for n, x in counts.items()], F.sum(F.coalesce("p_size", F.lit(0)).cast("long")).alias("bytes"), F.sum(F.coalesce(F.length("p_name"), F.lit(0)).cast("long")).alias("chars"), F.max("p_partkey").alias("newest"))
 
 
 @query("SELECT DISTINCT p_brand AS facet_value FROM part WHERE p_brand <> '' ORDER BY 1")
@@ -594,12 +594,14 @@ def rule_reporter_years(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_returnflag AS rule_cite FROM (SELECT *, ROW_NUMBER() OVER () AS r FROM lineitem) WHERE l_returnflag <> 'N' AND l_linenumber > 1
+SELECT l_orderkey, l_linenumber, l_returnflag AS rule_cite FROM lineitem l WHERE l_returnflag <> 'N' AND l_linenumber > 1
+  AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l.l_orderkey AND o_orderkey % 5 = l.l_linenumber AND CASE WHEN o_orderstatus = 'F' THEN 'A' ELSE 'R' END = l.l_returnflag)
 """)
 def rule_post_filter(spark: SparkSession, d: str) -> DataFrame:
     """Judged flags without blocked rules, without those that lack a target, and without what was flagged before."""
     judged = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("rule_cite"), F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")).alias("target"))
-    before = judged.filter("false").select("l_orderkey", "target", "rule_cite")
+    rule = F.when(F.col("o_orderstatus") == "F", "A").otherwise("R")
+    before = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 5).alias("target"), rule.alias("rule_cite"))
     return rules.post_filter(judged, before, ["N"], ["l_orderkey", "target"]).select("l_orderkey", "l_linenumber", "rule_cite")
 
 

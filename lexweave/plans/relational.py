@@ -438,17 +438,6 @@ def rel_age_buckets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", listing.age_bucket(t, as_of()).alias("age"), listing.calendar_bucket(t, as_of()).alias("bucket"))
 
 
-@query("""
-SELECT o_custkey AS who, o_orderdate AS ts, 'order' AS kind FROM orders WHERE o_custkey < 200
-UNION ALL SELECT user_id, ts, event_type FROM events WHERE user_id < 200
-""")
-def rel_timeline(spark: SparkSession, d: str) -> DataFrame:
-    """Events of several kinds as one timeline."""
-    orders = table(spark, d, "orders").filter("o_custkey < 200").select(F.col("o_custkey").alias("who"), F.col("o_orderdate").alias("ts"), F.lit("order").alias("kind"))
-    events = table(spark, d, "events").filter("user_id < 200").select(F.col("user_id").alias("who"), "ts", F.col("event_type").alias("kind"))
-    return orders.unionByName(events)
-
-
 @query("""
 SELECT o_custkey AS who, o_orderdate AS ts, 'order' AS kind FROM orders
 UNION ALL SELECT user_id, ts, event_type FROM events

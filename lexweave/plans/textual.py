@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import legal, text
-from ..operators import citations, grading, layout, listing, merge, relations, rules, spans
+from ..operators import citations, grading, layout, listing, markup, merge, messages, relations, rules, spans
 from ..sources.tables import table
 from .registry import query
 
@@ -83,10 +83,21 @@ def txt_humanize(spark: SparkSession, d: str) -> DataFrame:
 TOKENS_SQL = "SELECT p_name, LIST_DISTINCT(LIST_FILTER(STRING_SPLIT(REGEXP_REPLACE(LOWER(p_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: LENGTH(w) >= 3)) AS t FROM (SELECT DISTINCT p_name FROM part)"
 
 
-@query(f"WITH n AS ({TOKENS_SQL}) SELECT a.p_name AS name, b.p_name AS other FROM n a JOIN n b ON LEN(LIST_INTERSECT(a.t, b.t)) >= LEAST(2, LEN(a.t)) WHERE a.p_name <> b.p_name")
+@query(r"""
+WITH n AS (SELECT name, LIST_SORT(LIST_DISTINCT(LIST_FILTER(STRING_SPLIT(REGEXP_REPLACE(LOWER(name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: LENGTH(w) >= 3))) AS t
+  FROM (SELECT p_name || ' v. ' || p_brand || ' ' || p_type AS name FROM part UNION SELECT 'In re ' || p_type FROM part)),
+s AS (SELECT t, MIN(name) AS member FROM n WHERE LEN(t) > 0 GROUP BY t),
+w AS (SELECT t, member, UNNEST(t) AS word FROM s),
+k AS (SELECT a.word || ' ' || b.word AS words, 'both' AS part, a.member FROM w a JOIN w b ON a.t = b.t AND a.word < b.word
+  UNION ALL SELECT word, CASE WHEN LEN(t) = 1 THEN 'from' ELSE 'to' END, member FROM w WHERE word IN (SELECT t[1] FROM s WHERE LEN(t) = 1)),
+g AS (SELECT *, COUNT(*) OVER (PARTITION BY words) AS c, MIN(member) OVER (PARTITION BY words) AS representative FROM k)
+SELECT words, part, member, representative FROM g WHERE c > 1
+""")
 def txt_fuzzy_join(spark: SparkSession, d: str) -> DataFrame:
-    """Names that match in two words or their only one: they meet by their rarest words, then are counted."""
-    return relations.fuzzy_names(table(spark, d, "part").select("p_name").distinct(), "p_name").select(F.col("p_name").alias("name"), "other")
+    """Names that match in two words or their only one, as groups of all that have the words."""
+    parts = table(spark, d, "part")
+    names = parts.select(F.concat("p_name", F.lit(" v. "), "p_brand", F.lit(" "), "p_type").alias("name")).union(parts.select(F.concat(F.lit("In re "), "p_type")))
+    return relations.fuzzy_groups(names, "name")[1]
 
 
 @query(r"""
@@ -316,19 +327,6 @@ def reviews(spark: SparkSession, d: str):
     return comments, key
 
 
-@query("""
-WITH c AS (SELECT c_custkey, c_nationkey AS k, c_mktsegment AS body FROM customer),
-e AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'building' ELSE 'machinery' END AS word FROM nation),
-h AS (SELECT c.c_custkey, e.k FROM c JOIN e USING (k) WHERE CONTAINS(LOWER(body), word))
-SELECT (SELECT COUNT(*) FROM c) AS comments, (SELECT COUNT(DISTINCT c_custkey) FROM h) AS real_catches, (SELECT COUNT(DISTINCT k) FROM h) AS found, (SELECT COUNT(*) FROM e) AS planted,
-  ROUND((SELECT COUNT(DISTINCT c_custkey) FROM h) / (SELECT COUNT(*) FROM c), 3) AS "precision", ROUND((SELECT COUNT(DISTINCT k) FROM h) / (SELECT COUNT(*) FROM e), 3) AS recall
-""")
-def agg_grade(spark: SparkSession, d: str) -> DataFrame:
-    """Comments graded against an answer key: a catch has the error's anchor and one of its words."""
-    comments, key = reviews(spark, d)
-    return grading.grade(comments, "c_custkey", key)
-
-
 @query("""
 WITH c AS (SELECT c_custkey, c_nationkey AS k, c_mktsegment AS body FROM customer),
 e AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'building' ELSE 'machinery' END AS word FROM nation),
@@ -560,3 +558,45 @@ def rule_signals(spark: SparkSession, d: str) -> DataFrame:
     """Signals in the wrong case."""
     before = F.element_at(F.array(*map(F.lit, ["It held so. See also ", "It held so. see ", "Roe; Accord ", "Compare Roe, With ", "as they see ", " but see  "])), (F.col("o_orderkey") % 6 + 1).cast("int"))
     return rules.signal_flags(table(spark, d, "orders").select("o_orderkey", before.alias("pre")), "pre").drop("pre")
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Customer shall pay all fees ' || o_orderkey WHEN 1 THEN 'Supplier ' || o_orderkey || ' may engage others' END AS quoted FROM orders
+""")
+def txt_quoted_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The contract's words out of findings that name a section first."""
+    k = F.col("o_orderkey")
+    n = k.cast("string")
+    said = F.when(k % 4 == 0, F.concat(F.lit(' Section 4.2 FEES: "Customer shall pay all fees '), n, F.lit('" (as amended)')))
+    said = said.when(k % 4 == 1, F.concat(F.lit("Section 9.1(b): Supplier "), n, F.lit(" may engage others; AND Section 8.6: more"))).when(k % 4 == 2, F.lit("Section 1: short"))
+    return table(spark, d, "orders").select("o_orderkey", messages.quoted_section(said.otherwise(n)).alias("quoted"))
+
+
+@query("""
+WITH t AS (SELECT o_orderkey AS k, 'Fla. Stat. § 768.' || (o_orderkey % 90 + 10) AS a, (o_orderkey % 40 + 1) || ' U.S.C. § ' || (o_orderkey % 900 + 1) AS b,
+  'Roe v. Wade, ' || (o_orderkey % 500 + 1) || ' U.S. ' || (o_orderkey % 900 + 1) || ' (1973)' AS c, 'https://law.example.gov/a/' || o_orderkey AS u FROM orders),
+p AS (SELECT k, UNNEST([{'kind': 'statute', 'start': 4, 'text': a}, {'kind': 'statute', 'start': 4 + LENGTH(a) + 5, 'text': b}, {'kind': 'case', 'start': 4 + LENGTH(a) + 5 + LENGTH(b) + 2, 'text': c},
+  {'kind': 'url', 'start': 4 + LENGTH(a) + 5 + LENGTH(b) + 2 + LENGTH(c) + 2, 'text': u}]) AS x FROM t)
+SELECT k AS o_orderkey, x.kind AS kind, x."start" AS "start", x."start" + LENGTH(x.text) AS "end", x.text AS text FROM p
+""")
+def cite_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Citations and links of chat messages."""
+    n = lambda k, plus=1: (F.col("o_orderkey") % k + plus).cast("string")
+    said = F.concat(F.lit("see Fla. Stat. § 768."), n(90, 10), F.lit(" and "), n(40), F.lit(" U.S.C. § "), n(900), F.lit("; Roe v. Wade, "), n(500), F.lit(" U.S. "), n(900), F.lit(" (1973): https://law.example.gov/a/"), F.col("o_orderkey").cast("string"), F.lit(")."))
+    return messages.message_citations(table(spark, d, "orders").select("o_orderkey", said.alias("text")), "o_orderkey", "text").drop("ordinal")
+
+
+NESTED_SQL = "REGEXP_EXTRACT(html, '(?is)<article[^>]*>(.*?)</article>', 1)"
+
+
+@query(rf"""
+SELECT page_id, LENGTH(text) AS n_chars, MD5(REGEXP_REPLACE(text, '\s+', ' ', 'g')) AS words FROM (SELECT page_id, {html_sql("CASE WHEN CONTAINS(html, '<article') THEN " + NESTED_SQL + " ELSE html END")} AS text FROM pages)
+""")
+def txt_source_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of pages by their source: the part is wrapped in elements of its own kind, and a footer follows."""
+    inner = F.regexp_replace("html", r"(?is)<article[^>]*>(.*?)</article>", r'<div class="x"><div id="codes-content"><div>$1</div></div> Disclaimer: Justia is not liable.<div></div></div>')
+    k = F.col("page_id") % 3
+    page = F.when(k == 0, inner).when(k == 1, F.regexp_replace("html", "(?i)<(/?)article[^>]*>", "<$1main>")).otherwise(F.col("html"))
+    source = F.when(k == 0, "justia").when(k == 1, "cornell").otherwise("state")
+    text_ = markup.source_texts(page, source)
+    return table(spark, d, "pages").select("page_id", text_.alias("text")).select("page_id", F.length("text").alias("n_chars"), F.md5(F.regexp_replace("text", r"\s+", " ").cast("binary")).alias("words"))
