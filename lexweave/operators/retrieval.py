@@ -125,3 +125,67 @@ def keyword_limited(chunks: DataFrame, item: str, index: str, id_col: str, hit:
     few = chunks.filter(hit).orderBy(*order).limit(min(500, 4 * k))
     firsts = few.withColumn("_n", F.row_number().over(Window.partitionBy(item).orderBy(*order))).filter("_n = 1").drop("_n")
     return firsts.orderBy(*order).limit(k).withColumn("score", F.lit(1.0))
+
+
+#: The vector column of each provider; images have none of the second. The score of an image whose description holds a keyword.
+PROVIDERS = {"voyage": "embedding_voyage", "openai": "embedding_openai", "gemini": "embedding_gemini"}
+IMAGE_PROVIDERS = ("voyage", "gemini")
+IMAGE_KEYWORD_SCORE = 0.95
+PIN = " 📌"
+ITEM_FIELDS = ["title", "summary", "source_kind", "source_doc_id", "created_at", "pinned"]
+
+
+def visible_items(items: DataFrame, kinds: list[str] | None = None, archived: bool = False) -> DataFrame:
+    """(item_id, item_…) of items of the kinds (all, if None) that are not archived, or also those."""
+    own = items if kinds is None else items.filter(F.col("source_kind").isin(kinds))
+    own = own if archived else own.filter(F.col("archived_at").isNull())
+    return own.select(F.col("id").alias("item_id"), *[F.col(c).alias(f"item_{c}") for c in ITEM_FIELDS])
+
+
+def vault_search(chunks: DataFrame, items: DataFrame, owner: int | str, vector: list[float], k: int, kinds: list[str] | None = None, provider: str = "gemini", archived: bool = False) -> DataFrame:
+    """The k chunks of an owner nearest to a vector of a provider, with their items and the distance, ties by id.
+
+    Only chunks with a vector of that provider count, of items of the kinds and, but for
+    ``archived``, not archived. An unknown provider is an error. Owner, provider and column choice
+    reach the scan; each task keeps k rows.
+    """
+    if provider not in PROVIDERS:
+        raise ValueError(f"unknown provider {provider}")
+    own = chunks.filter((F.col("user_id") == owner) & F.col(PROVIDERS[provider]).isNotNull()).select("id", "item_id", "chunk_index", "content", F.col(PROVIDERS[provider]).alias("_v"))
+    return nearest(own.join(visible_items(items, kinds, archived), "item_id"), vector, k, "id", "_v").withColumnsRenamed({"id": "chunk_id"}).drop("_v")
+
+
+def vault_images(images: DataFrame, items: DataFrame, owner: int | str, vector: list[float], k: int, provider: str = "voyage", archived: bool = False) -> DataFrame:
+    """The same over images; a provider without image vectors gives no rows."""
+    column = PROVIDERS[provider] if provider in IMAGE_PROVIDERS else PROVIDERS["voyage"]
+    own = images.filter((F.col("user_id") == owner) & F.col(column).isNotNull() & F.lit(provider in IMAGE_PROVIDERS)).select("id", "item_id", "description", F.col(column).alias("_v"))
+    return nearest(own.join(visible_items(items, archived=archived), "item_id"), vector, k, "id", "_v").withColumnsRenamed({"id": "image_id"}).drop("_v")
+
+
+def with_anchors(hits: DataFrame, chunks: DataFrame, items: DataFrame, anchored: list) -> DataFrame:
+    """Hits of ``vault_search`` and, at distance 0 with a pin, the first chunks of the anchored items that are not among them.
+
+    Three chunks an item are taken in all, in order of item and chunk; chunks of items that are gone are none.
+    """
+    first = chunks.filter(F.col("item_id").isin(anchored)).orderBy("item_id", "chunk_index").limit(3 * len(anchored))
+    named = visible_items(items, archived=True).withColumn("item_title", F.concat("item_title", F.lit(PIN)))
+    more = first.select(F.lit(None).cast(hits.schema["chunk_id"].dataType).alias("chunk_id"), "item_id", "chunk_index", "content", F.lit(0.0).alias("distance")).join(named, "item_id")
+    new = more.dropDuplicates(["item_id", "chunk_index"]).join(hits.select("item_id", "chunk_index"), ["item_id", "chunk_index"], "left_anti")
+    return hits.withColumn("anchored", F.lit(False)).unionByName(new.withColumn("anchored", F.lit(True)))
+
+
+def vault_keyword(chunks: DataFrame, images: DataFrame, items: DataFrame, owner: int | str, needle: str, k: int, kinds: list[str] | None = None, archived: bool = False) -> DataFrame:
+    """(item_id, chunk_id, chunk_index, score, match): k items whose texts hold a needle, then such whose images' descriptions do.
+
+    Marks of patterns (%, _ and \\) are taken out of the needle; nothing is left, nothing is found.
+    Of the first min(500, 4 k) chunks by index the first of each item counts; of images min(100, 2 k) by id.
+    """
+    safe = needle.strip().translate({ord(c): None for c in "%_\\"}).lower()
+    own = visible_items(items.filter(F.col("user_id") == owner), kinds, archived).select("item_id")
+    holds = lambda c: F.contains(F.lower(c), F.lit(safe)) & F.lit(bool(safe))
+    texts = keyword_limited(chunks.join(own, "item_id"), "item_id", "chunk_index", "id", holds("content"), k)
+    texts = texts.select("item_id", F.col("id").alias("chunk_id"), "chunk_index", F.lit(1.0).alias("score"), F.lit("keyword").alias("match"))
+    shown = images.join(own, "item_id").filter(holds("description")).orderBy("id").limit(min(100, 2 * k))
+    first = shown.groupBy("item_id").agg(F.min("id").alias("chunk_id")).join(texts.select("item_id"), "item_id", "left_anti")
+    more = first.select("item_id", "chunk_id", F.lit(-1).alias("chunk_index"), F.lit(IMAGE_KEYWORD_SCORE).alias("score"), F.lit("image_keyword").alias("match"))
+    return texts.unionByName(more).orderBy(F.desc("score"), "chunk_index", "chunk_id").limit(k)

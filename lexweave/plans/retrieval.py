@@ -121,3 +121,63 @@ def vec_three_of_each_anchor(spark: SparkSession, d: str) -> DataFrame:
 def txt_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all documents; tests hold them against their bounds and the texts."""
     return chunking.chunks(table(spark, d, "documents"), "doc_id", "text")
+
+
+def vault(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, images and items: three vectors an item, a third of the vectors of each provider, documents as items of four owners."""
+    n, item = F.col("vec_id"), F.floor(F.col("vec_id") / 3)
+    of = lambda k: F.when(n % 3 == k, F.col("embedding"))
+    rows = table(spark, d, "embeddings").select(n.alias("id"), (item % 4).alias("user_id"), item.alias("item_id"), (n % 3).cast("int").alias("chunk_index"), F.concat(F.lit("Label "), F.col("label").cast("string")).alias("content"), of(0).alias("embedding_gemini"), of(1).alias("embedding_voyage"), of(2).alias("embedding_openai"))
+    k = F.col("doc_id")
+    items = table(spark, d, "documents").select(k.alias("id"), (k % 4).alias("user_id"), F.concat(F.lit("Item "), k.cast("string")).alias("title"), F.lit("").alias("summary"), F.col("lang").alias("source_kind"), k.alias("source_doc_id"), F.lit(None).cast("timestamp").alias("created_at"), (k % 11 == 0).alias("pinned"), F.when(k % 7 == 0, F.lit("2024-01-01").cast("timestamp")).alias("archived_at"))
+    return rows, rows.withColumnRenamed("content", "description"), items
+
+
+VAULT_SQL = f"""
+WITH c AS (SELECT vec_id AS chunk_id, vec_id // 3 AS item_id, (vec_id % 3)::INT AS chunk_index, 'Label ' || label AS content, {DISTANCE_SQL} AS d FROM embeddings),
+i AS (SELECT doc_id AS item_id, 'Item ' || doc_id AS title, lang AS kind, doc_id % 7 = 0 AS archived FROM documents)
+"""
+
+
+@query(VAULT_SQL + "SELECT chunk_id, item_id, chunk_index, title AS item_title, kind AS item_source_kind, ROUND(d, 6) AS distance FROM c JOIN i USING (item_id) WHERE item_id % 4 = 1 AND chunk_id % 3 = 0 AND kind IN ('en', 'de') AND NOT archived ORDER BY d, chunk_id LIMIT 20")
+def vec_vault_search(spark: SparkSession, d: str) -> DataFrame:
+    """Search with owner, provider, kinds and archive."""
+    chunks, _, items = vault(spark, d)
+    hits = retrieval.vault_search(chunks, items, 1, VECTOR, 20, ["en", "de"], "gemini")
+    return hits.select("chunk_id", "item_id", "chunk_index", "item_title", "item_source_kind", F.round("distance", 6).alias("distance"))
+
+
+@query(VAULT_SQL + "SELECT chunk_id AS image_id, item_id, ROUND(d, 6) AS distance FROM c JOIN i USING (item_id) WHERE item_id % 4 = 2 AND chunk_id % 3 = 1 ORDER BY d, chunk_id LIMIT 15")
+def vec_vault_images(spark: SparkSession, d: str) -> DataFrame:
+    """Images of an owner, archived ones too; the provider without image vectors adds none."""
+    _, images, items = vault(spark, d)
+    hits = retrieval.vault_images(images, items, 2, VECTOR, 15, "voyage", archived=True).unionByName(retrieval.vault_images(images, items, 2, VECTOR, 15, "openai", archived=True))
+    return hits.select("image_id", "item_id", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    VAULT_SQL
+    + """, h AS (SELECT chunk_id, item_id, chunk_index, d, title FROM c JOIN i USING (item_id) WHERE item_id % 4 = 1 AND chunk_id % 3 = 0 AND NOT archived ORDER BY d, chunk_id LIMIT 20),
+a AS (SELECT item_id, chunk_index FROM c WHERE item_id IN (1, 5, 7, 123456789) ORDER BY item_id, chunk_index LIMIT 12)
+SELECT item_id, chunk_index, title AS item_title, ROUND(d, 6) AS distance, FALSE AS anchored FROM h
+UNION ALL SELECT item_id, chunk_index, title || ' 📌', 0.0, TRUE FROM a JOIN i USING (item_id) WHERE (item_id, chunk_index) NOT IN (SELECT (item_id, chunk_index) FROM h)"""
+)
+def vec_anchored_context(spark: SparkSession, d: str) -> DataFrame:
+    """Hits and the chunks of anchored items, these at distance 0."""
+    chunks, _, items = vault(spark, d)
+    both = retrieval.with_anchors(retrieval.vault_search(chunks, items, 1, VECTOR, 20), chunks, items, [1, 5, 7, 123456789])
+    return both.select("item_id", "chunk_index", "item_title", F.round("distance", 6).alias("distance"), "anchored")
+
+
+@query(
+    VAULT_SQL
+    + """, o AS (SELECT c.* FROM c JOIN i USING (item_id) WHERE item_id % 4 = 1 AND NOT archived),
+t AS (SELECT item_id, MIN(chunk_id) AS chunk_id, chunk_index FROM (SELECT * FROM o WHERE CONTAINS(content, 'Label 4') ORDER BY chunk_index, chunk_id LIMIT 120) GROUP BY item_id, chunk_index QUALIFY ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY chunk_index) = 1),
+k AS (SELECT item_id, chunk_id, chunk_index, 1.0::DOUBLE AS score, 'keyword' AS match FROM t ORDER BY chunk_index, chunk_id LIMIT 30),
+g AS (SELECT item_id, MIN(chunk_id) AS chunk_id FROM (SELECT * FROM o WHERE CONTAINS(content, 'Label 4') ORDER BY chunk_id LIMIT 60) WHERE item_id NOT IN (SELECT item_id FROM k) GROUP BY 1)
+SELECT * FROM (SELECT * FROM k UNION ALL SELECT item_id, chunk_id, -1, 0.95::DOUBLE, 'image_keyword' FROM g) ORDER BY score DESC, chunk_index, chunk_id LIMIT 30"""
+)
+def vec_vault_keyword(spark: SparkSession, d: str) -> DataFrame:
+    """Items by keyword, images behind texts."""
+    chunks, images, items = vault(spark, d)
+    return retrieval.vault_keyword(chunks, images, items, 1, " label% 4_", 30)
