@@ -37,6 +37,8 @@ SORT_PARTS = 16
 STEP = 1 << 15
 #: Words that a task holds at once in training, and words whose averages are made in one group.
 HELD, SLICE = 1 << 19, 256
+#: Tasks that train at once; more partitions share these.
+TRAINERS = 2048
 #: Tasks whose networks are averaged in one group; groups of groups follow.
 FAN = 64
 
@@ -300,6 +302,12 @@ def encode(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return df.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, numbers binary")
 
 
+def spread(encoded: DataFrame) -> DataFrame:
+    """Rows of few partitions, as of one small file, over all cores; two or four bytes a word move. Larger inputs stay where they are."""
+    cores = encoded.sparkSession.sparkContext.defaultParallelism
+    return encoded.repartition(cores) if encoded.rdd.getNumPartitions() < cores else encoded
+
+
 def sampled(encoded: DataFrame, model: Model, s: Settings, id_col: str) -> list[np.ndarray]:
     """Spans of the ``sample_docs`` documents with the smallest id hashes, each from a place that the hash gives."""
     width = model.kind().itemsize
@@ -317,32 +325,36 @@ def sampled(encoded: DataFrame, model: Model, s: Settings, id_col: str) -> list[
 def train_on_all(model: Model, encoded: DataFrame, s: Settings) -> Model:
     """Go on from a started network over all words of all documents, one pass.
 
-    Each task trains its own copy on its rows and gives it out in slices of the vocabulary: a word's
-    embeddings with the number of times it saw the word, all else with its number of words. A
-    shuffle by slice averages them by these numbers, ``FAN`` tasks at a time, so no group grows with
-    the input and the driver gets one network. Words that no task saw beside another keep their
-    embeddings.
+    Each task trains its own copy on its rows (TRAINERS tasks at most) and gives out what it changed,
+    in slices of the vocabulary: a word's embeddings with the number of times it stood beside
+    another, a word's row of its class with the number of words of that class, all else with its
+    number of words. Rows that a task did not change are not sent. A shuffle by slice averages them by these
+    numbers, ``FAN`` tasks at a time, so no group grows with the input and the driver gets one
+    network. What no task changed stays.
     """
+    encoded = encoded.select("numbers")
+    if encoded.rdd.getNumPartitions() > TRAINERS:
+        encoded = encoded.coalesce(TRAINERS)
     parts = encoded.rdd.getNumPartitions()
     shared = encoded.sparkSession.sparkContext.broadcast(bare(model))
     size = len(model.class_of)
-    schema = "slice long, part long, seen binary, own binary"
+    schema = "slice long, part long, at binary, seen binary, own binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         params, squares = [p.copy() for p in m.params], [q.copy() for q in m.squares]
         part = TaskContext.get().partitionId()
         rng = np.random.default_rng([s.seed, part])
-        seen, total = np.zeros(size), 0
+        seen, golds = np.zeros(size), np.zeros(m.own_classes + m.rare_classes)
 
-        def learn(held: list[np.ndarray]) -> int:
+        def learn(held: list[np.ndarray]) -> None:
             flat = padded(held)
             places = np.flatnonzero(flat)
             for d in SIDES:
                 seen[:] += np.bincount(flat[places + d], minlength=size)
+            golds[:] += np.bincount(m.class_of[flat[places]], minlength=len(golds))
             rng.shuffle(places)
             descend(m, params, squares, flat, places, s.pass_batch, s.pass_rate)
-            return len(places)
 
         held, n = [], 0
         for b in slices(batches, 256):
@@ -352,47 +364,56 @@ def train_on_all(model: Model, encoded: DataFrame, s: Settings) -> Model:
                     held.append(got[a : a + HELD])
                     n += len(held[-1])
                     if n >= HELD:
-                        total += learn(held)
+                        learn(held)
                         held, n = [], 0
-        total += learn(held)
-        if not total:
+        learn(held)
+        if not golds.any():
             return
-        rest = np.concatenate([p.ravel() for p in params[1:4]])[None]
-        rows = [(-1, np.array([total], float), rest)]
+        seen[0] = 0  # pads stay zero
+        in_class = np.where(m.class_of < m.own_classes, golds[m.class_of], 0)
+        in_class[0] = 0
+
+        def given(k: int, at: np.ndarray, w: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            bytes_ = [at.astype(np.int32).tobytes(), w.astype(np.float64).tobytes(), np.ascontiguousarray(v, np.float32).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part], pa.int64()), *(pa.array([x], pa.binary()) for x in bytes_)], ["slice", "part", "at", "seen", "own"])
+
+        yield given(-1, np.zeros(1), golds.sum(keepdims=True), np.concatenate([p.ravel() for p in params[1:4]])[None])
         for k in range(0, size, SLICE):
-            if seen[k : k + SLICE].any():
-                rows.append((k, seen[k : k + SLICE], params[0][:, k : k + SLICE].transpose(1, 0, 2).reshape(-1, params[0].shape[0] * params[0].shape[2])))
-            rows.append((-2 - k, np.full(len(params[4][k : k + SLICE]), total, float), params[4][k : k + SLICE]))
-        for k, w, v in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(v, np.float32).tobytes()], pa.binary())], ["slice", "part", "seen", "own"])
+            at = k + np.flatnonzero(seen[k : k + SLICE])
+            if len(at):
+                yield given(k, at - k, seen[at], params[0][:, at].transpose(1, 0, 2).reshape(len(at), -1))
+            at = k + np.flatnonzero(in_class[k : k + SLICE])
+            if len(at):
+                yield given(-2 - k, at - k, in_class[at], params[4][at])
 
     def average(rows: pd.DataFrame) -> pd.DataFrame:
-        total = mean = 0.0
+        total, mean = np.zeros(SLICE), None
         for r in rows.sort_values("part").itertuples():
-            n = np.frombuffer(r.seen, np.float64)
-            total = total + n
-            mean = mean + n[:, None] * np.frombuffer(r.own, np.float32).reshape(len(n), -1)
-        mean = mean / np.maximum(total, 1)[:, None]
-        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "part": rows["part"].iloc[:1] // FAN, "seen": [total.tobytes()], "own": [mean.astype(np.float32).tobytes()]})
-
-    rows = encoded.select("numbers").mapInArrow(run, schema)
+            at, n = np.frombuffer(r.at, np.int32), np.frombuffer(r.seen, np.float64)
+            own = np.frombuffer(r.own, np.float32).reshape(len(at), -1)
+            mean = np.zeros((SLICE if r.slice != -1 else 1, own.shape[1])) if mean is None else mean
+            total[at] += n
+            mean[at] += n[:, None] * own
+        at = np.flatnonzero(total)
+        mean = (mean[at] / total[at, None]).astype(np.float32)
+        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "part": rows["part"].iloc[:1] // FAN, "at": [at.astype(np.int32).tobytes()], "seen": [total[at].tobytes()], "own": [mean.tobytes()]})
+
+    rows = encoded.mapInArrow(run, schema)
     while parts > 1:
         rows = rows.groupBy("slice", F.floor(F.col("part") / FAN).alias("_g")).applyInPandas(lambda own: average(own), schema)
         parts = -(-parts // FAN)
     for r in rows.toLocalIterator():
-        n, v = np.frombuffer(r["seen"], np.float64), np.frombuffer(r["own"], np.float32)
-        k = r["slice"]
+        k, at = r["slice"], np.frombuffer(r["at"], np.int32)
+        v = np.frombuffer(r["own"], np.float32).reshape(len(at), -1)
         if k >= 0:
-            at = k + np.flatnonzero(n)
-            model.params[0][:, at] = v.reshape(len(n), len(SIDES), -1)[n > 0].transpose(1, 0, 2)
+            model.params[0][:, k + at] = v.reshape(len(at), len(SIDES), -1).transpose(1, 0, 2)
         elif k == -1:
             upto = 0
             for p in model.params[1:4]:
-                p[:] = v[upto : upto + p.size].reshape(p.shape)
+                p[:] = v[0, upto : upto + p.size].reshape(p.shape)
                 upto += p.size
         else:
-            model.params[4][-2 - k : -2 - k + len(n)] = v.reshape(len(n), -1)
-    model.params[0][:, 0] = 0
+            model.params[4][-2 - k + at] = v
     model.squares = None
     return model
 
@@ -408,7 +429,7 @@ def fit_lm(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text
     a model of no words.
     """
     model = fit_counts(df, s, text_col)
-    return fit_numbers(model, checkpoint(encode(df, model, id_col, text_col)), s, id_col)
+    return fit_numbers(model, checkpoint(spread(encode(df, model, id_col, text_col))), s, id_col)
 
 
 def score_numbers(encoded: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
@@ -440,5 +461,5 @@ def score_lm(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def lm_scores(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``score_lm`` of every row by a model of these same rows (``fit_lm``); texts are read twice, once for the counts."""
     model = fit_counts(df, s, text_col)
-    encoded = checkpoint(encode(df, model, id_col, text_col))
+    encoded = checkpoint(spread(encode(df, model, id_col, text_col)))
     return score_numbers(encoded, fit_numbers(model, encoded, s, id_col), id_col)
