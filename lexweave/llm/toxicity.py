@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import learns, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of so many letters, as in scripts without spaces, count by all their pieces of 2 to 6 letters, which a mark tells from words.
+LONG_RUN, PIECES, PIECE_MARK = 40, range(2, 7), "\x01"
 #: Marks that open or close a quotation.
 QUOTES = frozenset("\"'“”„«»‘’‹›")
 #: Words of report in four languages; ambiguous short ones are left out.
@@ -49,6 +51,13 @@ class Settings:
     shortest_fuzzy: int = 5
 
 
+def terms_of(run: str) -> list[str]:
+    """What a run of letters teaches and is looked up by: itself, from three letters on, or the pieces of a long one."""
+    if len(run) < LONG_RUN:
+        return [run] if len(run) > 2 else []
+    return [PIECE_MARK + run[i : i + n] for n in PIECES for i in range(len(run) - n + 1)]
+
+
 class Trie:
     """The terms as nested dictionaries; the key "" holds a node's term."""
 
@@ -101,7 +110,7 @@ class Model:
 
     def ready(self) -> None:
         """What a worker needs beside the learned values; made once there."""
-        fuzzy = [t for t in self.terms if len(t) >= self.shortest_fuzzy]
+        fuzzy = [t for t in self.terms if len(t) >= self.shortest_fuzzy and t[0] != PIECE_MARK]
         self.trie = Trie(fuzzy)
         # One edit or swap leaves either the first or the last letters of a term as they are.
         self.edges: set[tuple[int, str]] = set()
@@ -132,11 +141,16 @@ class Model:
         runs = LETTERS.findall(chunk)
         best = None
         for x in runs:
-            if len(x) > 2 and (hit := self.look_up(x)) and (best is None or hit[0] < best[0]):
+            if len(x) >= LONG_RUN:
+                found = [weight for t in terms_of(x) if (weight := self.terms.get(t)) is not None]
+                hit = (0, max(found)) if found else None
+            else:
+                hit = self.look_up(x) if len(x) > 2 else None
+            if hit and (best is None or hit[0] < best[0]):
                 best = hit
         if best is None and len(runs) != 1 or (runs and len(runs[0]) < len(chunk.strip("".join(QUOTES) + ".,;:!?()[]{}"))):
             core = chunk.strip("".join(QUOTES) + ".,;:!?()[]{}")
-            if best is None and 3 < len(core) < 30 and any(c.isalpha() for c in core):
+            if best is None and 3 < len(core) and any(c.isalpha() for c in core):
                 best = self.look_up(core)
         return best
 
@@ -275,7 +289,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), i
         docs_seen = [0, 0]
         for b in slices(batches):
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[toxic].update({w for w in LETTERS.findall(text.lower()) if 2 < len(w) < 40})
+                counts[toxic].update({t for w in set(LETTERS.findall(text.lower())) for t in terms_of(w)})
                 docs_seen[toxic] += 1
             if len(counts[0]) + len(counts[1]) > 200_000:
                 yield told(counts)
@@ -290,7 +304,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), i
 
     found = rows.filter("not _calibrates").select("_toxic", "_text").mapInArrow(count, "term string, pos long, neg long")
     # A term's prefixes of 4 to 7 letters may be stems; n: how many words share one.
-    split = F.explode(F.array_distinct(F.concat(F.array(F.struct(F.col("term").alias("t"), F.lit(False).alias("stem"))), F.transform(F.filter(F.sequence(F.lit(4), F.lit(7)), lambda k: k < F.length("term")), lambda k: F.struct(F.substring(F.col("term"), F.lit(1), k).alias("t"), F.lit(True).alias("stem"))))))
+    split = F.explode(F.array_distinct(F.concat(F.array(F.struct(F.col("term").alias("t"), F.lit(False).alias("stem"))), F.transform(F.filter(F.sequence(F.lit(4), F.lit(7)), lambda k: (k < F.length("term")) & ~F.col("term").startswith(PIECE_MARK)), lambda k: F.struct(F.substring(F.col("term"), F.lit(1), k).alias("t"), F.lit(True).alias("stem"))))))
     words = found.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     both = words.select("pos", "neg", split.alias("x")).groupBy("x.t", "x.stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum((F.col("pos") > 0).cast("int")).alias("n"))
     # No term can hold that is as common in clean documents as in toxic ones.

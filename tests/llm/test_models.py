@@ -247,3 +247,24 @@ def test_vocabulary_follows_the_distinct_words(spark):
     docs = spark.createDataFrame([(i, f"a{i} a{i} b{i}") for i in range(100)], "doc_id long, text string")
     assert len(lmscore.fit_counts(docs, lmscore.Settings(vocabulary=10, vocabulary_root=7.1)).numbers) == 100
     assert len(lmscore.fit_counts(docs, lmscore.Settings(vocabulary=10, vocabulary_root=0.5)).numbers) == 10
+
+
+def test_toxicity_in_a_script_without_spaces(spark):
+    """Sentences are one run of letters each; a term stands anywhere in them."""
+    rng = np.random.default_rng(12)
+    plain = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    said = lambda i: "".join(rng.choice(plain, 60)[:30]) + ("惡言語" if i % 2 else "") + "".join(rng.choice(plain, 30)) + "。" + "".join(rng.choice(plain, 50))
+    docs = spark.createDataFrame([(i, said(i)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    m = toxicity.fit_toxicity(docs, labels)
+    assert any(t.strip(toxicity.PIECE_MARK) in "惡言語" for t in m.terms) and not any(s.startswith(toxicity.PIECE_MARK) for s in m.stems)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, m).collect()}
+    assert all((got[i] >= 0.3) == bool(i % 2) for i in got)
+
+
+def test_pieces_of_long_runs():
+    assert toxicity.terms_of("ab") == [] and toxicity.terms_of("x" * 39) == ["x" * 39]
+    assert len(toxicity.terms_of("x" * 40)) == sum(41 - n for n in toxicity.PIECES)
+    m = toxicity.Model(terms={"foulterm": 3.0}, weights=np.array([1.0, 1, 1, 0, 0, 0]), bias=-3.0)
+    assert m.features("foulterm" + "x" * 40)[0] == 0  # a word within a long run of letters is none
+    assert m.features("a-" * 20 + "b")[0] == 0
