@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from . import sentences, spans
+from .sentences import compiled
 
 #: Words whose period ends no sentence, beside single letters.
 SHORTENED = [
@@ -49,7 +50,7 @@ class Source:
 
     @cached_property
     def compiled(self) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-        return re.compile(self.pattern), re.compile(self.needs), re.compile(self.bars)
+        return compiled(self.pattern), compiled(self.needs), compiled(self.bars)
 
 
 #: Kinds of sources, in the order in which they claim their places.

@@ -114,6 +114,21 @@ RULES = [
     Rule("internet-visited", ("internet",), r"https?://[^/\s)]+(?:/+[^/\s)]*)?/*(?:[\s)]|$)", "non_conforming", "form_components", "18.2.3", "A page that changes needs the day of the visit.", unless=r"(?i)\(last\s+visited[^)]*\)|https?://[^/\s)]+/(?:[^\s)]*/)?\d{4}\b|https?://[^/\s)]+/[^\s)]*\.(?:html?|pdf|aspx?|jsp)\b"),
     Rule("news-link", (), r"(?s)\A(?=.*(?:" + "|".join(re.escape(o) for o in OUTLETS) + r"))(?=.*\([A-Z][a-z]{2,5}\.?\s+(?:\d{1,2},\s+)?\d{4}\))", "non_conforming", "form_components", "18.2", "A news article needs its address.", unless="https?://"),
 ]
+#: Short forms of the Federal Rules, courts as a parenthesis names them, and months.
+FEDERAL_RULES = {"FRCP": "Fed. R. Civ. P.", "FRCrP": "Fed. R. Crim. P.", "FRAP": "Fed. R. App. P.", "FRE": "Fed. R. Evid.", "F.R.C.P.": "Fed. R. Civ. P.", "F.R.Cr.P.": "Fed. R. Crim. P."}
+COURT = r"(?:Cir\.|Ct\.|App\.|DCA|App'x|Tex\.|N\.D\.|S\.D\.|E\.D\.|W\.D\.|D\.|Bankr\.|Fla\.|Cal\.|N\.Y\.|Mass\.|Mich\.|Ill\.|Pa\.|Va\.|Ohio|Ga\.|N\.C\.|N\.J\.|Conn\.|Md\.|Wash\.|Or\.|Colo\.|Ariz\.|Ind\.|Tenn\.|Mo\.|Wis\.|Minn\.|U\.S\.)"
+MONTH = r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)\.?\s+\d{1,2}"
+IN_COURT = r"\((?=[A-Z][A-Za-z.\s\d]+,\s*\d{4}\))(?=[A-Za-z.\s\d]*\b" + COURT + r"\b)(?![A-Za-z.\s\d]*" + MONTH + ",)"
+SPACED_RULE = r"\bFed\.?\s*R\.?\s*(Civ|Crim|App|Evid)\.?\s*P\.?"
+#: Rules of form beside those above: Federal Rules, series of So., commas before a year, history, ranges of paragraphs.
+FORM_RULES = [
+    *(Rule(f"federal-{short}", ("rules",), rf"\b{re.escape(short)}\b", "non_conforming", "form_components", "12.9.3", f"{short} is written {long}", fix=first(rf"\b{re.escape(short)}\b", long)) for short, long in FEDERAL_RULES.items()),
+    Rule("federal-periods", ("rules",), r"\bFed\s+R\s+(?:Civ|Crim|App|Evid)\s+P\b|" + SPACED_RULE + r"\s*\d", "non_conforming", "form_components", "12.9.3", "The Federal Rules take periods and spaces.", unless=r"\bFed\. R\. (?:Civ|Crim|App|Evid)\. P\.", fix=first(SPACED_RULE + r"(?=\s)", "Fed. R. $2. P.")),
+    Rule("so-space", ("reporter", "case"), r"\bSo\.\dd\b", "non_conforming", "reporter", "6.1", "A space stands before the series of So.", fix=lambda text: F.regexp_replace(text, r"\bSo\.(\d)d\b", "So. $1d")),
+    Rule("court-comma", (), IN_COURT, "non_conforming", "form_components", "10.5", "No comma stands between court and year.", fix=first(r"\(([A-Z][A-Za-z.\s\d]+),\s*(\d{4})\)", "($2 $3)")),
+    Rule("cert-period", (), r"(?i)\bcert(?!\.)\s+(?:denied|granted|dismissed)\b", "non_conforming", "history", "10.7", "cert. takes a period.", fix=lambda text: F.regexp_replace(text, r"(?i)\bcert(?!\.)\s+(denied|granted|dismissed)\b", "cert. $1")),
+    Rule("paragraph-dash", (), r"¶{1,2}\s*\d{1,5}[-—]\d{1,5}\b", "non_conforming", "form_components", "3.2(a)", "A range takes an en dash.", fix=first(r"(¶{1,2}\s*)(\d{1,5})[-—](\d{1,5})\b", "$2$3–$4")),
+]
 
 
 TOLD = ("rule_id", "severity", "category", "rule_cite", "message")
@@ -141,12 +156,6 @@ def flags(cites: DataFrame, rules: list[Rule] = RULES, kind: str = "kind", text:
     return broken.withColumn("suggested_fix", fix).join(F.broadcast(told), "_n").select(*cites.columns, *TOLD, "suggested_fix")  # a row a rule
 
 
-def reporter_currency(cites: DataFrame, reporters: DataFrame) -> DataFrame:
-    """Cites whose year is outside their reporter's years: cites have (reporter, year), reporters (reporter, since, until or null)."""
-    known = cites.join(reporters, "reporter")
-    return known.filter((F.col("year") < F.col("since")) | (F.col("year") > F.coalesce("until", F.lit(9999)))).select(cites.columns)
-
-
 def post_filter(flags_: DataFrame, existing: DataFrame, blocked: list[str], key: list[str]) -> DataFrame:
     """Judged flags without those of blocked rules, without target, or of a rule that the citation already broke."""
     own = flags_.filter(~F.col("rule_cite").isin(blocked)).dropna(subset=key)

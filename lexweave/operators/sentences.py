@@ -6,6 +6,33 @@ import re
 
 LAST_WORD = re.compile(r"[A-Za-z][A-Za-z']*\Z")
 
+CLASSES = {"w": "A-Za-z0-9_", "d": "0-9"}
+
+
+def ascii_classes(pattern: str) -> str:
+    """A pattern whose words, digits and word ends are ASCII, as in the patterns' own language; white space stays that of Unicode."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        c, two = pattern[at], pattern[at : at + 2]
+        if c == "\\":
+            name = two[1:]
+            if name in CLASSES:
+                two = CLASSES[name] if inside else f"[{CLASSES[name]}]"
+            elif name == "b" and not inside:
+                two = r"(?a:\b)"
+            out.append(two)
+            at += 2
+            continue
+        if c in "[]":
+            inside = c == "[" or (inside and pattern[at - 1] == "[")
+        out.append(c)
+        at += 1
+    return "".join(out)
+
+
+def compiled(pattern: str, flags: int = 0) -> re.Pattern:
+    return re.compile(ascii_classes(pattern), flags)
+
 
 def starts(text: str, breaks: re.Pattern, shortened: set[str], dotted: re.Pattern | None = None) -> list[int]:
     """Ends of the breaks that are none of an abbreviation's, in order; the text's own beginning is left out.

@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.batches import small
+from .sentences import ascii_classes
+
 #: Reporters as patterns, with the forms that lack periods or spaces, and patterns of citations.
 REPORTERS = [
     r"U\.S\.", r"S\. ?Ct\.", r"L\. ?Ed\. ?2d", r"L\. ?Ed\.", r"F\.4th", r"F\.3d", r"F\.2d", r"F\.", r"Fed\. ?App'?x\.", r"F\. ?Supp\. ?3d", r"F\. ?Supp\. ?2d", r"F\. ?Supp\.", r"F\.R\.D\.", r"B\.R\.", r"Bankr\.", r"T\.C\.",
@@ -46,20 +49,18 @@ def extract_by(df: DataFrame, id_col: str, text_col: str, find: Callable[[str],
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                b = batch.slice(a, 512)
-                out = [(i, n, *x) for i, text in enumerate(b.column(1).to_pylist()) for n, x in enumerate(find(text or ""))]
-                if out:
-                    at, ordinal, start, end, name, text = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(ordinal, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(name), pa.array(text)], [id_col, "ordinal", "start", "end", "kind", "text"])
+        for b in small(batches):
+            out = [(i, n, *x) for i, text in enumerate(b.column(1).to_pylist()) for n, x in enumerate(find(text or ""))]
+            if out:
+                at, ordinal, start, end, name, text = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(ordinal, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(name), pa.array(text)], [id_col, "ordinal", "start", "end", "kind", "text"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ordinal int, {SCHEMA}")
 
 
 def extract(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] = PATTERNS) -> DataFrame:
     """Every match of the patterns, in order of start, longest first."""
-    compiled = [(k, re.compile(p)) for k, p in patterns.items()]
+    compiled = [(k, re.compile(ascii_classes(p))) for k, p in patterns.items()]
 
     def find(text: str) -> list[tuple]:
         return sorted(((m.start(), m.end(), k, m[0]) for k, p in compiled for m in p.finditer(text)), key=lambda x: (x[0], -x[1]))

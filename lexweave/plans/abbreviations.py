@@ -96,3 +96,35 @@ def rule_early_reports(spark: SparkSession, d: str) -> DataFrame:
 def rule_restatements(spark: SparkSession, d: str) -> DataFrame:
     """Restatements without series, publisher or year; prose and nulls tell nothing."""
     return told(abbreviations.restatement_flags(table(spark, d, "customer").select("c_custkey", pick(F.col("c_custkey"), RESTATEMENTS).alias("text"))))
+
+
+@query("""
+WITH c AS (SELECT c_custkey, c_custkey % 7 AS a, c_custkey % 5 AS b, c_custkey % 3 AS n, c_custkey % 900 + 1 AS v, c_custkey % 1200 + 1 AS p FROM customer),
+t AS (SELECT *, CASE n WHEN 0 THEN 'Roe v. Apex Logistics Inc.' WHEN 1 THEN 'Roe v. Apex Logistics, Inc.' ELSE 'Roe v. Apex' END || ', ' || v || CASE WHEN a < 3 THEN ' So.3d ' ELSE ' So. 3d ' END || p ||
+  CASE b WHEN 0 THEN ' (Fla. 4th DCA, 2001)' WHEN 1 THEN ' (Fla. 4th DCA 2001)' WHEN 2 THEN ' (Fla. DCA May 4, 2001)' ELSE ' (2001)' END AS text FROM c)
+SELECT c_custkey, 'so-space' AS rule_id, REPLACE(text, 'So.3d', 'So. 3d') AS suggested_fix FROM t WHERE a < 3
+UNION ALL SELECT c_custkey, 'court-comma', REPLACE(text, 'DCA, 2001', 'DCA 2001') FROM t WHERE b = 0
+UNION ALL SELECT c_custkey, 'corporate-comma', NULL FROM t WHERE n = 0
+""")
+def rule_case_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Form of whole cases: the series of So., a comma before the year, a comma before Inc. The texts are made of columns."""
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 0, "Roe v. Apex Logistics Inc.").when(k % 3 == 1, "Roe v. Apex Logistics, Inc.").otherwise("Roe v. Apex")
+    court = F.when(k % 5 == 0, " (Fla. 4th DCA, 2001)").when(k % 5 == 1, " (Fla. 4th DCA 2001)").when(k % 5 == 2, " (Fla. DCA May 4, 2001)").otherwise(" (2001)")
+    text = F.concat(F.lit("He cited. "), name, F.lit(", "), (k % 900 + 1).cast("string"), F.when(k % 7 < 3, " So.3d ").otherwise(" So. 3d "), (k % 1200 + 1).cast("string"), court, F.lit("."))
+    cites = cases.extract_cases(table(spark, d, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text").withColumn("kind", F.lit("case"))
+    own = [r for r in rules.RULES if "case" in r.kinds] + rules.FORM_RULES
+    return rules.flags(cites, own).select("c_custkey", "rule_id", "suggested_fix")
+
+
+@query("""
+WITH t AS (SELECT o_orderkey, o_orderkey % 6 AS k, (o_orderkey % 80 + 1)::VARCHAR AS n FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN 'federal-FRCP' WHEN 1 THEN 'federal-periods' WHEN 3 THEN 'paragraph-dash' ELSE 'cert-period' END AS rule_id,
+  CASE k WHEN 0 THEN 'Fed. R. Civ. P. ' || n WHEN 1 THEN 'Fed. R. Civ. P. ' || n WHEN 3 THEN 'Compl. ¶¶ ' || n || '–99, cert. denied' ELSE 'Roe, 1 F.3d ' || n || ', cert. Granted' END AS suggested_fix FROM t WHERE k IN (0, 1, 3, 4)
+""")
+def rule_other_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Federal Rules, ranges of paragraphs and later history, in texts of their own."""
+    k, n = F.col("o_orderkey") % 6, (F.col("o_orderkey") % 80 + 1).cast("string")
+    text = F.when(k == 0, F.concat(F.lit("FRCP "), n)).when(k == 1, F.concat(F.lit("Fed R Civ P "), n)).when(k == 2, F.concat(F.lit("Fed. R. Civ. P. "), n)).when(k == 3, F.concat(F.lit("Compl. ¶¶ "), n, F.lit("-99, cert. denied"))).when(k == 4, F.concat(F.lit("Roe, 1 F.3d "), n, F.lit(", cert Granted")))
+    kind = F.when(k < 3, "rules").when(k < 5, "other")
+    return rules.flags(table(spark, d, "orders").select("o_orderkey", text.alias("text"), kind.alias("kind")), rules.FORM_RULES).select("o_orderkey", "rule_id", "suggested_fix")

@@ -11,12 +11,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def register_views(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
-    """Temporary views, so that all of Spark SQL runs over the tables."""
-    for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-
-
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """CSV with a header; a byte-order mark before the first name is dropped, fields may hold line breaks."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
@@ -45,10 +39,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     lines.mapInArrow(framed, "value string").write.text(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.json(path)
-
-
 def envelopes(findings: DataFrame, key: str, version: int = 2) -> DataFrame:
     """One JSON envelope for each key: its findings in order of ``ordinal``, with a schema version and a count."""
     fields = [c for c in findings.columns if c != key]
