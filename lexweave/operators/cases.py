@@ -127,7 +127,7 @@ def reporter_years(spark: SparkSession) -> DataFrame:
 
 def even_reporter() -> F.Column:
     """A reporter with the spaces that its full form has: S.Ct. as S. Ct."""
-    return F.regexp_replace("reporter", r"^(S\.|L\.|F\.(?=Supp)|So\.|Cal\.|Misc\.|Ill\.|Mass\.)(?=[A-Z0-9])|(?<=Ed\.|Supp\.|Rptr\.|App\.)(?=\d)", "$1 ")
+    return F.regexp_replace("reporter", r"^(S\.(?=Ct)|L\.(?=Ed)|F\.(?=Supp)|So\.|Cal\.|Misc\.|Ill\.|Mass\.)(?=[A-Z0-9])|(?<=Ed\.|Supp\.|Rptr\.|App\.)(?=\d)", "$1 ")
 
 
 def out_of_years(cites: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ TEXTS = [
     "In re International Services, 5 F.2d 3 (DC Cir. 1950). Roe v. Acme Tenn, 44 U.S. 2 (Calif. 1846).",
     "Doe v. Nat'l Mkt. of Ohio, 99 F. Supp. 2d 1 (SDNY 2001). International Bros. v. Roe, 1 F.4th 2 (9th Cir. 2021).",
 ]
-PERIODICALS = ["Yale Law Journal", "Yale L.J.", "Odd Journal", "", None, "St. John's Law Review"]
 RESTATEMENTS = [
     "Restatement 2d Contracts § 351", "Restatement (Second) of Contracts § 351", "Restatement (Second) of Torts § 1 (Am. L. Inst. 1965)", "Restatement of Trusts § 2 (Am. L. Inst. 2003).", "the Restatement of Trusts", None,
 ]
@@ -36,15 +35,27 @@ def told(flags: DataFrame) -> DataFrame:
     return flags.select("c_custkey", "rule_id", "found", "suggested_fix")
 
 
-WHOLE = "Smith Industries Company v. Department of Homeland Security, 12 F.3d 34 (2nd Cir. 1999)"
-WORDS = [("Industries", "Indus."), ("Company", "Co."), ("Department", "Dep't"), ("Security", "Sec.")]
-LONG = [(0, "case-word", w, WHOLE.replace(w, s)) for w, s in WORDS]
+WORDS = list(abbreviations.CASE_WORDS.items())
 
 
-@query(flagged(4, [*LONG, (2, "case-word", "Services", "In re International Servs., 5 F.2d 3 (DC Cir. 1950)")]))
+def numbered(rows: list[tuple]) -> str:
+    return case_rows([(i, *r) for i, r in enumerate(rows)])
+
+
+@query(f"""
+WITH w(i, word, short) AS (VALUES {numbered(WORDS)}),
+t AS (SELECT c_custkey, word || CASE WHEN c_custkey // {len(WORDS)} % 2 = 1 THEN 's' ELSE '' END AS found, word, short, c_custkey % 900 + 1 AS v FROM customer JOIN w ON i = c_custkey % {len(WORDS)}),
+s AS (SELECT t.c_custkey, t.found, t.v, CASE WHEN t.found = t.word THEN t.short WHEN p.short IS NOT NULL THEN p.short WHEN t.word NOT LIKE '%s' THEN REGEXP_REPLACE(t.short, '\\.$', 's.') END AS short
+  FROM t LEFT JOIN w p ON p.word = t.found AND t.found <> t.word)
+SELECT c_custkey, 'case-word' AS rule_id, found, 'Roe v. Old ' || short || ', ' || v || ' F.3d 34 (2d Cir. 1999)' AS suggested_fix FROM s WHERE short IS NOT NULL
+""")
 def rule_case_words(spark: SparkSession, d: str) -> DataFrame:
-    """Words of case names that have a short form; the first of a party and short ones pass."""
-    return told(abbreviations.long_words(cited(spark, d)))
+    """Every word of the table and its plural, in the names of cases; the first of a party passes."""
+    n = len(WORDS)
+    k = F.col("c_custkey")
+    word = F.get(F.array(*[F.lit(w) for w, _ in WORDS]), (k % n).cast("int"))
+    text = F.concat(F.lit("See Roe v. Old "), word, F.when(F.floor(k / n) % 2 == 1, "s").otherwise(""), F.lit(", "), (k % 900 + 1).cast("string"), F.lit(" F.3d 34 (2d Cir. 1999)."))
+    return told(abbreviations.long_words(cases.extract_cases(table(spark, d, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")))
 
 
 @query(flagged(4, [(1, "case-word-period", "Atl", "In re Bell Atl., 5 U.S. 137 (1803)"), (1, "case-word-period", "Corp", "Bell Atl Corp. v. Twombly, 550 U.S. 544 (2007)")]))
@@ -65,10 +76,21 @@ def rule_places(spark: SparkSession, d: str) -> DataFrame:
     return rules.flags(cited(spark, d).withColumn("kind", F.lit("reporter")), abbreviations.PLACE_RULES).select("c_custkey", "rule_id", "suggested_fix")
 
 
-@query(flagged(6, [(0, "periodical-form", "Yale Law Journal", "Yale L.J."), (2, "periodical-unknown", "Odd Journal", None), (5, "periodical-form", "St. John's Law Review", "St. John's L. Rev.")]))
+JOURNALS = list(abbreviations.PERIODICALS.items())
+
+
+@query(f"""
+WITH j(i, long, short) AS (VALUES {numbered(JOURNALS)}), t AS (SELECT c_custkey, c_custkey // {len(JOURNALS)} % 3 AS form, long, short FROM customer JOIN j ON i = c_custkey % {len(JOURNALS)})
+SELECT c_custkey, 'periodical-form' AS rule_id, long AS found, short AS suggested_fix FROM t WHERE form = 0 AND long <> short
+UNION ALL SELECT c_custkey, 'periodical-unknown', long || ' (Old)', NULL FROM t WHERE form = 2
+""")
 def rule_periodicals(spark: SparkSession, d: str) -> DataFrame:
-    """Periodicals written out or unknown; null and empty ones tell nothing."""
-    return told(abbreviations.periodical_flags(table(spark, d, "customer").select("c_custkey", pick(F.col("c_custkey"), PERIODICALS).alias("periodical"))))
+    """Every periodical of the table: written out, in its short form, and with something behind it that makes it unknown."""
+    n, k = len(JOURNALS), F.col("c_custkey")
+    pick_of = lambda names: F.get(F.array(*map(F.lit, names)), (k % n).cast("int"))
+    form, long = F.floor(k / n) % 3, pick_of([x for x, _ in JOURNALS])
+    name = F.when(form == 0, long).when(form == 1, pick_of([x for _, x in JOURNALS])).otherwise(F.concat(long, F.lit(" (Old)")))
+    return told(abbreviations.periodical_flags(table(spark, d, "customer").select("c_custkey", name.alias("periodical"))))
 
 
 @query("""

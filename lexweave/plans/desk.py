@@ -587,10 +587,43 @@ def rule_case_names(spark: SparkSession, d: str) -> DataFrame:
     return cases.name_flags(cases.extract_cases(argued(spark, d), "c_custkey", "text")).select("c_custkey", "name", "rule_id")
 
 
-@query("SELECT c_custkey, 'Jones v Lee' AS name, 1850 AS year, 1882 AS since FROM customer")
+#: Reporters that citations are looked for by; the table of years knows one more.
+CITED_YEARS = [x for x in cases.YEARS if x[0] != "Fed. Cl."]
+
+
+@query(f"""
+WITH r(i, reporter, since, until) AS (VALUES {case_rows([(i, *x) for i, x in enumerate(CITED_YEARS)])}),
+t AS (SELECT o_orderkey, reporter, since, until, 1840 + o_orderkey // {len(CITED_YEARS)} % 190 AS year FROM orders JOIN r ON i = o_orderkey % {len(CITED_YEARS)})
+SELECT o_orderkey, 'Old Bank v. Lee' AS name, reporter, year::INT AS year, since FROM t WHERE year < since OR year > COALESCE(until, 9999)
+""")
 def rule_reporter_years(spark: SparkSession, d: str) -> DataFrame:
-    """Cases of a year that their reporter does not have."""
-    return cases.out_of_years(cases.extract_cases(argued(spark, d), "c_custkey", "text")).select("c_custkey", "name", "year", "since")
+    """Every reporter of the table with years before, within and after its own."""
+    n, k = len(CITED_YEARS), F.col("o_orderkey")
+    reporter = F.get(F.array(*[F.lit(r) for r, _, _ in CITED_YEARS]), (k % n).cast("int"))
+    text = F.concat(F.lit("He lost. Old Bank v. Lee, 12 "), reporter, F.lit(" 34 (Vt. "), (1840 + F.floor(k / n) % 190).cast("string"), F.lit(")."))
+    return cases.out_of_years(cases.extract_cases(table(spark, d, "orders").select("o_orderkey", text.alias("text")), "o_orderkey", "text")).select("o_orderkey", "name", "reporter", "year", "since")
+
+
+@query("""
+WITH t AS (SELECT o_orderkey, o_orderkey % 700 + 1 AS v, o_orderkey % 999 + 1 AS p, 1950 + o_orderkey % 70 AS y, o_orderkey % 4 AS lead, ['F.3d', 'U.S.', 'F. Supp. 2d', 'A.2d'][o_orderkey % 4 + 1] AS reporter,
+  UPPER(LEFT(p_name, 1)) || SUBSTR(p_name, 2, STRPOS(p_name, ' ') - 2) AS party, UPPER(LEFT(p_type, 1)) || LOWER(SUBSTR(p_type, 2)) AS firm, n_name AS place
+  FROM orders JOIN part ON p_partkey = o_custkey JOIN nation ON n_nationkey = o_custkey % 25)
+SELECT o_orderkey, CASE WHEN lead = 2 THEN 'In re ' || party || ' Acquis. Corp.' WHEN lead = 3 THEN 'State ex rel. ' || party || ' v. City of ' || firm ELSE party || ' Petrol. Co. v. ' || firm || ' & Sons' END AS name,
+  v::INT AS volume, reporter, p::INT AS page, CASE WHEN lead <> 1 THEN 'D. ' || REPLACE(place, '_', ' ') END AS court, y::INT AS year FROM t
+""")
+def cite_made_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Cases whose names, places and years come from the tables, behind sentences, signals and other cases."""
+    k = F.col("o_orderkey")
+    lead, number = k % 4, lambda n, plus=1: (k % n + plus).cast("string")
+    title = lambda c: F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(c, 2, 100)))
+    party, firm = title(F.substring_index("p_name", " ", 1)), title(F.col("p_type"))
+    name = F.when(lead == 2, F.concat(F.lit("In re "), party, F.lit(" Acquis. Corp."))).when(lead == 3, F.concat(F.lit("State ex rel. "), party, F.lit(" v. City of "), firm)).otherwise(F.concat(party, F.lit(" Petrol. Co. v. "), firm, F.lit(" & Sons")))
+    before = F.when(lead == 0, "The court so held. ").when(lead == 1, "But see ").when(lead == 2, "They won (1990); ").otherwise("It is settled.\n")
+    reporter = pick(k, ["F.3d", "U.S.", "F. Supp. 2d", "A.2d"])
+    court = F.when(lead != 1, F.concat(F.lit("D. "), F.replace("n_name", F.lit("_"), F.lit(" ")), F.lit(" "))).otherwise("")
+    text = F.concat(before, name, F.lit(", "), number(700), F.lit(" "), reporter, F.lit(" "), number(999), F.lit(" ("), court, number(70, 1950), F.lit("). So it stands."))
+    rows = table(spark, d, "orders").join(table(spark, d, "part"), F.col("p_partkey") == F.col("o_custkey")).join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("o_custkey") % 25)
+    return cases.extract_cases(rows.select("o_orderkey", text.alias("text")), "o_orderkey", "text").select("o_orderkey", "name", "volume", "reporter", "page", "court", "year")
 
 
 @query("""
