@@ -44,3 +44,27 @@ def values() -> str:
 def rule_document_issues(spark: SparkSession, d: str) -> DataFrame:
     """Issues of whole drafts with their places."""
     return scanners.issues(table(spark, d, "customer").select("c_custkey", pick(F.col("c_custkey"), DRAFTS).alias("text")), "c_custkey", "text")
+
+
+@query("""
+WITH t AS (SELECT o_orderkey, o_orderkey % 8 AS n, o_orderkey % 3 AS c, o_orderkey % 9 + 1 AS plus, o_orderkey % 5 AS q, o_orderkey::VARCHAR AS k FROM orders),
+r AS (SELECT o_orderkey, n, i, '¶ ' || i || CASE WHEN i = 3 THEN '—' ELSE '-' END || (i + plus) AS text FROM t JOIN RANGE(1, 9) g(i) ON i <= n),
+h AS (SELECT *, COUNT(*) FILTER (i <> 3) OVER (PARTITION BY o_orderkey) AS hyphens FROM r)
+SELECT o_orderkey, 'paragraph-range' AS rule_id, text, CASE WHEN i <> 3 AND hyphens >= 5 THEN hyphens ELSE 1 END AS "count", CASE WHEN i = 3 OR hyphens < 5 THEN REPLACE(REPLACE(text, '-', '–'), '—', '–') END AS suggested_fix
+FROM h WHERE i = 3 OR hyphens < 5 OR i = 1
+UNION ALL SELECT o_orderkey, 'ellipsis', 'so...w' || k, 1, 'so . . . w' || k FROM t
+UNION ALL SELECT o_orderkey, 'capital-congress', 'congress', 1, 'Congress' FROM t WHERE c = 0
+UNION ALL SELECT o_orderkey, 'capital-constitution', 'the constitution', 1, 'the Constitution' FROM t WHERE c = 1
+UNION ALL SELECT o_orderkey, 'block-quote', RTRIM(REPEAT('word' || k || ' ', (q * 12 + 3)::BIGINT)), 1, NULL FROM t WHERE q BETWEEN 1 AND 3
+UNION ALL SELECT o_orderkey, 'undeclared-name', 'The Market Act', 1, NULL FROM t WHERE c = 2
+""")
+def rule_made_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Issues of drafts made of the orders' numbers: none to seven ranges, quotations of 3 to 51 words, acts with and without a declaration."""
+    k = F.col("o_orderkey")
+    n, c, q, number = (k % 8).cast("int"), k % 3, (k % 5).cast("int"), k.cast("string")
+    ranges = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit("¶ "), i.cast("string"), F.when(i == 3, "—").otherwise("-"), (i + k % 9 + 1).cast("string")))
+    said = F.when(c == 0, "Then congress sat, Congress too. ").when(c == 1, "Under the constitution and the Constitution. ").otherwise("The Investors Act of 1940 and The Market Act stand. ")
+    quotation = F.rtrim(F.repeat(F.concat(F.lit("word"), number, F.lit(" ")), q * 12 + 3))
+    text = F.concat(F.lit("He said so...w"), number, F.lit(" of it. "), said, F.lit("See "), F.array_join(ranges, ", "), F.lit(" it held:\n\n    "), quotation, F.lit("\n\nAnd so on."))
+    found = scanners.issues(table(spark, d, "orders").select("o_orderkey", text.alias("text")), "o_orderkey", "text")
+    return found.select("o_orderkey", "rule_id", "text", "count", "suggested_fix")
