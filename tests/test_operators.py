@@ -157,7 +157,7 @@ def test_vectors(spark):
 def test_grading_without_rows(spark):
     comments = spark.createDataFrame([], "i long, anchor string, body string")
     key = spark.createDataFrame([], "error_id long, anchors array<string>, rule string, keywords array<string>")
-    r = grading.grade(comments, "i", key).first()
+    r = grading.grade_one_to_one(comments, "i", key).first()
     assert (r["precision"], r["recall"], r["comments"], r["planted"]) == (1.0, 1.0, 0, 0)
 
 
