@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.batches import small
-from .sentences import ascii_classes
+from .sentences import compiled
 
 #: Reporters as patterns, with the forms that lack periods or spaces, and patterns of citations.
 REPORTERS = [
@@ -24,7 +23,7 @@ REPORTERS = [
 NAMES = "(?:" + "|".join(sorted(REPORTERS, key=len, reverse=True)) + ")"
 STATES = r"(?:Cal\.|N\.Y\.|Tex\.|Fla\.|Mass\.|Ill\.|Ohio|Pa\.|Va\.|Mich\.|Ga\.|N\.C\.|N\.J\.|Conn\.|Md\.|Wash\.|Or\.|Colo\.|Ariz\.|Ind\.|Tenn\.|Mo\.|Wis\.|Minn\.)"
 PATTERNS = {
-    "reporter": rf"\b\d{{1,4}}\s+{NAMES}\s+\d{{1,5}}(?!d\b|th\b)(?:[-–—,]\s*\d{{1,5}})*",
+    "reporter": rf"\b\d{{1,4}}\s+(?=[A-Z]){NAMES}\s+\d{{1,5}}(?!d\b|th\b)(?:[-–—,]\s*\d{{1,5}})*",
     "unreported": r"\b\d{4}\s+(?:WL|U\.S\. App\. LEXIS|LEXIS)\s+\d+(?:,\s+at\s+\*\d+)?(?:\s*\([^)]{0,100}\))?",
     "short_case": rf"\b[A-Z][A-Za-z\-']{{1,80}}(?:,?\s+[A-Z][A-Za-z\-']{{1,80}}){{0,3}},\s+\d{{1,4}}\s+{NAMES}\s+at\s+\d{{1,5}}(?:[\-,]\s*\d{{1,5}})?",
     "usc": r"\b\d{1,3}\s+(?:U\.S\.C\.|USC)\s+(?:§{1,2}\s?)?[\d\-().a-zA-Z]+",
@@ -37,6 +36,20 @@ PATTERNS = {
     "supra": r"\bsupra(?:\s+note\s+\d{1,4})?(?:[,\s]+at\s+\d{1,5}(?:[-–,]\s*\d{1,5})*)?",
     "url": r"https?://[^\s)>\]]+",
 }
+#: What a text must hold for a pattern to have a chance; looking for it is much faster than the pattern.
+NEEDS = {
+    "unreported": ("WL", "LEXIS"),
+    "short_case": ("at",),
+    "usc": ("U.S.C.", "USC"),
+    "state_statute": ("§",),
+    "cfr": ("C.F.R.", "CFR"),
+    "constitutional": ("Const.",),
+    "rules": ("Fed", "FR", "F.R."),
+    "restatement": ("Restatement",),
+    "id": ("Id.",),
+    "supra": ("supra",),
+    "url": ("http",),
+}
 SCHEMA = "start int, end int, kind string, text string"
 
 
@@ -60,10 +73,11 @@ def extract_by(df: DataFrame, id_col: str, text_col: str, find: Callable[[str],
 
 def extract(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] = PATTERNS) -> DataFrame:
     """Every match of the patterns, in order of start, longest first."""
-    compiled = [(k, re.compile(ascii_classes(p))) for k, p in patterns.items()]
+    patterns_ = [(k, compiled(p), NEEDS.get(k) if PATTERNS.get(k) == p else None) for k, p in patterns.items()]
 
     def find(text: str) -> list[tuple]:
-        return sorted(((m.start(), m.end(), k, m[0]) for k, p in compiled for m in p.finditer(text)), key=lambda x: (x[0], -x[1]))
+        tried = [(k, p) for k, p, needs in patterns_ if needs is None or any(x in text for x in needs)]
+        return sorted(((m.start(), m.end(), k, m[0]) for k, p in tried for m in p.finditer(text)), key=lambda x: (x[0], -x[1]))
 
     return extract_by(df, id_col, text_col, find)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import drafts, text
 from ..operators import cases, desk, listing, relations, retrieval, rules, spans
-from ..sources.tables import csv_lines, envelopes, read_envelopes, table
+from ..sources.folders import shared_folder
+from ..sources.tables import csv_lines, envelopes, insert_pages, read_envelopes, table
 from .registry import query
 
 
@@ -447,6 +448,31 @@ def txt_ambiguous_needles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", drafts.occurrence_verdict(F.col("text"), needle, text.occurrences(F.col("text"), needle)).alias("verdict"))
 
 
+EVEN_SQL = "TRIM(REGEXP_REPLACE(TRANSLATE({}, '“”‘’' || CHR(160), '\"\"' || CHR(39) || CHR(39) || ' '), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, text, LEFT(text, 20) AS source, 'A new passage ' || doc_id AS proposed FROM documents),
+r AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN REPLACE(text, source, proposed) WHEN 1 THEN text ELSE text || ' ' || proposed END AS revised FROM t),
+e AS (SELECT doc_id, {EVEN_SQL.format("revised")} AS t, {EVEN_SQL.format("source")} AS s, {EVEN_SQL.format("proposed")} AS p FROM r)
+SELECT doc_id, CASE WHEN LENGTH(s) >= 12 AND LENGTH(p) >= 12 THEN NOT CONTAINS(t, s) AND CONTAINS(t, p) END AS applied FROM e
+""")
+def txt_applied_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Whether proposed edits are in the revised text and what they replace is gone; null where a passage is too short to tell."""
+    t, k = F.col("text"), F.col("doc_id")
+    source, proposed = F.left(t, F.lit(20)), F.concat(F.lit("A new passage "), k.cast("string"))
+    revised = F.when(k % 3 == 0, F.replace(t, source, proposed)).when(k % 3 == 1, t).otherwise(F.concat(t, F.lit(" "), proposed))
+    return table(spark, d, "documents").select("doc_id", text.edit_applied(revised, source, proposed).alias("applied"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def src_insert_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Rows inserted in pages of 500, read again."""
+    path = shared_folder(spark, "pages")
+    insert_pages(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), path, 500)
+    return spark.read.parquet(path)
+
+
 @query("SELECT doc_id, n_chars < 50 * (doc_id % 40) AS ocr FROM documents")
 def txt_needs_ocr(spark: SparkSession, d: str) -> DataFrame:
     """Scans: too few characters a page."""

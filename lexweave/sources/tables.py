@@ -39,6 +39,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     lines.mapInArrow(framed, "value string").write.text(path)
 
 
+def insert_pages(rows: DataFrame, path: str, page: int) -> None:
+    """Append rows in files of ``page`` rows at most; a task writes its own pages, so none waits for another."""
+    rows.write.option("maxRecordsPerFile", page).mode("append").parquet(path)
+
+
 def envelopes(findings: DataFrame, key: str, version: int = 2) -> DataFrame:
     """One JSON envelope for each key: its findings in order of ``ordinal``, with a schema version and a count."""
     fields = [c for c in findings.columns if c != key]

@@ -1,10 +1,12 @@
 """Streams of several unordered batches, and tables in buckets."""
 
 import datetime as dt
+import zipfile
 from pathlib import Path
 
 import pytest
 
+from lexweave.sources import tables
 from lexweave.sources.buckets import Buckets, merge_stream
 from lexweave.sources.folders import shared_folder
 from lexweave.streaming import findings, partials
@@ -106,3 +108,27 @@ def test_no_folder_of_one_machine_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         shared_folder(Elsewhere, "x")
+
+
+def test_pages_of_rows(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(0, 1203, 1, 2)
+    for _ in range(2):
+        tables.insert_pages(rows, f"{tmp_path}/p", 50)
+    sizes = [pq.read_metadata(f).num_rows for f in Path(f"{tmp_path}/p").glob("*.parquet")]
+    assert sum(sizes) == 2406 and max(sizes) == 50
+
+
+def test_documents_as_files(spark, tmp_path):
+    mark = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    paragraph = lambda *runs: f"<w:p>{''.join(f'<w:r><w:t>{x}</w:t></w:r>' for x in runs)}</w:p>"
+    with zipfile.ZipFile(tmp_path / "a.DOCX", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{mark}"><w:body>{paragraph("One ", "line &amp; more")}{paragraph()}{paragraph("Two")}</w:body></w:document>')
+        z.writestr("word/footnotes.xml", f'<w:footnotes xmlns:w="{mark}">{paragraph("A note")}</w:footnotes>')
+    (tmp_path / "b.md").write_text("# text")
+    (tmp_path / "c.html").write_text("<p>x</p>")
+    (tmp_path / "d.pdf").write_bytes(b"%PDF")
+    (tmp_path / "e.docx").write_bytes(b"broken")
+    got = {Path(r["path"]).name: (r["format"], r["text"]) for r in tables.read_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a.DOCX": ("docx", "One line & more\nTwo\nA note"), "b.md": ("text", "# text"), "c.html": ("html", "<p>x</p>"), "d.pdf": ("pdf", None), "e.docx": ("docx", None)}
