@@ -141,6 +141,41 @@ def probes(index: Index, queries: DataFrame, look_at: int) -> DataFrame:
     return usable(queries, index.id_col, index.embedding, dims).mapInArrow(near, "query_id long, q array<float>, cell int")
 
 
+def needed(index: Index, spark: SparkSession, k: int = 10, recall: float = 0.95, sample: int = 200) -> int:
+    """Cells that a search has to look at, so that this share of the true neighbours lies in them.
+
+    Measured, not assumed: ``sample`` rows of the index (those with the smallest id hashes) are
+    searched for exactly, in one pass over all rows, and the cells of their k neighbours are looked
+    up in each row's order of cells. Where the vectors have no clusters, that is a large part of them.
+    """
+    if not len(index.centroids):
+        return 1
+    rows, dims = indexed(index, spark), index.dims
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
+    shared = spark.sparkContext.broadcast(unit(matrix(drawn["v"].combine_chunks(), dims)))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
+        sims, cells = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                sims = np.hstack([sims, q @ unit(matrix(b["v"], dims)).T])
+                cells = np.hstack([cells, np.broadcast_to(np.asarray(b["cell"]), (len(q), b.num_rows))])
+                if sims.shape[1] > k:
+                    best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+                    sims, cells = np.take_along_axis(sims, best, 1), np.take_along_axis(cells, best, 1)
+        n = np.repeat(np.arange(len(q)), sims.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(sims.ravel()), pa.array(cells.ravel())], ["q", "sim", "cell"])
+
+    found = rows.select("v", "cell").mapInArrow(near, "q long, sim double, cell long")
+    w = Window.partitionBy("q").orderBy(F.desc("sim"))
+    true = found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).select("q", "cell").toArrow()  # sample * k rows
+    place = np.argsort(np.argsort(-(shared.value @ index.centroids.T), axis=1), axis=1)
+    ranks = place[true["q"].to_numpy(), true["cell"].to_numpy()]
+    return int(np.quantile(ranks, recall, method="higher")) + 1
+
+
 def looked_at(index: Index, queries: DataFrame, look_at: int) -> DataFrame:
     """One row: queries, rows (of the index), compared (pairs that a search ranks) and share of all pairs."""
     counts = indexed(index, queries.sparkSession).groupBy("cell").agg(F.count("*").alias("n"))

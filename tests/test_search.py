@@ -34,6 +34,20 @@ def test_index_recall_and_rows_looked_at(spark, vectors, tmp_path):
     assert pairs(vector_index.search(again, queries, 10, 6)) == pairs(found)
 
 
+def test_cells_needed_for_a_recall(spark, vectors, tmp_path):
+    """Clustered vectors need few cells, those without clusters many; either way the recall is reached."""
+    clustered = vector_index.build(vectors.filter("vec_id < 5000"), f"{tmp_path}/d", 16)
+    few = vector_index.needed(clustered, spark)
+    assert few <= len(clustered.centroids) // 3
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    index = vector_index.build(rows, f"{tmp_path}/e", 64)
+    queries = rows.filter("vec_id % 50 = 0")
+    exact = pairs(retrieval.nearest_of_each(rows, queries, 10))
+    found = pairs(vector_index.search(index, queries, 10, vector_index.needed(index, spark)))
+    assert len(found & exact) / len(exact) >= 0.9
+    assert vector_index.needed(vector_index.build(rows.limit(0), f"{tmp_path}/f", 64), spark) == 1
+
+
 def test_index_over_all_cells_is_exact(spark, vectors, tmp_path, monkeypatch):
     monkeypatch.setattr(vector_index, "SLOT_ROWS", 100)  # the crowd's cell has several slots
     monkeypatch.setattr(vector_index, "PART_QUERIES", 7)
