@@ -5,7 +5,8 @@ answer: an exact equal citation, then a citation with the same volume and page t
 reporter, then, for citations without a name, one that contains all three run together. Locations
 found are checked by name; of those not found, the name alone may be known elsewhere. Every stage is
 an equi-join on a key, so no citation meets all cases. Verdicts go back to all citations of a
-location.
+location. Joins are by shuffle and sorting (``merge``): known cases may be many, and their citations
+and pairs of numbers are more than the table's size in files lets Spark expect.
 
 citations: id, case_name, volume, reporter, page (strings), citation_type; known: case_id,
 case_name, citations (array of strings). The known cases stand for the web service that the
@@ -80,7 +81,7 @@ def first_case(hits: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def by_equal_cite(locations: DataFrame, cites: DataFrame) -> DataFrame:
-    return first_case(locations.withColumn("cite", F.concat_ws(" ", *map(spaced, map(F.col, LOCATION)))).join(cites, "cite"), LOCATION)
+    return first_case(locations.withColumn("cite", F.concat_ws(" ", *map(spaced, map(F.col, LOCATION)))).join(cites.hint("merge"), "cite"), LOCATION)
 
 
 def numbered(cites: DataFrame) -> DataFrame:
@@ -92,14 +93,14 @@ def numbered(cites: DataFrame) -> DataFrame:
 
 def by_parts(locations: DataFrame, pairs: DataFrame) -> DataFrame:
     """The volume stands before a space, the page behind one, and the reporter somewhere, spaces aside."""
-    met = locations.join(pairs, (F.col("low") == F.trim("volume")) & (F.col("high") == F.trim("page")))
+    met = locations.join(pairs.hint("merge"), (F.col("low") == F.trim("volume")) & (F.col("high") == F.trim("page")))
     whole = lambda before, c, after: F.rlike("cite", F.concat(F.lit(before), F.trim(F.col(c)), F.lit(after)))
     return first_case(met.filter(whole("(^|[^0-9])", "volume", " ") & whole(" ", "page", "([^0-9A-Za-z]|$)") & F.contains(squashed(F.col("cite")), squashed(F.col("reporter")))), LOCATION)
 
 
 def by_run(locations: DataFrame, pairs: DataFrame) -> DataFrame:
     """Volume, reporter and page stand together, spaces aside."""
-    met = locations.join(pairs, (F.col("low") == F.trim("volume")) & (F.col("high") == F.trim("page")))
+    met = locations.join(pairs.hint("merge"), (F.col("low") == F.trim("volume")) & (F.col("high") == F.trim("page")))
     return first_case(met.filter(F.contains(squashed(F.col("cite")), squashed(F.concat(*LOCATION)))), LOCATION)
 
 
@@ -123,18 +124,19 @@ def resolve(citations: DataFrame, known: DataFrame, by_name: bool = False) -> Da
     cites = cites_of(known)
     pairs = numbered(cites)
     exact = by_equal_cite(locations, cites).withColumn("stage", F.lit("exact"))
-    left = locations.join(exact, LOCATION, "left_anti")
+    left = locations.join(exact.hint("merge"), LOCATION, "left_anti")
     parts = by_parts(left, pairs).withColumn("stage", F.lit("parts"))
-    left = left.join(parts, LOCATION, "left_anti").filter("nameless")
+    left = left.join(parts.hint("merge"), LOCATION, "left_anti").filter("nameless")
     run = by_run(left, pairs).withColumn("stage", F.lit("run"))
     found = exact.unionByName(parts).unionByName(run)
-    met = typed.join(found, LOCATION, "left")
+    met = typed.join(found.hint("merge"), LOCATION, "left")
     hit = F.col("_kind").isNull() & F.col("hit").isNotNull() & ((F.col("stage") != "run") | ~present(F.col("case_name")))
     out = met.withColumn("hit", F.when(hit, F.col("hit"))).withColumn("stage", F.when(hit, F.col("stage")))
     if by_name:
         names = known.filter(present(F.col("case_name"))).groupBy(name_key(F.col("case_name")).alias("_name")).agg(F.min(F.struct("case_id", F.col("case_name").alias("known_name"), F.get("citations", F.lit(0)).alias("cite"))).alias("_elsewhere"))
         key = F.when(F.col("_kind").isNull() & F.col("hit").isNull() & present(F.col("case_name")), name_key(F.col("case_name")))
-        out = out.withColumn("_name", key).join(names, "_name", "left").drop("_name")
+        apart = F.concat(F.lit("\0"), F.xxhash64(*citations.columns).cast("string"))  # rows without a name to look up are dealt to all tasks
+        out = out.withColumn("_name", F.coalesce(key, apart)).join(names.hint("merge"), "_name", "left").drop("_name")
     else:
         out = out.withColumn("_elsewhere", F.lit(None).cast(met.schema["hit"].dataType))
     same = ~present(F.col("case_name")) | ~present(F.col("hit.known_name")) | (drafts.case_overlap(F.col("case_name"), F.col("hit.known_name")) >= drafts.SAME_CASE)

@@ -22,7 +22,7 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
     """Orders as citations of the part with their customer's number, with faults by turns."""
     o, k = F.col("o_orderkey") % 11, F.col("o_custkey")
     names = table(spark, d, "part").select(F.col("p_partkey").alias("o_custkey"), F.concat(F.upper("p_name"), F.lit(" vs. "), "p_type", F.lit(" Corp.")).alias("right_name"))
-    rows = table(spark, d, "orders").join(names, "o_custkey")
+    rows = table(spark, d, "orders").join(names.hint("merge"), "o_custkey")
     return rows.select(
         F.col("o_orderkey").alias("id"),
         F.when(o.isin(3, 7), None).when(o.isin(4, 6), "Doe v. Poe").otherwise(F.col("right_name")).alias("case_name"),

@@ -55,6 +55,14 @@ def test_no_nested_loop_and_empty_tables(spark):
     assert e.resolve(cited.limit(0), known).collect() == []
 
 
+def test_no_join_broadcasts_a_table_that_grows(spark, sf):
+    from lexweave.plans import entities
+
+    cited, known = frames(spark)
+    for df in (e.resolve(cited, known, by_name=True), entities.cite_existence(spark, sf)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stored_and_flags(spark):
     rows = [(e.VERIFIED, False), (e.NAME_MISMATCH, True), (e.LOCATION_MISMATCH, None), (e.NOT_FOUND, True), (e.NOT_FOUND, None), (e.UNCERTAIN, False), (None, False), ("", True)]
     df = spark.createDataFrame(rows, "s string, f boolean").select(e.stored_status(F.col("s")).alias("stored"), e.flag_kind(F.col("s"), F.col("f")).alias("flag"))
