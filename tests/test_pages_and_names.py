@@ -24,6 +24,7 @@ from lexweave.operators import cases, grading, markup, messages, relations
         ("</div></main>a<br>b<br/>c", "odd", "a\nb\nc"),
         ("<script>if (a < b) { '</div>' }</script>a<style>p{}</style><!-- <main>no</main> -->b &amp; &#x41; &nbsp;c", "cornell", "a b & A \xa0c"),
         ("<SCRIPT>never closed", "state", ""),
+        ("<p>a &amp;amp &amp b&copy=2 &#65 &lt; &eacute;</p>", "state", "a &amp &amp b&copy=2 &#65 < é"),  # no reference without its semicolon
         ("1 < 2 and 3 > 2", "state", "1 < 2 and 3 > 2"),
         ("", "state", ""),
         (None, "justia", ""),
