@@ -66,7 +66,7 @@ OUTLETS = [
     "Time", "Newsweek", "Forbes", "Fortune", "CNN", "NBC", "CBS", "ABC", "Fox News", "NPR", "BBC", "Boston Globe", "Chicago Tribune", "San Francisco Chronicle", "Miami Herald", "Atlanta Journal",
 ]
 #: Pieces of the patterns below.
-NO_VOLUME = r"(?<!\d\s{0,7})(?:" + "|".join(re.escape(j) for j in JOURNALS) + ")"
+NO_VOLUME = "(?=[" + "".join(sorted({j[0] for j in JOURNALS})) + r"])(?<!\d\s{0,7})(?:" + "|".join(re.escape(j) for j in JOURNALS) + ")"
 DATABASE = r"\b\d{4}\s+(?:WL|LEXIS)\s+\d+"
 DATED = r"\([^)]*(?:Jan\.|Feb\.|Mar\.|Apr\.|May|June|July|Aug\.|Sept\.|Oct\.|Nov\.|Dec\.)\s+\d+,?\s+\d{4}\)"
 UK_TAG = r"\((?:[^)]*\b(?:Eng\.|UK|Scot\.|N\.\s*Ir\.|Wales|England|Scotland|Northern Ireland)[^)]*)\)"
@@ -112,7 +112,7 @@ RULES = [
     Rule("forthcoming-volume", ("forthcoming",), NO_VOLUME, "non_conforming", "form_components", "17.2", "The journal's volume is missing."),
     Rule("internet-https", ("internet",), r"\bhttp://[^\s)]+", "review", "form_components", "18.2.1", "Prefer https.", fix=first("http://", "https://")),
     Rule("internet-visited", ("internet",), r"https?://[^/\s)]+(?:/+[^/\s)]*)?/*(?:[\s)]|$)", "non_conforming", "form_components", "18.2.3", "A page that changes needs the day of the visit.", unless=r"(?i)\(last\s+visited[^)]*\)|https?://[^/\s)]+/(?:[^\s)]*/)?\d{4}\b|https?://[^/\s)]+/[^\s)]*\.(?:html?|pdf|aspx?|jsp)\b"),
-    Rule("news-link", (), r"(?s)\A(?=.*(?:" + "|".join(re.escape(o) for o in OUTLETS) + r"))(?=.*\([A-Z][a-z]{2,5}\.?\s+(?:\d{1,2},\s+)?\d{4}\))", "non_conforming", "form_components", "18.2", "A news article needs its address.", unless="https?://"),
+    Rule("news-link", (), r"(?s)\A(?=.*\([A-Z][a-z]{2,5}\.?\s+(?:\d{1,2},\s+)?\d{4}\))(?=.*(?:" + "|".join(re.escape(o) for o in OUTLETS) + "))", "non_conforming", "form_components", "18.2", "A news article needs its address.", unless="https?://"),
 ]
 #: Short forms of the Federal Rules, courts as a parenthesis names them, and months.
 FEDERAL_RULES = {"FRCP": "Fed. R. Civ. P.", "FRCrP": "Fed. R. Crim. P.", "FRAP": "Fed. R. App. P.", "FRE": "Fed. R. Evid.", "F.R.C.P.": "Fed. R. Civ. P.", "F.R.Cr.P.": "Fed. R. Crim. P."}
@@ -134,12 +134,8 @@ FORM_RULES = [
 TOLD = ("rule_id", "severity", "category", "rule_cite", "message")
 
 
-def flags(cites: DataFrame, rules: list[Rule] = RULES, kind: str = "kind", text: str = "text") -> DataFrame:
-    """A row for each rule that a citation breaks, with all of the citation's columns.
-
-    A citation is tried only against the rules of its kind and gives their numbers; what a rule says
-    is joined from a table of the rules, and its fix is made for what it broke.
-    """
+def broken_rules(rules: list[Rule], kind: str, text: str) -> Column:
+    """Numbers of the rules that a citation breaks; it is tried only against the rules of its kind."""
     k, t = F.col(kind), F.col(text)
     numbered = list(enumerate(rules))
     hits = lambda own: F.array_compact(F.array(*[F.when(r.hit(k, t), F.lit(n)) for n, r in own])) if own else F.array().cast("array<int>")
@@ -147,7 +143,23 @@ def flags(cites: DataFrame, rules: list[Rule] = RULES, kind: str = "kind", text:
     by_kind = F.lit(None).cast("array<int>")
     for name in sorted({x for r in rules for x in r.kinds}):
         by_kind = F.when(k == name, hits([(n, r) for n, r in numbered if name in r.kinds])).otherwise(by_kind)
-    broken = cites.withColumn("_n", F.explode(F.concat(F.coalesce(by_kind, F.array().cast("array<int>")), hits(general))))
+    return F.concat(F.coalesce(by_kind, F.array().cast("array<int>")), hits(general))
+
+
+def marked(cites: DataFrame, rules: list[Rule] = RULES, kind: str = "kind", text: str = "text") -> DataFrame:
+    """Every citation with rule_id, a row for each rule that it breaks; null, once, if it breaks none. The citations are made once."""
+    ids = F.array(*[F.lit(r.id) for r in rules])
+    return cites.select("*", F.explode_outer(broken_rules(rules, kind, text)).alias("_n")).withColumn("rule_id", F.get(ids, F.col("_n"))).drop("_n")
+
+
+def flags(cites: DataFrame, rules: list[Rule] = RULES, kind: str = "kind", text: str = "text") -> DataFrame:
+    """A row for each rule that a citation breaks, with all of the citation's columns.
+
+    Rules are met as numbers; what a rule says is joined from a table of the rules, and its fix is
+    made for what it broke.
+    """
+    t, numbered = F.col(text), list(enumerate(rules))
+    broken = cites.withColumn("_n", F.explode(broken_rules(rules, kind, text)))
     fix = F.lit(None).cast("string")
     for n, r in numbered:
         if r.fix:

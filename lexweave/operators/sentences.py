@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import string
 
-LAST_WORD = re.compile(r"[A-Za-z][A-Za-z']*\Z")
+IN_WORD = string.ascii_letters + "'"
 
 CLASSES = {"w": "A-Za-z0-9_", "d": "0-9"}
 
@@ -42,8 +43,8 @@ def starts(text: str, breaks: re.Pattern, shortened: set[str], dotted: re.Patter
     out = []
     for m in breaks.finditer(text):
         before = text[max(0, m.start() - 12) : m.start()]
-        word = LAST_WORD.search(before)
-        short = bool(word) and (word[0] in shortened or bool(dotted and dotted.search(before)))
+        word = before[len(before.rstrip(IN_WORD)) :].lstrip("'")
+        short = bool(word) and (word in shortened or bool(dotted and dotted.search(before)))
         if m[0].startswith("\n") or not short:
             out.append(m.end())
     return out

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.batches import small
+from ..sources.batches import small, spread
 from .sentences import compiled
 
 #: Reporters as patterns, with the forms that lack periods or spaces, and patterns of citations.
@@ -68,7 +68,7 @@ def extract_by(df: DataFrame, id_col: str, text_col: str, find: Callable[[str],
                 at, ordinal, start, end, name, text = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(ordinal, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(name), pa.array(text)], [id_col, "ordinal", "start", "end", "kind", "text"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ordinal int, {SCHEMA}")
+    return spread(df.select(id_col, text_col), id_col).mapInArrow(run, f"`{id_col}` {kind}, ordinal int, {SCHEMA}")
 
 
 def extract(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] = PATTERNS) -> DataFrame:

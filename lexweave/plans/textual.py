@@ -389,8 +389,7 @@ SELECT o_orderkey, x.kind, x.text, x.at AS "start", x.flag AS rule_id FROM (SELE
 def cite_foreign(spark: SparkSession, d: str) -> DataFrame:
     """Foreign sources with the rule that each breaks."""
     found = citations.extract(reports_from_abroad(spark, d), "o_orderkey", "text", "foreign")
-    broken = rules.flags(found).select("o_orderkey", "ordinal", "rule_id")
-    return found.join(broken, ["o_orderkey", "ordinal"], "left").select("o_orderkey", "kind", "text", "start", "rule_id")
+    return rules.marked(found).select("o_orderkey", "kind", "text", "start", "rule_id")
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
@@ -410,8 +409,7 @@ SELECT o_orderkey, x.kind, x.text, x.at AS "start", x.flag AS rule_id FROM (SELE
 def cite_secondary(spark: SparkSession, d: str) -> DataFrame:
     """Secondary sources with the rule that each breaks."""
     found = citations.extract(notes(spark, d), "o_orderkey", "text", "secondary")
-    broken = rules.flags(found).select("o_orderkey", "ordinal", "rule_id")
-    return found.join(broken, ["o_orderkey", "ordinal"], "left").select("o_orderkey", "kind", "text", "start", "rule_id")
+    return rules.marked(found).select("o_orderkey", "kind", "text", "start", "rule_id")
 
 
 @query("""

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Rows and bytes of text that a worker turns into Python values at once.
 ROWS, SIZE = 512, 8 << 20
@@ -22,3 +23,12 @@ def small(batches: Iterator[pa.RecordBatch], text: int = 1, rows: int = ROWS, si
             end = min(at + rows, max(at + 1, int(np.searchsorted(upto, before + size, "right"))), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by key to four tasks a core if they come in fewer parts than that, as key columns of many rows do in one small file.
+
+    For work that costs much more a row than its bytes; inputs of more parts stay where they are.
+    """
+    wanted = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted, key) if df.rdd.getNumPartitions() < wanted else df
