@@ -6,13 +6,14 @@ import re
 import string
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import name_tokens
-from ..sources.batches import small
+from ..sources.batches import small, spread
 from . import sentences
 from .abbreviations import CASE_WORDS
 from .sentences import compiled
@@ -56,6 +57,7 @@ YEARS = [
 SCHEMA = "ordinal int, start int, end int, name string, volume int, reporter string, page int, court string, year int, text string"
 
 
+@lru_cache(maxsize=1 << 16)
 def kind_of(raw: str) -> str:
     """A word's part in a case name: c begins with a capital, j joins, w stands within a party's name, v is versus, e ends what is before, x is none of these."""
     word = raw.rstrip(",;:")
@@ -118,7 +120,7 @@ def extract_cases(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 at, *columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+    return spread(df.select(id_col, text_col), id_col).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
 
 
 def reporter_years(spark: SparkSession) -> DataFrame:
