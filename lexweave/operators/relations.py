@@ -82,8 +82,8 @@ def fuzzy_names(names: DataFrame, name: str) -> DataFrame:
 def fuzzy_groups(names: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """All links of ``fuzzy_names`` as groups instead of pairs: (members, groups).
 
-    members: (``name``, member): each name with the smallest name of the same words, which stands
-    for it. groups: (words, part, member, representative): two words with all that have both, which
+    members: (``name``, member, words): each name with the smallest name of the same words, which
+    stands for it. groups: (words, part, member, representative): two words with all that have both, which
     match each other (part ``both``); or one word, with the member that has no other (``from``),
     which matches all others that have it (``to``). Groups of one member are left out. A name of n
     words has n (n - 1) / 2 pairs, so the output follows the names and not their square, however
@@ -91,7 +91,7 @@ def fuzzy_groups(names: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """
     words = names.select(F.col(name), F.array_sort(text.name_tokens(F.col(name))).alias("_words")).filter(F.size("_words") > 0)
     sets = words.groupBy("_words").agg(F.min(name).alias("member"))
-    members = words.join(sets, "_words").select(name, "member")
+    members = words.join(sets, "_words").select(name, "member", F.col("_words").alias("words"))
     pairs = F.flatten(F.transform("_words", lambda a, i: F.transform(F.slice(F.col("_words"), i + 2, F.size("_words")), lambda b: F.concat(a, F.lit(" "), b))))
     both = sets.select(F.explode(pairs).alias("words"), F.lit("both").alias("part"), "member")
     single = sets.filter(F.size("_words") == 1).select(F.col("_words")[0].alias("words"))

@@ -92,12 +92,15 @@ k AS (SELECT a.word || ' ' || b.word AS words, 'both' AS part, a.member FROM w a
   UNION ALL SELECT word, CASE WHEN LEN(t) = 1 THEN 'from' ELSE 'to' END, member FROM w WHERE word IN (SELECT t[1] FROM s WHERE LEN(t) = 1)),
 g AS (SELECT *, COUNT(*) OVER (PARTITION BY words) AS c, MIN(member) OVER (PARTITION BY words) AS representative FROM k)
 SELECT words, part, member, representative FROM g WHERE c > 1
+UNION ALL SELECT ARRAY_TO_STRING(t, ' '), 'same', name, member FROM n JOIN s USING (t)
 """)
 def txt_fuzzy_join(spark: SparkSession, d: str) -> DataFrame:
-    """Names that match in two words or their only one, as groups of all that have the words."""
+    """Names that match in two words or their only one, as groups of all that have the words; each name with the one of the same words that stands for it in them (part ``same``)."""
     parts = table(spark, d, "part")
     names = parts.select(F.concat("p_name", F.lit(" v. "), "p_brand", F.lit(" "), "p_type").alias("name")).union(parts.select(F.concat(F.lit("In re "), "p_type")))
-    return relations.fuzzy_groups(names, "name")[1]
+    members, groups = relations.fuzzy_groups(names.distinct(), "name")
+    same = members.select(F.array_join("words", " ").alias("words"), F.lit("same").alias("part"), F.col("name").alias("member"), F.col("member").alias("representative"))
+    return groups.unionByName(same)
 
 
 @query(r"""

@@ -110,6 +110,17 @@ def test_fuzzy_groups_hold_all_links(spark):
     assert found == links_by_force(names)
 
 
+def test_fuzzy_join_has_every_name(spark, sf):
+    from lexweave.plans import textual
+
+    rows = textual.txt_fuzzy_join(spark, sf).filter("part = 'same'").select("member", "representative")
+    parts = spark.read.parquet(f"{sf}/part.parquet")
+    names = parts.select(F.concat("p_name", F.lit(" v. "), "p_brand", F.lit(" "), "p_type")).union(parts.select(F.concat(F.lit("In re "), "p_type"))).distinct()
+    got = [r["member"] for r in rows.collect()]
+    assert sorted(got) == sorted(r[0] for r in names.collect())
+    assert {r["representative"] for r in rows.collect()} <= set(got)
+
+
 def test_fuzzy_groups_of_frequent_words_follow_the_names(spark):
     names = spark.range(3000).select(F.concat(F.lit("Common Holding "), F.col("id").cast("string"), F.lit(" party")).alias("name"))
     relations.fuzzy_groups(names.limit(10), "name")[1].count()
