@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import legal, text
 from ..operators import citations, grading, layout, listing, markup, merge, messages, relations, rules, spans
+from ..sources.batches import spread
 from ..sources.tables import table
 from .registry import query
 
@@ -449,7 +450,8 @@ def txt_html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     c = lambda name: F.col(name).cast("string")
     parts = ["<h1 id='x'>Order <i></i>", c("o_orderkey"), "</h1><p>By <b>", c("o_custkey"), "</b> &amp; co</p><ol><li> first</li><LI>", c("o_orderstatus"), "</LI></ol><table><tr><th>a</th><th>b</th></tr><tr><td>", c("o_orderpriority"), "</td><td>", c("o_orderstatus"), "</td></tr></table><ul><li><img src='y'></li></ul>"]
     html = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    return table(spark, d, "orders").select("o_orderkey", text.html_to_markdown(html).alias("text"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return spread(rows, "o_orderkey").select("o_orderkey", text.html_to_markdown(html).alias("text"))
 
 
 #: Line numbers repeat in an order; with these columns they do not.
