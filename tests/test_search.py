@@ -80,6 +80,34 @@ def test_postings_as_by_scan(spark, tmp_path):
     assert found.count() < 30  # few of 200 rows are read
 
 
+def test_postings_by_block_and_lane(spark, tmp_path):
+    """One file a lane and not one a bucket and task, a row a gram and block; short needles are answered by masks, equal ones once, and rows without an id are scanned."""
+    texts = [f"Row {i} of Many \U0001f600 漢{'' if i % 3 else ' ß'}" for i in range(200)]
+    chunks = spark.createDataFrame([*enumerate(texts), (None, "row ab"), (-5, "ab row"), (7000, None)], "id long, text string").repartition(5)
+    postings.write_postings(chunks, "id", "text", f"{tmp_path}/p", buckets=2)
+    lanes = 2  # of four shuffle partitions
+    assert len(list((tmp_path / "p/postings").rglob("*.parquet"))) <= 2 * lanes
+    rows, counts = (spark.read.parquet(f"{tmp_path}/p/{x}") for x in ("postings", "counts"))
+    assert rows.count() == rows.select("gram", "block").distinct().count()
+    needles = [(1, "OW"), (1, "ab"), (2, "ow"), (3, "漢 ß"), (4, "\U0001f600"), (5, "y \U0001f600 漢"), (6, "row 19"), (7, "q")]
+    got = sorted(map(tuple, postings.search(spark.createDataFrame(needles, "n long, needle string"), "n", "needle", chunks, "id", "text", rows, counts).collect()), key=str)
+    want = sorted(((n, i) for n, x in needles for i, t in [*enumerate(texts), (None, "row ab"), (-5, "ab row")] if x.lower() in t.lower()), key=str)
+    assert got == want
+    plan = postings.candidates(spark.createDataFrame([(0, "ow")], "n long, needle string"), "n", "needle", rows, counts)
+    assert plan.count() == 201 and "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_masks_of_many_letters():
+    """More kinds of letters than a number holds beside a bit."""
+    import numpy as np
+
+    points = [*range(1, 0xD800), *range(0xE000, 0x110000)]
+    texts = ["".join(map(chr, points[a::2])) for a in (0, 1)]
+    grams, held = postings.masks([x.encode() for x in texts], np.array([3, 63]))
+    assert len(np.unique(grams)) == len(grams) == sum(3 * len(x) - 3 for x in texts)
+    assert set(held.view(np.uint64).tolist()) == {1 << 3, 1 << 63}
+
+
 @pytest.mark.parametrize("part_rows", [100_000, 3])
 def test_band_join_as_by_all_pairs(spark, monkeypatch, part_rows):
     monkeypatch.setattr(bands, "PART_ROWS", part_rows)
