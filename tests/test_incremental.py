@@ -52,6 +52,23 @@ def test_state_is_bounded_by_time(spark, tmp_path):
     assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] < total
 
 
+def test_parts_are_held_many_a_row(spark, tmp_path):
+    """2,300 parts of a review take a few rows of the state and not one each; parts that come again change nothing."""
+    parts = lambda a, b: [(1, p, "preview", [f"f{p}"] * (p % 3), at(1)) for p in range(a, b)]
+    batches = [parts(100, 2300) + parts(100, 200), parts(0, 150), parts(50, 60)]
+    stream = partials.shown_lists(files(spark, f"{tmp_path}/in", batches, PARTS), "1 hour", 10**9)
+
+    def put(batch, number):
+        batch.write.parquet(f"{tmp_path}/out/batch={number}")
+
+    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{tmp_path}/log").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert 0 < max(sizes) < 20
+    assert shown(spark, f"{tmp_path}/out") == {1: ("preview", [f"f{p}" for p in range(2300) for _ in range(p % 3)])}
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2  # the last batch brought no news
+
+
 ROWS = "k long, v string, n long"
 
 
