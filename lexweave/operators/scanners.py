@@ -21,8 +21,8 @@ ISSUES = {
     "capital-congress": r"\bcongress\b",
     "capital-bill-of-rights": r"\bthe\s+bill\s+of\s+rights\b",
     "capital-court-of-appeals": r"(?<!United\s)(?<!States\s)\b[Tt]he\s+Court\s+of\s+Appeals\b",
-    "paragraph-range": r"¶{1,2}\s*\d{1,5}[-—]\d{1,5}\b",
 }
+RANGE = compiled(r"¶{1,2}\s*\d{1,5}[-—]\d{1,5}\b")
 NAMES = {
     "declared": r"(?i)\[\s*hereinafter\s+[^\]]{1,80}\s*\]",
     "full": r"\b[A-Z][a-z]{1,80}\s+(?:[A-Z][a-z]{1,80}\s+){0,4}Act\s+of\s+\d{4}\b",
@@ -55,6 +55,28 @@ def block_quotes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spans.extract_by(df, id_col, text_col, find_block_quotes)
 
 
+def find_ranges(text: str) -> list[tuple]:
+    """Ranges of paragraphs: start, end, how many ranges the row stands for, text.
+
+    Of ``MANY_RANGES`` or more with a hyphen only the first is given, for all of them.
+    """
+    found = list(RANGE.finditer(text)) if "¶" in text else []
+    hyphens = [m for m in found if "-" in m[0]]
+    many = len(hyphens) >= MANY_RANGES
+    left = [m for m in found if not many or m is hyphens[0] or "-" not in m[0]]
+    return [(m.start(), m.end(), str(len(hyphens) if many and m is hyphens[0] else 1), m[0]) for m in left]
+
+
+def dealt(found: DataFrame, id_col: str) -> DataFrame:
+    """Spans by document, in as many tasks as a shuffle has partitions, or the extraction had if that is more.
+
+    Left to itself, Spark joins partitions up to so many packed bytes, which short spans that repeat
+    far exceed once they are sorted in memory.
+    """
+    least = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(max(least, found.rdd.getNumPartitions()), id_col)
+
+
 def undeclared_names(found: DataFrame, doc: str) -> DataFrame:
     """Of spans of the kinds in ``NAMES``, short names of one or two words that no [hereinafter …] of their document declares, where an act is cited in full."""
     name = F.trim(F.regexp_extract("text", r"(?i)hereinafter\s+([^\]]{1,80})", 1))
@@ -74,27 +96,30 @@ def issues(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     A document with ``MANY_RANGES`` or more ranges of paragraphs that have a hyphen gets one row for
     them, at the first, with their number as count and no fix; count is 1 elsewhere. Only spans are
-    shuffled, never texts. Rows with the same id are one document.
+    shuffled, never texts, and of these only ranges and names, as the others need no other row. Rows
+    with the same id are one document.
     """
-    found = spans.extract(df, id_col, text_col, ISSUES)
-    own = Window.partitionBy(id_col, "_hyphen")
-    found = found.withColumn("_hyphen", (F.col("kind") == "paragraph-range") & F.contains("text", F.lit("-")))
-    found = found.withColumn("_all", F.count(F.lit(1)).over(own)).withColumn("_nth", F.row_number().over(own.orderBy("start", "ordinal")))
+    ranges = spans.extract_by(df, id_col, text_col, find_ranges).withColumn("_hyphen", F.contains("text", F.lit("-")))
+    own = Window.partitionBy(id_col, "_hyphen").orderBy("start", "ordinal", "text")  # one sort for both
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranges = dealt(ranges, id_col).withColumn("_all", F.sum(F.col("kind").cast("long")).over(whole)).withColumn("_nth", F.row_number().over(own))
     many = F.col("_hyphen") & (F.col("_all") >= MANY_RANGES)
-    found = found.filter(~many | (F.col("_nth") == 1)).withColumn("count", F.when(many, F.col("_all")).otherwise(F.lit(1).cast("long")))
+    ranges = ranges.filter(~many | (F.col("_nth") == 1)).withColumn("count", F.when(many, F.col("_all")).otherwise(F.lit(1).cast("long")))
+    fixed = F.when(F.col("count") == 1, F.regexp_replace("text", "[-—]", "–"))
+    ranges = ranges.withColumn("kind", F.lit("paragraph-range")).withColumn("suggested_fix", fixed)
+    patterns = spans.finder(ISSUES)
+    found = spans.extract_by(df, id_col, text_col, lambda text: patterns(text) + find_block_quotes(text)).withColumn("count", F.lit(1).cast("long"))
     kind, text = F.col("kind"), F.col("text")
     fix = (
-        F.when(many, F.lit(None).cast("string"))
-        .when(kind == "ellipsis", F.regexp_replace(text, r"(?s)\A(.*?\w)\.\.\.(?=\w)", "$1 . . . "))
+        F.when(kind == "ellipsis", F.regexp_replace(text, r"(?s)\A(.*?\w)\.\.\.(?=\w)", "$1 . . . "))
         .when(kind == "ellipsis-sign", F.regexp_replace(text, "…", " . . . "))
         .when(kind == "capital-constitution", F.regexp_replace(text, "constitution", "Constitution"))
         .when(kind == "capital-congress", F.lit("Congress"))
         .when(kind == "capital-bill-of-rights", F.lit("the Bill of Rights"))
         .when(kind == "capital-court-of-appeals", F.regexp_replace(text, r"Court\s+of\s+Appeals", "court of appeals"))
-        .when(kind == "paragraph-range", F.regexp_replace(text, "[-—]", "–"))
     )
     plain = found.withColumn("suggested_fix", fix)
-    others = block_quotes(df, id_col, text_col).unionByName(undeclared_names(spans.extract(df, id_col, text_col, NAMES), id_col).withColumn("kind", F.lit("undeclared-name")))
-    others = others.withColumn("count", F.lit(1).cast("long")).withColumn("suggested_fix", F.lit(None).cast("string"))
+    names = undeclared_names(dealt(spans.extract(df, id_col, text_col, NAMES), id_col), id_col).withColumn("kind", F.lit("undeclared-name"))
+    names = names.withColumn("count", F.lit(1).cast("long")).withColumn("suggested_fix", F.lit(None).cast("string"))
     columns = [F.col(id_col), F.col("kind").alias("rule_id"), "start", "end", "text", "count", "suggested_fix"]
-    return plain.select(*columns).unionByName(others.select(*columns))
+    return plain.select(*columns).unionByName(ranges.select(*columns)).unionByName(names.select(*columns))

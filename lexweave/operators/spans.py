@@ -71,15 +71,20 @@ def extract_by(df: DataFrame, id_col: str, text_col: str, find: Callable[[str],
     return spread(df.select(id_col, text_col), id_col).mapInArrow(run, f"`{id_col}` {kind}, ordinal int, {SCHEMA}")
 
 
-def extract(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] = PATTERNS) -> DataFrame:
-    """Every match of the patterns, in order of start, longest first."""
+def finder(patterns: dict[str, str]) -> Callable[[str], list[tuple]]:
+    """What finds every match of the patterns in a text, in order of start, longest first."""
     patterns_ = [(k, compiled(p), NEEDS.get(k) if PATTERNS.get(k) == p else None) for k, p in patterns.items()]
 
     def find(text: str) -> list[tuple]:
         tried = [(k, p) for k, p, needs in patterns_ if needs is None or any(x in text for x in needs)]
         return sorted(((m.start(), m.end(), k, m[0]) for k, p in tried for m in p.finditer(text)), key=lambda x: (x[0], -x[1]))
 
-    return extract_by(df, id_col, text_col, find)
+    return find
+
+
+def extract(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] = PATTERNS) -> DataFrame:
+    """Every match of the patterns, in order of start, longest first."""
+    return extract_by(df, id_col, text_col, finder(patterns))
 
 
 def drop_contained(spans: DataFrame, doc: str) -> DataFrame:
