@@ -7,7 +7,7 @@ conditional log-probabilities.
 
 Counts cover all documents. The most frequent words are the vocabulary, in classes of about equal
 mass; all others fall into classes by their last letters, in which every distinct word is equally
-likely. Texts become word numbers once. The network is trained in numpy, by Adagrad: it starts on a
+likely. Texts become word numbers once, a batch's words parted and told apart by Arrow. The network is trained in numpy, by Adagrad: it starts on a
 bounded sample, then every task goes on from there over all the documents it reads, and the tasks'
 networks are averaged, each word's embeddings by how often a task saw the word.
 """
@@ -21,20 +21,21 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices, words
+from .common import checkpoint, slices
 from .quality import bucket
 
 SIDES = (-2, -1, 1, 2)
-#: Words whose numbers a worker remembers in each of two generations.
-KEPT = 300_000
 #: Tasks that each send at most a vocabulary of words to the driver.
 SORT_PARTS = 16
-#: Words scored in one step.
-STEP = 1 << 15
+#: Words scored in one step, and rows of them whose classes are weighed at once.
+STEP, BLOCK = 1 << 15, 1 << 10
+#: Logits up to this size are powers of e without a shift (float32 ends at 88).
+CALM = 60.0
 #: Words that a task holds at once in training, and words whose averages are made in one group.
 HELD, SLICE = 1 << 19, 256
 #: Tasks that train at once; more partitions share these.
@@ -91,10 +92,6 @@ class Model:
     params: list[np.ndarray] = field(default_factory=list)
     squares: list[np.ndarray] | None = None
 
-    def number(self, word: str) -> int:
-        n = self.numbers.get(word)
-        return n if n is not None else len(self.numbers) + 1 + rare_class(word, self.rare_classes)
-
     def kind(self) -> np.dtype:
         return np.dtype("<u2" if len(self.class_of) < 1 << 16 else "<u4")
 
@@ -104,22 +101,19 @@ class Model:
 
     def read(self, text: str | None) -> np.ndarray:
         """Numbers of a text's words (ASCII white space parts them; lower case)."""
-        if not hasattr(self, "kept"):
-            self.kept: dict[bytes, int] = {}
-            self.older: dict[bytes, int] = {}
-        own = (text or "").lower().encode("utf-8", "surrogatepass").split()  # bytes part at ASCII white space only
-        kept = self.kept
-        out = [kept.get(w, -1) for w in own]
-        if -1 in out:
-            for i, n in enumerate(out):
-                if n < 0:
-                    w = own[i]
-                    n = self.older.get(w, -1)
-                    out[i] = n = self.number(w.decode("utf-8", "surrogatepass")) if n < 0 else n
-                    if len(self.kept) >= KEPT:
-                        self.older, self.kept = self.kept, {}
-                    self.kept[w] = n
-        return np.array(out, self.kind())
+        return self.read_all([text])[0]
+
+    def read_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """``read`` of many texts: each distinct word, and each ending of rare words, is looked up once."""
+        own, ends = distinct_words(texts)
+        known = pc.index_in(own.dictionary, pa.array(list(self.numbers), pa.large_string()))
+        numbers = np.asarray(pc.fill_null(known, -1)).astype(np.int64) + 1
+        rare = np.flatnonzero(numbers == 0)
+        tails = pc.utf8_slice_codeunits(own.dictionary.take(pa.array(rare)), -2).dictionary_encode()
+        classes = np.array([rare_class(tail, self.rare_classes) for tail in tails.dictionary.to_pylist()], np.int64)
+        numbers[rare] = len(self.numbers) + 1 + classes[np.asarray(tails.indices)]
+        flat = numbers.astype(self.kind())[np.asarray(own.indices)]
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def log_likelihoods(self, many: list[np.ndarray]) -> np.ndarray:
         """Sum of conditional log-probabilities of each number sequence."""
@@ -128,18 +122,23 @@ class Model:
         flat = padded(many)
         places = np.flatnonzero(flat)
         logs = np.empty(len(places))
-        first = self.ranges()
+        first = self.ranges().tolist()
+        head = np.vstack([out, bias])
+        small = calm(head, inner)
+        wide = np.ones((min(STEP, len(places)), inner.shape[1]), inner.dtype)
         for a in range(0, len(places), STEP):
             at = places[a : a + STEP]
             order = np.argsort(self.class_of[flat[at]].astype(np.uint16), kind="stable")
             at = at[order]
             own = flat[at]
             cls = self.class_of[own]
-            h = hidden(tables, lift, flat, at)
-            got = picked(h @ out + bias, cls)
+            x = wide[: len(at)]
+            x[:, :-1] = hidden(tables, lift, flat, at)
+            got = np.empty(len(at))
+            for b in range(0, len(at), BLOCK):
+                got[b : b + BLOCK] = picked(x[b : b + BLOCK] @ head, cls[b : b + BLOCK], small)
             for c, lo, hi in by_class(cls, self.own_classes):
-                x = inner[first[c] : first[c + 1]]
-                got[lo:hi] += picked(h[lo:hi] @ x[:, :-1].T + x[:, -1], own[lo:hi] - first[c])
+                got[lo:hi] += picked(x[lo:hi] @ inner[first[c] : first[c + 1]].T, own[lo:hi] - first[c], small)
             rare = np.searchsorted(cls, self.own_classes)
             got[rare:] += self.share[own[rare:]]
             logs[a + order] = got
@@ -161,10 +160,25 @@ def hidden(tables: np.ndarray, lift: np.ndarray, flat: np.ndarray, at: np.ndarra
     return np.tanh(h, out=h)
 
 
-def picked(z: np.ndarray, gold: np.ndarray) -> np.ndarray:
-    """Log-probability of one column a row."""
-    top = z.max(1)
-    return z[np.arange(len(z)), gold] - top - np.log(np.exp(z - top[:, None]).sum(1))
+def calm(head: np.ndarray, inner: np.ndarray) -> bool:
+    """True if no logit passes CALM: no part of a state passes 1, so none passes its weights' sizes together."""
+    return bool(np.abs(head).sum(0).max() <= CALM and np.abs(inner).sum(1).max() <= CALM)
+
+
+def powers(z: np.ndarray, small: bool) -> np.ndarray:
+    """Powers of e of the logits, in their place, and each row's sum; rows are shifted first unless all are small."""
+    if not small:
+        z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def picked(z: np.ndarray, gold: np.ndarray, small: bool) -> np.ndarray:
+    """Log-probability of one column a row; ``z`` is used up."""
+    if not small:
+        z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), gold]
+    return own - np.log(powers(z, True))
 
 
 def by_class(cls: np.ndarray, classes: int) -> Iterator[tuple[int, int, int]]:
@@ -174,9 +188,26 @@ def by_class(cls: np.ndarray, classes: int) -> Iterator[tuple[int, int, int]]:
         yield c, edges[c], edges[c + 1]
 
 
+def distinct_words(texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All texts' lower-case words one behind the other, each distinct one once in the dictionary, and where every text begins and ends."""
+    parted = pc.ascii_split_whitespace(pa.array([(x or "").lower() for x in texts], pa.large_string()))
+    own, ends = parted.flatten(), np.asarray(parted.offsets)
+    real = np.asarray(pc.binary_length(own)) > 0  # white space around a text leaves empty words
+    if not real.all():
+        own, ends = own.filter(pa.array(real)), np.concatenate([[0], np.cumsum(real)])[ends]
+    return own.dictionary_encode(), ends
+
+
 def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, n over all documents; partial counts come before the shuffle."""
-    return df.select(F.explode(words(F.lower(F.col(text_col)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """word, n over all documents; counts of slices come before the shuffle, and Spark's partial sums of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
+            own, _ = distinct_words(b.column(0).to_pylist())
+            n = np.bincount(np.asarray(own.indices), minlength=len(own.dictionary))
+            yield pa.RecordBatch.from_arrays([own.dictionary.cast(pa.string()), pa.array(n, pa.int64())], ["word", "n"])
+
+    return df.select(F.col(text_col).alias("_text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def fit_counts(df: DataFrame, s: Settings, text_col: str = "text") -> Model:
@@ -210,27 +241,37 @@ def fit_counts(df: DataFrame, s: Settings, text_col: str = "text") -> Model:
     return Model(numbers, class_of, share, s.rare_classes, classes)
 
 
-def softmax_slope(z: np.ndarray, gold: np.ndarray, n: int) -> np.ndarray:
+def softmax_slope(z: np.ndarray, gold: np.ndarray, n: int, small: bool) -> np.ndarray:
     """Slope of the loss (of ``n`` places) at the logits, in their place."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= n * z.sum(1, keepdims=True)
+    z *= (1 / (n * powers(z, small)))[:, None]
     z[np.arange(len(z)), gold] -= 1 / n
     return z
 
 
+def summed(rows: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``rows[order]``. Runs of one row are only copied; two columns go as one complex number, whose parts add up alike."""
+    counts = np.diff(starts, append=len(order))
+    d, many = np.take(rows, order[starts], axis=0), counts > 1
+    if many.any():
+        own = np.take(rows, order[np.repeat(many, counts)], axis=0)
+        pairs = own.view(np.result_type(own, np.complex64)) if own.shape[1] % 2 == 0 else own
+        d[many] = np.add.reduceat(pairs, np.cumsum(counts[many]) - counts[many], axis=0).view(own.dtype)
+    return d
+
+
 def descend(m: Model, params: list[np.ndarray], squares: list[np.ndarray], flat: np.ndarray, places: np.ndarray, batch: int, rate: float) -> None:
     """Adagrad over the places in their order, in place."""
     tables, lift, out, bias, inner = params
-    first = m.ranges()
+    first = m.ranges().tolist()
     rate = np.float32(rate)
+    wide = np.ones((min(batch, len(places)), inner.shape[1]), inner.dtype)
+    slope = np.zeros_like(inner)
 
-    def step(k: int, d: np.ndarray, rows=slice(None)) -> None:
-        q = squares[k][rows]
-        q += d * d
-        d /= np.sqrt(q)
+    def step(k: int, d: np.ndarray) -> None:
+        squares[k] += d * d
+        d = d / np.sqrt(squares[k])
         d *= rate
-        params[k][rows] -= d
+        params[k] -= d
 
     for a in range(0, len(places), batch):
         at = places[a : a + batch]
@@ -238,31 +279,43 @@ def descend(m: Model, params: list[np.ndarray], squares: list[np.ndarray], flat:
         own = flat[at]
         cls = m.class_of[own]
         h = hidden(tables, lift, flat, at)
-        g = softmax_slope(h @ out + bias, cls, len(at))
-        back = g @ out.T
-        x = np.hstack([h, np.ones((len(at), 1), np.float32)])
+        x = wide[: len(at)]
+        x[:, :-1] = h
+        head = np.vstack([out, bias])
+        small = calm(head, inner)
+        back, outer = np.empty_like(h), np.zeros_like(head)
+        for b in range(0, len(at), BLOCK):
+            g = softmax_slope(x[b : b + BLOCK] @ head, cls[b : b + BLOCK], len(at), small)
+            np.matmul(g, out.T, out=back[b : b + BLOCK])
+            outer += x[b : b + BLOCK].T @ g
+        slope[:] = 0
         for c, lo, hi in by_class(cls, m.own_classes):
             rows = slice(first[c], first[c + 1])
             if rows.stop - rows.start < 2:
                 continue
-            z = softmax_slope(x[lo:hi] @ inner[rows].T, own[lo:hi] - rows.start, len(at))
+            z = softmax_slope(x[lo:hi] @ inner[rows].T, own[lo:hi] - rows.start, len(at), small)
             back[lo:hi] += z @ inner[rows, :-1]
-            step(4, z.T @ x[lo:hi], rows)
-        back *= 1 - h * h
+            np.matmul(z.T, x[lo:hi], out=slope[rows])
+        step(4, slope)  # rows without a slope stay
+        np.square(h, out=h)
+        back *= np.subtract(1, h, out=h)
         step(1, back.sum(0))
-        step(2, h.T @ g)
-        step(3, g.sum(0))
+        step(2, outer[:-1])
+        step(3, outer[-1])
         for k, side in enumerate(SIDES):
             ids = flat[at + side]
             order = np.argsort(ids.astype(np.uint16), kind="stable") if len(m.class_of) < 1 << 16 else np.argsort(ids, kind="stable")
             ids = ids[order]
             starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            ids, d = ids[starts], np.add.reduceat(np.take(back, order, axis=0), starts, axis=0)
+            ids, d = ids[starts], summed(back, order, starts)
             if len(ids) and ids[0] == 0:
                 d[0] = 0  # pads stay zero
-            q = squares[0][k][ids] + d * d
+            q = np.take(squares[0][k], ids, axis=0)
+            q += d * d
             squares[0][k][ids] = q
-            tables[k][ids] -= rate * d / np.sqrt(q)
+            d *= rate
+            d /= np.sqrt(q, out=q)
+            tables[k][ids] -= d
 
 
 def train(model: Model, many: list[np.ndarray], s: Settings) -> Model:
@@ -283,21 +336,14 @@ def train(model: Model, many: list[np.ndarray], s: Settings) -> Model:
     return model
 
 
-def bare(model: Model) -> Model:
-    """Without what a worker has remembered."""
-    for name in ("kept", "older"):
-        model.__dict__.pop(name, None)
-    return model
-
-
 def encode(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and numbers (little-endian, 2 or 4 bytes a word) of every row's words; null texts have none. No shuffle."""
     kind = df.schema[id_col].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast(bare(model))
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.read(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())], [id_col, "numbers"])
+        for b in slices(batches, 1024):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shared.value.read_all(b.column(1).to_pylist())], pa.binary())], [id_col, "numbers"])
 
     return df.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, numbers binary")
 
@@ -336,7 +382,7 @@ def train_on_all(model: Model, encoded: DataFrame, s: Settings) -> Model:
     if encoded.rdd.getNumPartitions() > TRAINERS:
         encoded = encoded.coalesce(TRAINERS)
     parts = encoded.rdd.getNumPartitions()
-    shared = encoded.sparkSession.sparkContext.broadcast(bare(model))
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
     size = len(model.class_of)
     schema = "slice long, part long, at binary, seen binary, own binary"
 
@@ -435,7 +481,7 @@ def fit_lm(df: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text
 def score_numbers(encoded: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """``id_col``, n_words, log_likelihood, perplexity from ``encode``'s rows."""
     kind = encoded.schema[id_col].dataType.simpleString()
-    shared = encoded.sparkSession.sparkContext.broadcast(bare(model))
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -249,6 +249,44 @@ def test_vocabulary_follows_the_distinct_words(spark):
     assert len(lmscore.fit_counts(docs, lmscore.Settings(vocabulary=10, vocabulary_root=0.5)).numbers) == 10
 
 
+def test_words_are_looked_up_once_however_often_they_stand(monkeypatch):
+    m = lmscore.Model({"a": 1, "b": 2}, np.array([0, 0, 0, 1, 2, 3, 4]), np.zeros(7), 4, 1)
+    looked: list[str] = []
+    rare_class = lmscore.rare_class
+    monkeypatch.setattr(lmscore, "rare_class", lambda word, classes: looked.append(word) or rare_class(word, classes))
+    own = m.read(" ".join(f"a w{i}ing\u00a0X \t B" for i in range(1000)) + "\n")
+    assert own.tolist() == [1, 3 + rare_class("\u00a0x", 4), 2] * 1000
+    assert len(looked) == 1
+
+
+def test_counts_of_words_are_made_before_rows(spark):
+    """Spark gets each distinct word of a slice once, not a row for every word."""
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(["A b\x1c \n b\x1c", None, " ", "\u0130 a A "] * 500)], "doc_id long, text string").coalesce(1)
+    counts = lmscore.count_words(docs)
+    assert {r["word"]: r["n"] for r in counts.collect()} == {"a": 1500, "b\x1c": 1000, "i\u0307": 500}
+    assert "Generate" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [0.5, 300.0])
+def test_lm_slopes_and_scores_of_large_logits(size):
+    """Logits too large for powers of e are shifted, all others are not; both are as in float64."""
+    rng = np.random.default_rng(8)
+    m = lmscore.Model({f"w{i}": i + 1 for i in range(6)}, np.array([0, 0, 0, 0, 1, 1, 1, 2]), np.zeros(8), 1, 2)
+    params = [rng.normal(0, size, shape).astype(np.float32) for shape in ((4, 8, 4), (4,), (4, 3), (3,), (8, 5))]
+    params[0][:, 0] = 0
+    assert lmscore.calm(np.vstack(params[2:4]), params[4]) == (size < 1)
+    flat = lmscore.padded([rng.integers(1, 8, 3000)])
+    places = np.flatnonzero(flat)
+    ends = []
+    for kind in (np.float32, np.float64):
+        own, squares = [p.astype(kind) for p in params], [np.ones(p.shape, kind) for p in params]
+        lmscore.descend(m, own, squares, flat, places, 3000, 0.1)
+        m.params = [p.astype(kind) for p in params]
+        ends.append((*own, m.log_likelihoods([flat[2:-2]])))
+    for a, b in zip(*ends, strict=True):
+        assert np.isfinite(a).all() and a == pytest.approx(b, rel=1e-3, abs=1e-3)
+
+
 def test_toxicity_in_a_script_without_spaces(spark):
     """Sentences are one run of letters each; a term stands anywhere in them."""
     rng = np.random.default_rng(12)
